@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import fingerprints, language_id, licenses, pieces, quality_rules, source_mix, token_files, url_filters
+from quarryline.llm import fingerprints, language_id, licenses, pieces, quality_rules, source_mix, suffix_dedup, token_files, url_filters
 from quarryline.llm.common import load, shared_dir
 
 
@@ -29,6 +29,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(load(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(load(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(load(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_token_files, op3_source_mix, op4_fingerprints, op6_language_id, op8_sentencepiece, op9_quality_rules, op10_url_filters)
+    f.__name__: f for f in (op1_license_scan, op2_token_files, op3_source_mix, op4_fingerprints, op5_suffix_dedup, op6_language_id, op8_sentencepiece, op9_quality_rules, op10_url_filters)
 }
 
 ORACLES: dict[str, str] = {}
