@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import fingerprints, language_id, licenses, pieces, quality_rules, source_mix, suffix_dedup, token_files, url_filters
+from quarryline.llm import fingerprints, language_id, licenses, ngram_join, pieces, quality_rules, source_mix, suffix_dedup, token_files, url_filters
 from quarryline.llm.common import load, shared_dir
 
 
@@ -22,7 +22,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_mix.mix_sources(load(spark, sf_dir, "documents"))
+    return source_mix.mix_sources(load(spark, sf_dir, "documents")).drop("text_hash", "source")
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(load(spark, sf_dir, "documents"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_classes(load(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(load(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")).drop("ids")
 
@@ -50,7 +54,27 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_token_files, op3_source_mix, op4_fingerprints, op5_suffix_dedup, op6_language_id, op8_sentencepiece, op9_quality_rules, op10_url_filters)
+    f.__name__: f for f in (op1_license_scan, op2_token_files, op3_source_mix, op4_fingerprints, op5_suffix_dedup, op6_language_id, op7_ngram_join, op8_sentencepiece, op9_quality_rules, op10_url_filters)
 }
 
-ORACLES: dict[str, str] = {}
+_URL_PARTS = """
+WITH parts AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), split AS (
+  SELECT page_id,
+    translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path
+  FROM parts
+)"""
+
+ORACLES: dict[str, str] = {
+    "op10_url_filters": f"""{_URL_PARTS}, rules(rule_host, rule_path, action) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), fits AS (
+  SELECT s.page_id, s.host, s.path, r.rule_host || r.rule_path AS rule, r.action,
+    row_number() OVER (PARTITION BY s.page_id, s.host, s.path ORDER BY length(r.rule_host || r.rule_path) DESC, r.rule_host) AS place
+  FROM split s LEFT JOIN rules r
+    ON (s.host = r.rule_host OR ends_with(s.host, '.' || r.rule_host)) AND starts_with(s.path, r.rule_path)
+)
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM fits WHERE place = 1""",
+}

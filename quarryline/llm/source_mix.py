@@ -125,7 +125,7 @@ def placed(sized: DataFrame, n_docs: int) -> DataFrame:
     rows = rows.withColumn("offset", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("source", "bucket").orderBy("doc_id", "text_hash")))
     rows = rows.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")), "inner")
-    return rows.select("doc_id", "source", "size", "bucket", "copy", (F.col("base") + F.col("offset")).alias("start"))
+    return rows.select("doc_id", "text_hash", "source", "size", "bucket", "copy", (F.col("base") + F.col("offset")).alias("start"))
 
 
 def mix_parts(docs: DataFrame, block: int = 128, weights: tuple = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 7, shard_slots: int = 4096) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -156,4 +156,15 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
     rows = places.join(sums, same, "left").drop("_doc_id", "_source", "_bucket", "_copy")
     own = sources.select(F.col("source").alias("s"), "source_size", "target")
     rows = rows.join(own, F.col("source").eqNullSafe(F.col("s")), "inner")
-    return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("epochs", F.lit(0)).cast("int").alias("epochs"))
+    return rows.select("doc_id", "text_hash", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("epochs", F.lit(0)).cast("int").alias("epochs"))
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix by whole documents, for stages that need whole texts: a row of ``docs`` for each epoch in which the
+    mix takes any of its words, so none for documents that it doesn't reach."""
+    found = mix_sources(docs, **options).filter("epochs > 0").groupBy("doc_id", "source", "text_hash").agg(F.max("epochs").alias("_epochs"))
+    found = found.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "text_hash")], "_epochs")
+    text_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    same = text_hash.eqNullSafe(F.col("_text_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source"))
+    rows = docs.join(found, same, "inner")
+    return rows.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_epochs")))).select(*docs.columns)
