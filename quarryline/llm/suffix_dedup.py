@@ -336,7 +336,7 @@ def string_view(rows: np.ndarray) -> np.ndarray:
 def splitters(marked: DataFrame, parts: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """Bounds between the ranges of suffixes, and hashes of the substrings too frequent for one range."""
     total = marked.agg(F.sum(F.size("places"))).first()[0] or 0
-    limit = np.uint64(int(min(1.0, SAMPLE / max(total, 1)) * ((1 << 64) - 1)))
+    limit = np.uint64((1 << 64) - 1 if total <= SAMPLE else (SAMPLE << 64) // total)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
