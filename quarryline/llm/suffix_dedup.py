@@ -499,17 +499,19 @@ def report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
 def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """The rows of ``docs`` with repeated bytes cut from their texts, and n_chars, if there, set anew. Pieces of
     characters that a cut leaves go, too."""
-    names = docs.columns
-    rows = with_spans(docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string")), length, gram)
-    rows = rows.select(*names, "stretches")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    # The other columns travel as one, so that their names clash with none of those used here.
+    rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("int")
+    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("_others"))
+    rows = with_spans(packed, length, gram).select("doc_id", "text", "_others", "stretches")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in passes(batch, "text"):
                 texts = [t if t is None or not s else cut(t.encode(), s)[0].decode("utf-8", "ignore") for t, s in zip(part.column("text").to_pylist(), part.column("stretches").to_pylist(), strict=True)]
-                columns = {n: part.column(n) for n in names} | {"text": pa.array(texts, pa.string())}
-                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string()), part.column("_others")], names=["doc_id", "text", "_others"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("stretches").schema)
     out = rows.mapInArrow(run, schema)
-    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in names else out
+    columns = {"n_chars": F.char_length("text").cast("long")} if "n_chars" in others else {}
+    return out.select(*[columns.get(c, F.col(c) if c in ("doc_id", "text") else F.col("_others").getField(c)).alias(c) for c in docs.columns])
