@@ -33,13 +33,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import gram_rows, mix, passes, prefix_hash, powers, shuffle_width, span, stage, utf8
+from quarryline.llm.common import gram_rows, mix, passes, prefix_hash, powers, shuffle_width, span, stage, stage_buckets, utf8
 
 LENGTH = 100
 GRAM = 40
 #: Anchors sampled for the splitters (expected number), and the share from which a substring is dealt by hash.
 SAMPLE, HOT = 20_000, 3.0
-RUN_RECORDS = 150_000
+RUN_RECORDS = 60_000
 NULL_ID = -(1 << 63)
 
 
@@ -87,7 +87,7 @@ def repeated_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in passes(batch, "text", 1_000_000):
+            for part in passes(batch, "text", 500_000):
                 data, offs = utf8(part.column("text"))
                 place, text, value = anchors(data, offs, length, gram)
                 if not len(place):
@@ -321,7 +321,7 @@ def repeated_strings(r: Records, shared: np.ndarray, length: int, before: int) -
         at = np.flatnonzero(near & (r.before_size >= o) & (r.suffix_size >= need))
         if len(at):
             stretch = np.cumsum(~same)
-            _, later = later_copies(mix(behind[at] ^ mix(stretch[at].astype(np.uint64))), rank[at])
+            _, later = later_copies(mix(behind[at] + stretch[at].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), rank[at])
             later = at[later]
             least[later] = np.minimum(least[later], o)
             most[later] = np.maximum(most[later], o)
@@ -340,7 +340,7 @@ def splitters(marked: DataFrame, parts: int, gram: int) -> tuple[np.ndarray, np.
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in passes(batch, "text", 1_000_000):
+            for part in passes(batch, "text", 500_000):
                 data, offs = utf8(part.column("text"))
                 place, text = places(part, offs)
                 pick = mix(mix(ids_of(part)[text].astype(np.uint64)) + (place - offs[text]).astype(np.uint64)) <= limit
@@ -449,22 +449,30 @@ def string_hash(rows: np.ndarray) -> np.ndarray:
     return value
 
 
-def with_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """The rows of ``docs`` (doc_id long, text string, others) with ``stretches``, an array of (low, high) byte
-    offsets of repeated text, possibly overlapping, or null."""
-    docs = docs.withColumn("tag", F.xxhash64(F.coalesce("text", F.lit(""))))
+def with_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, whole: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` (doc_id long, text string, perhaps _others) in two parts: those with repeated anchors,
+    with ``stretches``, an array of (low, high) byte offsets of repeated text, possibly overlapping, or null; and
+    the rest, which repeat nothing. Unless ``whole``, the rest come without text but with n_bytes and sha256.
+
+    The texts are shuffled once, to the places of their anchors, and kept in buckets by id: the stretches, which
+    are small, come to them there."""
+    names = docs.columns
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.withColumns({"tag": F.xxhash64(text), "_key": F.coalesce("doc_id", F.lit(NULL_ID))})
     found = repeated_anchors(docs, length, gram).groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
-    key = F.coalesce("doc_id", F.lit(NULL_ID))
-    joined = docs.withColumn("_key", key).join(found.withColumnRenamed("doc_id", "_found"), F.col("_key") == F.col("_found"), "left").drop("_key", "_found")
-    size = F.octet_length(F.coalesce("text", F.lit("")))
-    fits = F.filter("places", lambda p: p + gram <= size)  # another text with the same id may have more
-    joined = stage(joined.withColumn("places", F.when(F.size(fits) > 0, fits)), "suffix-marked")
+    joined = docs.join(found.withColumnRenamed("doc_id", "_key"), "_key", "left")
+    fits = F.filter("places", lambda p: p + gram <= F.octet_length(text))  # another text with the same id may have more
+    joined = joined.withColumn("places", F.when(F.size(fits) > 0, fits))
+    if not whole:
+        clean = F.col("places").isNull()
+        joined = joined.withColumns({"n_bytes": F.octet_length(text).cast("long"), "sha256": F.when(clean, F.sha2(text, 256)), "text": F.when(~clean, F.col("text"))})
+    joined = stage_buckets(joined, "suffix_marked", "_key")
     marked = joined.filter("places IS NOT NULL")
-    spans = covered(marked, length, gram).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("low", "high")).alias("stretches"))
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "stretches")
-    hit = marked.drop("places").join(spans, (F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("_id")) & (F.col("tag") == F.col("_tag")), "left").drop("_id", "_tag", "tag")
-    rest = joined.filter("places IS NULL").drop("places", "tag")
-    return hit.unionByName(rest.withColumn("stretches", F.lit(None).cast(hit.schema["stretches"].dataType)))
+    item = F.struct("tag", "low", "high")
+    spans = covered(marked, length, gram).groupBy(F.col("doc_id").alias("_key")).agg(F.collect_list(item).alias("_all"))
+    hit = marked.join(spans, "_key", "left").withColumn("stretches", F.filter("_all", lambda x: x["tag"] == F.col("tag")))
+    rest = joined.filter("places IS NULL")
+    return hit.select(*names, "stretches"), rest.select(*names) if whole else rest.select("doc_id", "n_bytes", "sha256")
 
 
 def cut(raw: bytes, stretches: list[dict] | None) -> tuple[bytes, int]:
@@ -493,7 +501,10 @@ def report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
                     pa.array([n for _, n in out], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k, _ in out]),
                 ], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return with_spans(docs, length, gram).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    hit, rest = with_spans(docs, length, gram, whole=False)
+    none = F.lit(0).cast("long")
+    clean = rest.select("doc_id", "n_bytes", none.alias("n_removed"), none.alias("n_spans"), F.col("sha256").alias("kept_sha256"))
+    return hit.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").unionByName(clean)
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -503,7 +514,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     # The other columns travel as one, so that their names clash with none of those used here.
     rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("int")
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("_others"))
-    rows = with_spans(packed, length, gram).select("doc_id", "text", "_others", "stretches")
+    hit, rest = with_spans(packed, length, gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -511,7 +522,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
                 texts = [t if t is None or not s else cut(t.encode(), s)[0].decode("utf-8", "ignore") for t, s in zip(part.column("text").to_pylist(), part.column("stretches").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string()), part.column("_others")], names=["doc_id", "text", "_others"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("stretches").schema)
-    out = rows.mapInArrow(run, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
+    out = hit.mapInArrow(run, schema).unionByName(rest)
     columns = {"n_chars": F.char_length("text").cast("long")} if "n_chars" in others else {}
     return out.select(*[columns.get(c, F.col(c) if c in ("doc_id", "text") else F.col("_others").getField(c)).alias(c) for c in docs.columns])
