@@ -5,9 +5,10 @@ one row per document with the class that its links span. Exact: no pair that qua
 
 1. Equal sets are one node, named by a hash of the set, so copies cost nothing further.
 2. Tokens get one order for all documents, rare ones first by a counting sketch of fixed size. Qualifying sets must
-   share a token among the first n - ceil(t n) + 1 of each; these travel to their buckets as packed arrays.
-3. Tokens of up to FEW nodes yield their pairs. A pair that shares c of its first tokens overlaps at most in c and
-   the longer rest, so nearly all chance pairs fall by their count.
+   share l tokens among the first n - ceil(t n) + l of each, l being a small part of n; these first tokens travel to
+   their buckets as packed arrays, and nodes that share fewer than l of them with any others drop out.
+3. Tokens of up to FEW nodes yield their pairs, of which those stay that share enough of their first tokens: a pair
+   that shares c of them overlaps at most in c and the longer rest.
 4. Larger groups gather under their smallest node. Each such cluster, cut into blocks of bounded size, is searched by
    a dual traversal of signature trees: inner nodes hold OR-combined token bitmaps and size ranges, and pairs of
    nodes are pruned by the largest overlap they allow. Surviving pairs are compared as sets, unless links found
@@ -37,6 +38,8 @@ PERCENT = 90
 COUNTERS = 1 << 16
 #: Nodes of a token up to which it yields pairs, tokens in a block of a cluster, and members of a tree's leaf.
 FEW, BLOCK_TOKENS, LEAF = 8, 400_000, 32
+#: Nodes (two integers each) up to which their ids go to the texts; beyond, the texts are shuffled to the ids.
+BROADCAST_NODES = 1_000_000
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int = K, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -74,9 +77,14 @@ def least_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -((-percent * (a + b)) // (100 + percent))
 
 
+def shared_first(n: np.ndarray, percent: int) -> np.ndarray:
+    """First tokens that sets must share if the smaller has n elements."""
+    return 1 + n * (100 - percent) // 400
+
+
 def rest(n: np.ndarray, percent: int) -> np.ndarray:
     """Elements of a set after its first tokens."""
-    return -((-percent * n) // 100) - 1
+    return np.maximum(0, -((-percent * n) // 100) - shared_first(n, percent))
 
 
 def document_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -108,8 +116,7 @@ def token_ranks(sets: DataFrame) -> np.ndarray:
 
 
 def shared_tokens(docs: DataFrame, rank: np.ndarray, k: int, percent: int) -> DataFrame:
-    """(a, b, na, nb): for small groups the pairs of nodes (nb not null), for large ones each member b under its
-    group's smallest node a (nb null, na the size of b)."""
+    """(token, sid, n): the nodes that share a first token with others whose sizes may qualify."""
     n = shuffle_width(docs.sparkSession)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,36 +150,24 @@ def shared_tokens(docs: DataFrame, rank: np.ndarray, k: int, percent: int) -> Da
             # Sorted by size, a group falls apart where the sizes of neighbours can't qualify.
             apart = np.ones(len(token), bool)
             apart[1:] = (token[1:] != token[:-1]) | (100 * size[:-1] < percent * size[1:])
-            begin = np.flatnonzero(apart)
-            count = np.diff(np.append(begin, len(token)))
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            for g in range(2, FEW + 1):
-                start = begin[count == g]
-                for i in range(g):
-                    for j in range(i + 1, g):
-                        x, y = start + i, start + j
-                        x, y = x[100 * size[x] >= percent * size[y]], y[100 * size[x] >= percent * size[y]]
-                        swap = sid[x] > sid[y]
-                        a, b = np.where(swap, y, x), np.where(swap, x, y)
-                        for c, v in zip(out, (sid[a], sid[b], size[a], size[b]), strict=True):
-                            c.append(v)
-            for s, g in zip(begin[count > FEW], count[count > FEW], strict=True):
-                own = sid[s : s + g]
-                for c, v in zip(out, (np.full(g, own.min()), own, size[s : s + g], np.full(g, -1)), strict=True):
-                    c.append(v)
-            if out[0]:
-                a, b, na, nb = (np.concatenate(c) for c in out)
-                for i in range(0, len(a), 50_000):
-                    s = slice(i, i + 50_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(a[s]), pa.array(b[s]), pa.array(na[s]), pa.array(nb[s], mask=nb[s] < 0)], names=["a", "b", "na", "nb"])
+            group = np.cumsum(apart)
+            many = np.bincount(group)[group] > 1
+            # Each part of a token's nodes is a group of its own.
+            name = mix(token[many] + mix(group[many].astype(np.uint64))).view(np.int64)
+            sid, size = sid[many], size[many]
+            for i in range(0, len(name), 50_000):
+                s = slice(i, i + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(name[s]), pa.array(sid[s]), pa.array(size[s])], names=["token", "sid", "n"])
 
     sent = docs.mapInArrow(send, "bucket int, tokens binary, sids binary, sizes binary")
-    return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long, na long, nb long")
+    return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "token long, sid long, n long")
 
 
 def node_sets(docs: DataFrame, wanted: DataFrame, rank: np.ndarray, k: int) -> DataFrame:
     """(sid, n, tokens): the sets of the wanted nodes, each from its smallest document. wanted: (sid, doc_id)."""
-    picked = docs.join(wanted.select("sid", F.col("doc_id").alias("_doc")), F.col("doc_id").eqNullSafe(F.col("_doc"))).select("sid", "text")
+    few = wanted.count() <= BROADCAST_NODES
+    wanted = wanted.select("sid", F.col("doc_id").alias("_doc"))
+    picked = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("sid", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -349,10 +344,20 @@ def jaccard_classes(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Data
     named = sets.filter("counter IS NULL").select("doc_id", "n", "sid")
     smallest = named.filter("sid IS NOT NULL").groupBy("sid").agg(F.min_by("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("doc_id"))
     met = stage(shared_tokens(docs, rank, k, percent), "jaccard-met")
-    pairs = met.filter("nb IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    need = F.ceil((percent * (F.col("na") + F.col("nb"))) / (100 + percent)) - F.greatest(F.ceil(percent * F.col("na") / 100), F.ceil(percent * F.col("nb") / 100)) + 1
-    pairs = pairs.filter(F.col("c") >= need).select("a", "b")
-    members = met.filter("nb IS NULL").select(F.col("a").alias("leader"), F.col("b").alias("sid"), F.col("na").alias("n")).distinct()
+    enough = lambda n: 1 + F.floor(n * (100 - percent) / 400)
+    shares = met.groupBy("sid", "n").agg(F.count("*").alias("shared"))
+    alive = shares.filter(F.col("shared") >= enough(F.ceil(F.col("n") * percent / 100))).select("sid")
+    live = stage(met.join(alive, "sid"), "jaccard-live")
+    groups = live.groupBy("token").agg(F.count("*").alias("size"), F.min("sid").alias("leader")).filter("size > 1")
+    live = live.join(groups, "token")
+    small = live.filter(F.col("size") <= FEW)
+    other = small.select("token", F.col("sid").alias("b"), F.col("n").alias("nb"))
+    pairs = small.select("token", F.col("sid").alias("a"), F.col("n").alias("na")).join(other, "token").filter("a < b")
+    pairs = pairs.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    behind = lambda n: F.greatest(F.lit(0), F.ceil(percent * n / 100) - enough(n))
+    need = F.ceil((percent * (F.col("na") + F.col("nb"))) / (100 + percent)) - F.greatest(behind(F.col("na")), behind(F.col("nb")))
+    pairs = pairs.filter((F.col("c") >= need) & (F.col("c") >= enough(F.least("na", "nb")))).select("a", "b")
+    members = live.filter(F.col("size") > FEW).select("leader", "sid", "n").distinct()
     pairs, members = stage(pairs, "jaccard-pairs"), stage(members, "jaccard-members")
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(members.select("sid")).distinct()
     nodes = stage(node_sets(docs, smallest.join(wanted, "sid"), rank, k), "jaccard-nodes")
