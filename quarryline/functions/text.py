@@ -108,13 +108,18 @@ def rewrite_lines(answer: Column, most: int) -> Column:
 
 def sanitized_rewrite(answer: Column, longest: int = 200) -> Column:
     """The first line of a model's rewrite without its thoughts, label and quotes; null if empty or too long."""
-    text = F.trim(F.regexp_replace(answer, r"(?s)<think>.*?</think>", ""))
+    text = stripped(F.regexp_replace(answer, r"(?s)<think>.*?</think>", ""))
     text = F.trim(F.element_at(F.split(text, "\n"), 1))
     text = F.trim(F.regexp_replace(text, r"^(?:改写后?的?问题|改写|rewritten question|rewrite)\s*[:：]\s*", ""))
     text = F.regexp_replace(text, r"^[\"“”']+|[\"“”']+$", "")
     return F.when((text != "") & (F.char_length(text) <= longest), text)
 
 
+def stripped(text: Column) -> Column:
+    """Without white space, line ends included, at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def any_in(text: Column, words: Column) -> Column:
     """Whether the text contains one of an array of words."""
     return F.exists(words, lambda w: F.contains(text, w))

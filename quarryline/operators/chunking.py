@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarryline.functions.text import NUMBER_CLASS, clean_title
+from quarryline.functions.text import NUMBER_CLASS, clean_title, stripped
 
 N = f"[{NUMBER_CLASS}]+"
 CHAPTER = rf"^第({N})章\s*(.*)$"
@@ -17,22 +17,17 @@ SECTION = rf"^第({N})节\s*(.*)$"
 ARTICLE = rf"^第({N})条(之{N})?"
 #: Fixed value: marks that start a clause at the head of a line.
 CLAUSE = rf"(?m)(?=^[（(]{N}[）)])"
-CONTENTS = "目录"
 
 
 def articles(paragraphs: DataFrame) -> DataFrame:
     """(doc, ordinal, article_no, section_header, text) of paragraphs (doc, pos, text). Chapters and sections fill
-    forward, a chapter ends its predecessor's section, and a table of contents is skipped up to the first article."""
+    forward and a chapter ends its predecessor's section. A table of contents leaves no trace: its lines stand before
+    the first article, and of its headings none outlives the body's own."""
     rows = paragraphs.withColumn("text", F.trim("text")).filter("text <> ''")
     w = Window.partitionBy("doc").orderBy("pos")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     article = F.col("text").rlike(ARTICLE)
-    head = F.regexp_replace("text", r"\s+", "") == CONTENTS
-    last_head = F.last(F.when(head, F.col("pos")), True).over(upto)
-    last_article = F.last(F.when(article, F.col("pos")), True).over(upto)
-    listed = last_head.isNotNull() & (last_article.isNull() | (last_article < last_head))
-    rows = rows.withColumn("_listed", listed)
-    mark = lambda p, unit: F.when(~F.col("_listed") & F.col("text").rlike(p), F.concat(F.lit("第"), F.regexp_extract("text", p, 1), F.lit(unit + " "), clean_title(F.regexp_extract("text", p, 2))))
+    mark = lambda p, unit: F.when(F.col("text").rlike(p), F.concat(F.lit("第"), F.regexp_extract("text", p, 1), F.lit(unit + " "), clean_title(F.regexp_extract("text", p, 2))))
     rows = rows.withColumns({"_chapter": mark(CHAPTER, "章"), "_section": mark(SECTION, "节"), "_article": article})
     rows = rows.withColumns({"_chapters": F.count("_chapter").over(upto), "_is_chapter": F.col("_chapter").isNotNull(), "_heading": F.col("_chapter").isNotNull() | F.col("_section").isNotNull()})
     rows = rows.withColumn("_chapter", F.last("_chapter", True).over(upto))
@@ -58,12 +53,12 @@ def clauses(rows: DataFrame) -> DataFrame:
     mark's own."""
     parts = F.split("text", CLAUSE)
     starts = F.filter(parts, lambda p: p.rlike(rf"^[（(]{N}[）)]"))
-    marked = rows.withColumns({"_starts": starts, "_prefix": F.trim(F.regexp_replace(parts[0], rf"(?s)^[（(]{N}[）)].*", ""))})
+    marked = rows.withColumns({"_starts": starts, "_prefix": stripped(F.regexp_replace(parts[0], rf"(?s)^[（(]{N}[）)].*", ""))})
     whole = marked.withColumns({"chunk_type": F.lit("article"), "parent_article_no": F.col("article_no"), "penalty_context": F.lit(""), "clause_pos": F.lit(0)})
     split = marked.filter(F.size("_starts") >= 2).select(*marked.columns, F.posexplode("_starts").alias("_i", "_clause"))
     label = F.regexp_extract("_clause", rf"^[（(]({N})[）)]", 1)
     split = split.withColumns({"parent_article_no": F.col("article_no"), "clause_pos": F.col("_i") + 1, "penalty_context": F.col("_prefix"), "chunk_type": F.lit("clause")})
-    split = split.withColumns({"article_no": F.concat("article_no", F.lit("第"), label, F.lit("款")), "text": F.trim("_clause")}).filter("text <> ''")
+    split = split.withColumns({"article_no": F.concat("article_no", F.lit("第"), label, F.lit("款")), "text": stripped(F.col("_clause"))}).filter("text <> ''")
     names = [c for c in whole.columns if not c.startswith("_")]
     return whole.select(*names).unionByName(split.select(*names))
 

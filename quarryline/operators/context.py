@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarryline.functions.text import stripped
+
 DECAY = 0.95
 
 
@@ -123,7 +125,7 @@ def audit(answers: DataFrame, contexts: DataFrame) -> DataFrame:
 def merged_references(contexts: DataFrame, clause_order: Column, label: Column) -> DataFrame:
     """One row per (query_id, source, article): texts of several clauses in the order of their numbers, each under
     its label; ids in the order of the contexts; groups in the order of first sight (pos)."""
-    item = F.struct(clause_order.alias("n"), F.col("pos").alias("pos"), F.trim(F.concat(F.when(label != "", F.concat(F.lit("（"), label, F.lit("）"))).otherwise(""), F.lit("\n"), F.col("text"))).alias("labelled"), F.col("text").alias("text"))
+    item = F.struct(clause_order.alias("n"), F.col("pos").alias("pos"), stripped(F.concat(F.when(label != "", F.concat(F.lit("（"), label, F.lit("）"))).otherwise(""), F.lit("\n"), F.col("text"))).alias("labelled"), F.col("text").alias("text"))
     rows = contexts.groupBy("query_id", "source", "parent_article_no").agg(
         F.min("pos").alias("first_pos"), F.min_by("section_header", "pos").alias("section_header"), F.array_sort(F.collect_list(item)).alias("_items"),
         F.array_sort(F.collect_list(F.struct("pos", "chunk_id"))).alias("_ids"),

@@ -22,12 +22,17 @@ PROMOTED = {"definition": "definition", "penalty": "behavior_penalty", "procedur
 PER_SOURCE, PENALTIES, TOP_N = 3, 3, 7
 
 
+def _holds(words: Column):
+    return lambda part: any_in(part, words)
+
+
 def role(section: Column, keywords: dict[str, list[str]]) -> Column:
     """Role by the parts of a section header; roles are tried in the order of ``keywords``, else substantive."""
     parts = F.transform(F.split(F.coalesce(section, F.lit("")), "/"), F.trim)
     out = None
     for name, words in keywords.items():
-        hit = F.exists(parts, lambda p, words=words: any_in(p, F.array(*map(F.lit, words))))
+        listed = F.array(*map(F.lit, words))
+        hit = F.exists(parts, _holds(listed))
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return F.lit("substantive") if out is None else out.otherwise("substantive")
 

@@ -18,9 +18,10 @@ DEFINITIONS, PENALTIES, REWRITES, REWRITE_TOP, REWRITE_LEAST, BUDGET = 8, 3, 3,
 
 
 def pairs_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Vector chunks, queries, and every pair of them with both scores."""
+    """Vector chunks, queries, and every pair of them with both scores. Several routes read the pairs, so they are
+    kept; what an executor loses is computed again."""
     c, q = fx.vector_chunks(spark, sf_dir), fx.queries(spark, sf_dir)
-    return c, q, fusion.scored_pairs(c, q, lexical.build(c))
+    return c, q, fusion.scored_pairs(c, q, lexical.build(c)).persist()
 
 
 def question_hits(pairs: DataFrame, queries: DataFrame) -> DataFrame:
@@ -76,13 +77,13 @@ def budget(candidates: DataFrame, limit: int = BUDGET) -> DataFrame:
 
 def multi_query(chunks: DataFrame, queries: DataFrame, pairs: DataFrame, bm25: DataFrame, concepts: list[str], wide: str, markers: list[str]) -> DataFrame:
     """(question_id, chunk_id, score, pos): all stages in turn, with the rewrites', citations' and hierarchy's rows."""
-    hits = question_hits(pairs, queries)
-    found = fused_candidates(hits, protected(pairs, chunks, queries, concepts, wide, markers))
+    hits = question_hits(pairs, queries).persist()
+    found = fused_candidates(hits, protected(pairs, chunks, queries, concepts, wide, markers)).persist()
     zero = F.lit(0.0).alias("score")
     none = F.lit(None).cast("int").alias("floor_pos")
     found = found.unionByName(rewrite_rows(found, bm25, queries).select("question_id", "chunk_id", zero, none))
     placed = found.withColumn("pos", fusion.rank("score", "question_id"))
-    found = found.unionByName(context.cited_chunks(placed.select("question_id", "chunk_id", "pos"), chunks).select("question_id", "chunk_id", zero, none))
+    found = found.unionByName(context.cited_chunks(placed.select("question_id", "chunk_id", "pos"), chunks).select("question_id", "chunk_id", zero, none)).persist()
     related = context.hierarchy(found.select("question_id", "chunk_id", "score"), chunks)
     return budget(found.unionByName(related.select("question_id", "chunk_id", "score", none)))
 

@@ -85,7 +85,7 @@ def merged_stream(events: DataFrame, delay: str = "1 minute", idle_ms: int = 60_
 
 def windowed_counts(events: DataFrame, window: str = "60 seconds", delay: str = "10 minutes") -> DataFrame:
     """Requests per user and window; late rows count up to the delay."""
-    return events.withWatermark("ts", delay).groupBy(F.window("ts", window), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("window.start").alias("start"), "n")
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy(F.window("ts", window), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("window.start").alias("start"), "n")
 
 
 def daily_counts(events: DataFrame, delay: str = "1 day") -> DataFrame:
