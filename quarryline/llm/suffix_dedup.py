@@ -396,8 +396,9 @@ def covered(marked: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFr
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Records] = []
+        hot_held: list[Records] = []
         for batch in batches:
-            for part in passes(batch, "text", 500_000):
+            for part in passes(batch, "text", 250_000):
                 data, offs = utf8(part.column("text"))
                 place, text = places(part, offs)
                 if not len(place):
@@ -410,14 +411,19 @@ def covered(marked: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFr
                     inside = (start >= offs[owner]) & (start + length <= offs[owner + 1])
                     start, at = np.unique(start[inside], return_index=True)
                     owner = owner[inside][at]
-                    for i in range(0, len(start), 50_000):
-                        yield from flush([Records.at(data, offs, start[i : i + 50_000], owner[i : i + 50_000], doc, tag, length, before).plain()], True)
+                    for i in range(0, len(start), 4000):
+                        hot_held.append(Records.at(data, offs, start[i : i + 4000], owner[i : i + 4000], doc, tag, length, before).plain())
+                        if sum(map(len, hot_held)) >= RUN_RECORDS:
+                            yield from flush(hot_held, True)
+                            hot_held = []
                 held.append(Records.at(data, offs, place[~busy], text[~busy], doc, tag, length, before))
                 if sum(map(len, held)) >= RUN_RECORDS:
                     yield from flush(held, False)
                     held = []
         if held:
             yield from flush(held, False)
+        if hot_held:
+            yield from flush(hot_held, True)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in bucketwise(batches):
