@@ -141,7 +141,8 @@ def mix_parts(docs: DataFrame, block: int = 128, weights: tuple = WEIGHTS, share
     high = F.least(F.col("start") + F.col("size"), (F.col("block_index") + 1) * F.col("length"))
     pieces = pieces.select("doc_id", "source", "bucket", "copy", "start", F.col("block_index"), (low - F.col("block_index") * F.col("length")).alias("from"), (high - F.col("block_index") * F.col("length")).alias("to"))
     taken = taken.select(F.col("source").alias("s"), F.col("block_index").alias("i"), "shard", "slot", "epoch", "take")
-    both = pieces.join(taken, (F.col("block_index") == F.col("i")) & F.col("source").eqNullSafe(F.col("s")), "inner")
+    # The slots grow with the input, but only after the last shuffle of their plan, so Spark would take them for small.
+    both = pieces.join(taken.hint("merge"), (F.col("block_index") == F.col("i")) & F.col("source").eqNullSafe(F.col("s")), "inner")
     both = both.withColumn("words", F.greatest(F.lit(0), F.least("to", "take") - F.col("from"))).filter("words > 0").drop("s", "i")
     return places, sources, both
 
