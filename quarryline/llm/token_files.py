@@ -26,7 +26,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -40,8 +39,9 @@ MAGIC = b"QLTOKEN1"
 BLOCK_IDS = 65_536
 UNIT_IDS = 1_000_000
 END_ID = 0
-#: A space with white space beside it, or at an end: the only places where a text isn't cut before each space.
-UNEVEN = regex.compile(r"(?:^|\s) | (?:\s|$)")
+#: Goes before the unit that starts a text; no text holds it. Units that the library gets as one text.
+HEAD = "\ud800"
+TOGETHER = 300
 
 
 def packed(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, block: int = BLOCK_IDS) -> bytes:
@@ -82,7 +82,8 @@ def unpacked(image: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 class Encoder:
     """Byte-level BPE by the tokenizers library. No token of its pattern crosses from a character that isn't white
-    space to a space before such a character, so texts are cut there and each distinct unit is encoded once."""
+    space to a space before such a character, so texts are cut at spaces and each distinct unit is encoded once. A
+    text with other white space beside a space, or with white space at its end, is encoded whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -98,43 +99,53 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """units: a mark (1: starts a text, else a space goes before), then the characters."""
-        heads = [u[1:] for u in units if u[0] == "1"]
-        tails = [u[1:] for u in units if u[0] == "0"]
-        out: dict[str, np.ndarray] = {}
-        for text, ids in zip(heads, self._whole(heads), strict=True):
-            out["1" + text] = np.array(ids, np.int64)
-        for at in range(0, len(tails), 2000):
-            part = tails[at : at + 2000]
-            ids = np.array(self._whole([" " + " ".join(part)])[0], np.int64)
-            ends = np.cumsum([len(u.encode("utf-8", "replace")) + 1 for u in part])
-            cuts = np.searchsorted(np.cumsum(self.length[ids]), ends, "left") + 1
-            for u, a, b in zip(part, [0, *cuts[:-1]], cuts, strict=True):
-                out["0" + u] = ids[a:b]
-        return np.concatenate([out[u] for u in units]), np.array([len(out[u]) for u in units])
+        """All ids of the units in order, and how many each has: none if it is empty or has white space at an end,
+        as its text can't be cut there. HEAD goes before a unit that starts a text, a space before every other."""
+        heads, tails = [], []
+        for i, u in enumerate(units):
+            own = u[1:] if u[:1] == HEAD else u
+            if own and not own[0].isspace() and not own[-1].isspace():
+                (tails if own is u else heads).append(i)
+        counts, ids = [], []
+        for own in self._whole([units[i][1:] for i in heads]):
+            counts.append([len(own)])
+            ids.append(own)
+        for at in range(0, len(tails), TOGETHER):
+            text = " " + " ".join([units[i] for i in tails[at : at + TOGETHER]])
+            own = np.array(self._whole([text])[0], np.int64)
+            raw = np.frombuffer(text.encode(), np.uint8)
+            starts = np.searchsorted(np.cumsum(self.length[own]), np.flatnonzero(raw == 32), "right")
+            counts.append(np.diff(starts, append=len(own)))
+            ids.append(own)
+        if not ids:
+            return np.zeros(0, np.int64), np.zeros(len(units), np.int64)
+        at, ids, own = np.array(heads + tails), np.concatenate(ids), np.concatenate(counts)
+        order = np.argsort(at, kind="stable")
+        first = (np.cumsum(own) - own)[order]
+        out = np.zeros(len(units), np.int64)
+        out[at] = own
+        own = own[order]
+        return ids[np.arange(len(ids)) + np.repeat(first - (np.cumsum(own) - own), own)], out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end id, and the texts' numbers of ids."""
         units: list[str] = []
-        sizes, odd = [], {}
-        for i, text in enumerate(texts):
-            if not text:
-                sizes.append(0)
-            elif UNEVEN.search(text):
-                odd[i] = None
-                sizes.append(0)
-            else:
-                own = ("1" + text.replace(" ", "\x000")).split("\x00") if "\x00" not in text else [("1" if j == 0 else "0") + u for j, u in enumerate(text.split(" "))]
-                units += own
-                sizes.append(len(own))
-        for i, ids in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
-            odd[i] = np.array(ids, np.uint32)
+        sizes = []
+        for text in texts:
+            own = text.split(" ") if text else []
+            if own:
+                own[0] = HEAD + own[0]
+            units += own
+            sizes.append(len(own))
         ids, counts = self.cache.lookup(units) if units else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
-        ends = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(sizes)])]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        ends = np.concatenate([[0], np.cumsum(counts)])[upto]
+        odd = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(counts == 0)])[upto])).tolist()
+        whole = dict(zip(odd, self._whole([texts[i] for i in odd]), strict=True))
         parts, totals = [], []
         for i in range(len(texts)):
-            own = odd[i] if i in odd else ids[ends[i] : ends[i + 1]]
-            parts += [own, [END_ID]]
+            own = whole[i] if i in whole else ids[ends[i] : ends[i + 1]]
+            parts += [np.asarray(own, np.uint32), [END_ID]]
             totals.append(len(own) + 1)
         return np.concatenate(parts).astype(np.uint32) if parts else np.zeros(0, np.uint32), np.array(totals, np.int64)
 

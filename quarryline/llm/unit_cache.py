@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 
@@ -41,8 +42,7 @@ class UnitCache:
         """All ids of the units in order, and how many each unit has."""
         if len(self.place) > self.keep:
             self.clear()
-        get = self.place.get
-        at = np.fromiter((get(u, -1) for u in units), np.int64, len(units))
+        at = np.fromiter(map(self.place.get, units, repeat(-1)), np.int64, len(units))
         missing = np.flatnonzero(at < 0)
         if len(missing):
             self._add(list(dict.fromkeys(units[i] for i in missing)))
