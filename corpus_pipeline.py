@@ -30,7 +30,7 @@ def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """The stretches of documents that the mix takes, as often as it takes them."""
     return source_mix.mixed_documents(docs)
 
 

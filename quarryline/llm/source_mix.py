@@ -23,6 +23,8 @@ from pyspark.sql.window import Window
 from quarryline.llm.common import shuffle_width, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: A word with the white space behind it, the first one also with what stands before it.
+STRETCH = r"(?:^[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Documents that a bucket of the stream holds on average.
 BUCKET = 500
@@ -139,7 +141,7 @@ def mix_parts(docs: DataFrame, block: int = 128, weights: tuple = WEIGHTS, share
     pieces = pieces.withColumn("block_index", F.explode(F.expr("sequence(start div length, (start + size - 1) div length)")))
     low = F.greatest(F.col("start"), F.col("block_index") * F.col("length"))
     high = F.least(F.col("start") + F.col("size"), (F.col("block_index") + 1) * F.col("length"))
-    pieces = pieces.select("doc_id", "source", "bucket", "copy", "start", F.col("block_index"), (low - F.col("block_index") * F.col("length")).alias("from"), (high - F.col("block_index") * F.col("length")).alias("to"))
+    pieces = pieces.select("doc_id", "text_hash", "source", "bucket", "copy", "start", F.col("block_index"), (low - F.col("start")).alias("first_word"), (low - F.col("block_index") * F.col("length")).alias("from"), (high - F.col("block_index") * F.col("length")).alias("to"))
     taken = taken.select(F.col("source").alias("s"), F.col("block_index").alias("i"), "shard", "slot", "epoch", "take")
     # The slots grow with the input, but only after the last shuffle of their plan, so Spark would take them for small.
     both = pieces.join(taken.hint("merge"), (F.col("block_index") == F.col("i")) & F.col("source").eqNullSafe(F.col("s")), "inner")
@@ -161,11 +163,27 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix by whole documents, for stages that need whole texts: a row of ``docs`` for each epoch in which the
-    mix takes any of its words, so none for documents that it doesn't reach."""
-    found = mix_sources(docs, **options).filter("epochs > 0").groupBy("doc_id", "source", "text_hash").agg(F.max("epochs").alias("_epochs"))
-    found = found.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "text_hash")], "_epochs")
-    text_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    same = text_hash.eqNullSafe(F.col("_text_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source"))
-    rows = docs.join(found, same, "inner")
-    return rows.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_epochs")))).select(*docs.columns)
+    """The mix as texts: a row of ``docs`` for each stretch of a document that a slot takes, with the stretch's words
+    and the white space behind them as text, and n_chars, if there, set anew. A source's rows have the words that the
+    mix gives it, no more; the stretches of a whole document make up its text."""
+    _, _, pieces = mix_parts(docs, **options)
+
+    def key(text_hash: Column) -> Column:
+        parts = [text_hash.cast("string"), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit(""))]
+        return F.concat_ws("|", *parts)
+
+    # Rows equal in id, source and text are told apart by a number; either side is dealt out by the key alone.
+    found = pieces.select(key(F.col("text_hash")).alias("_key"), "copy", F.struct("first_word", "words").alias("taken")).repartition("_key")
+    found = found.groupBy("_key", "copy").agg(F.collect_list("taken").alias("_taken"))
+    found = found.select("_key", F.row_number().over(Window.partitionBy("_key").orderBy("copy")).alias("_copy"), "_taken")
+    # Among rows with one key the other columns order; maps have no order.
+    others = [F.col(f"`{c}`") for c, kind in docs.dtypes if c != "text" and "map<" not in kind]
+    rows = docs.withColumn("_key", key(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+    rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(*others))))
+    rows = rows.join(found, ["_key", "_copy"])
+    # The words are an argument, so that a text is split once and not once a stretch.
+    cut = lambda w: F.transform("_taken", lambda p: F.array_join(F.slice(w, (p["first_word"] + 1).cast("int"), p["words"].cast("int")), ""))
+    texts = F.flatten(F.transform(F.array(F.regexp_extract_all(F.col("text").cast("string"), F.lit(STRETCH), F.lit(0))), cut))
+    rows = rows.withColumn("_text", F.explode(texts))
+    columns = {"text": F.col("_text"), "n_chars": F.char_length("_text").cast("long")}
+    return rows.select(*[columns.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])

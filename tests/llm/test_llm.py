@@ -149,6 +149,26 @@ def test_mixed_documents(spark, docs):
     assert source_mix.mix_sources(empty(spark)).count() == 0
 
 
+def test_mixed_documents_meet_targets(spark, docs):
+    from pyspark.sql import functions as F
+
+    docs = docs.withColumn("n_chars", F.char_length("text").cast("long"))
+    mixed = source_mix.mixed_documents(docs, block=16).collect()
+    taken, target, emitted, by_doc = {}, {}, {}, {}
+    for r in source_mix.mix_sources(docs, block=16).collect():
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+        target[r.source] = r.target
+        by_doc[r.doc_id, r.source] = by_doc.get((r.doc_id, r.source), 0) + r.taken
+    own = {(r.doc_id, r.source): r.text for r in docs.collect()}
+    for r in mixed:
+        assert r.text in own[r.doc_id, r.source] and r.n_chars == len(r.text)
+        by_doc[r.doc_id, r.source] -= len(split(r.text))
+        emitted[r.source] = emitted.get(r.source, 0) + len(split(r.text))
+    assert not any(by_doc.values())
+    for s in target:
+        assert emitted.get(s, 0) == taken[s] and abs(emitted.get(s, 0) - target[s]) <= max(16, 0.02 * target[s])
+
+
 def test_fingerprints(spark, docs):
     got = sorted(fingerprints.fingerprint(docs).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
     rows = sorted(texts(docs), key=lambda r: (r[0] is not None, r[0] or 0))
