@@ -206,25 +206,30 @@ def upload_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.routed(literal(spark, UPLOADS)).select("name", "route")
 
 
-def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = fx.table(spark, sf_dir, "conversations")
     kind = F.when(F.col("role") == "user", "delta").when(F.col("role") == "assistant", "reasoning").otherwise("progress")
-    words = m.select("conv_id", "turn", kind.alias("kind"), F.posexplode(F.split(F.substring("text", 1, 200), "(?<= )")).alias("i", "content"))
-    item = F.struct("turn", "i", (F.col("turn") * 1000 + F.col("i") * 3).cast("long").alias("at_ms"), "kind", "content")
-    return words.groupBy("conv_id").agg(F.array_sort(F.collect_list(item)).alias("events"))
+    words = m.select("conv_id", "turn", kind.alias("kind"), F.posexplode(F.split("text", "(?<= )")).alias("i", "content"))
+    return words.select("conv_id", "turn", "i", (F.col("turn") * 1000 + F.col("i") * 3).cast("long").alias("at_ms"), "kind", "content")
+
+
+def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    item = F.struct("turn", "i", "at_ms", "kind", "content")
+    return _events(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(item)).alias("events"))
 
 
 @query("x1_merged_events")
 def merged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merged events of each conversation, in order."""
-    rows = _sessions(spark, sf_dir).select("conv_id", stream.merged_events(F.col("events")).alias("merged"))
-    return rows.select("conv_id", F.posexplode("merged").alias("pos", "event")).select("conv_id", "pos", "event.kind", "event.content")
+    rows = stream.merged_sessions(_events(spark, sf_dir), "conv_id", ["turn", "i"])
+    return rows.withColumn("pos", F.col("pos").cast("int"))
 
 
 @query("x1_concatenation", """WITH c AS (SELECT conv_id, turn, role, substr(text, 1, 200) AS t FROM conversations)
 SELECT conv_id, md5(coalesce(string_agg(t, '' ORDER BY turn, role, t) FILTER (WHERE role = 'user'), '')) AS deltas, md5(coalesce(string_agg(t, '' ORDER BY turn, role, t) FILTER (WHERE role = 'assistant'), '')) AS reasonings FROM c GROUP BY conv_id""")
 def merged_concatenation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X1's invariant: merging keeps each kind's text."""
-    rows = _sessions(spark, sf_dir).select("conv_id", stream.merged_events(F.col("events")).alias("m"))
+    merged = merged_events(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "content"))).alias("m"))
+    rows = fx.table(spark, sf_dir, "conversations").select("conv_id").distinct().join(merged, "conv_id", "left").withColumn("m", F.coalesce("m", F.array().cast("array<struct<pos:int,kind:string,content:string>>")))
     text = lambda k: F.md5(F.array_join(F.transform(F.filter("m", lambda e: e["kind"] == k), lambda e: e["content"]), ""))
     return rows.select("conv_id", text("delta").alias("deltas"), text("reasoning").alias("reasonings"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -45,6 +46,57 @@ def merged_events(events: Column, chars: int = MERGE_CHARS, wait_ms: int = MERGE
     return F.aggregate(events, start, step, lambda s: emit(s["out"], s["kind"], s["text"]))
 
 
+def merged_sessions(events: DataFrame, session: str, order: list[str], chars: int = MERGE_CHARS, wait_ms: int = MERGE_MS) -> DataFrame:
+    """The same over rows (session, order columns, at_ms, kind, content), to (session, pos, kind, content). Rows pass
+    in order with one buffer as the state, so a session of any length takes linear time and no array holds it."""
+    kind_of = events.schema[session].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kind, text, flushed, pos = (), None, "", None, 0
+        out: list[tuple] = []
+
+        def emit(new: str, content: str) -> None:
+            nonlocal pos
+            out.append((now[0], pos, new, content))
+            pos += 1
+
+        def batch(types: pa.Schema) -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            made = [types.field(session).type, pa.int64(), pa.string(), pa.string()]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, made, strict=True)], names=[session, "pos", "kind", "content"])
+
+        types = None
+        for rows in batches:
+            types = rows.schema
+            for own, at, new, content in zip(*(rows.column(c).to_pylist() for c in (session, "at_ms", "kind", "content")), strict=True):
+                if now != (own,):
+                    if kind is not None:
+                        emit(kind, text)
+                    now, kind, text, flushed, pos = (own,), None, "", None, 0
+                flushed, content = at if flushed is None else flushed, content or ""
+                if new not in TEXT_KINDS:
+                    if kind is not None:
+                        emit(kind, text)
+                    emit(new, content)
+                    kind, text, flushed = None, "", at
+                    continue
+                if kind not in (None, new):
+                    emit(kind, text)
+                    text, flushed = "", at
+                kind, text = new, text + content
+                if len(text) >= chars or (text and at - flushed >= wait_ms):
+                    emit(kind, text)
+                    kind, text, flushed = None, "", at
+            yield batch(types)
+        if kind is not None:
+            emit(kind, text)
+            yield batch(types)
+
+    rows = events.repartition(session).sortWithinPartitions(session, *order, "at_ms", "kind", "content")
+    return rows.select(session, "at_ms", "kind", "content").mapInArrow(run, f"`{session}` {kind_of}, pos long, kind string, content string")
+
+
 def merged_stream(events: DataFrame, delay: str = "1 minute", idle_ms: int = 60_000) -> DataFrame:
     """The same over a stream (session_id, ts, seq, kind, content): a buffer per session is the state, and goes out
     with the next flush or, after the session falls idle, by a timeout."""

@@ -63,6 +63,23 @@ def test_merged_events_cases(spark, events):
     assert got == brute_merge(events)
 
 
+def test_merged_sessions_are_whole(spark):
+    from hashlib import md5
+
+    roles = {"user": "delta", "assistant": "reasoning"}
+    want: dict = {}
+    for r in sorted(spark.read.parquet(f"{SF}/conversations.parquet").collect(), key=lambda r: (r.conv_id, r.turn)):
+        own = want.setdefault(r.conv_id, {"delta": "", "reasoning": "", "progress": ""})
+        own[roles.get(r.role, "progress")] += r.text or ""
+    assert any(len(t) > 2000 for own in want.values() for t in own.values())
+    got = {c: dict.fromkeys(own, "") for c, own in want.items()}
+    for r in sorted(catalog.QUERIES["x1_merged_events"](spark, SF).collect(), key=lambda r: (r.conv_id, r.pos)):
+        got[r.conv_id][r.kind] += r.content
+    assert got == want
+    sums = {r.conv_id: (r.deltas, r.reasonings) for r in catalog.QUERIES["x1_concatenation"](spark, SF).collect()}
+    assert sums == {c: tuple(md5(own[k].encode()).hexdigest() for k in ("delta", "reasoning")) for c, own in want.items()}
+
+
 def test_merged_stream(spark, tmp_path):
     """Texts long enough to go out at once come out of the stream as they went in, in order."""
     at = datetime.datetime(2024, 1, 1)
