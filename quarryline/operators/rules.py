@@ -63,6 +63,18 @@ def gated(candidates: DataFrame, gates: list[dict]) -> DataFrame:
     return candidates.filter(~(F.coalesce("chunk_type", F.lit("clause")).isin(kinds) & blocked))
 
 
+def gated_pairs(chunks: DataFrame, queries: DataFrame, gates: list[dict]) -> DataFrame:
+    """``gated`` over every chunk for every query: (query_id, chunk_id). Texts are searched once a chunk and once a
+    query, not once a pair; the pairs meet with a flag per gate."""
+    kinds = sorted({k for g in gates for k in (g.get("chunk_types") or ["clause"])})
+    words = [(g["required_context_keywords"], g["blocked_text_keywords"]) for g in gates if g.get("required_context_keywords") and g.get("blocked_text_keywords")]
+    flags = lambda text, lists: F.array(*[any_in(F.coalesce(text, F.lit("")), F.array(*map(F.lit, w))) for w in lists]).cast("array<boolean>")
+    own = chunks.select("chunk_id", F.coalesce("chunk_type", F.lit("clause")).isin(kinds).alias("_kind"), flags("text", [b for _, b in words]).alias("_has"))
+    asked = queries.select("query_id", flags("text", [a for a, _ in words]).alias("_asks"))
+    blocked = F.exists(F.arrays_zip("_has", "_asks"), lambda x: x["_has"] & ~x["_asks"])
+    return own.crossJoin(F.broadcast(asked)).filter(~(F.col("_kind") & blocked)).select("query_id", "chunk_id")
+
+
 def scoped(rows: DataFrame, source: str | None = None, article: str | None = None) -> DataFrame:
     """Equality on what is given; no filter on what is empty."""
     if source:

@@ -100,11 +100,8 @@ def query_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("f3_context_gate", f"""WITH {fx.CHUNKS} SELECT b.item_id AS query_id, c.chunk_id FROM benchmark b JOIN chunks c ON c.chunk_id % 40 = b.item_id % 40
 WHERE NOT (c.chunk_type = 'clause' AND NOT (contains(b.text, 'then') OR contains(b.text, 'ally')) AND (contains(c.text, 'license') OR contains(c.text, 'heit')))""")
 def context_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F3."""
-    q = asked(spark, sf_dir).withColumn("_m", F.pmod("query_id", F.lit(40)))
-    c = fx.chunks(spark, sf_dir).withColumn("_m", F.pmod("chunk_id", F.lit(40)))
-    pairs = c.join(q.select("query_id", F.col("text").alias("query_text"), "_m"), "_m")
-    return rules.gated(pairs, fx.GATES).select("query_id", "chunk_id")
+    """every chunk for every question of the stated set."""
+    return rules.gated_pairs(fx.chunks(spark, sf_dir), asked(spark, sf_dir), fx.GATES)
 
 
 @query("f1_scope_filter", f"WITH {fx.CHUNKS} SELECT chunk_id, article_no FROM chunks WHERE source = 'src3' AND chunk_type = 'article'")

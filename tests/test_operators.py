@@ -139,6 +139,24 @@ def test_upload_retrieval(spark):
     assert {d: sorted(p) for d, p in per_doc.items()} == {d: list(range(1, n + 1)) for d, n in sizes.items()} and {(r.doc_id, r.pos) for r in got} <= chunks
 
 
+def test_context_gate_judges_all_pairs(spark):
+    from quarryline.operators import rules
+    from quarryline.plans import fixtures as fx
+
+    chunks = fx.chunks(spark, SF)
+    questions = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    texts = [(r.chunk_id, r.chunk_type == "clause" and ("license" in r.text or "heit" in r.text)) for r in chunks.collect()]
+    want = {(q, c) for q, t in questions for c, stopped in texts if not stopped or "then" in t or "ally" in t}
+    got = [tuple(r) for r in catalog.QUERIES["f3_context_gate"](spark, SF).collect()]
+    assert len(got) == len(want) and set(got) == want
+    two = [*fx.GATES, {"required_context_keywords": ["ing"], "blocked_text_keywords": ["tion"], "chunk_types": None}, {"blocked_text_keywords": ["a"]}]
+    odd = spark.createDataFrame([(1, "station", None), (2, None, "clause"), (3, "license", "article"), (4, "heit", "clause")], "chunk_id int, text string, chunk_type string")
+    asked = spark.createDataFrame([(1, "then"), (2, None), (3, "ring")], "query_id int, text string")
+    pairs = odd.crossJoin(asked.select("query_id", F.col("text").alias("query_text")))
+    for gates in (two, fx.GATES, []):
+        assert {tuple(r) for r in rules.gated_pairs(odd, asked, gates).collect()} == {tuple(r) for r in rules.gated(pairs, gates).select("query_id", "chunk_id").collect()}
+
+
 def row(chunk_id, role, score, text="", context=""):
     return {"chunk_id": chunk_id, "role": role, "rerank_score": score, "text": text, "penalty_context": context}
 
