@@ -139,6 +139,31 @@ def test_upload_retrieval(spark):
     assert {d: sorted(p) for d, p in per_doc.items()} == {d: list(range(1, n + 1)) for d, n in sizes.items()} and {(r.doc_id, r.pos) for r in got} <= chunks
 
 
+def test_upload_retrieval_asks_all(spark, monkeypatch):
+    from quarryline.functions import text
+    from quarryline.plans import texts
+    from quarryline.sources import providers
+
+    monkeypatch.setattr(texts, "QUESTION_BLOCK", 7)
+    got: dict = {}
+    for r in catalog.QUERIES["p7_upload_retrieval"](spark, SF).collect():
+        got.setdefault((r.item_id, r.doc_id), []).append((r.place, r.pos))
+    chunks: dict = {}
+    words = text.tokens(F.col("chunk")).alias("words")
+    for r in catalog.QUERIES["c28_upload_chunks"](spark, SF).select("doc_id", "pos", "chunk", words).collect():
+        chunks.setdefault(r.doc_id, {})[r.pos] = (providers.hashed_embedder([r.chunk])[0].astype(float), set(r.words))
+    questions = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text", text.tokens(F.col("text")).alias("words")).collect()
+    assert len(questions) > 1
+    want = {}
+    for q in questions:
+        vector = providers.hashed_embedder([q.text])[0].astype(float)
+        for doc_id, own in chunks.items():
+            near = sorted(own, key=lambda p: (-round(float(own[p][0] @ vector), 9), p))[:8]
+            best = sorted(near, key=lambda p: -len(own[p][1] & set(q.words)))[:3]
+            want[q.item_id, doc_id] = list(enumerate(best, 1))
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
 def test_context_gate_judges_all_pairs(spark):
     from quarryline.operators import rules
     from quarryline.plans import fixtures as fx
