@@ -3,9 +3,11 @@
 A sketch retains every hash of a text's shingles (five lower-cased words) that lies below a fixed fraction of the
 hash space, so sketches of texts of any length can be merged by union and compared for containment.
 
+The fraction is the whole hash space unless a smaller one is asked for, so likeness is exact by default; at a smaller
+one, a text none of whose hashes lies below it retains its smallest hash.
+
 A text of fewer than five words, but with one, has one shingle: all its words. A text without words, or null, has
-an empty sketch; two empty sketches are alike (1.0) if both texts lack words, and an empty sketch is unlike (0.0)
-every other. The next document is by ascending doc_id, null first; rows with equal ids order by a hash of the text.
+an empty sketch, and no other has; two empty sketches are alike (1.0), and an empty sketch is unlike (0.0) every other. The next document is by ascending doc_id, null first; rows with equal ids order by a hash of the text.
 Repeated rows each get a row. A single document is its own successor.
 """
 
@@ -25,11 +27,11 @@ from quarryline.llm.common import ALNUM, LOWER, PASS_BYTES, gram_rows, grams, pa
 
 SHINGLE = 5
 #: The retained fraction of the hash space is 1 / SCALED.
-SCALED = 8
+SCALED = 1
 
 
 def sketches(texts: list[str], k: int = SHINGLE, scaled: int = SCALED) -> list[tuple[int, np.ndarray]]:
-    """For each text: its number of shingles, and its retained hashes, sorted and distinct."""
+    """For each text: its number of shingles, and its retained hashes, sorted and distinct; one at least if it has a shingle."""
     out = []
     table = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"])
     limit = np.uint64((1 << 64) // scaled - 1)
@@ -42,13 +44,17 @@ def sketches(texts: list[str], k: int = SHINGLE, scaled: int = SCALED) -> list[t
         value = grams(hashes, k)[at]
         counts = np.bincount(text, minlength=len(offs) - 1)
         low = value <= limit
+        starts = np.flatnonzero(counts)
+        if len(starts):
+            least = np.minimum.reduceat(value, np.searchsorted(text, starts))
+            low |= value == np.repeat(least, counts[starts])
         bounds = np.searchsorted(text[low], np.arange(len(offs)))
         value = value[low]
         for i in range(len(offs) - 1):
             n = int(word_offs[i + 1] - word_offs[i])
             if 0 < n < k:
                 one = grams(hashes[word_offs[i] : word_offs[i + 1]], n)
-                out.append((1, one[one <= limit]))
+                out.append((1, one))
             else:
                 out.append((int(counts[i]), np.unique(value[bounds[i] : bounds[i + 1]])))
     return out
@@ -62,7 +68,7 @@ def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
     """Containment of the smaller sketch in the larger."""
     small = min(len(a[1]), len(b[1]))
     if not small:
-        return float(a[0] == b[0] == 0 or (len(a[1]) == len(b[1]) and a[0] == b[0] == 1))
+        return float(len(a[1]) == len(b[1]))
     return len(np.intersect1d(a[1], b[1], assume_unique=True)) / small
 
 

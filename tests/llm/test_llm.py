@@ -189,6 +189,32 @@ def test_fingerprints(spark, docs):
     assert fingerprints.fingerprint(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("scaled", [fingerprints.SCALED, 8])
+def test_short_texts_are_told_apart(scaled):
+    texts = [" ".join(f"w{n}x{i}x{j}" for j in range(n)) for n in range(1, 13) for i in range(40)]  # no word twice
+    own, again = fingerprints.sketches(texts, scaled=scaled), fingerprints.sketches(texts[:], scaled=scaled)
+    assert all(fingerprints.likeness(a, b) == 1.0 for a, b in zip(own, again, strict=True))
+    assert not any(fingerprints.likeness(a, b) for a, b in itertools.combinations(own, 2))
+    assert len({fingerprints.written(s) for s in own}) == len(texts)
+    none = fingerprints.sketches(["", " . "], scaled=scaled)
+    assert fingerprints.likeness(*none) == 1.0 and not any(fingerprints.likeness(none[0], s) for s in own)
+
+
+def test_fingerprint_likeness_is_exact(spark, docs):
+    def shingles(text):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    order = sorted(texts(docs), key=lambda r: (r[0] is not None, r[0] or 0))
+    got = sorted(fingerprints.fingerprint(docs).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
+    for r, (_, text), (_, after) in zip(got, order, [*order[1:], order[0]], strict=True):
+        text, after = text or "", after or ""
+        for value, other in ((r.near_next, after), (r.near_edited, text[: len(text) - len(text) // 2] + after[: len(text) // 2])):
+            a, b = shingles(text), shingles(other)
+            want = len(a & b) / min(len(a), len(b)) if a and b else float(not a and not b)
+            assert abs(value - want) < 1e-9, r.doc_id
+
+
 def test_sketch_matches_brute_force():
     rng = random.Random(5)
     words = [rng.choice("alpha beta gamma delta eps zeta eta".split()) + str(rng.randrange(50)) for _ in range(800)]
