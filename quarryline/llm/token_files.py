@@ -81,15 +81,16 @@ def unpacked(image: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 
 class Encoder:
-    """Byte-level BPE by the tokenizers library. No token of its pattern crosses from a character that isn't white
-    space to a space before such a character, so texts are cut at spaces and each distinct unit is encoded once. A
-    text with other white space beside a space, or with white space at its end, is encoded whole."""
+    """Byte-level BPE by the tokenizers library as its file sets it up, without special tokens around the texts. No
+    token of its pattern crosses from a character that isn't white space to a space before such a character, so
+    texts are cut at spaces and each distinct unit is encoded once. A text with other white space beside a space,
+    with white space at its end, or with the text of an added token (``<|endoftext|>``) is encoded whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         size = self.tokenizer.get_vocab_size()
         # Each character of a byte-level token stands for one byte.
         self.length = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
@@ -131,8 +132,9 @@ class Encoder:
         """All ids, each text's followed by the end id, and the texts' numbers of ids."""
         units: list[str] = []
         sizes = []
-        for text in texts:
-            own = text.split(" ") if text else []
+        special = np.array([any(a in text for a in self.added) for text in texts], bool)
+        for text, whole_only in zip(texts, special, strict=True):
+            own = text.split(" ") if text and not whole_only else []
             if own:
                 own[0] = HEAD + own[0]
             units += own
@@ -140,7 +142,7 @@ class Encoder:
         ids, counts = self.cache.lookup(units) if units else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
         upto = np.concatenate([[0], np.cumsum(sizes)])
         ends = np.concatenate([[0], np.cumsum(counts)])[upto]
-        odd = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(counts == 0)])[upto])).tolist()
+        odd = np.flatnonzero((np.diff(np.concatenate([[0], np.cumsum(counts == 0)])[upto]) > 0) | special).tolist()
         whole = dict(zip(odd, self._whole([texts[i] for i in odd]), strict=True))
         parts, totals = [], []
         for i in range(len(texts)):

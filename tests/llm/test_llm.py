@@ -86,7 +86,8 @@ def test_token_files(spark, docs, tmp_path):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
+    special = spark.createDataFrame([(600, "a <|endoftext|> b", "en", "s"), (601, "<|endoftext|>", "en", "s"), (602, " x<|endoftext|>", "en", "s")], DOCS)
+    docs = docs.unionByName(special)
     got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.tokens_of(docs, path, f"file://{tmp_path}/t").collect())
     want, at = [], 0
     ordered = sorted(texts(docs), key=lambda r: (r[0] is not None, r[0] or 0))
@@ -104,10 +105,13 @@ def test_token_image_round_trip():
 
 
 def test_token_cuts_equal_whole_encoding():
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     code = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    odd = [" lead", "trail ", "two  spaces", "tab\t x", "it's we're", "<|endoftext|> x", "\x00 nul", "é ü\n\n z", "a\u3000 b", "1 234 5,6"]
+    odd = [" lead", "trail ", "two  spaces", "tab\t x", "it's we're", "<|endoftext|> x", "a <|endoftext|> b", "x <|endoftext|", "\x00 nul", "é ü\n\n z", "a\u3000 b", "1 234 5,6"]
     for text in odd:
-        assert code.encode([text])[0][:-1].tolist() == code.tokenizer.encode(text, add_special_tokens=False).ids, text
+        assert code.encode([text])[0][:-1].tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
 def test_mix(spark, docs):
