@@ -1,14 +1,18 @@
-"""SentencePiece encoding and decoding in numpy, many words at a time.
+"""SentencePiece encoding and decoding by a batched Viterbi in numpy.
 
-Words of equal length are rows of one matrix and advance together. For a unigram model that is a batched Viterbi:
-hashes of all substrings probe the sorted piece keys, and maxima over the pieces that end at a place store the
-backpointers. A BPE model's scores order its merges and are no log-probabilities, so the best path is not its
-encoding; there each round probes the sorted pair keys and merges every word's best pair. Both end with bytes for
-characters that have no piece.
+Words of equal length are rows of one matrix and advance together. Hashes of all substrings probe the sorted piece
+keys, every end of a word takes the best of the pieces that end there, and backpointers give the path.
+
+What a path may contain differs by the model. A unigram model adds up its pieces' scores. A BPE model's scores order
+its merges and are no log-probabilities; there a step is open (0) or closed (minus infinity): a piece may follow
+another iff the merges of both together leave them apart, which undoing the merges on either side of the seam, the
+latest first, decides. Exactly one piece then ends the encoding of each prefix, so the path that stays open is the
+model's own encoding. Characters without a piece become bytes.
 
 A null or empty text has no ids and decodes to the empty text. Texts of any length are cut before each space (and,
 where long, between characters that no piece holds side by side), which no piece crosses. Repeated rows each get a row;
-columns other than the id and the text are not read.
+columns other than the id and the text are not read. Models with pieces of other kinds than normal, byte, unknown
+and control, or with normalization, are refused.
 """
 
 from __future__ import annotations
@@ -28,9 +32,11 @@ from quarryline.llm.unit_cache import UnitCache
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
-NORMAL, BYTE = 1, 6
+NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Units over this length are cut between characters that no piece holds side by side.
 LONG = 48
+#: Answers about seams that a worker keeps: 2 to this power.
+SEAM_BITS = 21
 
 
 def codes(words: list[str]) -> np.ndarray:
@@ -38,6 +44,14 @@ def codes(words: list[str]) -> np.ndarray:
     return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), -1).astype(np.int64)
 
 
+def extended(value: np.ndarray, char: np.ndarray) -> np.ndarray:
+    return value * np.uint64(0x9E3779B97F4A7C15) + char.astype(np.uint64) + np.uint64(1)
+
+
+def keyed(value: np.ndarray, size: int) -> np.ndarray:
+    return mix(value + np.uint64((size * 0xD6E8FEB86659FD93) % (1 << 64)))
+
+
 class Pieces:
     """The pieces, scores and kinds of a model, with the tables that the batched encoders probe."""
 
@@ -77,80 +91,149 @@ class Pieces:
         keys, ids = np.concatenate(keys), np.concatenate(ids)
         order = np.argsort(keys)
         self.piece_keys, self.piece_ids = keys[order], ids[order]
+        self._merges(normal)
+        self.seam_keys, self.seam_open = np.full(1 << SEAM_BITS, -1), np.zeros(1 << SEAM_BITS, bool)
         self.cache = UnitCache(self.units)
 
     @staticmethod
     def substring_hash(rows: np.ndarray) -> np.ndarray:
-        value = np.full(len(rows), rows.shape[1], np.uint64)
+        """Hash of each row; ``extended`` and ``keyed`` make the same, a character at a time."""
+        value = np.zeros(len(rows), np.uint64)
         for j in range(rows.shape[1]):
-            value = value * np.uint64(0x9E3779B97F4A7C15) + rows[:, j].astype(np.uint64)
-        return mix(value)
+            value = extended(value, rows[:, j])
+        return keyed(value, rows.shape[1])
 
-    def _probe_pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The merged piece of each pair and its score; -1 and -inf where there is none."""
+    def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The piece that two symbols merge into; -1 where there is none."""
         key = left * self.width + right
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        found = self.pair_keys[at] == key
-        piece = np.where(found, self.pair_piece[at], -1)
-        return piece, np.where(found, self.scores[piece], -np.inf)
+        return np.where(self.pair_keys[at] == key, self.pair_piece[at], -1) if len(self.pair_keys) else np.full(len(key), -1)
 
-    def merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """BPE over words of one length: symbols (negative: a code point without any) and how many each row has."""
-        chars = codes(words)
-        at = np.minimum(np.searchsorted(self.char_keys, chars), len(self.char_keys) - 1)
-        known = self.char_keys[at] == chars
-        row = np.where(known, self.char_symbols[at], -1 - chars)
-        n, length = row.shape
-        count = np.full(n, length)
-        active = np.arange(n)
-        if length > 1:
-            left = np.where(row[:, :-1] < 0, self.width - 1, row[:, :-1])
-            right = np.where(row[:, 1:] < 0, self.width - 1, row[:, 1:])
-            piece, score = self._probe_pairs(left, right)
-        while length > 1 and len(active):
-            best = score[active].argmax(1)
-            going = score[active, best] > -np.inf
-            active, best = active[going], best[going]
-            if not len(active):
-                break
-            row[active, best] = piece[active, best]
-            columns = np.arange(length)
-            shift = np.minimum(columns[None, :] + (columns[None, :] > best[:, None]), length - 1)
-            row[active] = np.take_along_axis(row[active], shift, 1)
-            count[active] -= 1
-            row[active, count[active]] = self.width - 1  # a symbol in no pair
-            piece[active] = np.take_along_axis(piece[active], shift[:, : length - 1].clip(0, length - 2), 1)
-            score[active] = np.take_along_axis(score[active], shift[:, : length - 1].clip(0, length - 2), 1)
-            for side in (best - 1, best):
-                ok = (side >= 0) & (side < length - 1)
-                a, s = active[ok], side[ok]
-                x, y = row[a, s], row[a, s + 1]
-                piece[a, s], score[a, s] = self._probe_pairs(np.where(x < 0, self.width - 1, x), np.where(y < 0, self.width - 1, y))
-            score[active, np.minimum(count[active] - 1, length - 2)] = -np.inf
-        return row, count
+    def _merges(self, normal: dict[str, int]) -> None:
+        """For each symbol the rank of the merge that makes it (-1: a character), the two symbols it is made of, and
+        whether merging its own characters gives it at all. Ranks follow the scores, best first; equal scores, equal ranks."""
+        rank = np.full(self.width + 1, self.width)  # the last one stands for no piece
+        own = np.array(list(normal.values()), np.int64)
+        rank[own] = np.unique(-self.scores[own], return_inverse=True)[1]
+        self.pair_rank = rank
+        self.made, self.first_part, self.last_part = np.full(self.width, -1), np.full(self.width, -1), np.full(self.width, -1)
+        self.whole = np.zeros(len(self.text), bool)
+        if self.kind != BPE:
+            return
+        by_length = defaultdict(list)
+        for p, i in normal.items():
+            by_length[len(p)].append((p, i))
+        for length, own in by_length.items():
+            ids = np.array([i for _, i in own])
+            if length == 1:
+                self.whole[ids] = True
+                continue
+            chars = codes([p for p, _ in own])
+            row = self.char_symbols[np.searchsorted(self.char_keys, chars)]
+            left = right = np.full(len(own), -1)
+            for size in range(length, 1, -1):  # each round merges every row's best pair
+                piece = np.stack([self._pair(row[:, j], row[:, j + 1]) for j in range(size - 1)], 1)
+                best = rank[piece].argmin(1)
+                found = piece[np.arange(len(row)), best]
+                ids, row, best, found = ids[found >= 0], row[found >= 0], best[found >= 0], found[found >= 0]
+                left, right = row[np.arange(len(row)), best], row[np.arange(len(row)), best + 1]
+                row = np.delete(row.ravel(), np.arange(len(row)) * size + best + 1).reshape(len(row), size - 1)
+                row[np.arange(len(row)), best] = found
+            self.whole[ids] = True
+            self.made[ids], self.first_part[ids], self.last_part[ids] = rank[ids], left, right
+
+    def apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether the merges of two symbols' characters, put side by side, end in these two symbols. While the
+        seam lies between two symbols, they would merge if their piece's rank came before the merge that ended that
+        state; that merge is the later one of the two that made the symbols at the seam. Of merges with one rank
+        the left one goes first."""
+        ok = np.ones(len(left), bool)
+        left, right = left.copy(), right.copy()
+        limit = np.full(len(left), self.width)
+        at = np.arange(len(left))
+        while len(at):
+            x, y = left[at], right[at]
+            closed = self.pair_rank[self._pair(x, y)] < limit[at]
+            ok[at[closed]] = False
+            a, b = self.made[x], self.made[y]
+            going = ~closed & (np.maximum(a, b) >= 0)
+            at, x, y, a, b = at[going], x[going], y[going], a[going], b[going]
+            undo = a > b
+            left[at] = np.where(undo, self.last_part[x], x)
+            right[at] = np.where(undo, y, self.first_part[y])
+            limit[at] = np.where(undo, a, b + 1)
+        return ok
+
+    def _apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``apart`` behind a table of answers, where a new pair takes the place of the one before it."""
+        key = left * self.width + right
+        slot = (mix(key.astype(np.uint64)) >> np.uint64(64 - SEAM_BITS)).astype(np.int64)
+        new = np.flatnonzero(self.seam_keys[slot] != key)
+        out = self.seam_open[slot]
+        if len(new):
+            pairs, at = np.unique(key[new], return_inverse=True)
+            answers = self.apart(pairs // self.width, pairs % self.width)
+            out[new] = answers[at]
+            slot = (mix(pairs.astype(np.uint64)) >> np.uint64(64 - SEAM_BITS)).astype(np.int64)
+            _, last = np.unique(slot, return_index=True)  # of pairs with one slot, one is kept
+            self.seam_keys[slot[last]], self.seam_open[slot[last]] = pairs[last], answers[last]
+        return out
+
+    def substrings(self, chars: np.ndarray) -> np.ndarray:
+        """[row, end, length - 1]: the piece that ends there, or -1."""
+        n, length = chars.shape
+        most = min(length, self.longest)
+        found = np.full((n, length + 1, most), -1, np.int64)
+        for start in range(length):
+            value = np.zeros(n, np.uint64)
+            for size in range(1, min(most, length - start) + 1):
+                value = extended(value, chars[:, start + size - 1])
+                key = keyed(value, size)
+                at = np.minimum(np.searchsorted(self.piece_keys, key), len(self.piece_keys) - 1)
+                found[:, start + size, size - 1] = np.where(self.piece_keys[at] == key, self.piece_ids[at], -1)
+        return found
 
     def viterbi(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The best-scoring pieces of words of one length. A character without a piece costs more than any path."""
+        """The best path of words of one length: symbols (negative: a code point without any) and how many each row
+        has. In a unigram model a character without a piece costs more than any path; in BPE it stands alone."""
         chars = codes(words)
         n, length = chars.shape
+        found = self.substrings(chars)
+        alone = np.full((n, length), self.width - 1)
+        if len(self.char_keys):
+            at = np.minimum(np.searchsorted(self.char_keys, chars), len(self.char_keys) - 1)
+            alone = np.where(self.char_keys[at] == chars, self.char_symbols[at], self.width - 1)
         unknown = float(self.scores[self.piece_ids].min()) - 10.0 if len(self.piece_ids) else -10.0
         best = np.full((n, length + 1), -np.inf)
         best[:, 0] = 0.0
-        back, piece = np.zeros((n, length + 1), np.int64), np.zeros((n, length + 1), np.int64)
+        back, symbol = np.zeros((n, length + 1), np.int64), np.zeros((n, length + 1), np.int64)
+        rows = np.arange(n)
         for end in range(1, length + 1):
-            best[:, end], back[:, end], piece[:, end] = best[:, end - 1] + unknown, end - 1, -1 - chars[:, end - 1]
-            for start in range(max(0, end - self.longest), end):
-                key = self.substring_hash(chars[:, start:end])
-                at = np.minimum(np.searchsorted(self.piece_keys, key), len(self.piece_keys) - 1)
-                value = np.where(self.piece_keys[at] == key, best[:, start] + self.scores[self.piece_ids[at]], -np.inf)
-                wins = value > best[:, end]
-                best[wins, end], back[wins, end], piece[wins, end] = value[wins], start, self.piece_ids[at[wins]]
+            sizes = np.arange(1, min(end, found.shape[2]) + 1)
+            own = found[:, end, : len(sizes)]
+            if self.kind == BPE:
+                own = np.where((own >= 0) & self.whole[own], own, -1)
+                own[:, 0] = alone[:, end - 1]
+                value = np.where(own >= 0, best[:, end - sizes], -np.inf)
+                seam = np.argwhere((value == 0) & (end - sizes > 0)[None, :])
+                closed = ~self._apart(symbol[seam[:, 0], end - sizes[seam[:, 1]]], own[seam[:, 0], seam[:, 1]])
+                value[seam[closed, 0], seam[closed, 1]] = -np.inf
+            else:
+                value = np.where(own >= 0, best[:, end - sizes] + self.scores[own], -np.inf)
+                none = own[:, 0] < 0
+                value[none, 0] = best[none, end - 1] + unknown
+                own = own.copy()
+                own[none, 0] = alone[none, end - 1]
+            pick = value.argmax(1)
+            best[:, end], back[:, end], symbol[:, end] = value[rows, pick], end - sizes[pick], own[rows, pick]
+        if not (best[:, length] > -np.inf).all():
+            raise ValueError("this model's merges leave a word without a path")
+        symbol[:, 1:] = np.where(symbol[:, 1:] == self.width - 1, -1 - chars, symbol[:, 1:])
         out, count = np.zeros((n, length), np.int64), np.zeros(n, np.int64)
         place = np.full(n, length)
-        rows = np.arange(n)
         while (place > 0).any():
             going = rows[place > 0]
-            out[going, length - 1 - count[going]] = piece[going, place[going]]
+            out[going, length - 1 - count[going]] = symbol[going, place[going]]
             count[going] += 1
             place[going] = back[going, place[going]]
         return np.take_along_axis(out, np.minimum(np.arange(length)[None, :] + (length - count)[:, None], length - 1), 1), count
@@ -170,7 +253,7 @@ class Pieces:
         for length, own in by_length.items():
             for at in range(0, len(own), max(1, 200_000 // length)):
                 some = own[at : at + max(1, 200_000 // length)]
-                row, count = (self.merged if self.kind == BPE else self.viterbi)([parts[i] for i in some])
+                row, count = self.viterbi([parts[i] for i in some])
                 odd = (row >= len(self.text)) | (row < 0)
                 odd &= np.arange(row.shape[1])[None, :] < count[:, None]
                 for j, i in enumerate(some):
@@ -239,6 +322,8 @@ def pieces(path: str) -> Pieces:
         model.ParseFromString(f.read())
     if model.normalizer_spec.precompiled_charsmap or model.normalizer_spec.remove_extra_whitespaces:
         raise ValueError("only models that leave texts as they are can be read")
+    if model.trainer_spec.model_type not in (UNIGRAM, BPE) or any(p.type not in (NORMAL, UNKNOWN, CONTROL, BYTE) for p in model.pieces):
+        raise ValueError("only unigram and BPE models of normal, byte, unknown and control pieces can be read")
     return Pieces([(p.piece, p.score, p.type) for p in model.pieces], model.trainer_spec.model_type, model.normalizer_spec.add_dummy_prefix)
 
 

@@ -347,10 +347,26 @@ def test_pieces_equal_the_library(spark, docs, path):
         at += n
         assert own.tolist() == whole.encode(text), text[:50]
         assert code.decode(own.astype(np.int64)) == text
-    assert all(r.round_trip for r in pieces.encoded(docs, model).collect())
+    own = sorted(texts(docs), key=str)
+    got = sorted(pieces.encoded(docs, model).collect(), key=lambda r: str((r.doc_id, dict(own).get(r.doc_id))))
+    want = sorted((str(d), len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for d, t in own for i in [whole.encode(t or "")])
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_crc32) for r in got) == want and all(r.round_trip for r in got)
     assert pieces.encoded(empty(spark), model).count() == 0
 
 
+def test_viterbi_gives_the_merges_of_odd_text():
+    """Pieces side by side at random, runs of spaces (whose pieces' scores tie), and characters without a piece."""
+    import sentencepiece
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    whole, code, rng = sentencepiece.SentencePieceProcessor(model_file=model), pieces.pieces(model), random.Random(1)
+    parts = [p.replace(pieces.SPACE, " ") for p in code.text if not p.startswith("<")] + ["  ", " " * 17, "é", "漢", "🙂", "a" * 9]
+    sample = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 60))) for _ in range(3000)]
+    ids, counts = code.encode(sample)
+    for text, end, n in zip(sample, np.cumsum(counts), counts, strict=True):
+        assert ids[end - n : end].tolist() == whole.encode(text), text
+
+
 def test_viterbi_is_the_best_path():
     rng = random.Random(4)
     table = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 4))): -rng.random() * 9 for _ in range(40)} | {c: -8.0 for c in "abc"}
