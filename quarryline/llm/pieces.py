@@ -35,8 +35,10 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Units over this length are cut between characters that no piece holds side by side.
 LONG = 48
-#: Answers about seams that a worker keeps: 2 to this power.
-SEAM_BITS = 21
+#: Answers about seams that a worker keeps, and entries into the sorted piece keys: 2 to these powers.
+SEAM_BITS, ENTRY_BITS = 19, 18
+#: Brings all bits of a substring's hash into its leading ones; odd, so that no two hashes become one.
+SPREAD = np.uint64(0xD6E8FEB86659FD93)
 
 
 def codes(words: list[str]) -> np.ndarray:
@@ -45,11 +47,7 @@ def codes(words: list[str]) -> np.ndarray:
 
 
 def extended(value: np.ndarray, char: np.ndarray) -> np.ndarray:
-    return value * np.uint64(0x9E3779B97F4A7C15) + char.astype(np.uint64) + np.uint64(1)
-
-
-def keyed(value: np.ndarray, size: int) -> np.ndarray:
-    return mix(value + np.uint64((size * 0xD6E8FEB86659FD93) % (1 << 64)))
+    return value * np.uint64(0x9E3779B97F4A7C15) + char
 
 
 class Pieces:
@@ -90,18 +88,33 @@ class Pieces:
             ids.append(np.array([i for _, i in own]))
         keys, ids = np.concatenate(keys), np.concatenate(ids)
         order = np.argsort(keys)
-        self.piece_keys, self.piece_ids = keys[order], ids[order]
+        # One key more, which no substring has, ends the sorted ones.
+        self.piece_keys, self.piece_ids = np.append(keys[order], np.uint64(0)), np.append(ids[order], -1).astype(np.int32)
+        lead = (keys[order] >> np.uint64(64 - ENTRY_BITS)).astype(np.int64)
+        self.piece_entry = np.searchsorted(lead, np.arange(1 << ENTRY_BITS)).astype(np.int32)
+        self.piece_crowd = int(np.bincount(lead, minlength=1).max()) if len(lead) else 1
         self._merges(normal)
         self.seam_keys, self.seam_open = np.full(1 << SEAM_BITS, -1), np.zeros(1 << SEAM_BITS, bool)
         self.cache = UnitCache(self.units)
 
     @staticmethod
     def substring_hash(rows: np.ndarray) -> np.ndarray:
-        """Hash of each row; ``extended`` and ``keyed`` make the same, a character at a time."""
+        """Hash of each row, as ``substrings`` makes it a character at a time."""
         value = np.zeros(len(rows), np.uint64)
         for j in range(rows.shape[1]):
-            value = extended(value, rows[:, j])
-        return keyed(value, rows.shape[1])
+            value = extended(value, rows[:, j].astype(np.uint64) + np.uint64(1))
+        return value * SPREAD
+
+    def _probe(self, key: np.ndarray) -> np.ndarray:
+        """The piece of each key or -1. The sorted keys are entered at the first one with a key's leading bits."""
+        at = self.piece_entry[key >> np.uint64(64 - ENTRY_BITS)]
+        out = np.where(self.piece_keys[at] == key, self.piece_ids[at], -1)
+        for step in range(1, self.piece_crowd):
+            more = np.flatnonzero(self.piece_keys[at] < key)
+            more = more[at[more] + step < len(self.piece_ids)]
+            hit = self.piece_keys[at[more] + step] == key[more]
+            out[more[hit]] = self.piece_ids[at[more[hit]] + step]
+        return out
 
     def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece that two symbols merge into; -1 where there is none."""
@@ -180,62 +193,59 @@ class Pieces:
         return out
 
     def substrings(self, chars: np.ndarray) -> np.ndarray:
-        """[row, end, length - 1]: the piece that ends there, or -1."""
-        n, length = chars.shape
+        """[end, length - 1, word]: the piece that ends there, or -1. chars: [place, word]."""
+        length, n = chars.shape
         most = min(length, self.longest)
-        found = np.full((n, length + 1, most), -1, np.int64)
-        for start in range(length):
-            value = np.zeros(n, np.uint64)
-            for size in range(1, min(most, length - start) + 1):
-                value = extended(value, chars[:, start + size - 1])
-                key = keyed(value, size)
-                at = np.minimum(np.searchsorted(self.piece_keys, key), len(self.piece_keys) - 1)
-                found[:, start + size, size - 1] = np.where(self.piece_keys[at] == key, self.piece_ids[at], -1)
+        found = np.full((length + 1, most, n), -1, np.int32)
+        plus = chars.astype(np.uint64) + np.uint64(1)
+        value = np.zeros((length + 1, n), np.uint64)
+        for size in range(1, most + 1):  # all substrings of one size, by their starts
+            value = extended(value[:-1], plus[size - 1 :])
+            found[size:, size - 1] = self._probe((value * SPREAD).ravel()).reshape(value.shape)
         return found
 
     def viterbi(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The best path of words of one length: symbols (negative: a code point without any) and how many each row
         has. In a unigram model a character without a piece costs more than any path; in BPE it stands alone."""
-        chars = codes(words)
-        n, length = chars.shape
+        chars = np.ascontiguousarray(codes(words).T)
+        length, n = chars.shape
         found = self.substrings(chars)
-        alone = np.full((n, length), self.width - 1)
+        alone = np.full((length, n), self.width - 1)
         if len(self.char_keys):
             at = np.minimum(np.searchsorted(self.char_keys, chars), len(self.char_keys) - 1)
             alone = np.where(self.char_keys[at] == chars, self.char_symbols[at], self.width - 1)
-        unknown = float(self.scores[self.piece_ids].min()) - 10.0 if len(self.piece_ids) else -10.0
-        best = np.full((n, length + 1), -np.inf)
-        best[:, 0] = 0.0
-        back, symbol = np.zeros((n, length + 1), np.int64), np.zeros((n, length + 1), np.int64)
-        rows = np.arange(n)
+        unknown = float(self.scores[self.piece_ids[:-1]].min()) - 10.0 if len(self.piece_ids) > 1 else -10.0
+        best = np.zeros((length + 1, n))
+        back, symbol = np.zeros((length + 1, n), np.int64), np.zeros((length + 1, n), np.int64)
+        columns = np.arange(n)
         for end in range(1, length + 1):
-            sizes = np.arange(1, min(end, found.shape[2]) + 1)
-            own = found[:, end, : len(sizes)]
+            sizes = np.arange(1, min(end, found.shape[1]) + 1)
+            own = found[end, : len(sizes)]
             if self.kind == BPE:
-                own = np.where((own >= 0) & self.whole[own], own, -1)
-                own[:, 0] = alone[:, end - 1]
-                value = np.where(own >= 0, best[:, end - sizes], -np.inf)
-                seam = np.argwhere((value == 0) & (end - sizes > 0)[None, :])
-                closed = ~self._apart(symbol[seam[:, 0], end - sizes[seam[:, 1]]], own[seam[:, 0], seam[:, 1]])
-                value[seam[closed, 0], seam[closed, 1]] = -np.inf
+                value = (own >= 0) & self.whole[own]
+                own[0], value[0] = alone[end - 1], True
+                seams = len(sizes) - (sizes[-1] == end)  # a piece from the word's start has none
+                at, word = np.nonzero(value[:seams])
+                value[at, word] = self._apart(symbol[end - 1 - at, word], own[at, word].astype(np.int64))
             else:
-                value = np.where(own >= 0, best[:, end - sizes] + self.scores[own], -np.inf)
-                none = own[:, 0] < 0
-                value[none, 0] = best[none, end - 1] + unknown
-                own = own.copy()
-                own[none, 0] = alone[none, end - 1]
-            pick = value.argmax(1)
-            best[:, end], back[:, end], symbol[:, end] = value[rows, pick], end - sizes[pick], own[rows, pick]
-        if not (best[:, length] > -np.inf).all():
-            raise ValueError("this model's merges leave a word without a path")
-        symbol[:, 1:] = np.where(symbol[:, 1:] == self.width - 1, -1 - chars, symbol[:, 1:])
+                value = np.where(own >= 0, best[end - sizes] + self.scores[own], -np.inf)
+                none = own[0] < 0
+                value[0, none] = best[end - 1, none] + unknown
+                own[0, none] = alone[end - 1, none]
+            pick = value.argmax(0)
+            best[end] = value[pick, columns]
+            back[end], symbol[end] = end - sizes[pick], own[pick, columns]
+            if self.kind == BPE and not best[end].all():
+                raise ValueError("this model's merges leave a word without a path")
+        symbol[1:] = np.where(symbol[1:] == self.width - 1, -1 - chars, symbol[1:])
         out, count = np.zeros((n, length), np.int64), np.zeros(n, np.int64)
         place = np.full(n, length)
-        while (place > 0).any():
-            going = rows[place > 0]
-            out[going, length - 1 - count[going]] = symbol[going, place[going]]
+        going = columns
+        while len(going):
+            out[going, length - 1 - count[going]] = symbol[place[going], going]
             count[going] += 1
-            place[going] = back[going, place[going]]
+            place[going] = back[place[going], going]
+            going = going[place[going] > 0]
         return np.take_along_axis(out, np.minimum(np.arange(length)[None, :] + (length - count)[:, None], length - 1), 1), count
 
     def units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
