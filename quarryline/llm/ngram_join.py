@@ -1,33 +1,40 @@
 """N-gram Jaccard join by signature trees.
 
 Documents whose sets of word K-grams have a Jaccard similarity of at least PERCENT / 100 are linked; the result is
-one row per document with the class that its links span. Exact: no pair that qualifies is missed, none is guessed.
+one row per document with the class that its links span and the number of documents that it is linked with. Exact:
+no pair that qualifies is missed, none is guessed (but equal sets are known by a 64-bit hash of the set).
 
-1. Equal sets are one node, named by a hash of the set, so copies cost nothing further.
+1. Equal sets are one node, so copies cost nothing further; a node weighs as many documents as share its set.
 2. Tokens get one order for all documents, rare ones first by a counting sketch of fixed size. Qualifying sets must
-   share l tokens among the first n - ceil(t n) + l of each, l being a small part of n; these first tokens travel to
-   their buckets as packed arrays, and nodes that share fewer than l of them with any others drop out.
-3. Tokens of up to FEW nodes yield their pairs, of which those stay that share enough of their first tokens: a pair
-   that shares c of them overlaps at most in c and the longer rest.
-4. Larger groups gather under their smallest node. Each such cluster, cut into blocks of bounded size, is searched by
-   a dual traversal of signature trees: inner nodes hold OR-combined token bitmaps and size ranges, and pairs of
-   nodes are pruned by the largest overlap they allow. Surviving pairs are compared as sets, unless links found
-   before connect them already, and each block pair returns a star per class, never all pairs.
-5. Links of all kinds meet in a min-label propagation over staged tables.
+   share l tokens among the first n - ceil(t n) + l of each, l being a small part of n. These first tokens travel to
+   their buckets as packed arrays; each group of nodes with a common token gathers under its smallest node, its
+   leader. Tokens that are too frequent for one bucket find their leaders by an aggregate instead. Nodes that share
+   fewer than l first tokens with any others drop out.
+3. The nodes under one leader are a cluster. Sorted by size and least hash, clusters are cut into blocks of bounded
+   size, and every block is searched by a dual traversal of signature trees: inner nodes hold OR-combined token
+   bitmaps and size ranges, and pairs of nodes are pruned by the largest overlap they allow. The sets of the pairs
+   of leaves that are left are compared exactly.
+4. Of a cluster with several blocks, first the blocks' bitmaps and size ranges alone meet, in a tree of further levels
+   that is traversed in the same way as joins of its levels; sets travel only for the pairs of blocks that are left.
+5. A pair that meets under several leaders counts under the smallest. A search returns the links of every node, as a
+   number, and a star per class, never all pairs; the stars meet in a min-label propagation over staged tables.
 
 A text without words, or null, has an empty set and is linked with nothing, not even its like. A text of fewer than
-K words has its whole sequence as the one element. Repeated rows are copies. A null doc_id is smaller than any
-other when classes are named. Columns other than the id and the text are not read.
+K words has its whole sequence as the one element. Repeated rows are copies, and linked. A null doc_id is smaller
+than any other when classes are named. Columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarryline.llm.common import LOWER, NOT_SPACE, gram_rows, grams, mix, passes, prefix_hash, shuffle_width, span, stage, utf8, words
 from quarryline.llm.suffix_dedup import bucketwise
@@ -36,9 +43,12 @@ K = 3
 PERCENT = 90
 #: Counters of the sketch that orders tokens; its size doesn't depend on the data.
 COUNTERS = 1 << 16
-#: Nodes of a token up to which it yields pairs, tokens in a block of a cluster, and members of a tree's leaf.
-FEW, BLOCK_TOKENS, LEAF = 8, 400_000, 32
-#: Nodes (two integers each) up to which their ids go to the texts; beyond, the texts are shuffled to the ids.
+#: A counter is too frequent for one bucket from this part of a bucket's share of all tokens, and this many times
+#: a counter's.
+HOT_BUCKET, HOT_COUNTER = 0.25, 32
+#: Tokens in a block, members of a tree's leaf, children of a node above the blocks, bits of a block's bitmap.
+BLOCK_TOKENS, LEAF, FAN, BLOCK_BITS = 400_000, 32, 64, 1 << 14
+#: Nodes (three integers each) up to which their ids go to the texts; beyond, the texts are shuffled to the ids.
 BROADCAST_NODES = 1_000_000
 
 
@@ -105,18 +115,39 @@ def document_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, sid long, counter int")
 
 
-def token_ranks(sets: DataFrame) -> np.ndarray:
-    """Each counter's place when they are sorted by count. At most COUNTERS rows reach the driver."""
+def token_ranks(sets: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each counter's place when they are sorted by count, and which are hot. At most COUNTERS rows reach the driver."""
     counts = np.zeros(COUNTERS, np.int64)
     for r in sets.filter("counter IS NOT NULL").groupBy("counter").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r.counter] = r.n
     rank = np.zeros(COUNTERS, np.uint64)
     rank[np.argsort(counts, kind="stable")] = np.arange(COUNTERS, dtype=np.uint64)
-    return rank
-
-
-def shared_tokens(docs: DataFrame, rank: np.ndarray, k: int, percent: int) -> DataFrame:
-    """(token, sid, n): the nodes that share a first token with others whose sizes may qualify."""
+    hot = counts > counts.sum() * max(HOT_BUCKET / buckets, HOT_COUNTER / COUNTERS)
+    return rank, np.isin(np.arange(COUNTERS), rank[hot])
+
+
+def grouped(token: np.ndarray, sid: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """leader, sid, n and shared tokens of the nodes that have a first token in common with another."""
+    order = np.lexsort((sid, size, token))
+    token, sid, size = token[order], sid[order], size[order].astype(np.int64)
+    new = np.ones(len(token), bool)
+    new[1:] = (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])
+    token, sid, size = token[new], sid[new], size[new]
+    # Sorted by size, a group falls apart where the sizes of neighbours can't qualify.
+    apart = np.ones(len(token), bool)
+    apart[1:] = (token[1:] != token[:-1]) | (100 * size[:-1] < percent * size[1:])
+    group = np.cumsum(apart) - 1
+    many = np.bincount(group)[group] > 1
+    leader = np.minimum.reduceat(sid, np.flatnonzero(apart))[group][many]
+    sid, size = sid[many], size[many]
+    order = np.lexsort((sid, leader))
+    leader, sid, size = leader[order], sid[order], size[order]
+    first = np.flatnonzero(np.concatenate([[True], (leader[1:] != leader[:-1]) | (sid[1:] != sid[:-1])])[: len(sid)])
+    return leader[first], sid[first], size[first], np.diff(np.concatenate([first, [len(sid)]]))
+
+
+def shared_tokens(docs: DataFrame, rank: np.ndarray, hot: np.ndarray, k: int, percent: int) -> DataFrame:
+    """(leader, sid, n, shared): the nodes that have first tokens in common with others whose sizes may qualify."""
     n = shuffle_width(docs.sparkSession)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,43 +162,52 @@ def shared_tokens(docs: DataFrame, rank: np.ndarray, k: int, percent: int) -> Da
                 length = (sizes - rest(sizes, percent))[first]
                 at = np.arange(int(length.sum())) + np.repeat(offs[first] - (np.cumsum(length) - length), length)
                 token, owner = value[at], np.repeat(first, length)
-                bucket = (mix(token) % np.uint64(n)).astype(np.int64)
+                # Tokens of hot counters go to no bucket: -1.
+                busy = hot[(token >> np.uint64(48)).astype(np.int64)]
+                bucket = np.where(busy, -1, (mix(token) % np.uint64(n)).astype(np.int64))
                 order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(n + 1))
-                used = [b for b in range(n) if cuts[b] < cuts[b + 1]]
-                pick = [order[cuts[b] : cuts[b + 1]] for b in used]
+                cuts = np.searchsorted(bucket[order], np.arange(-1, n + 1))
+                used = [b for b in range(-1, n) if cuts[b + 1] < cuts[b + 2]]
+                pick = [order[cuts[b + 1] : cuts[b + 2]] for b in used]
                 columns = [[token[p].tobytes() for p in pick], [sids[owner[p]].tobytes() for p in pick], [sizes[owner[p]].astype(np.int32).tobytes() for p in pick]]
                 yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "tokens", "sids", "sizes"])
 
+    def plain(rows: list[dict]) -> list[np.ndarray]:
+        return [np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("tokens", np.uint64), ("sids", np.int64), ("sizes", np.int32))]
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in bucketwise(batches):
-            token, sid, size = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("tokens", np.uint64), ("sids", np.int64), ("sizes", np.int32)))
-            order = np.lexsort((sid, size, token))
-            token, sid, size = token[order], sid[order], size[order].astype(np.int64)
-            new = np.ones(len(token), bool)
-            new[1:] = (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])
-            token, sid, size = token[new], sid[new], size[new]
-            # Sorted by size, a group falls apart where the sizes of neighbours can't qualify.
-            apart = np.ones(len(token), bool)
-            apart[1:] = (token[1:] != token[:-1]) | (100 * size[:-1] < percent * size[1:])
-            group = np.cumsum(apart)
-            many = np.bincount(group)[group] > 1
-            # Each part of a token's nodes is a group of its own.
-            name = mix(token[many] + mix(group[many].astype(np.uint64))).view(np.int64)
-            sid, size = sid[many], size[many]
-            for i in range(0, len(name), 50_000):
-                s = slice(i, i + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(name[s]), pa.array(sid[s]), pa.array(size[s])], names=["token", "sid", "n"])
+            found = grouped(*plain(rows), percent)
+            for i in range(0, len(found[0]), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000].astype(np.int64)) for c in found], names=["leader", "sid", "n", "shared"])
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = np.log(100 / percent) if percent < 100 else 1e-9
+        for batch in batches:
+            if batch.num_rows:
+                token, sid, size = plain(batch.to_pylist())
+                band = np.floor(np.log(size) / step).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(sid), pa.array(size.astype(np.int64)), pa.array(band)], names=["token", "sid", "n", "band"])
 
     sent = docs.mapInArrow(send, "bucket int, tokens binary, sids binary, sizes binary")
-    return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "token long, sid long, n long")
+    if not hot.any():
+        return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "leader long, sid long, n long, shared long")
+    sent = stage(sent, "jaccard-first-tokens")
+    met = sent.filter("bucket >= 0").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "leader long, sid long, n long, shared long")
+    # Sizes that qualify lie in one band or in neighbouring ones, so a node is in its own group and in the next.
+    rows = sent.filter("bucket < 0").mapInArrow(unpacked, "token long, sid long, n long, band long").distinct()
+    rows = rows.withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
+    groups = rows.groupBy("token", "band").agg(F.min("sid").alias("leader"), F.max("sid").alias("last")).filter("leader < last").drop("last")
+    found = rows.join(groups, ["token", "band"]).groupBy("leader", "sid", "n").agg(F.count("*").alias("shared"))
+    return met.unionByName(found)
 
 
 def node_sets(docs: DataFrame, wanted: DataFrame, rank: np.ndarray, k: int) -> DataFrame:
-    """(sid, n, tokens): the sets of the wanted nodes, each from its smallest document. wanted: (sid, doc_id)."""
+    """(sid, weight, least, tokens): the sets of the wanted nodes, each from its smallest document (from several, if
+    rows repeat), and the least hash of each. wanted: (sid, doc_id, weight)."""
     few = wanted.count() <= BROADCAST_NODES
-    wanted = wanted.select("sid", F.col("doc_id").alias("_doc"))
-    picked = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("sid", "text")
+    wanted = wanted.select("sid", "weight", F.col("doc_id").alias("_doc"))
+    picked = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("sid", "weight", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,18 +217,16 @@ def node_sets(docs: DataFrame, wanted: DataFrame, rank: np.ndarray, k: int) -> D
                 # Another text with the same doc_id is another node.
                 own = np.flatnonzero(set_ids(plain, offs) == part.column("sid").to_numpy(zero_copy_only=False))
                 value, offs = shingle_sets(data, text_offs, k, rank)
-                sets = [value[offs[i] : offs[i + 1]].tobytes() for i in own]
-                yield pa.RecordBatch.from_arrays([part.column("sid").take(pa.array(own)), pa.array(np.diff(offs)[own]), pa.array(sets, pa.binary())], names=["sid", "n", "tokens"])
-
-    return picked.mapInArrow(run, "sid long, n long, tokens binary")
+                sets = [value[offs[i] : offs[i + 1]] for i in own]
+                least = np.array([mix(s).min() for s in sets], np.uint64).view(np.int64)
+                kept = [part.column(c).take(pa.array(own)) for c in ("sid", "weight")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(least), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sid", "weight", "least", "tokens"])
 
-
-def overlap(a: bytes, b: bytes) -> int:
-    return len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True))
+    return picked.mapInArrow(run, "sid long, weight long, least long, tokens binary")
 
 
 class Tree:
-    """Members sorted by size; level 0 holds leaves of LEAF members, each level above halves the nodes."""
+    """Members in the order of their block; level 0 holds leaves of LEAF members, each level above halves the nodes."""
 
     def __init__(self, sizes: np.ndarray, maps: np.ndarray):
         self.levels = []
@@ -228,21 +266,86 @@ def leaf_pairs(x: Tree, y: Tree, same: bool, percent: int) -> Iterator[tuple[int
             stack += [(i, a, j - 1, c) for c in (2 * b, 2 * b + 1) if c < len(y.levels[j - 1][0])]
 
 
-def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
-    out = np.zeros((len(sets), bits), bool)
-    for i, s in enumerate(sets):
-        out[i, (mix(s) % np.uint64(bits)).astype(np.int64)] = True
-    return np.packbits(out, axis=1).view(np.uint64)
+class Block:
+    """Nodes of one cluster: their sids, weights, sets (tokens, cut at offs), and the smaller leaders that each also
+    has (leads, cut at lead_offs)."""
+
+    def __init__(self, sid: np.ndarray, weight: np.ndarray, sets: list[np.ndarray], leads: list[np.ndarray]):
+        cut = lambda parts: np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+        self.sid, self.weight = sid.astype(np.int64), weight.astype(np.int64)
+        self.offs, self.tokens = cut(sets), np.concatenate(sets)
+        self.lead_offs, self.leads = cut(leads), np.concatenate(leads)
+        self.size = np.diff(self.offs)
+
+    COLUMNS = (("sid", np.int64), ("weight", np.int64), ("offs", np.int64), ("lead_offs", np.int64), ("tokens", np.uint64), ("leads", np.int64))
+
+    def image(self) -> bytes:
+        arrays = [getattr(self, c) for c, _ in self.COLUMNS]
+        return struct.pack(f"<{len(arrays)}q", *map(len, arrays)) + b"".join(a.tobytes() for a in arrays)
+
+    @classmethod
+    def read(cls, image: bytes) -> Block:
+        out, at = cls.__new__(cls), 8 * len(cls.COLUMNS)
+        for (name, kind), n in zip(cls.COLUMNS, struct.unpack_from(f"<{len(cls.COLUMNS)}q", image), strict=True):
+            setattr(out, name, np.frombuffer(image, kind, n, at))
+            at += 8 * n
+        out.size = np.diff(out.offs)
+        return out
+
+    def maps(self, bits: int) -> np.ndarray:
+        """A bitmap of each set's tokens."""
+        out = np.zeros((len(self.size), bits), bool)
+        out[np.repeat(np.arange(len(self.size)), self.size), (mix(self.tokens) % np.uint64(bits)).astype(np.int64)] = True
+        return np.packbits(out, axis=1).view(np.uint64)
+
+    def summary(self, bits: int = BLOCK_BITS) -> tuple[int, int, int, bytes]:
+        """Size range, tokens that a member may have beyond the bits it sets, and the OR of the members' bitmaps."""
+        at = (mix(self.tokens) % np.uint64(bits)).astype(np.int64)
+        row = np.repeat(np.arange(len(self.size)), self.size)
+        distinct = np.unique(row * bits + at)
+        spare = self.size - np.bincount(distinct // bits, minlength=len(self.size))
+        whole = np.zeros(bits, bool)
+        whole[at] = True
+        return int(self.size.min()), int(self.size.max()), int(spare.max()), np.packbits(whole).tobytes()
+
+
+def common(a: np.ndarray, a_offs: np.ndarray, b: np.ndarray, b_offs: np.ndarray) -> np.ndarray:
+    """How many elements each of some sets (a, cut at a_offs) shares with each of others: products of their
+    incidence matrices over slices of the elements."""
+    universe = np.unique(a)
+    rows = [np.repeat(np.arange(len(o) - 1), np.diff(o)) for o in (a_offs, b_offs)]
+    at_a = np.searchsorted(universe, a)
+    at_b = np.minimum(np.searchsorted(universe, b), max(0, len(universe) - 1))
+    hit = universe[at_b] == b if len(universe) else np.zeros(len(b), bool)
+    out = np.zeros((len(a_offs) - 1, len(b_offs) - 1), np.float32)
+    for low in range(0, len(universe), 1 << 15):
+        width = min(1 << 15, len(universe) - low)
+        x, y = (np.zeros((len(o) - 1, width), np.float32) for o in (a_offs, b_offs))
+        own = (at_a >= low) & (at_a < low + width)
+        x[rows[0][own], at_a[own] - low] = 1
+        own = hit & (at_b >= low) & (at_b < low + width)
+        y[rows[1][own], at_b[own] - low] = 1
+        out += x @ y.T
+    return out
+
 
+def cut_out(flat: np.ndarray, offs: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    return flat[offs[low] : offs[high]], offs[low : high + 1] - offs[low]
 
-def linked(sid: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links among the members of one block (all sides 0), or between two: for each class its smallest node with
-    every other member."""
-    size = np.array([len(s) for s in sets])
-    order = np.lexsort((sid, size))
-    sid, size, side, sets = sid[order], size[order], side[order], [sets[i] for i in order]
-    bits = 1 << max(6, min(14, int(4 * size.max() - 1).bit_length()))
-    maps = bitmaps(sets, bits)
+
+def linked(x: Block, y: Block | None, percent: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """Links within one block (y is None) or between two of a cluster: for either block its sids and the documents
+    that each is linked with, and stars, the smallest node of each class with each other member."""
+    same = y is None
+    y = x if same else y
+    bits = 1 << max(6, min(14, int(4 * max(x.size.max(), y.size.max()) - 1).bit_length()))
+    map_x = x.maps(bits)
+    map_y = map_x if same else y.maps(bits)
+    tree_x = Tree(x.size, map_x)
+    tree_y = tree_x if same else Tree(y.size, map_y)
+    shift = 0 if same else len(x.size)
+    sid = x.sid if same else np.concatenate([x.sid, y.sid])
+    links = np.zeros(len(sid), np.int64)
     parent = np.arange(len(sid))
 
     def root(i: int) -> int:
@@ -251,70 +354,166 @@ def linked(sid: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: i
             i = parent[i]
         return i
 
-    both = [np.flatnonzero(side == 0), np.flatnonzero(side == 1)]
-    same = not len(both[1])
-    left, right = both[0], both[0] if same else both[1]
-    if not len(left) or not len(right):
-        return []
-    tree_x = Tree(size[left], maps[left])
-    tree_y = tree_x if same else Tree(size[right], maps[right])
     for p, q in leaf_pairs(tree_x, tree_y, same, percent):
-        a, b = left[p * LEAF : (p + 1) * LEAF], right[q * LEAF : (q + 1) * LEAF]
-        na, nb = size[a][:, None], size[b][None, :]
-        lost_a = np.bitwise_count(maps[a][:, None] & ~maps[b][None, :]).sum(2)
-        lost_b = np.bitwise_count(~maps[a][:, None] & maps[b][None, :]).sum(2)
+        a, b = (p * LEAF, min((p + 1) * LEAF, len(x.size))), (q * LEAF, min((q + 1) * LEAF, len(y.size)))
+        na, nb = x.size[slice(*a)][:, None], y.size[slice(*b)][None, :]
         need = least_overlap(na, nb, percent)
+        lost_a = np.bitwise_count(map_x[slice(*a)][:, None] & ~map_y[slice(*b)][None, :]).sum(2)
+        lost_b = np.bitwise_count(~map_x[slice(*a)][:, None] & map_y[slice(*b)][None, :]).sum(2)
         fits = np.minimum(na - lost_a, nb - lost_b) >= need
-        if p == q and same:
-            fits &= np.arange(len(a))[:, None] < np.arange(len(b))[None, :]
+        if same and p == q:
+            fits &= np.arange(len(na))[:, None] < np.arange(nb.shape[1])[None, :]
+        if fits.any() and len(x.leads) and len(y.leads):  # pairs that a smaller leader has are its
+            fits &= common(*cut_out(x.leads, x.lead_offs, *a), *cut_out(y.leads, y.lead_offs, *b)) == 0
+        if not fits.any():
+            continue
+        fits &= common(*cut_out(x.tokens, x.offs, *a), *cut_out(y.tokens, y.offs, *b)) >= need
+        links[slice(*a)] += fits @ y.weight[slice(*b)]
+        links[shift + b[0] : shift + b[1]] += x.weight[slice(*a)] @ fits
         for i, j in np.argwhere(fits):
-            u, v = root(a[i]), root(b[j])
-            if u != v and len(np.intersect1d(sets[a[i]], sets[b[j]], assume_unique=True)) >= need[i, j]:
+            u, v = root(a[0] + i), root(shift + b[0] + j)
+            if u != v:
                 parent[max(u, v)] = min(u, v)
     roots = np.array([root(i) for i in range(len(sid))])
-    out = []
-    for r in np.unique(roots[roots != np.arange(len(sid))]):
-        own = sid[roots == r]
-        out += [(int(own.min()), int(s)) for s in own if s != own.min()]
-    return out
+    least = np.full(len(sid), np.iinfo(np.int64).max)
+    np.minimum.at(least, roots, sid)
+    star = np.flatnonzero(least[roots] != sid)
+    own = [(x.sid, links[: len(x.sid)])] + ([] if same else [(y.sid, links[shift:])])
+    return own, least[roots][star], sid[star]
 
 
-def cluster_links(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b) links within clusters. members: distinct (leader, sid, n)."""
-    spark = members.sparkSession
-    sizes = members.groupBy("leader").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
-    rows = members.join(sizes, "leader").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("leader", "sid", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-    rows = rows.join(nodes, "sid").repartition(shuffle_width(spark), "leader", "x", "y")
+FOUND = "sid long, links long, a long, b long, leader long, block long, low long, high long, extra long, bits binary, body binary"
+FOUND_NAMES = [f.split()[0] for f in FOUND.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in batches:
-            sets = [np.frombuffer(t, np.uint64) for t in table.column("tokens").to_pylist()]
-            pairs = linked(table.column("sid").to_numpy(zero_copy_only=False), sets, table.column("side").to_numpy(zero_copy_only=False), percent)
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["a", "b"])
 
-    def per_group(table: pa.Table) -> pa.Table:
-        batch = table.combine_chunks()
-        return pa.Table.from_batches(list(run(iter([batch]))))
+def found_rows(**columns: list | np.ndarray) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    kinds = [pa.binary() if f.endswith("binary") else pa.int64() for f in FOUND.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(FOUND_NAMES, kinds, strict=True)], names=FOUND_NAMES)
+
 
-    return rows.groupBy("leader", "x", "y").applyInArrow(per_group, "a long, b long")
+def link_rows(x: Block, y: Block | None, percent: int) -> Iterator[pa.RecordBatch]:
+    own, near, far = linked(x, y, percent)
+    for sid, links in own:
+        some = np.flatnonzero(links)
+        if len(some):
+            yield found_rows(sid=sid[some], links=links[some])
+    if len(near):
+        yield found_rows(a=near, b=far)
 
 
-def pair_links(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets qualify."""
-    own = nodes.select(F.col("sid").alias("a"), F.col("tokens").alias("x"))
-    other = nodes.select(F.col("sid").alias("b"), F.col("tokens").alias("y"))
-    both = pairs.join(own, "a").join(other, "b")
+def block_links(members: DataFrame, percent: int) -> DataFrame:
+    """Cuts clusters into blocks and searches each. members: (leader, sid, leads, weight, least, tokens). Rows are
+    links of a node (sid, links), star edges (a, b), or blocks (leader, block and so on) of clusters that may have
+    several: those that end by their size or at a partition's edge."""
+    order = ["leader", "band", "least", "sid"]
+    step = float(np.log(100 / percent)) if percent < 100 else 1e-9
+    rows = members.withColumn("band", F.floor(F.log(F.octet_length("tokens") / 8) / F.lit(step)))
+    rows = rows.repartitionByRange(shuffle_width(members.sparkSession), *order).sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        leader, total, number, partition, part_of_more = None, 0, 0, TaskContext.get().partitionId(), True
+
+        def closed(more: bool) -> Iterator[pa.RecordBatch]:
+            """Searches the rows held; ``more``: others of their cluster may lie in other blocks."""
+            sid, weight, leads, tokens = zip(*held, strict=True)
+            block = Block(np.array(sid), np.array(weight), [np.frombuffer(t, np.uint64) for t in tokens], [np.array(v, np.int64) for v in leads])
+            if len(sid) > 1:
+                yield from link_rows(block, None, percent)
+            if more:
+                low, high, extra, bits = block.summary()
+                yield found_rows(leader=[leader], block=[(partition << 32) + number], low=[low], high=[high], extra=[extra], bits=[bits], body=[block.image()])
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("leader", "sid", "weight", "leads", "tokens")]
+            for new, sid, weight, leads, tokens in zip(*columns, strict=True):
+                if held and (new != leader or total >= BLOCK_TOKENS):
+                    cut = new == leader
+                    yield from closed(part_of_more or cut)
+                    # The first cluster may begin in the partition before; a cut one goes on.
+                    part_of_more, held, total, number = cut, [], 0, number + 1
+                leader = new
+                if not held or held[-1][0] != sid:  # a set that came twice
+                    held.append((sid, weight, leads, tokens))
+                    total += len(tokens) // 8
+        if held:
+            yield from closed(True)
+
+    return rows.select("leader", "sid", "weight", "leads", "tokens").mapInArrow(run, FOUND)
+
+
+def surviving(pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (leader, x, y: structs of a node's number and summary) whose members may qualify, as (leader, a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            sides = [batch.column(c).to_pylist() for c in ("x", "y")]
+            for i, (x, y) in enumerate(zip(*sides, strict=True)):
+                if 100 * x["high"] < percent * y["low"] or 100 * y["high"] < percent * x["low"]:
+                    continue
+                met = np.bitwise_count(np.frombuffer(x["bits"], np.uint64) & np.frombuffer(y["bits"], np.uint64)).sum()
+                if min(int(met) + min(x["extra"], y["extra"]), x["high"], y["high"]) >= least_overlap(np.int64(x["low"]), np.int64(y["low"]), percent):
+                    keep.append(i)
+            at = pa.array(keep, pa.int64())
+            numbers = [pa.array([s[i]["node"] for i in keep], pa.int64()) for s in sides]
+            yield pa.RecordBatch.from_arrays([batch.column("leader").take(at), *numbers], names=["leader", "a", "b"])
+
+    return pairs.select("leader", "x", "y").mapInArrow(run, "leader long, a long, b long")
+
+
+def level_above(level: DataFrame) -> DataFrame:
+    """Nodes over FAN neighbours each: their size range, spare tokens and OR."""
+
+    def one(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        bits = np.bitwise_or.reduce([np.frombuffer(r["bits"], np.uint64) for r in rows]).tobytes()
+        made = {"leader": rows[0]["leader"], "node": rows[0]["node"] // FAN, "low": min(r["low"] for r in rows), "high": max(r["high"] for r in rows), "extra": max(r["extra"] for r in rows), "bits": bits}
+        return pa.Table.from_pylist([made], schema=table.schema)
+
+    rows = level.withColumn("_up", F.floor(F.col("node") / FAN))
+    return rows.groupBy("leader", "_up").applyInArrow(lambda t: one(t.drop_columns(["_up"])), "leader long, node long, low long, high long, extra long, bits binary")
+
+
+def cross_links(blocks: DataFrame, percent: int) -> DataFrame | None:
+    """The links between blocks of one cluster, as rows like those of ``block_links``; None if no cluster has two."""
+    many = blocks.groupBy("leader").count().filter("count > 1")
+    most = many.agg(F.max("count")).first()[0]
+    if most is None:
+        return None
+    number = F.row_number().over(Window.partitionBy("leader").orderBy("block")) - 1
+    numbered = stage(blocks.join(many, "leader", "left_semi").drop("body").withColumn("node", number.cast("long")), "jaccard-blocks")
+    levels = [numbered.select("leader", "node", "low", "high", "extra", "bits")]
+    while most > FAN:
+        levels.append(stage(level_above(levels[-1]), "jaccard-blocks"))
+        most = -(-most // FAN)
+    side = lambda level, name: level.select("leader", F.struct("node", "low", "high", "extra", "bits").alias(name))
+    pairs = None
+    for level in reversed(levels):
+        x, y = side(level, "x"), side(level, "y")
+        if pairs is not None:
+            up = lambda c: F.floor(F.col(f"{c}.node") / FAN).alias(f"_{c}")
+            x = pairs.join(x.select("leader", "x", up("x")), (pairs["leader"] == x["leader"]) & (F.col("a") == F.col("_x"))).select(pairs["leader"], "b", "x")
+            met = x.join(y.select("leader", "y", up("y")), ["leader"]).filter(F.col("b") == F.col("_y"))
+        else:
+            met = x.join(y, "leader")
+        # A block's own search is done.
+        met = met.filter(F.col("x.node") < F.col("y.node") if level is levels[0] else F.col("x.node") <= F.col("y.node"))
+        pairs = stage(surviving(met.repartition(shuffle_width(blocks.sparkSession)), percent), "jaccard-block-pairs")
+    names = numbered.select("leader", "node", "block")
+    bodies = blocks.select("block", "body")
+    rows = pairs.join(names.select("leader", F.col("node").alias("a"), F.col("block").alias("block_a")), ["leader", "a"])
+    rows = rows.join(names.select("leader", F.col("node").alias("b"), F.col("block").alias("block_b")), ["leader", "b"])
+    rows = rows.join(bodies.select(F.col("block").alias("block_a"), F.col("body").alias("x")), "block_a")
+    rows = rows.join(bodies.select(F.col("block").alias("block_b"), F.col("body").alias("y")), "block_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                keep = [i for i, (x, y) in enumerate(zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True)) if overlap(x, y) >= least_overlap(len(x) // 8, len(y) // 8, percent)]
-                yield part.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                yield from link_rows(Block.read(x.as_py()), Block.read(y.as_py()), percent)
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return rows.select("x", "y").mapInArrow(run, FOUND)
 
 
 def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -337,43 +536,47 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def jaccard_classes(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles and component_id, the smallest doc_id reachable by links."""
+    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links) and n_links
+    (the other documents that it is linked with)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    none = F.lit(-(1 << 63))
     sets = stage(document_sets(docs, k), "jaccard-sets")
-    rank = token_ranks(sets)
+    rank, hot = token_ranks(sets, shuffle_width(docs.sparkSession))
     named = sets.filter("counter IS NULL").select("doc_id", "n", "sid")
-    smallest = named.filter("sid IS NOT NULL").groupBy("sid").agg(F.min_by("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("doc_id"))
-    met = stage(shared_tokens(docs, rank, k, percent), "jaccard-met")
-    enough = lambda n: 1 + F.floor(n * (100 - percent) / 400)
-    shares = met.groupBy("sid", "n").agg(F.count("*").alias("shared"))
-    alive = shares.filter(F.col("shared") >= enough(F.ceil(F.col("n") * percent / 100))).select("sid")
-    live = stage(met.join(alive, "sid"), "jaccard-live")
-    groups = live.groupBy("token").agg(F.count("*").alias("size"), F.min("sid").alias("leader")).filter("size > 1")
-    live = live.join(groups, "token")
-    small = live.filter(F.col("size") <= FEW)
-    other = small.select("token", F.col("sid").alias("b"), F.col("n").alias("nb"))
-    pairs = small.select("token", F.col("sid").alias("a"), F.col("n").alias("na")).join(other, "token").filter("a < b")
-    pairs = pairs.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    behind = lambda n: F.greatest(F.lit(0), F.ceil(percent * n / 100) - enough(n))
-    need = F.ceil((percent * (F.col("na") + F.col("nb"))) / (100 + percent)) - F.greatest(behind(F.col("na")), behind(F.col("nb")))
-    pairs = pairs.filter((F.col("c") >= need) & (F.col("c") >= enough(F.least("na", "nb")))).select("a", "b")
-    members = live.filter(F.col("size") > FEW).select("leader", "sid", "n").distinct()
-    pairs, members = stage(pairs, "jaccard-pairs"), stage(members, "jaccard-members")
-    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(members.select("sid")).distinct()
-    nodes = stage(node_sets(docs, smallest.join(wanted, "sid"), rank, k), "jaccard-nodes")
-    edges = stage(pair_links(pairs, nodes, percent).unionByName(cluster_links(members, nodes, percent)), "jaccard-edges")
+    smallest = named.filter("sid IS NOT NULL").groupBy("sid").agg(F.min_by("doc_id", F.coalesce("doc_id", none)).alias("doc_id"), F.count("*").alias("weight"))
+    met = shared_tokens(docs, rank, hot, k, percent)
+    enough = 1 + F.floor(F.ceil(F.col("n") * percent / 100) * (100 - percent) / 400)
+    alive = met.groupBy("sid", "n").agg(F.sum("shared").alias("shared"), F.array_sort(F.collect_set("leader")).alias("leaders"))
+    alive = stage(alive.filter(F.col("shared") >= enough).select("sid", "leaders"), "jaccard-alive")
+    members = alive.select("sid", F.explode("leaders").alias("leader"))
+    clusters = members.groupBy("leader").agg(F.count("*").alias("size")).filter("size > 1")
+    kept = members.join(clusters, "leader").groupBy("sid").agg(F.array_sort(F.collect_set("leader")).alias("leaders"))
+    kept = stage(kept, "jaccard-members")
+    nodes = node_sets(docs, smallest.join(kept, "sid", "left_semi"), rank, k)
+    # Each member knows which smaller leaders it has.
+    members = kept.join(nodes, "sid").select("sid", "weight", "least", "tokens", F.posexplode("leaders").alias("_at", "leader"), "leaders")
+    members = members.withColumn("leads", F.slice("leaders", F.lit(1), F.col("_at"))).drop("leaders", "_at")
+    found = stage(block_links(members, percent), "jaccard-found")
+    across = cross_links(found.filter("block IS NOT NULL").select("leader", "block", "low", "high", "extra", "bits", "body"), percent)
+    if across is not None:
+        found = found.filter("block IS NULL").unionByName(stage(across, "jaccard-across"))
+    edges = found.filter("a IS NOT NULL").select("a", "b").distinct()
+    links = found.filter("sid IS NOT NULL").groupBy("sid").agg(F.sum("links").alias("links"))
     ends = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
-    labels = ends.join(smallest, F.col("node") == F.col("sid")).select("node", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("label"))
+    labels = ends.join(smallest, F.col("node") == F.col("sid")).select("node", F.coalesce("doc_id", none).alias("label"))
     classes = components(edges, labels)
-    own = smallest.join(classes.select(F.col("node").alias("sid"), "label"), "sid", "left")
-    own = own.select("sid", F.when(F.col("label").isNull(), F.col("doc_id")).when(F.col("label") > -(1 << 63), F.col("label")).alias("component_id"), F.lit(True).alias("known"))
-    out = named.join(own, "sid", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    own = smallest.join(classes.select(F.col("node").alias("sid"), "label"), "sid", "left").join(links, "sid", "left")
+    least = F.when(F.col("label").isNull(), F.col("doc_id")).when(F.col("label") > none, F.col("label"))
+    own = own.select("sid", least.alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    whole = named.filter("sid IS NOT NULL").join(own, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+    alone = named.filter("sid IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return whole.unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their class; all columns of ``docs``. A null doc_id names a class,
-    too."""
+    """The rows of ``docs`` whose doc_id names their class; all columns of ``docs``, whatever their names. A null
+    doc_id names a class, too."""
     found = jaccard_classes(docs, k, percent).filter(F.col("component_id").eqNullSafe(F.col("doc_id")))
-    keep = found.select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi")
+    keep = found.select(F.col("doc_id").alias("kept")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(keep, F.col("id").eqNullSafe(F.col("kept")), "left_semi").select("row.*")
