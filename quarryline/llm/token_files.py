@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarryline.llm.common import passes, shuffle_width
-from quarryline.llm.unit_cache import UnitCache
+from quarryline.llm.common import mix, passes, prefix_hash, shuffle_width, span, utf8
+from quarryline.llm.unit_cache import HashedUnits
 
 MAGIC = b"QLTOKEN1"
 BLOCK_IDS = 65_536
@@ -42,6 +42,12 @@ END_ID = 0
 #: Goes before the unit that starts a text; no text holds it. Units that the library gets as one text.
 HEAD = "\ud800"
 TOGETHER = 300
+#: Bytes of a unit up to which its ids are kept under its hashes (long strings can be made to collide), the values of
+#: bytes in the second hash, and what sets units apart that start a text.
+LASTING = 256
+SECOND = mix(np.arange(1, 257, dtype=np.uint64))
+FIRST = np.uint64(0x5DEECE66D1234567)
+END = np.array([END_ID], np.uint32)
 
 
 def packed(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, block: int = BLOCK_IDS) -> bytes:
@@ -83,18 +89,18 @@ def unpacked(image: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 class Encoder:
     """Byte-level BPE by the tokenizers library as its file sets it up, without special tokens around the texts. No
     token of its pattern crosses from a character that isn't white space to a space before such a character, so
-    texts are cut at spaces and each distinct unit is encoded once. A text with other white space beside a space,
+    texts are cut at spaces and each distinct unit is encoded once (known again by 128 bits of hashes). A text with other white space beside a space,
     with white space at its end, or with the text of an added token (``<|endoftext|>``) is encoded whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         size = self.tokenizer.get_vocab_size()
         # Each character of a byte-level token stands for one byte.
         self.length = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
-        self.cache = UnitCache(self._units)
+        self.cache = HashedUnits(self._units)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -128,26 +134,42 @@ class Encoder:
         own = own[order]
         return ids[np.arange(len(ids)) + np.repeat(first - (np.cumsum(own) - own), own)], out
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end id, and the texts' numbers of ids."""
-        units: list[str] = []
-        sizes = []
-        special = np.array([any(a in text for a in self.added) for text in texts], bool)
-        for text, whole_only in zip(texts, special, strict=True):
-            own = text.split(" ") if text and not whole_only else []
-            if own:
-                own[0] = HEAD + own[0]
-            units += own
-            sizes.append(len(own))
-        ids, counts = self.cache.lookup(units) if units else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        data, offs = utf8(texts)
+        image = data.tobytes()
+        special = np.zeros(len(texts), bool)
+        for added in self.added:
+            at = image.find(added)
+            while at >= 0:
+                text = int(np.searchsorted(offs, at, "right")) - 1
+                special[text] |= at + len(added) <= offs[text + 1]
+                at = image.find(added, at + 1)
+        # The first unit of each text that isn't empty, and one behind every space.
+        spaces = np.flatnonzero(data == 32)
+        full = np.flatnonzero(np.diff(offs) > 0)
+        head = np.searchsorted(spaces, offs[full])
+        start, end = np.insert(spaces + 1, head, offs[full]), np.insert(spaces, np.searchsorted(spaces, offs[full + 1]), offs[full + 1])
+        head += np.arange(len(full))
+        first = np.zeros(len(start), bool)
+        first[head] = True
+        sizes = np.zeros(len(texts), np.int64)
+        sizes[full] = np.diff(np.append(head, len(start)))
+
+        def text_of(at: np.ndarray) -> list[str]:
+            return [(HEAD if f else "") + image[s:e].decode() for s, e, f in zip(start[at].tolist(), end[at].tolist(), first[at].tolist(), strict=True)]
+
+        one = span(prefix_hash(data), start, end) ^ np.where(first, FIRST, np.uint64(0))
+        two = span(prefix_hash(SECOND[data]), start, end)
+        ids, counts = self.cache.lookup(one, two, end - start <= LASTING, text_of) if len(start) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
         upto = np.concatenate([[0], np.cumsum(sizes)])
         ends = np.concatenate([[0], np.cumsum(counts)])[upto]
         odd = np.flatnonzero((np.diff(np.concatenate([[0], np.cumsum(counts == 0)])[upto]) > 0) | special).tolist()
-        whole = dict(zip(odd, self._whole([texts[i] for i in odd]), strict=True))
+        whole = dict(zip(odd, self._whole([image[offs[i] : offs[i + 1]].decode() for i in odd]), strict=True))
         parts, totals = [], []
         for i in range(len(texts)):
             own = whole[i] if i in whole else ids[ends[i] : ends[i + 1]]
-            parts += [np.asarray(own, np.uint32), [END_ID]]
+            parts += [np.asarray(own, np.uint32), END]
             totals.append(len(own) + 1)
         return np.concatenate(parts).astype(np.uint32) if parts else np.zeros(0, np.uint32), np.array(totals, np.int64)
 
@@ -177,7 +199,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, unit_ids: int = UNI
 
         for batch in batches:
             for part in passes(batch, "text", 500_000):
-                found, n = code.encode(part.column("text").to_pylist())
+                found, n = code.encode(part.column("text"))
                 doc_ids += part.column("doc_id").to_pylist()
                 counts.append(n)
                 ids.append(found)
