@@ -7,10 +7,12 @@ pseudorandom permutation of the epoch t / blocks, and slots and blocks are joine
 beyond its target is void and what it lacks goes to further shards, so each target is met to within a block.
 
 Counts come before places: documents fall into hash buckets of bounded size, bucket sums give the buckets' places
-in the stream and a window within the bucket gives the document's, so no task holds a whole source.
+in the stream and a window within the bucket gives the document's. Sums over buckets, and over a source's shards,
+run in two levels, so no task holds a whole source; what is one row per source is planned in one task.
 
 A null text has size 0; a null source is a source of its own, last in order; a null doc_id is a document like any
-other. Repeated rows are documents of their own and each gets a row. Documents without words take nothing. An
+other. Repeated rows are counted first, then numbered: each is a document of its own, falls into a bucket of its own
+and gets a row. Documents without words take nothing. An
 empty table gives an empty result. Equal input gives equal output.
 """
 
@@ -26,14 +28,29 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A word with the white space behind it, the first one also with what stands before it.
 STRETCH = r"(?:^[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
 WEIGHTS = (5.0, 2.0, 1.0)
-#: Documents that a bucket of the stream holds on average.
-BUCKET = 500
+#: Documents that a bucket of the stream holds on average, and rows that one window of a running sum takes.
+BUCKET, WINDOW = 500, 1024
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and an identity per row: equal rows get different copy numbers."""
+    """doc_id, source, size and a hash of the text, with the number of rows that have them all."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text).alias("text_hash"))
+    size = F.regexp_count(text, F.lit(WORD)).cast("long").alias("size")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size, F.xxhash64(text).alias("text_hash"))
+    return rows.groupBy("doc_id", "source", "size", "text_hash").agg(F.count("*").alias("copies"))
+
+
+def sum_before(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over the rows of a source that come first by ``order`` (whole numbers from 0), in two
+    levels: the sums of WINDOW neighbouring numbers each, then within them."""
+    before = (Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_group", F.floor(F.col(order) / WINDOW))
+    sums = rows.groupBy("source", "_group").agg(F.sum(value).alias("_sum"))
+    base = F.coalesce(F.sum("_sum").over(Window.partitionBy("source").orderBy("_group").rowsBetween(*before)), F.lit(0))
+    sums = sums.select(F.col("source").alias("_source"), F.col("_group").alias("_of"), base.alias("_base"))
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy("source", "_group").orderBy(order).rowsBetween(*before)), F.lit(0))
+    rows = rows.withColumn("_inside", inside).join(sums, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_group") == F.col("_of")))
+    return rows.withColumn(name, F.col("_base") + F.col("_inside")).drop("_group", "_source", "_of", "_base", "_inside")
 
 
 def targets(per_source: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -66,7 +83,7 @@ def permuted(index: Column, size: Column, key: Column, rounds: int = 16) -> Colu
 
 def plan_sources(sized: DataFrame, block: int, weights: tuple, share: float, cap: float) -> DataFrame:
     """Per source: its target, its block length and count, the whole slots it fills and the words of a cut last one."""
-    per_source = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
+    per_source = targets(sized.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size")), weights, share, cap)
     blocks = F.ceil(F.col("source_size") / block)
     rows = per_source.withColumn("n_blocks", blocks).withColumn("block", F.when(blocks > 0, F.ceil(F.col("source_size") / blocks)).otherwise(1))
     rows = rows.withColumn("whole", F.floor(F.col("target") / F.col("block")))
@@ -90,8 +107,7 @@ def draw(sources: DataFrame, seed: int, shard_slots: int, slices: int = 1024) ->
     drawn = drawn.withColumn("slice", F.floor(F.col("at") / width))
     hit = drawn.join(stretch, "slice").filter("at >= low AND at < high")
     counts = hit.groupBy("source", "shard").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("source").orderBy("shard")
-    counts = counts.withColumn("first", F.sum("n").over(w) - F.col("n"))
+    counts = sum_before(counts, "shard", "n", "first")
     joined = counts.join(sources.select(F.col("source").alias("s"), "slots"), F.col("source").eqNullSafe(F.col("s")), "inner")
     held = joined.filter("first < slots").select("source", "shard", "first", F.least(F.col("n"), F.col("slots") - F.col("first")).alias("n"))
     got = counts.groupBy("source").agg(F.sum("n").alias("got"))
@@ -119,13 +135,12 @@ def slots(sources: DataFrame, draws: DataFrame, seed: int) -> DataFrame:
 def placed(sized: DataFrame, n_docs: int) -> DataFrame:
     """Each document's first word in its source's stream. Buckets order by hash, documents within a bucket by id."""
     n_buckets = max(1, -(-n_docs // BUCKET))
-    rows = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(n_buckets)))
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
+    rows = sized.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_hash", "copy"), F.lit(n_buckets)))
+    sums = sum_before(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "bucket", "words", "base")
+    sums = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "base")
+    inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "text_hash", "copy").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("offset", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("source", "bucket").orderBy("doc_id", "text_hash")))
     rows = rows.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")), "inner")
     return rows.select("doc_id", "text_hash", "source", "size", "bucket", "copy", (F.col("base") + F.col("offset")).alias("start"))
 
@@ -134,7 +149,8 @@ def mix_parts(docs: DataFrame, block: int = 128, weights: tuple = WEIGHTS, share
     """The placed documents, the sources' plan and the pieces: which words of which document each slot takes."""
     sized = stage(sizes(docs), "mix-sizes")
     sources = stage(plan_sources(sized, block, weights, share, cap), "mix-sources")
-    places = stage(placed(sized, sized.count()), "mix-places")
+    n_docs = sized.agg(F.sum("copies")).first()[0] or 0
+    places = stage(placed(sized, n_docs), "mix-places")
     taken = slots(sources, draw(sources, seed, shard_slots), seed)
     own = sources.select(F.col("source").alias("s"), F.col("block").alias("length"))
     pieces = places.filter("size > 0").join(own, F.col("source").eqNullSafe(F.col("s")), "inner").drop("s")
@@ -152,11 +168,11 @@ def mix_parts(docs: DataFrame, block: int = 128, weights: tuple = WEIGHTS, share
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, size, source_size and target of its source, taken words and epochs that take any."""
     places, sources, pieces = mix_parts(docs, **options)
-    key = ["doc_id", "source", "bucket", "copy"]
+    key = ["doc_id", "source", "text_hash", "bucket", "copy"]
     sums = pieces.groupBy(*key).agg(F.sum("words").alias("taken"), F.count_distinct("epoch").alias("epochs"))
     sums = sums.select(*[F.col(k).alias(f"_{k}") for k in key], "taken", "epochs")
-    same = (F.col("bucket") == F.col("_bucket")) & (F.col("copy") == F.col("_copy")) & F.col("source").eqNullSafe(F.col("_source")) & F.col("doc_id").eqNullSafe(F.col("_doc_id"))
-    rows = places.join(sums, same, "left").drop("_doc_id", "_source", "_bucket", "_copy")
+    same = (F.col("bucket") == F.col("_bucket")) & (F.col("copy") == F.col("_copy")) & (F.col("text_hash") == F.col("_text_hash")) & F.col("source").eqNullSafe(F.col("_source")) & F.col("doc_id").eqNullSafe(F.col("_doc_id"))
+    rows = places.join(sums, same, "left").drop(*[f"_{k}" for k in key])
     own = sources.select(F.col("source").alias("s"), "source_size", "target")
     rows = rows.join(own, F.col("source").eqNullSafe(F.col("s")), "inner")
     return rows.select("doc_id", "text_hash", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("epochs", F.lit(0)).cast("int").alias("epochs"))
@@ -173,17 +189,17 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         return F.concat_ws("|", *parts)
 
     # Rows equal in id, source and text are told apart by a number; either side is dealt out by the key alone.
-    found = pieces.select(key(F.col("text_hash")).alias("_key"), "copy", F.struct("first_word", "words").alias("taken")).repartition("_key")
-    found = found.groupBy("_key", "copy").agg(F.collect_list("taken").alias("_taken"))
-    found = found.select("_key", F.row_number().over(Window.partitionBy("_key").orderBy("copy")).alias("_copy"), "_taken")
-    # Among rows with one key the other columns order; maps have no order.
+    found = pieces.select(key(F.col("text_hash")).alias("key"), "copy", F.struct("first_word", "words").alias("taken")).repartition("key")
+    found = found.groupBy("key", "copy").agg(F.collect_list("taken").alias("taken"))
+    # Among rows with one key the other columns order; maps have no order. The columns travel as one, so that their
+    # names clash with none of those used here.
     others = [F.col(f"`{c}`") for c, kind in docs.dtypes if c != "text" and "map<" not in kind]
-    rows = docs.withColumn("_key", key(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))))
-    rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(*others))))
-    rows = rows.join(found, ["_key", "_copy"])
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(key(F.xxhash64(text)).alias("key"), F.xxhash64(*others).alias("tie"), text.alias("whole"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("key").orderBy("tie")).cast("long"))
+    rows = rows.join(found, ["key", "copy"])
     # The words are an argument, so that a text is split once and not once a stretch.
-    cut = lambda w: F.transform("_taken", lambda p: F.array_join(F.slice(w, (p["first_word"] + 1).cast("int"), p["words"].cast("int")), ""))
-    texts = F.flatten(F.transform(F.array(F.regexp_extract_all(F.col("text").cast("string"), F.lit(STRETCH), F.lit(0))), cut))
-    rows = rows.withColumn("_text", F.explode(texts))
-    columns = {"text": F.col("_text"), "n_chars": F.char_length("_text").cast("long")}
-    return rows.select(*[columns.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    cut = lambda w: F.transform("taken", lambda p: F.array_join(F.slice(w, (p["first_word"] + 1).cast("int"), p["words"].cast("int")), ""))
+    rows = rows.withColumn("stretch", F.explode(F.flatten(F.transform(F.array(F.regexp_extract_all("whole", F.lit(STRETCH), F.lit(0))), cut))))
+    columns = {"text": F.col("stretch"), "n_chars": F.char_length("stretch").cast("long")}
+    return rows.select(*[columns.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
