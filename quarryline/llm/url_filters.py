@@ -6,7 +6,8 @@ verdicts return to the pages by a join on the URL's digest. Rules are a DataFram
 only when its measured size is under its own threshold.
 
 A rule's key is its host and its path up to the last slash, so that URLs are cut at slashes alone; a rest of the
-path after that slash is compared once the digests agree. Among rules of equal length the longer host wins, then
+path after that slash is compared once the digests agree. A URL is expanded to the numbers of host labels and path
+folders that occur together in the rules, and to no others, so a URL of any length yields no more rows than that. Among rules of equal length the longer host wins, then
 block before allow, then the smaller text. Null or malformed URLs have an empty host and path and fit no rule;
 repeated pages each get a row; rules with a null host, path or action are ignored.
 """
@@ -36,28 +37,33 @@ def split_urls(pages: DataFrame, key: str = "page_id", url: str = "url") -> Data
     return plain.select(key, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
 
 
-def expressions(addresses: DataFrame) -> DataFrame:
-    """(address, host, path) to (address, host, path, digest): one row for each host suffix and path prefix.
-    The prefixes of a path are the empty one and those that end with a slash."""
-    suffixes = F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> array_join(slice(split(host, '[.]'), i, 10000), '.'))")
-    prefixes = F.expr("transform(sequence(0, size(split(path, '/')) - 1), i -> IF(i = 0, '', concat(array_join(slice(split(path, '/'), 1, i), '/'), '/')))")
-    hosts = addresses.withColumn("suffix", F.explode(suffixes))
-    both = hosts.withColumn("prefix", F.explode(prefixes))
-    return both.withColumn("digest", F.sha2(F.concat_ws("\n", "suffix", "prefix"), 256)).drop("suffix", "prefix")
+def expressions(addresses: DataFrame, keys: DataFrame) -> DataFrame:
+    """(address, host, path) to (address, host, path, digest): a row for each shape of the rules, a number of host
+    labels and one of path folders, that the address has: its host's last labels and its path's first folders."""
+    shapes = keys.agg(F.collect_set(F.struct("labels", "folders")).alias("shapes")).scalar()
+    rows = addresses.withColumns({"shapes": shapes, "hosts": F.split("host", "[.]"), "paths": F.split("path", "/")})
+    rows = rows.withColumn("shape", F.explode("shapes")).select("address", "host", "path", "hosts", "paths", "shape.labels", "shape.folders")
+    rows = rows.filter((F.col("labels") <= F.size("hosts")) & (F.col("folders") < F.size("paths")))
+    suffix = F.array_join(F.slice("hosts", F.size("hosts") - F.col("labels") + 1, F.col("labels")), ".")
+    prefix = F.when(F.col("folders") == 0, "").otherwise(F.concat(F.array_join(F.slice("paths", F.lit(1), F.col("folders")), "/"), F.lit("/")))
+    return rows.select("address", "host", "path", F.sha2(F.concat_ws("\n", suffix, prefix), 256).alias("digest"))
 
 
 def rule_keys(rules: DataFrame) -> DataFrame:
     full = F.concat_ws("", "rule_host", "rule_path")
     named = rules.select(F.translate("host", _UPPER, _LOWER).alias("rule_host"), F.col("path").alias("rule_path"), F.col("action")).dropna().distinct()
     stem = F.regexp_extract("rule_path", r"^(.*/)?", 0)
-    return named.select("rule_path", "action", full.alias("rule"), F.length("rule_host").alias("host_length"), F.sha2(F.concat_ws("\n", "rule_host", stem), 256).alias("rule_digest"))
+    labels, folders = F.size(F.split("rule_host", "[.]")), F.size(F.split(stem, "/")) - 1
+    digest = F.sha2(F.concat_ws("\n", "rule_host", stem), 256)
+    return named.select("rule_path", "action", full.alias("rule"), F.length("rule_host").alias("host_length"), digest.alias("rule_digest"), labels.alias("labels"), folders.alias("folders"))
 
 
 def verdicts(addresses: DataFrame, rules: DataFrame, prefix: int = 8) -> DataFrame:
     """The winning rule of each address (host, path) that any rule fits: address, rule, verdict."""
     short = lambda c: F.substring(c, 1, prefix)
-    asked = expressions(addresses).withColumn("short", short("digest"))
-    known = rule_keys(rules).withColumn("short", short("rule_digest"))
+    keys = rule_keys(rules)
+    asked = expressions(addresses, keys).withColumn("short", short("digest"))
+    known = keys.drop("labels", "folders").withColumn("short", short("rule_digest"))
     fits = asked.join(known, "short").filter((F.col("digest") == F.col("rule_digest")) & F.col("path").startswith(F.col("rule_path")))
     rank = F.struct((-F.length("rule")).alias("a"), (-F.col("host_length")).alias("b"), (F.col("action") != "block").alias("c"), F.col("rule").alias("rule"), F.col("action").alias("action"))
     best = fits.groupBy("address").agg(F.min(rank).alias("best"))
