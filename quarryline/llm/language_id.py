@@ -166,6 +166,8 @@ def predict(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents in which one language has at least ``least`` of the words; the columns of ``docs``."""
-    out = identify(docs, train(docs))
-    return out.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+    """The documents in which one language has at least ``least`` of the words; the columns of ``docs``, whatever
+    their names."""
+    packed = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    out = identify(packed, train(docs))
+    return out.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
