@@ -12,7 +12,8 @@ document and an earlier start), judged on the input. Which strings repeat is dec
 3. Strings that start o bytes before an anchor agree iff their suffixes share LENGTH - o bytes, a stretch of the
    suffix array, and the o bytes before agree. The earliest of each such class stays; the others are covered.
 
-Equal contexts meet within a task first, so a passage that fills the corpus costs one row per task. A substring
+Hashes only propose classes: their members' bytes are compared, and where two strings have one hash the strings
+themselves name the classes. Equal contexts meet within a task first, so a passage that fills the corpus costs one row per task. A substring
 that holds more than HOT times a range's share of the sample, in ever different contexts, would still fill one
 range: its anchors send every string around them as a suffix of its own, dealt by hash.
 
@@ -37,8 +38,9 @@ from quarryline.llm.common import gram_rows, mix, passes, prefix_hash, powers, s
 
 LENGTH = 100
 GRAM = 40
-#: Anchors sampled for the splitters (expected number), and the share from which a substring is dealt by hash.
-SAMPLE, HOT = 20_000, 3.0
+#: Anchors sampled for the splitters (expected number; at least so many, and so many a range), anchors that a range
+#: holds at most on average, and the share of a range from which a substring is dealt by hash.
+SAMPLE, SAMPLE_PER_RANGE, RANGE_ANCHORS, HOT = 20_000, 10, 400_000, 3.0
 RUN_RECORDS = 60_000
 NULL_ID = -(1 << 63)
 
@@ -179,14 +181,15 @@ def ranks(r: Records) -> np.ndarray:
     return out
 
 
-def later_copies(key: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first of each key by rank, and those that come after it."""
+def later_copies(key: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first of each key by rank, those that come after it, and for each of those the first."""
     order = np.lexsort((rank, key))
     new = np.ones(len(key), bool)
     new[1:] = key[order][1:] != key[order][:-1]
     first = order[new]
-    least = np.repeat(rank[first], np.diff(np.concatenate([np.flatnonzero(new), [len(key)]])))
-    return first, order[rank[order] > least]
+    heads = np.repeat(first, np.diff(np.concatenate([np.flatnonzero(new), [len(key)]])))
+    later = rank[order] > rank[heads]
+    return first, order[later], heads[later]
 
 
 def covered_rows(r: Records, least: np.ndarray, most: np.ndarray, length: int) -> pa.RecordBatch:
@@ -321,8 +324,12 @@ def repeated_strings(r: Records, shared: np.ndarray, length: int, before: int) -
         at = np.flatnonzero(near & (r.before_size >= o) & (r.suffix_size >= need))
         if len(at):
             stretch = np.cumsum(~same)
-            _, later = later_copies(mix(behind[at] + stretch[at].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), rank[at])
-            later = at[later]
+            _, later, heads = later_copies(mix(behind[at] + stretch[at].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), rank[at])
+            later, heads = at[later], at[heads]
+            if (stretch[later] != stretch[heads]).any() or (r.before[later, :o] != r.before[heads, :o]).any():
+                # Different strings with one hash: name the classes by the strings themselves.
+                strings = np.concatenate([stretch[at].astype(">i8").view(np.uint8).reshape(len(at), 8), r.before[at, :o]], 1)
+                later = at[later_copies(np.unique(strings, axis=0, return_inverse=True)[1].ravel(), rank[at])[1]]
             least[later] = np.minimum(least[later], o)
             most[later] = np.maximum(most[later], o)
     hit = np.flatnonzero(most >= 0)
@@ -333,10 +340,13 @@ def string_view(rows: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel()
 
 
-def splitters(marked: DataFrame, parts: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds between the ranges of suffixes, and hashes of the substrings too frequent for one range."""
+def splitters(marked: DataFrame, least: int, gram: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """How many ranges of suffixes there are (as many as hold RANGE_ANCHORS each, ``least`` at least), the bounds
+    between them, and hashes of the substrings too frequent for one range."""
     total = marked.agg(F.sum(F.size("places"))).first()[0] or 0
-    limit = np.uint64((1 << 64) - 1 if total <= SAMPLE else (SAMPLE << 64) // total)
+    parts = max(least, -(-total // RANGE_ANCHORS))
+    wanted = max(SAMPLE, SAMPLE_PER_RANGE * parts)
+    limit = np.uint64((1 << 64) - 1 if total <= wanted else (wanted << 64) // total)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -351,11 +361,11 @@ def splitters(marked: DataFrame, parts: int, gram: int) -> tuple[np.ndarray, np.
 
     rows = marked.select("doc_id", "text", "places").mapInArrow(sample, "gram binary, hash long").collect()
     if not rows:
-        return np.zeros(0, f"S{gram}"), np.zeros(0, np.int64)
+        return parts, np.zeros(0, f"S{gram}"), np.zeros(0, np.int64)
     hashes, counts = np.unique(np.array([r.hash for r in rows], np.int64), return_counts=True)
     hot = hashes[counts > max(20, HOT * len(rows) / parts)]
     own = np.sort(string_view(np.frombuffer(b"".join(bytes(r.gram) for r in rows), np.uint8).reshape(-1, gram)))
-    return np.unique(own[np.arange(1, parts) * len(own) // parts]), hot
+    return parts, np.unique(own[np.arange(1, parts) * len(own) // parts]), hot
 
 
 def places(part: pa.RecordBatch, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -368,14 +378,19 @@ def places(part: pa.RecordBatch, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def covered(marked: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, tag, low, high): stretches of repeated bytes, possibly overlapping. ``marked`` has doc_id, tag,
     text and places, the repeated anchors."""
+    if length > 255:
+        raise ValueError("strings of over 255 bytes don't fit the records' sizes")
     before = length - gram
-    parts = shuffle_width(marked.sparkSession)
-    bounds, hot = splitters(marked, parts, gram)
+    parts, bounds, hot = splitters(marked, shuffle_width(marked.sparkSession), gram)
     schema = "doc_id long, tag long, low long, high long, bucket int, run binary"
 
     def flush(held: list[Records], exploded: bool) -> Iterator[pa.RecordBatch]:
         r = Records.joined(held)
-        first, later = later_copies(r.context, ranks(r))
+        first, later, heads = later_copies(r.context, ranks(r))
+        same = (r.suffix[later] == r.suffix[heads]).all(1) & (r.before[later] == r.before[heads]).all(1)
+        same &= (r.suffix_size[later] == r.suffix_size[heads]) & (r.before_size[later] == r.before_size[heads])
+        # Other contexts with one hash go on as records of their own.
+        first, later = np.concatenate([first, later[~same]]), later[same]
         copies = r.take(later)
         least = np.maximum(0, length - copies.suffix_size.astype(np.int64))
         most = copies.before_size.astype(np.int64)

@@ -449,3 +449,25 @@ def test_url_rules(spark):
     for r in got:
         assert (r.host, r.path, r.rule, r.verdict) == want(urls[r.page_id])
     assert url_filters.filter_urls(pages.limit(0), spark.sql(url_filters.DEFAULT_RULES)).count() == 0
+
+
+def test_suffix_dedup_with_one_hash_for_all(spark, docs, monkeypatch):
+    """Hashes only propose: with a hash that is the same for every string, the bytes still decide."""
+    rows = spark.createDataFrame([(r.doc_id, r.text, None, None) for r in docs.filter("doc_id >= 200 AND doc_id < 212 OR doc_id = 9").collect()], DOCS).coalesce(1)
+    want = brute_dedup(sorted(dict(texts(rows)).items()), 100)
+
+    def patched(key, rank, real=suffix_dedup.later_copies):
+        return real(key if key.dtype == np.int64 else np.zeros_like(key), rank)
+
+    monkeypatch.setattr(suffix_dedup, "later_copies", patched)
+    data = [(r.text or "").encode() for r in sorted(rows.collect(), key=lambda r: r.doc_id)]
+    flat, offs = np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])
+    place, text, _ = suffix_dedup.anchors(flat, offs)
+    ids, none = np.array(sorted(r.doc_id for r in rows.collect())), np.zeros(len(data), np.int64)
+    own = suffix_dedup.Records.at(flat, offs, place, text, ids, none, 100, 60)
+    own = own.take(np.argsort(suffix_dedup.string_view(own.suffix), kind="stable"))
+    hit, least, most = suffix_dedup.repeated_strings(own, suffix_dedup.shared_prefix(own.suffix), 100, 60)
+    cover = {int(d): set() for d in ids}
+    for i, low, high in zip(hit, least, most, strict=True):
+        cover[int(own.doc[i])] |= set(range(int(own.pos[i] - high), int(own.pos[i] - low) + 100))
+    assert {d: len(c) for d, c in cover.items()} == {d: want[d][1] for d in cover}
