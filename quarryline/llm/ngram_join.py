@@ -7,9 +7,10 @@ no pair that qualifies is missed, none is guessed (but equal sets are known by a
 1. Equal sets are one node, so copies cost nothing further; a node weighs as many documents as share its set.
 2. Tokens get one order for all documents, rare ones first by a counting sketch of fixed size. Qualifying sets must
    share l tokens among the first n - ceil(t n) + l of each, l being a small part of n. These first tokens travel to
-   their buckets as packed arrays; each group of nodes with a common token gathers under its smallest node, its
-   leader. Tokens that are too frequent for one bucket find their leaders by an aggregate instead. Nodes that share
-   fewer than l first tokens with any others drop out.
+   their buckets as packed arrays. Of a group of nodes with a common token, one over FEW gathers under its smallest
+   node, its leader; a smaller one, which mostly is chance, counts its pairs instead, and of these only the pairs
+   that may share enough first tokens in all go on, under a leader of their own. Tokens that are too frequent for
+   one bucket find their leaders by an aggregate. Nodes that share fewer than l first tokens with any others drop out.
 3. The nodes under one leader are a cluster. Sorted by size and least hash, clusters are cut into blocks of bounded
    size, and every block is searched by a dual traversal of signature trees: inner nodes hold OR-combined token
    bitmaps and size ranges, and pairs of nodes are pruned by the largest overlap they allow. The sets of the pairs
@@ -46,6 +47,8 @@ COUNTERS = 1 << 16
 #: A counter is too frequent for one bucket from this part of a bucket's share of all tokens, and this many times
 #: a counter's.
 HOT_BUCKET, HOT_COUNTER = 0.25, 32
+#: Nodes with a common token up to which their pairs are counted before they may form clusters.
+FEW = 8
 #: Tokens in a block, members of a tree's leaf, children of a node above the blocks, bits of a block's bitmap.
 BLOCK_TOKENS, LEAF, FAN, BLOCK_BITS = 400_000, 32, 64, 1 << 14
 #: Nodes (three integers each) up to which their ids go to the texts; beyond, the texts are shuffled to the ids.
@@ -126,8 +129,19 @@ def token_ranks(sets: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return rank, np.isin(np.arange(COUNTERS), rank[hot])
 
 
-def grouped(token: np.ndarray, sid: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """leader, sid, n and shared tokens of the nodes that have a first token in common with another."""
+def counted(*columns: np.ndarray) -> list[np.ndarray]:
+    """The distinct rows of the first two columns, with the others' values, and how often each occurs."""
+    order = np.lexsort((columns[1], columns[0]))
+    columns = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    new[1:] = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])
+    first = np.flatnonzero(new)
+    return [*(c[first] for c in columns), np.diff(np.append(first, len(order)))]
+
+
+def grouped(token: np.ndarray, sid: np.ndarray, size: np.ndarray, percent: int, few: int) -> tuple[list[np.ndarray], ...]:
+    """Of the nodes that have a first token in common with another: (leader, sid, n, shared) in groups over ``few``;
+    in smaller ones (sid, sid, n, shared) and the pairs (a, b, na, nb, shared)."""
     order = np.lexsort((sid, size, token))
     token, sid, size = token[order], sid[order], size[order].astype(np.int64)
     new = np.ones(len(token), bool)
@@ -137,17 +151,23 @@ def grouped(token: np.ndarray, sid: np.ndarray, size: np.ndarray, percent: int)
     apart = np.ones(len(token), bool)
     apart[1:] = (token[1:] != token[:-1]) | (100 * size[:-1] < percent * size[1:])
     group = np.cumsum(apart) - 1
-    many = np.bincount(group)[group] > 1
-    leader = np.minimum.reduceat(sid, np.flatnonzero(apart))[group][many]
-    sid, size = sid[many], size[many]
-    order = np.lexsort((sid, leader))
-    leader, sid, size = leader[order], sid[order], size[order]
-    first = np.flatnonzero(np.concatenate([[True], (leader[1:] != leader[:-1]) | (sid[1:] != sid[:-1])])[: len(sid)])
-    return leader[first], sid[first], size[first], np.diff(np.concatenate([first, [len(sid)]]))
-
-
-def shared_tokens(docs: DataFrame, rank: np.ndarray, hot: np.ndarray, k: int, percent: int) -> DataFrame:
-    """(leader, sid, n, shared): the nodes that have first tokens in common with others whose sizes may qualify."""
+    count = np.bincount(group)[group] if len(group) else group
+    leader = np.minimum.reduceat(sid, np.flatnonzero(apart))[group] if len(group) else sid
+    large, minor = count > few, (count > 1) & (count <= few)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for d in range(1, few):
+        i = np.flatnonzero(minor[:-d] & (group[:-d] == group[d:])) if len(group) > d else np.zeros(0, np.int64)
+        i = i[100 * size[i] >= percent * size[i + d]]
+        swap = sid[i] > sid[i + d]
+        left.append(np.where(swap, i + d, i))
+        right.append(np.where(swap, i, i + d))
+    a, b = np.concatenate(left), np.concatenate(right)
+    return counted(leader[large], sid[large], size[large]), counted(sid[minor], sid[minor], size[minor]), counted(sid[a], sid[b], size[a], size[b])
+
+
+def shared_tokens(docs: DataFrame, rank: np.ndarray, hot: np.ndarray, k: int, percent: int, few: int = FEW) -> DataFrame:
+    """Rows of the nodes that have first tokens in common with others whose sizes may qualify, with the number of such
+    tokens (shared): (leader, sid, n) in large groups, (sid, n) in small ones, and pairs (a, b, na, nb) of these."""
     n = shuffle_width(docs.sparkSession)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,14 +192,20 @@ def shared_tokens(docs: DataFrame, rank: np.ndarray, hot: np.ndarray, k: int, pe
                 columns = [[token[p].tobytes() for p in pick], [sids[owner[p]].tobytes() for p in pick], [sizes[owner[p]].astype(np.int32).tobytes() for p in pick]]
                 yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "tokens", "sids", "sizes"])
 
+    names = ["leader", "sid", "n", "a", "b", "na", "nb", "shared"]
+    met_schema = ", ".join(f"{c} long" for c in names)
+
     def plain(rows: list[dict]) -> list[np.ndarray]:
         return [np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("tokens", np.uint64), ("sids", np.int64), ("sizes", np.int32))]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = (("leader", "sid", "n", "shared"), ("a", "sid", "n", "shared"), ("a", "b", "na", "nb", "shared"))
         for rows in bucketwise(batches):
-            found = grouped(*plain(rows), percent)
-            for i in range(0, len(found[0]), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000].astype(np.int64)) for c in found], names=["leader", "sid", "n", "shared"])
+            for kind, found in enumerate(grouped(*plain(rows), percent, few)):
+                for i in range(0, len(found[0]), 50_000):
+                    own = {c: f[i : i + 50_000] for c, f in zip(columns[kind], found, strict=True) if kind != 1 or c != "a"}
+                    size = len(own["shared"])
+                    yield pa.RecordBatch.from_arrays([pa.array(own[c]) if c in own else pa.nulls(size, pa.int64()) for c in names], names=names)
 
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = np.log(100 / percent) if percent < 100 else 1e-9
@@ -191,15 +217,41 @@ def shared_tokens(docs: DataFrame, rank: np.ndarray, hot: np.ndarray, k: int, pe
 
     sent = docs.mapInArrow(send, "bucket int, tokens binary, sids binary, sizes binary")
     if not hot.any():
-        return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "leader long, sid long, n long, shared long")
+        return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, met_schema)
     sent = stage(sent, "jaccard-first-tokens")
-    met = sent.filter("bucket >= 0").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "leader long, sid long, n long, shared long")
+    met = sent.filter("bucket >= 0").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, met_schema)
     # Sizes that qualify lie in one band or in neighbouring ones, so a node is in its own group and in the next.
     rows = sent.filter("bucket < 0").mapInArrow(unpacked, "token long, sid long, n long, band long").distinct()
     rows = rows.withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
     groups = rows.groupBy("token", "band").agg(F.min("sid").alias("leader"), F.max("sid").alias("last")).filter("leader < last").drop("last")
     found = rows.join(groups, ["token", "band"]).groupBy("leader", "sid", "n").agg(F.count("*").alias("shared"))
-    return met.unionByName(found)
+    return met.unionByName(found, allowMissingColumns=True)
+
+
+def clusters(met: DataFrame, percent: int) -> DataFrame:
+    """(sid, leaders): the clusters of every node that may have a partner in one. met: rows of ``shared_tokens``."""
+    enough = lambda n: 1 + F.floor(F.ceil(n * percent / 100) * (100 - percent) / 400)  # noqa: E731  first tokens of the smallest partner
+    own = lambda n: 1 + F.floor(n * (100 - percent) / 400)
+    behind = lambda n: F.greatest(F.lit(0), F.ceil(percent * n / 100) - own(n))
+    nodes = met.filter("sid IS NOT NULL").groupBy("sid", "n").agg(F.sum("shared").alias("shared"), F.sum(F.when(F.col("leader").isNotNull(), F.col("shared"))).alias("large"), F.collect_set("leader").alias("leaders"))
+    nodes = stage(nodes.filter(F.col("shared") >= enough(F.col("n"))).filter("large > 0").select("sid", "large", "leaders"), "jaccard-large")
+    pairs = met.filter("b IS NOT NULL").groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("c"))
+    # What a pair's small groups don't show, its large ones may.
+    for side in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("sid").alias(side), F.col("large").alias(f"large_{side}")), side, "left")
+    most = F.col("c") + F.least(F.coalesce("large_a", F.lit(0)), F.coalesce("large_b", F.lit(0)))
+    need = F.ceil((percent * (F.col("na") + F.col("nb"))) / (100 + percent)) - F.greatest(behind(F.col("na")), behind(F.col("nb")))
+    pairs = stage(pairs.filter((most >= need) & (most >= own(F.least("na", "nb")))).select("a", "b"), "jaccard-pairs")
+    # Two nodes with one least partner meet under it, as most of a group of near copies do; others under the smaller.
+    ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = ends.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least"))
+    for side in ("a", "b"):
+        pairs = pairs.join(least.select(F.col("a").alias(side), F.col("least").alias(f"least_{side}")), side)
+    leader = F.when(F.col("least_a") == F.col("least_b"), F.col("least_a")).otherwise(F.col("a"))
+    small = pairs.select(F.explode(F.array("a", "b")).alias("sid"), leader.alias("leader"))
+    members = nodes.select("sid", F.explode("leaders").alias("leader")).unionByName(small).distinct()
+    sizes = members.groupBy("leader").agg(F.count("*").alias("size")).filter("size > 1")
+    return members.join(sizes, "leader").groupBy("sid").agg(F.array_sort(F.collect_set("leader")).alias("leaders"))
 
 
 def node_sets(docs: DataFrame, wanted: DataFrame, rank: np.ndarray, k: int) -> DataFrame:
@@ -402,7 +454,7 @@ def link_rows(x: Block, y: Block | None, percent: int) -> Iterator[pa.RecordBatc
         yield found_rows(a=near, b=far)
 
 
-def block_links(members: DataFrame, percent: int) -> DataFrame:
+def block_links(members: DataFrame, percent: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Cuts clusters into blocks and searches each. members: (leader, sid, leads, weight, least, tokens). Rows are
     links of a node (sid, links), star edges (a, b), or blocks (leader, block and so on) of clusters that may have
     several: those that end by their size or at a partition's edge."""
@@ -428,7 +480,7 @@ def block_links(members: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("leader", "sid", "weight", "leads", "tokens")]
             for new, sid, weight, leads, tokens in zip(*columns, strict=True):
-                if held and (new != leader or total >= BLOCK_TOKENS):
+                if held and (new != leader or total >= block_tokens):
                     cut = new == leader
                     yield from closed(part_of_more or cut)
                     # The first cluster may begin in the partition before; a cut one goes on.
@@ -463,20 +515,20 @@ def surviving(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("leader", "x", "y").mapInArrow(run, "leader long, a long, b long")
 
 
-def level_above(level: DataFrame) -> DataFrame:
-    """Nodes over FAN neighbours each: their size range, spare tokens and OR."""
+def level_above(level: DataFrame, fan: int) -> DataFrame:
+    """Nodes over ``fan`` neighbours each: their size range, spare tokens and OR."""
 
     def one(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         bits = np.bitwise_or.reduce([np.frombuffer(r["bits"], np.uint64) for r in rows]).tobytes()
-        made = {"leader": rows[0]["leader"], "node": rows[0]["node"] // FAN, "low": min(r["low"] for r in rows), "high": max(r["high"] for r in rows), "extra": max(r["extra"] for r in rows), "bits": bits}
+        made = {"leader": rows[0]["leader"], "node": rows[0]["node"] // fan, "low": min(r["low"] for r in rows), "high": max(r["high"] for r in rows), "extra": max(r["extra"] for r in rows), "bits": bits}
         return pa.Table.from_pylist([made], schema=table.schema)
 
-    rows = level.withColumn("_up", F.floor(F.col("node") / FAN))
+    rows = level.withColumn("_up", F.floor(F.col("node") / fan))
     return rows.groupBy("leader", "_up").applyInArrow(lambda t: one(t.drop_columns(["_up"])), "leader long, node long, low long, high long, extra long, bits binary")
 
 
-def cross_links(blocks: DataFrame, percent: int) -> DataFrame | None:
+def cross_links(blocks: DataFrame, percent: int, fan: int = FAN) -> DataFrame | None:
     """The links between blocks of one cluster, as rows like those of ``block_links``; None if no cluster has two."""
     many = blocks.groupBy("leader").count().filter("count > 1")
     most = many.agg(F.max("count")).first()[0]
@@ -485,15 +537,15 @@ def cross_links(blocks: DataFrame, percent: int) -> DataFrame | None:
     number = F.row_number().over(Window.partitionBy("leader").orderBy("block")) - 1
     numbered = stage(blocks.join(many, "leader", "left_semi").drop("body").withColumn("node", number.cast("long")), "jaccard-blocks")
     levels = [numbered.select("leader", "node", "low", "high", "extra", "bits")]
-    while most > FAN:
-        levels.append(stage(level_above(levels[-1]), "jaccard-blocks"))
-        most = -(-most // FAN)
+    while most > fan:
+        levels.append(stage(level_above(levels[-1], fan), "jaccard-blocks"))
+        most = -(-most // fan)
     side = lambda level, name: level.select("leader", F.struct("node", "low", "high", "extra", "bits").alias(name))
     pairs = None
     for level in reversed(levels):
         x, y = side(level, "x"), side(level, "y")
         if pairs is not None:
-            up = lambda c: F.floor(F.col(f"{c}.node") / FAN).alias(f"_{c}")
+            up = lambda c: F.floor(F.col(f"{c}.node") / fan).alias(f"_{c}")
             x = pairs.join(x.select("leader", "x", up("x")), (pairs["leader"] == x["leader"]) & (F.col("a") == F.col("_x"))).select(pairs["leader"], "b", "x")
             met = x.join(y.select("leader", "y", up("y")), ["leader"]).filter(F.col("b") == F.col("_y"))
         else:
@@ -535,29 +587,23 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
             return state.select("node", "label")
 
 
-def jaccard_classes(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
+def jaccard_classes(docs: DataFrame, k: int = K, percent: int = PERCENT, few: int = FEW, block_tokens: int = BLOCK_TOKENS, fan: int = FAN) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links) and n_links
-    (the other documents that it is linked with)."""
+    (the other documents that it is linked with). The last three options change the way, not the result."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     none = F.lit(-(1 << 63))
     sets = stage(document_sets(docs, k), "jaccard-sets")
     rank, hot = token_ranks(sets, shuffle_width(docs.sparkSession))
     named = sets.filter("counter IS NULL").select("doc_id", "n", "sid")
     smallest = named.filter("sid IS NOT NULL").groupBy("sid").agg(F.min_by("doc_id", F.coalesce("doc_id", none)).alias("doc_id"), F.count("*").alias("weight"))
-    met = shared_tokens(docs, rank, hot, k, percent)
-    enough = 1 + F.floor(F.ceil(F.col("n") * percent / 100) * (100 - percent) / 400)
-    alive = met.groupBy("sid", "n").agg(F.sum("shared").alias("shared"), F.array_sort(F.collect_set("leader")).alias("leaders"))
-    alive = stage(alive.filter(F.col("shared") >= enough).select("sid", "leaders"), "jaccard-alive")
-    members = alive.select("sid", F.explode("leaders").alias("leader"))
-    clusters = members.groupBy("leader").agg(F.count("*").alias("size")).filter("size > 1")
-    kept = members.join(clusters, "leader").groupBy("sid").agg(F.array_sort(F.collect_set("leader")).alias("leaders"))
-    kept = stage(kept, "jaccard-members")
+    met = stage(shared_tokens(docs, rank, hot, k, percent, few), "jaccard-met")
+    kept = stage(clusters(met, percent), "jaccard-members")
     nodes = node_sets(docs, smallest.join(kept, "sid", "left_semi"), rank, k)
     # Each member knows which smaller leaders it has.
     members = kept.join(nodes, "sid").select("sid", "weight", "least", "tokens", F.posexplode("leaders").alias("_at", "leader"), "leaders")
     members = members.withColumn("leads", F.slice("leaders", F.lit(1), F.col("_at"))).drop("leaders", "_at")
-    found = stage(block_links(members, percent), "jaccard-found")
-    across = cross_links(found.filter("block IS NOT NULL").select("leader", "block", "low", "high", "extra", "bits", "body"), percent)
+    found = stage(block_links(members, percent, block_tokens), "jaccard-found")
+    across = cross_links(found.filter("block IS NOT NULL").select("leader", "block", "low", "high", "extra", "bits", "body"), percent, fan)
     if across is not None:
         found = found.filter("block IS NULL").unionByName(stage(across, "jaccard-across"))
     edges = found.filter("a IS NOT NULL").select("a", "b").distinct()

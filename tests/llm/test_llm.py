@@ -317,14 +317,65 @@ def brute_classes(rows, k, percent):
     return {d: (len(s), root(d)) for d, s in sets.items()}
 
 
-@pytest.mark.parametrize(("k", "percent", "block"), [(3, 90, 400_000), (3, 90, 2000), (5, 80, 400_000), (1, 50, 400_000)])
-def test_jaccard_classes(spark, docs, k, percent, block, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", block)
+def brute_links(rows, k, percent):
+    """For each row the others that it is linked with."""
+    sets = []
+    for _, text in rows:
+        w = split(lower(text))
+        sets.append(frozenset(zip(*(w[i:] for i in range(k)))) if len(w) >= k else frozenset([tuple(w)] if w else []))
+    linked = lambda a, b: bool(common := len(a & b)) and 100 * common >= percent * (len(a) + len(b) - common)
+    return [(rows[i][0], sum(linked(x, y) for j, y in enumerate(sets) if i != j)) for i, x in enumerate(sets)]
+
+
+@pytest.mark.parametrize(("k", "percent", "options"), [
+    (3, 90, {}), (3, 90, {"few": 1}), (3, 90, {"few": 1, "block_tokens": 500}), (3, 90, {"few": 1, "block_tokens": 100, "fan": 2}), (3, 90, {"few": 30}),
+    (5, 80, {}), (5, 80, {"few": 1, "block_tokens": 900, "fan": 3}), (1, 50, {}),
+])
+def test_jaccard_classes(spark, docs, k, percent, options):
     want = brute_classes(dict(texts(docs)).items(), k, percent)
-    got = ngram_join.jaccard_classes(docs, k, percent).collect()
+    got = ngram_join.jaccard_classes(docs, k, percent, **options).collect()
     assert len(got) == docs.count()
     for r in got:
         assert (r.n_shingles, r.component_id) == want[r.doc_id], r.doc_id
+    assert sorted(((r.doc_id, r.n_links) for r in got), key=str) == sorted(brute_links(texts(docs), k, percent), key=str)
+
+
+def test_hot_tokens_find_their_leaders(spark, docs, monkeypatch):
+    """With every counter hot, all first tokens go through the aggregate."""
+    monkeypatch.setattr(ngram_join, "HOT_BUCKET", 0.0)
+    monkeypatch.setattr(ngram_join, "HOT_COUNTER", 0.0)
+    got = ngram_join.jaccard_classes(docs).collect()
+    want = brute_classes(dict(texts(docs)).items(), 3, 90)
+    assert all((r.n_shingles, r.component_id) == want[r.doc_id] for r in got)
+    assert sorted(((r.doc_id, r.n_links) for r in got), key=str) == sorted(brute_links(texts(docs), 3, 90), key=str)
+
+
+def test_trees_find_every_link():
+    """Dual traversal over blocks of random sets against all pairs; within one block and between two."""
+    rng = np.random.default_rng(8)
+    base = [rng.choice(5000, rng.integers(20, 400), replace=False).astype(np.uint64) for _ in range(12)]
+    sets = []
+    for i in range(150):
+        own = base[i % 12].copy()
+        own[rng.random(len(own)) < rng.choice([0, 0.02, 0.08])] = rng.integers(10_000, 20_000)
+        sets.append(np.unique(own))
+    block = lambda part: ngram_join.Block(np.array([i for i, _ in part]), np.ones(len(part)), [s for _, s in part], [np.zeros(0, np.int64)] * len(part))
+    rows = sorted(enumerate(sets), key=lambda r: len(r[1]))
+    want = np.zeros(150, np.int64)
+    for (i, a), (j, b) in itertools.combinations(rows, 2):
+        common = len(np.intersect1d(a, b))
+        if 100 * common >= 90 * (len(a) + len(b) - common):
+            want[[i, j]] += 1
+    ((sid, links),), near, far = ngram_join.linked(block(rows), None, 90)
+    assert (want[sid] == links).all() and links.sum() > 100 and len(near)
+    halves = rows[:70], rows[70:]
+    total = np.zeros(150, np.int64)
+    for part in halves:
+        ((sid, links),), _, _ = ngram_join.linked(block(part), None, 90)
+        total[sid] += links
+    for sid, links in ngram_join.linked(block(halves[0]), ngram_join.Block.read(block(halves[1]).image()), 90)[0]:
+        total[sid] += links
+    assert (total == want).all()
 
 
 def test_jaccard_empty_and_columns(spark, docs):
