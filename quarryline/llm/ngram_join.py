@@ -7,10 +7,10 @@ no pair that qualifies is missed, none is guessed (but equal sets are known by a
 1. Equal sets are one node, so copies cost nothing further; a node weighs as many documents as share its set.
 2. Tokens get one order for all documents, rare ones first by a counting sketch of fixed size. Qualifying sets must
    share l tokens among the first n - ceil(t n) + l of each, l being a small part of n. These first tokens travel to
-   their buckets as packed arrays. Of a group of nodes with a common token, one over FEW gathers under its smallest
-   node, its leader; a smaller one, which mostly is chance, counts its pairs instead, and of these only the pairs
-   that may share enough first tokens in all go on, under a leader of their own. Tokens that are too frequent for
-   one bucket find their leaders by an aggregate. Nodes that share fewer than l first tokens with any others drop out.
+   their buckets as packed arrays, and nodes that share fewer than l of them with any others drop out. The first
+   tokens of those left meet again. Of a group with a common token, one over FEW gathers under its smallest node, its
+   leader; a smaller one counts its pairs instead, and only the pairs that may share enough first tokens in all go
+   on, under a leader of their own. Tokens too frequent for one bucket find their leaders by an aggregate.
 3. The nodes under one leader are a cluster. Sorted by size and least hash, clusters are cut into blocks of bounded
    size, and every block is searched by a dual traversal of signature trees: inner nodes hold OR-combined token
    bitmaps and size ranges, and pairs of nodes are pruned by the largest overlap they allow. The sets of the pairs
@@ -139,6 +139,14 @@ def counted(*columns: np.ndarray) -> list[np.ndarray]:
     return [*(c[first] for c in columns), np.diff(np.append(first, len(order)))]
 
 
+def summed(key: np.ndarray, other: np.ndarray, value: np.ndarray) -> list[np.ndarray]:
+    """Distinct keys, their other values, and the sums of their values."""
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])[: len(key)])
+    sums = np.add.reduceat(value[order], first) if len(first) else value
+    return [key[order][first], other[order][first], sums]
+
+
 def grouped(token: np.ndarray, sid: np.ndarray, size: np.ndarray, percent: int, few: int) -> tuple[list[np.ndarray], ...]:
     """Of the nodes that have a first token in common with another: (leader, sid, n, shared) in groups over ``few``;
     in smaller ones (sid, sid, n, shared) and the pairs (a, b, na, nb, shared)."""
@@ -165,9 +173,35 @@ def grouped(token: np.ndarray, sid: np.ndarray, size: np.ndarray, percent: int,
     return counted(leader[large], sid[large], size[large]), counted(sid[minor], sid[minor], size[minor]), counted(sid[a], sid[b], size[a], size[b])
 
 
-def shared_tokens(docs: DataFrame, rank: np.ndarray, hot: np.ndarray, k: int, percent: int, few: int = FEW) -> DataFrame:
-    """Rows of the nodes that have first tokens in common with others whose sizes may qualify, with the number of such
-    tokens (shared): (leader, sid, n) in large groups, (sid, n) in small ones, and pairs (a, b, na, nb) of these."""
+PACKED = "bucket int, tokens binary, sids binary, sizes binary"
+COUNTS, GROUPS = ["sid", "n", "shared"], ["leader", "sid", "n", "a", "b", "na", "nb", "shared"]
+
+
+def packed(token: np.ndarray, sid: np.ndarray, size: np.ndarray, n: int, hot: np.ndarray) -> pa.RecordBatch:
+    """Tokens with their nodes, as arrays by bucket; those of hot counters have none, -1."""
+    busy = hot[(token >> np.uint64(48)).astype(np.int64)]
+    bucket = np.where(busy, -1, (mix(token) % np.uint64(n)).astype(np.int64))
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(-1, n + 1))
+    used = [b for b in range(-1, n) if cuts[b + 1] < cuts[b + 2]]
+    pick = [order[cuts[b + 1] : cuts[b + 2]] for b in used]
+    columns = [[token[p].tobytes() for p in pick], [sid[p].tobytes() for p in pick], [size[p].astype(np.int32).tobytes() for p in pick]]
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "tokens", "sids", "sizes"])
+
+
+def unpacked(rows: list[dict]) -> list[np.ndarray]:
+    return [np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("tokens", np.uint64), ("sids", np.int64), ("sizes", np.int32))]
+
+
+def first_of(offs: np.ndarray, which: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first tokens of some sets (cut at offs), and the set of each."""
+    sizes = np.diff(offs)[which]
+    length = sizes - rest(sizes, percent)
+    at = np.arange(int(length.sum())) + np.repeat(offs[which] - (np.cumsum(length) - length), length)
+    return at, np.repeat(which, length)
+
+
+def tokens_of_documents(docs: DataFrame, rank: np.ndarray, hot: np.ndarray, k: int, percent: int) -> DataFrame:
     n = shuffle_width(docs.sparkSession)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,63 +212,79 @@ def shared_tokens(docs: DataFrame, rank: np.ndarray, hot: np.ndarray, k: int, pe
                 sids, sizes = set_ids(plain, offs), np.diff(offs)
                 value, offs = shingle_sets(data, text_offs, k, rank)
                 _, first = np.unique(sids, return_index=True)
-                first = first[sizes[first] > 0]
-                length = (sizes - rest(sizes, percent))[first]
-                at = np.arange(int(length.sum())) + np.repeat(offs[first] - (np.cumsum(length) - length), length)
-                token, owner = value[at], np.repeat(first, length)
-                # Tokens of hot counters go to no bucket: -1.
-                busy = hot[(token >> np.uint64(48)).astype(np.int64)]
-                bucket = np.where(busy, -1, (mix(token) % np.uint64(n)).astype(np.int64))
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(-1, n + 1))
-                used = [b for b in range(-1, n) if cuts[b + 1] < cuts[b + 2]]
-                pick = [order[cuts[b + 1] : cuts[b + 2]] for b in used]
-                columns = [[token[p].tobytes() for p in pick], [sids[owner[p]].tobytes() for p in pick], [sizes[owner[p]].astype(np.int32).tobytes() for p in pick]]
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "tokens", "sids", "sizes"])
-
-    names = ["leader", "sid", "n", "a", "b", "na", "nb", "shared"]
-    met_schema = ", ".join(f"{c} long" for c in names)
-
-    def plain(rows: list[dict]) -> list[np.ndarray]:
-        return [np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("tokens", np.uint64), ("sids", np.int64), ("sizes", np.int32))]
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = (("leader", "sid", "n", "shared"), ("a", "sid", "n", "shared"), ("a", "b", "na", "nb", "shared"))
+                at, owner = first_of(offs, first[sizes[first] > 0], percent)
+                yield packed(value[at], sids[owner], sizes[owner], n, hot)
+
+    return docs.mapInArrow(send, PACKED)
+
+
+def tokens_of_nodes(nodes: DataFrame, hot: np.ndarray, percent: int) -> DataFrame:
+    n = shuffle_width(nodes.sparkSession)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sets = [np.frombuffer(t, np.uint64) for t in batch.column("tokens").to_pylist()]
+                sids = batch.column("sid").to_numpy(zero_copy_only=False)
+                offs = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+                at, owner = first_of(offs, np.arange(len(sets)), percent)
+                yield packed(np.concatenate(sets)[at], sids[owner], np.diff(offs)[owner], n, hot)
+
+    return nodes.select("sid", "tokens").mapInArrow(send, PACKED)
+
+
+def met(sent: DataFrame, hot: np.ndarray, percent: int, few: int | None) -> DataFrame:
+    """Rows of the nodes that have first tokens in common with others whose sizes may qualify, with the number of such
+    tokens (shared): without ``few`` (sid, n) alone; with it (leader, sid, n) in groups over ``few``, (sid, n) in
+    smaller ones, and pairs (a, b, na, nb) of these."""
+    names = COUNTS if few is None else GROUPS
+    n = shuffle_width(sent.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in bucketwise(batches):
-            for kind, found in enumerate(grouped(*plain(rows), percent, few)):
-                for i in range(0, len(found[0]), 50_000):
-                    own = {c: f[i : i + 50_000] for c, f in zip(columns[kind], found, strict=True) if kind != 1 or c != "a"}
+            large, minor, pairs = grouped(*unpacked(rows), percent, few or 1)
+            if few is None:  # every group is a large one
+                kinds = [dict(zip(COUNTS, summed(large[1], large[2], large[3]), strict=True))]
+            else:
+                kinds = [dict(zip(("leader", "sid", "n", "shared"), large, strict=True)), dict(zip(COUNTS, (minor[0], minor[2], minor[3]), strict=True)), dict(zip(("a", "b", "na", "nb", "shared"), pairs, strict=True))]
+            for found in kinds:
+                for i in range(0, len(found["shared"]), 50_000):
+                    own = {c: f[i : i + 50_000] for c, f in found.items()}
                     size = len(own["shared"])
                     yield pa.RecordBatch.from_arrays([pa.array(own[c]) if c in own else pa.nulls(size, pa.int64()) for c in names], names=names)
 
-    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def loose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = np.log(100 / percent) if percent < 100 else 1e-9
         for batch in batches:
             if batch.num_rows:
-                token, sid, size = plain(batch.to_pylist())
+                token, sid, size = unpacked(batch.to_pylist())
                 band = np.floor(np.log(size) / step).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(sid), pa.array(size.astype(np.int64)), pa.array(band)], names=["token", "sid", "n", "band"])
 
-    sent = docs.mapInArrow(send, "bucket int, tokens binary, sids binary, sizes binary")
+    schema = ", ".join(f"{c} long" for c in names)
     if not hot.any():
-        return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, met_schema)
+        return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
     sent = stage(sent, "jaccard-first-tokens")
-    met = sent.filter("bucket >= 0").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, met_schema)
+    out = sent.filter("bucket >= 0").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
     # Sizes that qualify lie in one band or in neighbouring ones, so a node is in its own group and in the next.
-    rows = sent.filter("bucket < 0").mapInArrow(unpacked, "token long, sid long, n long, band long").distinct()
+    rows = sent.filter("bucket < 0").mapInArrow(loose, "token long, sid long, n long, band long").distinct()
     rows = rows.withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
     groups = rows.groupBy("token", "band").agg(F.min("sid").alias("leader"), F.max("sid").alias("last")).filter("leader < last").drop("last")
-    found = rows.join(groups, ["token", "band"]).groupBy("leader", "sid", "n").agg(F.count("*").alias("shared"))
-    return met.unionByName(found, allowMissingColumns=True)
+    found = rows.join(groups, ["token", "band"]).groupBy(*[c for c in names if c in ("leader", "sid", "n")]).agg(F.count("*").alias("shared"))
+    return out.unionByName(found, allowMissingColumns=True)
+
+
+def smallest_share(n, percent: int):  # noqa: ANN001, ANN201
+    """First tokens that a set of n elements shares with the smallest set that it may be linked with."""
+    return 1 + F.floor(F.ceil(n * percent / 100) * (100 - percent) / 400)
 
 
 def clusters(met: DataFrame, percent: int) -> DataFrame:
-    """(sid, leaders): the clusters of every node that may have a partner in one. met: rows of ``shared_tokens``."""
-    enough = lambda n: 1 + F.floor(F.ceil(n * percent / 100) * (100 - percent) / 400)  # noqa: E731  first tokens of the smallest partner
+    """(sid, leaders): the clusters of every node that may have a partner in one. met: its rows of groups and pairs."""
     own = lambda n: 1 + F.floor(n * (100 - percent) / 400)
     behind = lambda n: F.greatest(F.lit(0), F.ceil(percent * n / 100) - own(n))
     nodes = met.filter("sid IS NOT NULL").groupBy("sid", "n").agg(F.sum("shared").alias("shared"), F.sum(F.when(F.col("leader").isNotNull(), F.col("shared"))).alias("large"), F.collect_set("leader").alias("leaders"))
-    nodes = stage(nodes.filter(F.col("shared") >= enough(F.col("n"))).filter("large > 0").select("sid", "large", "leaders"), "jaccard-large")
+    nodes = stage(nodes.filter(F.col("shared") >= smallest_share(F.col("n"), percent)).filter("large > 0").select("sid", "large", "leaders"), "jaccard-large")
     pairs = met.filter("b IS NOT NULL").groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("c"))
     # What a pair's small groups don't show, its large ones may.
     for side in ("a", "b"):
@@ -596,9 +646,12 @@ def jaccard_classes(docs: DataFrame, k: int = K, percent: int = PERCENT, few: in
     rank, hot = token_ranks(sets, shuffle_width(docs.sparkSession))
     named = sets.filter("counter IS NULL").select("doc_id", "n", "sid")
     smallest = named.filter("sid IS NOT NULL").groupBy("sid").agg(F.min_by("doc_id", F.coalesce("doc_id", none)).alias("doc_id"), F.count("*").alias("weight"))
-    met = stage(shared_tokens(docs, rank, hot, k, percent, few), "jaccard-met")
-    kept = stage(clusters(met, percent), "jaccard-members")
-    nodes = node_sets(docs, smallest.join(kept, "sid", "left_semi"), rank, k)
+    shares = met(tokens_of_documents(docs, rank, hot, k, percent), hot, percent, None)
+    alive = shares.groupBy("sid", "n").agg(F.sum("shared").alias("shared")).filter(F.col("shared") >= smallest_share(F.col("n"), percent))
+    alive = stage(alive.select("sid"), "jaccard-alive")
+    nodes = stage(node_sets(docs, smallest.join(alive, "sid", "left_semi"), rank, k), "jaccard-nodes")
+    groups = stage(met(tokens_of_nodes(nodes, hot, percent), hot, percent, few), "jaccard-groups")
+    kept = stage(clusters(groups, percent), "jaccard-members")
     # Each member knows which smaller leaders it has.
     members = kept.join(nodes, "sid").select("sid", "weight", "least", "tokens", F.posexplode("leaders").alias("_at", "leader"), "leaders")
     members = members.withColumn("leads", F.slice("leaders", F.lit(1), F.col("_at"))).drop("leaders", "_at")
