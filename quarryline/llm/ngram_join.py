@@ -148,8 +148,8 @@ def summed(key: np.ndarray, other: np.ndarray, value: np.ndarray) -> list[np.nda
 
 
 def grouped(token: np.ndarray, sid: np.ndarray, size: np.ndarray, percent: int, few: int) -> tuple[list[np.ndarray], ...]:
-    """Of the nodes that have a first token in common with another: (leader, sid, n, shared) in groups over ``few``;
-    in smaller ones (sid, sid, n, shared) and the pairs (a, b, na, nb, shared)."""
+    """Of the nodes that have a first token in common with another: (leader, sid, n, shared) in groups over ``few``,
+    and the pairs (a, b, na, nb, shared) in smaller ones."""
     order = np.lexsort((sid, size, token))
     token, sid, size = token[order], sid[order], size[order].astype(np.int64)
     new = np.ones(len(token), bool)
@@ -170,11 +170,10 @@ def grouped(token: np.ndarray, sid: np.ndarray, size: np.ndarray, percent: int,
         left.append(np.where(swap, i + d, i))
         right.append(np.where(swap, i, i + d))
     a, b = np.concatenate(left), np.concatenate(right)
-    return counted(leader[large], sid[large], size[large]), counted(sid[minor], sid[minor], size[minor]), counted(sid[a], sid[b], size[a], size[b])
+    return counted(leader[large], sid[large], size[large]), counted(sid[a], sid[b], size[a], size[b])
 
 
 PACKED = "bucket int, tokens binary, sids binary, sizes binary"
-COUNTS, GROUPS = ["sid", "n", "shared"], ["leader", "sid", "n", "a", "b", "na", "nb", "shared"]
 
 
 def packed(token: np.ndarray, sid: np.ndarray, size: np.ndarray, n: int, hot: np.ndarray) -> pa.RecordBatch:
@@ -233,25 +232,15 @@ def tokens_of_nodes(nodes: DataFrame, hot: np.ndarray, percent: int) -> DataFram
     return nodes.select("sid", "tokens").mapInArrow(send, PACKED)
 
 
-def met(sent: DataFrame, hot: np.ndarray, percent: int, few: int | None) -> DataFrame:
-    """Rows of the nodes that have first tokens in common with others whose sizes may qualify, with the number of such
-    tokens (shared): without ``few`` (sid, n) alone; with it (leader, sid, n) in groups over ``few``, (sid, n) in
-    smaller ones, and pairs (a, b, na, nb) of these."""
-    names = COUNTS if few is None else GROUPS
+def dealt(sent: DataFrame, run, schema: str) -> DataFrame:  # noqa: ANN001
+    """Packed rows, but those of hot counters, at the task of their bucket."""
     n = shuffle_width(sent.sparkSession)
+    return sent.filter("bucket >= 0").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in bucketwise(batches):
-            large, minor, pairs = grouped(*unpacked(rows), percent, few or 1)
-            if few is None:  # every group is a large one
-                kinds = [dict(zip(COUNTS, summed(large[1], large[2], large[3]), strict=True))]
-            else:
-                kinds = [dict(zip(("leader", "sid", "n", "shared"), large, strict=True)), dict(zip(COUNTS, (minor[0], minor[2], minor[3]), strict=True)), dict(zip(("a", "b", "na", "nb", "shared"), pairs, strict=True))]
-            for found in kinds:
-                for i in range(0, len(found["shared"]), 50_000):
-                    own = {c: f[i : i + 50_000] for c, f in found.items()}
-                    size = len(own["shared"])
-                    yield pa.RecordBatch.from_arrays([pa.array(own[c]) if c in own else pa.nulls(size, pa.int64()) for c in names], names=names)
+
+def hot_groups(sent: DataFrame, percent: int) -> DataFrame:
+    """(leader, sid, n, shared): the nodes that tokens of hot counters join. Sizes that qualify lie in one band or in
+    neighbouring ones, so a node is in its own group and in the next."""
 
     def loose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = np.log(100 / percent) if percent < 100 else 1e-9
@@ -261,30 +250,77 @@ def met(sent: DataFrame, hot: np.ndarray, percent: int, few: int | None) -> Data
                 band = np.floor(np.log(size) / step).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(sid), pa.array(size.astype(np.int64)), pa.array(band)], names=["token", "sid", "n", "band"])
 
-    schema = ", ".join(f"{c} long" for c in names)
-    if not hot.any():
-        return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
-    sent = stage(sent, "jaccard-first-tokens")
-    out = sent.filter("bucket >= 0").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
-    # Sizes that qualify lie in one band or in neighbouring ones, so a node is in its own group and in the next.
     rows = sent.filter("bucket < 0").mapInArrow(loose, "token long, sid long, n long, band long").distinct()
     rows = rows.withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
     groups = rows.groupBy("token", "band").agg(F.min("sid").alias("leader"), F.max("sid").alias("last")).filter("leader < last").drop("last")
-    found = rows.join(groups, ["token", "band"]).groupBy(*[c for c in names if c in ("leader", "sid", "n")]).agg(F.count("*").alias("shared"))
-    return out.unionByName(found, allowMissingColumns=True)
+    return rows.join(groups, ["token", "band"]).groupBy("leader", "sid", "n").agg(F.count("*").alias("shared"))
+
+
+COUNTS = "bucket int, sids binary, sizes binary, shares binary"
+
+
+def packed_counts(sid: np.ndarray, size: np.ndarray, shared: np.ndarray, n: int) -> pa.RecordBatch:
+    bucket = (mix(sid.view(np.uint64)) % np.uint64(n)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(n + 1))
+    used = [b for b in range(n) if cuts[b] < cuts[b + 1]]
+    columns = [[v[order[cuts[b] : cuts[b + 1]]].astype(np.int64).tobytes() for b in used] for v in (sid, size, shared)]
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "sids", "sizes", "shares"])
+
+
+def alive_nodes(sent: DataFrame, hot: np.ndarray, percent: int) -> DataFrame:
+    """(sid): the nodes that share enough first tokens with any others whose sizes may qualify. The counts of the
+    tokens' buckets travel packed, too."""
+    n = shuffle_width(sent.sparkSession)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in bucketwise(batches):
+            _, sid, size, shared = grouped(*unpacked(rows), percent, 1)[0]  # every group is a large one
+            yield packed_counts(*summed(sid, size, shared), n)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield packed_counts(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("sid", "n", "shared")), n)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in bucketwise(batches):
+            sid, size, shared = summed(*(np.concatenate([np.frombuffer(r[c], np.int64) for r in rows]) for c in ("sids", "sizes", "shares")))
+            yield pa.RecordBatch.from_arrays([pa.array(sid[shared >= shared_first(-((-percent * size) // 100), percent)])], names=["sid"])
+
+    if hot.any():
+        sent = stage(sent, "jaccard-first-tokens")
+    counts = dealt(sent, count, COUNTS)
+    if hot.any():
+        counts = counts.unionByName(hot_groups(sent, percent).select("sid", "n", "shared").mapInArrow(pack, COUNTS))
+    return dealt(counts, total, "sid long")
+
+
+def grouped_nodes(sent: DataFrame, hot: np.ndarray, percent: int, few: int) -> DataFrame:
+    """(leader, sid, shared) of nodes in groups over ``few``, and (a, b, na, nb, shared) of pairs in smaller ones."""
+    names = ["leader", "sid", "a", "b", "na", "nb", "shared"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in bucketwise(batches):
+            (leader, sid, _, shared), pairs = grouped(*unpacked(rows), percent, few)
+            for found in ({"leader": leader, "sid": sid, "shared": shared}, dict(zip(("a", "b", "na", "nb", "shared"), pairs, strict=True))):
+                for i in range(0, len(found["shared"]), 50_000):
+                    own = {c: f[i : i + 50_000] for c, f in found.items()}
+                    size = len(own["shared"])
+                    yield pa.RecordBatch.from_arrays([pa.array(own[c]) if c in own else pa.nulls(size, pa.int64()) for c in names], names=names)
 
-def smallest_share(n, percent: int):  # noqa: ANN001, ANN201
-    """First tokens that a set of n elements shares with the smallest set that it may be linked with."""
-    return 1 + F.floor(F.ceil(n * percent / 100) * (100 - percent) / 400)
+    schema = ", ".join(f"{c} long" for c in names)
+    if not hot.any():
+        return dealt(sent, run, schema)
+    sent = stage(sent, "jaccard-first-tokens")
+    return dealt(sent, run, schema).unionByName(hot_groups(sent, percent).drop("n"), allowMissingColumns=True)
 
 
 def clusters(met: DataFrame, percent: int) -> DataFrame:
     """(sid, leaders): the clusters of every node that may have a partner in one. met: its rows of groups and pairs."""
     own = lambda n: 1 + F.floor(n * (100 - percent) / 400)
     behind = lambda n: F.greatest(F.lit(0), F.ceil(percent * n / 100) - own(n))
-    nodes = met.filter("sid IS NOT NULL").groupBy("sid", "n").agg(F.sum("shared").alias("shared"), F.sum(F.when(F.col("leader").isNotNull(), F.col("shared"))).alias("large"), F.collect_set("leader").alias("leaders"))
-    nodes = stage(nodes.filter(F.col("shared") >= smallest_share(F.col("n"), percent)).filter("large > 0").select("sid", "large", "leaders"), "jaccard-large")
+    nodes = met.filter("sid IS NOT NULL").groupBy("sid").agg(F.sum("shared").alias("large"), F.collect_set("leader").alias("leaders"))
+    nodes = stage(nodes, "jaccard-large")
     pairs = met.filter("b IS NOT NULL").groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("c"))
     # What a pair's small groups don't show, its large ones may.
     for side in ("a", "b"):
@@ -646,11 +682,9 @@ def jaccard_classes(docs: DataFrame, k: int = K, percent: int = PERCENT, few: in
     rank, hot = token_ranks(sets, shuffle_width(docs.sparkSession))
     named = sets.filter("counter IS NULL").select("doc_id", "n", "sid")
     smallest = named.filter("sid IS NOT NULL").groupBy("sid").agg(F.min_by("doc_id", F.coalesce("doc_id", none)).alias("doc_id"), F.count("*").alias("weight"))
-    shares = met(tokens_of_documents(docs, rank, hot, k, percent), hot, percent, None)
-    alive = shares.groupBy("sid", "n").agg(F.sum("shared").alias("shared")).filter(F.col("shared") >= smallest_share(F.col("n"), percent))
-    alive = stage(alive.select("sid"), "jaccard-alive")
+    alive = stage(alive_nodes(tokens_of_documents(docs, rank, hot, k, percent), hot, percent), "jaccard-alive")
     nodes = stage(node_sets(docs, smallest.join(alive, "sid", "left_semi"), rank, k), "jaccard-nodes")
-    groups = stage(met(tokens_of_nodes(nodes, hot, percent), hot, percent, few), "jaccard-groups")
+    groups = stage(grouped_nodes(tokens_of_nodes(nodes, hot, percent), hot, percent, few), "jaccard-groups")
     kept = stage(clusters(groups, percent), "jaccard-members")
     # Each member knows which smaller leaders it has.
     members = kept.join(nodes, "sid").select("sid", "weight", "least", "tokens", F.posexplode("leaders").alias("_at", "leader"), "leaders")
