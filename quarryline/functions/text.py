@@ -83,9 +83,13 @@ def _digit(mark: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[x for i, c in enumerate(NUMERALS) for x in (F.lit(c), F.lit(i))]), mark), F.lit(0))
 
 
+#: Fixed value: what normalized text lacks, white space and common punctuation.
+PLAIN_SIGNS = r"(?U)[\s\x{3000}，。！？、,.!?;；:：()（）]+"
+
+
 def normalized(text: Column) -> Column:
-    """Lower case without blanks and punctuation."""
-    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "")
+    """Lower case without white space and common punctuation; null is empty."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), PLAIN_SIGNS, "")
 
 
 def lexical_text(*parts: Column) -> Column:
@@ -116,8 +120,8 @@ def sanitized_rewrite(answer: Column, longest: int = 200) -> Column:
 
 
 def stripped(text: Column) -> Column:
-    """Without white space, line ends included, at both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Without white space of any script, line ends included, at both ends."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
 
 
 def any_in(text: Column, words: Column) -> Column:
@@ -144,10 +148,18 @@ def glyphs(line: Column) -> Column:
     return F.regexp_replace(F.when(real, line).otherwise(fixed), r"(\d)\.\s+(?=\d)", "$1.")
 
 
+#: Fixed value: leader dots, as between a title and its page.
+LEADER = r"[….．·]{3,}"
+
+
+def has_leader(line: Column) -> Column:
+    """A line with leader dots, perhaps between other text."""
+    return line.rlike(LEADER)
+
+
 def dot_leader(line: Column) -> Column:
     """A line of leader dots and nothing else."""
-    dots = r"[….．·]{3,}"
-    return line.rlike(dots) & (F.trim(F.regexp_replace(line, dots, "")) == "")
+    return line.rlike(LEADER) & (stripped(F.regexp_replace(line, LEADER, "")) == "")
 
 
 def table_text(rows: Column) -> Column:

@@ -15,15 +15,17 @@ N = f"[{NUMBER_CLASS}]+"
 CHAPTER = rf"^第({N})章\s*(.*)$"
 SECTION = rf"^第({N})节\s*(.*)$"
 ARTICLE = rf"^第({N})条(之{N})?"
-#: Fixed value: marks that start a clause at the head of a line.
-CLAUSE = rf"(?m)(?=^[（(]{N}[）)])"
+#: The numerals of clauses and the three marks that start one at the head of a line.
+M = "[一二三四五六七八九十百千万]+"
+MARK = rf"^(?:（({M})）|\(({M})\)|({M})、)"
+CLAUSE = rf"(?dm)(?={MARK})"
 
 
 def articles(paragraphs: DataFrame) -> DataFrame:
     """(doc, ordinal, article_no, section_header, text) of paragraphs (doc, pos, text). Chapters and sections fill
     forward and a chapter ends its predecessor's section. A table of contents leaves no trace: its lines stand before
     the first article, and of its headings none outlives the body's own."""
-    rows = paragraphs.withColumn("text", F.trim("text")).filter("text <> ''")
+    rows = paragraphs.withColumn("text", stripped(F.col("text"))).filter("text <> ''")
     w = Window.partitionBy("doc").orderBy("pos")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     article = F.col("text").rlike(ARTICLE)
@@ -36,7 +38,7 @@ def articles(paragraphs: DataFrame) -> DataFrame:
     # A heading closes the article before it: text after one belongs to no article until the next begins.
     rows = rows.withColumn("ordinal", F.sum((F.col("_article") | F.col("_heading")).cast("int")).over(upto))
     rows = rows.withColumn("_open", F.max("_article").over(Window.partitionBy("doc", "ordinal"))).filter(F.col("_open") & ~F.col("_heading"))
-    piece = F.when(F.col("_article"), F.trim(F.regexp_replace("text", ARTICLE, ""))).otherwise(F.col("text"))
+    piece = F.when(F.col("_article"), stripped(F.regexp_replace("text", ARTICLE, ""))).otherwise(F.col("text"))
     number = F.when(F.col("_article"), F.concat(F.lit("第"), F.regexp_extract("text", ARTICLE, 1), F.lit("条"), F.regexp_extract("text", ARTICLE, 2)))
     header = F.when(F.col("_chapter").isNull(), "").otherwise(F.concat_ws(" / ", "_chapter", "_section"))
     rows = rows.select("doc", "ordinal", "pos", number.alias("_no"), header.alias("_header"), F.nullif(piece, F.lit("")).alias("_piece"))
@@ -52,11 +54,11 @@ def clauses(rows: DataFrame) -> DataFrame:
     chunk_type, parent_article_no and penalty_context, the text before the first mark. A clause's number is the
     mark's own."""
     parts = F.split("text", CLAUSE)
-    starts = F.filter(parts, lambda p: p.rlike(rf"^[（(]{N}[）)]"))
-    marked = rows.withColumns({"_starts": starts, "_prefix": stripped(F.regexp_replace(parts[0], rf"(?s)^[（(]{N}[）)].*", ""))})
+    starts = F.filter(parts, lambda p: p.rlike(MARK))
+    marked = rows.withColumns({"_starts": starts, "_prefix": F.when(parts[0].rlike(MARK), "").otherwise(stripped(parts[0]))})
     whole = marked.withColumns({"chunk_type": F.lit("article"), "parent_article_no": F.col("article_no"), "penalty_context": F.lit(""), "clause_pos": F.lit(0)})
     split = marked.filter(F.size("_starts") >= 2).select(*marked.columns, F.posexplode("_starts").alias("_i", "_clause"))
-    label = F.regexp_extract("_clause", rf"^[（(]({N})[）)]", 1)
+    label = F.concat(*[F.regexp_extract("_clause", MARK, i) for i in (1, 2, 3)])
     split = split.withColumns({"parent_article_no": F.col("article_no"), "clause_pos": F.col("_i") + 1, "penalty_context": F.col("_prefix"), "chunk_type": F.lit("clause")})
     split = split.withColumns({"article_no": F.concat("article_no", F.lit("第"), label, F.lit("款")), "text": stripped(F.col("_clause"))}).filter("text <> ''")
     names = [c for c in whole.columns if not c.startswith("_")]
@@ -76,14 +78,21 @@ def _packed(pieces: Column, target: int, joint: str) -> Column:
     return F.aggregate(pieces, state, step, lambda s: F.when(s["open"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))
 
 
+#: Fixed value: the marks that end a sentence.
+ENDS = "。！？；"
+
+
 def _sentences(text: Column, target: int) -> Column:
-    """Sentences with their ends; without one in reach, the rest in one piece."""
-    return F.filter(F.split(text, r"(?<=[。！？；])"), lambda s: s != "")
+    """Sentences with their ends; an end behind a sentence of ``target`` characters or more stands alone."""
+    whole = F.filter(F.split(text, rf"(?<=[{ENDS}])"), lambda s: s != "")
+    long = lambda s: (F.char_length(s) > target) & s.rlike(rf"[{ENDS}]\z")
+    cut = lambda s: F.array(F.substring(s, F.lit(1), F.char_length(s) - 1), F.right(s, F.lit(1)))
+    return F.flatten(F.transform(whole, lambda s: F.when(long(s), cut(s)).otherwise(F.array(s))))
 
 
 def upload_chunks(text: Column, target: int = 400, longest: int = 600) -> Column:
     """Paragraphs, those over ``longest`` cut at sentence ends, packed up to the target; what still is too long is
     cut at sentence ends again."""
-    paragraphs = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda p: p != "")
+    paragraphs = F.filter(F.transform(F.split(text, "\n"), stripped), lambda p: p != "")
     cut = lambda p: F.when(F.char_length(p) > longest, _sentences(p, target)).otherwise(F.array(p))
     return F.flatten(F.transform(_packed(F.flatten(F.transform(paragraphs, cut)), target, "\n"), cut))

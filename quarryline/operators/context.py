@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarryline.functions.text import stripped
+from quarryline.staging import small
 
 DECAY = 0.95
 
@@ -76,29 +77,42 @@ STATE_PREFIX = "中华人民共和国"
 
 
 def citations(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, source, article_no, named): the article that a chunk's text cites first, of its own law or, if it
-    cites none, of a law that it names."""
-    own, law, other = (F.regexp_extract("text", p, g) for p, g in ((SAME_LAW, 1), (CROSS_LAW, 1), (CROSS_LAW, 2)))
-    rows = chunks.select("chunk_id", "source", F.when(own != "", own).when(other != "", other).alias("article_no"), F.when(own == "", law).alias("named"))
-    return rows.filter("article_no IS NOT NULL")
+    """(chunk_id, source, at, article_no, named): the article that a chunk's text cites first of its own law or, if it
+    cites none, those of the laws that it names, in order."""
+    own = F.regexp_extract("text", SAME_LAW, 1)
+    laws, numbers = (F.regexp_extract_all("text", F.lit(CROSS_LAW), F.lit(i)) for i in (1, 2))
+    pair = "array<struct<named:string,article_no:string>>"
+    cited = F.when(own != "", F.array(F.struct(F.lit(None).cast("string").alias("named"), own.alias("article_no"))).cast(pair))
+    cited = cited.otherwise(F.arrays_zip(laws.alias("named"), numbers.alias("article_no")).cast(pair))
+    rows = chunks.select("chunk_id", "source", F.posexplode(cited).alias("at", "_c"))
+    return rows.select("chunk_id", "source", "at", "_c.article_no", "_c.named")
 
 
 def resolved(cited: DataFrame, sources: DataFrame) -> DataFrame:
     """Adds target: the source that ``named`` means (its own source if null): by name, by name without the state's,
-    or by containment either way, in this order. Names that mean none have no row."""
-    laws = sources.select(F.col("source").alias("target")).distinct().withColumn("short", F.replace("target", F.lit(STATE_PREFIX), F.lit("")))
+    or by containment either way, in this order. Names meet whole and short names by equality; only those that are
+    left are searched for in the others. Of a chunk's citations the first whose name means a source stays; a chunk
+    whose names mean none has no row."""
+    laws = sources.filter("coalesce(source, '') <> ''").select(F.col("source").alias("target")).distinct()
+    laws = laws.withColumn("short", F.replace("target", F.lit(STATE_PREFIX), F.lit("")))
     own = cited.filter("named IS NULL").withColumn("target", F.col("source"))
     names = cited.filter("named IS NOT NULL").select("named").distinct()
-    step = F.when(F.col("named") == F.col("target"), 0).when(F.col("named") == F.col("short"), 1).when(F.contains("target", "named") | F.contains("named", "short"), 2)
-    fits = names.join(F.broadcast(laws), F.contains("target", "named") | F.contains("named", "short")).withColumn("_step", step)
-    best = fits.groupBy("named").agg(F.min(F.struct("_step", "target")).alias("_b")).select("named", F.col("_b.target").alias("target"))
-    return own.unionByName(cited.filter("named IS NOT NULL").join(best, "named").select(*cited.columns, "target"))
+    whole = names.join(laws.select(F.col("target").alias("named"), "target"), "named").withColumn("_step", F.lit(0))
+    short = laws.filter("short <> '' AND short <> target").select(F.col("short").alias("named"), "target")
+    equal = whole.unionByName(names.join(short, "named").withColumn("_step", F.lit(1)))
+    left = names.join(equal.select("named").distinct(), "named", "left_anti")
+    inside = left.join(small(laws), F.contains("target", "named") | F.contains("named", "short")).select("named", "target", F.lit(2).alias("_step"))
+    best = equal.unionByName(inside).groupBy("named").agg(F.min(F.struct("_step", "target")).alias("_b")).select("named", F.col("_b.target").alias("target"))
+    found = own.unionByName(cited.filter("named IS NOT NULL").join(best, "named").select(*cited.columns, "target"))
+    first = Window.partitionBy("chunk_id").orderBy("at")
+    return found.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "at")
 
 
 def cited_chunks(hits: DataFrame, chunks: DataFrame, quota: int = 3) -> DataFrame:
     """(question_id, chunk_id, cited_by): articles that hit chunks cite and that aren't hit themselves, the citations
     of the best hits first. hits: question_id, chunk_id, pos."""
-    links = resolved(citations(chunks), chunks)
+    cited = citations(chunks.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi"))
+    links = resolved(cited, chunks)
     targets = chunks.groupBy(F.col("source").alias("target"), "article_no").agg(F.min("chunk_id").alias("found"))
     rows = hits.join(links, "chunk_id").join(targets, ["target", "article_no"])
     rows = rows.select("question_id", F.col("found").alias("chunk_id"), F.col("chunk_id").alias("cited_by"), "pos")

@@ -26,9 +26,17 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, ["category", "source"], "full_outer").select("category", "source", change.alias("change"))
 
 
-def counters(changes: DataFrame) -> DataFrame:
-    count = lambda c: F.coalesce(F.sum((F.col("change") == c).cast("long")), F.lit(0)).alias(c)
-    return changes.agg(F.count("*").alias("total"), *map(count, ("added", "updated", "removed", "skipped")))
+def counters(changes: DataFrame, old: DataFrame, new: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: articles of added and updated files by the new manifest and of skipped ones by the old, stored chunks
+    (category, source, chunk_id) of removed files, and all chunks after the run."""
+    key = ["category", "source"]
+    counts = changes.join(old.select(*key, F.col("article_count").alias("_old")), key, "left").join(new.select(*key, F.col("article_count").alias("_new")), key, "left")
+    gone = changes.filter("change = 'removed'").join(before.groupBy(*key).agg(F.count("*").alias("_n")), key)
+    number = lambda change, column: F.coalesce(F.sum(F.when(F.col("change") == change, F.col(column))), F.lit(0)).alias(change)
+    made = counts.agg(number("added", "_new"), number("updated", "_new"), number("skipped", "_old"))
+    rest = gone.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("removed"))
+    # Three rows of one line each.
+    return made.join(rest).join(after.agg(F.count("*").alias("total"))).select("total", "added", "updated", "removed", "skipped")
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:

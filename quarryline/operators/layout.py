@@ -9,32 +9,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarryline.functions.text import clean_title, dot_leader, level
+from quarryline.functions.text import clean_title, dot_leader, has_leader, level, stripped
 
 #: Thresholds of the layout rules.
 LEADER_LINES, REPEATED_PAGES, SHORT_LINE, FOOT, ROW_GAP = 3, 3, 30, 70.0, 5.0
+#: A chapter's line, a clause's, a fragment of a clause's number and the leaf that ends such a number.
 CHAPTER = r"^(\d{1,3})\s+(\S.*)$"
-NUMBERED = r"^(\d{1,3}(?:\.\d{1,3})+)\s*(\S.*)?$"
-FRAGMENT = r"^(\d{1,3})\.$"
-LEAF = r"^(\d{1,3})\s+(\S.*)$"
+NUMBERED = r"^(\d+(?:\.\d+)+)\s*(.*)$"
+FRAGMENT = r"^(\d+)\.$"
+LEAF = r"^(\d+)(.*)$"
+PAGE_NUMBER = r"^[0-9ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩⅪⅫ]{1,3}$"
 REFERENCES = "参考文献"
 
 
 def contents_pages(lines: DataFrame) -> DataFrame:
-    """(doc, page): pages with three leader lines or more that are half of the page's lines or more."""
-    leaders = F.sum(dot_leader(F.col("text")).cast("int"))
+    """(doc, page): pages with three lines or more that hold leader dots, if these are half of the page's lines."""
+    leaders = F.sum(has_leader(F.col("text")).cast("int"))
     found = lines.groupBy("doc", "page").agg(leaders.alias("leaders"), F.count("*").alias("n"))
     return found.filter((F.col("leaders") >= LEADER_LINES) & (2 * F.col("leaders") >= F.col("n"))).select("doc", "page")
 
 
 def without_contents(lines: DataFrame) -> DataFrame:
-    return lines.join(contents_pages(lines), ["doc", "page"], "left_anti")
+    """Drops contents pages, and elsewhere lines of nothing but leader dots."""
+    return lines.join(contents_pages(lines), ["doc", "page"], "left_anti").filter(~dot_leader(F.col("text")))
 
 
 def without_feet(lines: DataFrame, heights: DataFrame, titles: list[str], standard: str) -> DataFrame:
     """Drops page numbers near the foot, lines with the standard's number, and titles. heights: (doc, page, height)."""
     rows = lines.join(heights, ["doc", "page"])
-    number = (F.col("y1") > F.col("height") - FOOT) & F.trim("text").rlike(r"^[0-9Ⅰ-Ⅻ]{1,3}$")
+    number = (F.col("y0") > F.col("height") - FOOT) & F.trim("text").rlike(PAGE_NUMBER)
     return rows.filter(~(number | F.contains("text", F.lit(standard)) | F.trim("text").isin(titles))).drop("height")
 
 
@@ -84,7 +87,7 @@ def events(lines: DataFrame) -> DataFrame:
     leaf, number, chapter = F.col("text").rlike(LEAF) & F.col("_prefix").isNotNull(), F.col("text").rlike(NUMBERED), F.col("text").rlike(CHAPTER)
     no = F.when(leaf, F.concat_ws(".", "_prefix", F.regexp_extract("text", LEAF, 1))).when(number, F.regexp_extract("text", NUMBERED, 1)).when(chapter, F.regexp_extract("text", CHAPTER, 1))
     rest = F.when(leaf, F.regexp_extract("text", LEAF, 2)).when(number, F.regexp_extract("text", NUMBERED, 2)).when(chapter, clean_title(F.regexp_extract("text", CHAPTER, 2))).otherwise(F.col("text"))
-    rows = rows.withColumns({"no": no, "rest": F.trim(rest), "kind": F.when(no.isNotNull(), "heading").otherwise("text")}).filter("kind = 'heading' OR text <> ''")
+    rows = rows.withColumns({"no": no, "rest": stripped(rest), "kind": F.when(no.isNotNull(), "heading").otherwise("text")}).filter("kind = 'heading' OR text <> ''")
     return rows.select("doc", "pos", "kind", "no", "rest", F.when(F.col("no").isNotNull(), level(F.col("no"))).alias("level"))
 
 

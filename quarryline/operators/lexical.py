@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.functions.text import tokens
+from quarryline.staging import small, stage
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -32,25 +33,29 @@ def term_counts(chunks: DataFrame, key: str = "chunk_id", text: str = "text", di
     return rows.groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
 
 
-def idf(counts: DataFrame, n: int) -> DataFrame:
-    """(term, df, idf); what comes out negative is replaced by a share of the mean over all terms."""
-    found = counts.groupBy("term").agg(F.count("*").alias("df"))
-    raw = F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    found = found.withColumn("raw", raw)
+def idf(found: DataFrame, n: int) -> DataFrame:
+    """(term, df) to (term, df, idf); what comes out negative is replaced by a share of the mean over all terms."""
+    found = found.withColumn("raw", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = found.agg(F.avg("raw")).first()[0]
     floor = EPSILON * (mean if mean is not None else 0.0)
     return found.select("term", "df", F.when(F.col("raw") < 0, F.lit(floor)).otherwise(F.col("raw")).alias("idf"))
 
 
 def build(chunks: DataFrame, dictionary: list[str] | None = None) -> Index:
-    counts = term_counts(chunks, dictionary=dictionary)
-    stats = chunks.select(F.size(tokens(F.col("text"), dictionary)).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).first()
-    return Index(counts, idf(counts, stats.n), stats.n, stats.mean or 0.0)
+    """Texts are split once: postings and document frequencies are staged, and the corpus' numbers come from them."""
+    counts = stage(term_counts(chunks, dictionary=dictionary), "postings")
+    found = stage(counts.groupBy("term").agg(F.count("*").alias("df")), "terms")
+    n = chunks.count()
+    length = counts.agg(F.sum("tf")).first()[0] or 0
+    return Index(counts, idf(found, n), n, length / n if n else 0.0)
 
 
 def scores(index: Index, queries: DataFrame, dictionary: list[str] | None = None) -> DataFrame:
-    """(query_id, chunk_id, bm25) of pairs that share a term; a term that a query repeats counts again."""
+    """(query_id, chunk_id, bm25) of pairs that share a term; a term that a query repeats counts again. The asked
+    terms, with their weights, go to the postings where they are few enough; else a frequent term's postings are
+    left to Spark's handling of skewed joins."""
     asked = term_counts(queries, key="query_id", dictionary=dictionary).select("query_id", "term", F.col("tf").alias("asked"))
+    asked = small(asked.join(index.terms.select("term", "idf"), "term"))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / index.mean_length))
-    rows = asked.join(index.terms, "term").join(index.postings, "term")
+    rows = index.postings.join(asked, "term")
     return rows.groupBy("query_id", "chunk_id").agg(F.sum(F.col("asked") * weight).alias("bm25"))

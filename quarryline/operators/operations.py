@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarryline.staging import stage
+
 
 def trace_rollup(traces: DataFrame) -> DataFrame:
     """One row: count, sums and mean duration; zero where there is nothing."""
@@ -16,11 +18,17 @@ def trace_rollup(traces: DataFrame) -> DataFrame:
     )
 
 
-def token_accounting(spans: DataFrame, kinds: dict[str, str]) -> DataFrame:
-    """(trace_id, one column per kind, total): sums of tokens by the events that count for each column."""
-    sums = [F.coalesce(F.sum(F.when(F.col("name") == event, F.col("tokens"))), F.lit(0)).cast("long").alias(column) for column, event in kinds.items()]
-    total = F.coalesce(F.sum(F.when(F.col("name").isin(*kinds.values()), F.col("tokens"))), F.lit(0)).cast("long").alias("total")
-    return spans.groupBy("trace_id").agg(*sums, total)
+#: The events that count tokens, and the column of each.
+TOKEN_EVENTS = {"llm_tokens": "llm.tokens", "embedding_tokens": "embedding.tokens", "rerank_tokens": "rerank.tokens"}
+
+
+def token_accounting(spans: DataFrame, kinds: dict[str, str] = TOKEN_EVENTS) -> DataFrame:
+    """(trace_id, one column per kind, prompt_tokens, completion_tokens, total_tokens): sums over the events (name,
+    prompt, completion, total) that count for a column; others count for none."""
+    zero = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+    counted = F.col("name").isin(*kinds.values())
+    sums = [zero(F.when(F.col("name") == event, F.col("total")), column) for column, event in kinds.items()]
+    return spans.groupBy("trace_id").agg(*sums, *[zero(F.when(counted, F.col(c)), f"{c}_tokens") for c in ("prompt", "completion", "total")])
 
 
 def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -105,14 +113,21 @@ def history(messages: DataFrame, n: int = 6) -> DataFrame:
     return messages.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n").filter("coalesce(content, '') <> ''")
 
 
-def span_depths(spans: DataFrame, most: int = 16) -> DataFrame:
-    """(trace_id, span_id, depth) down the parents' tree; one join per level, until a level is empty."""
-    level = spans.filter("parent_id IS NULL").select("trace_id", "span_id", F.lit(0).alias("depth"))
-    out = level
-    for depth in range(1, most):
-        children = spans.select("trace_id", "span_id", "parent_id").join(level.select("trace_id", F.col("span_id").alias("parent_id")), ["trace_id", "parent_id"])
-        level = children.select("trace_id", "span_id", F.lit(depth).alias("depth"))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+def span_depths(spans: DataFrame) -> DataFrame:
+    """(trace_id, span_id, depth) down the parents' tree, however deep: each round every span looks at the ancestor
+    of its ancestor, so the distances double and a tree of depth d takes log d joins. Spans that no root leads to
+    (a parent is missing) have no row; a cycle is an error that names its trace."""
+    start = spans.select("trace_id", "span_id", F.col("parent_id").alias("up"), F.col("parent_id").isNotNull().cast("long").alias("depth"))
+    state = stage(start, "span-depths")
+    longest = state.groupBy("trace_id").count().agg(F.max("count")).first()[0] or 0
+    reach = 1
+    while True:
+        climbing = state.filter("up IS NOT NULL")
+        if climbing.isEmpty():
+            return state.select("trace_id", "span_id", F.col("depth").cast("int").alias("depth"))
+        if reach > longest:
+            raise ValueError(f"spans of trace {climbing.first().trace_id} are their own ancestors")
+        above = state.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_more"))
+        moved = climbing.join(above, ["trace_id", "up"]).select("trace_id", "span_id", F.col("_up").alias("up"), (F.col("depth") + F.col("_more")).alias("depth"))
+        state = stage(state.filter("up IS NULL").unionByName(moved), "span-depths")
+        reach *= 2

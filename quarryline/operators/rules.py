@@ -7,31 +7,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarryline.functions.text import any_in, normalized
+from quarryline.staging import small
 
 
 def matching_rules(queries: DataFrame, rules: DataFrame) -> DataFrame:
     """(query_id, pos, enhancement): rules (pos, triggers, requires, enhancement) of which a trigger is in the text
     and, if any are asked for, a required word, too. Equal enhancements of a query keep the first."""
     fits = any_in(F.col("text"), F.col("triggers")) & ((F.size("requires") == 0) | any_in(F.col("text"), F.col("requires")))
-    hit = queries.select("query_id", "text").join(F.broadcast(rules), fits)
+    hit = queries.select("query_id", "text").join(small(rules), fits)
     return hit.groupBy("query_id", "enhancement").agg(F.min("pos").alias("pos"))
 
 
 def intents(queries: DataFrame, rules: DataFrame) -> DataFrame:
     """(query_id, pos, intent): intents (pos, intent, keywords, patterns) by a keyword or a pattern."""
     fits = any_in(F.col("text"), F.col("keywords")) | F.exists("patterns", lambda p: F.regexp_like(F.col("text"), p))
-    return queries.select("query_id", "text").join(F.broadcast(rules), fits).select("query_id", "pos", "intent")
+    return queries.select("query_id", "text").join(small(rules), fits).select("query_id", "pos", "intent")
 
 
 def bm25_weight(queries: DataFrame, found: DataFrame, weights: DataFrame, default: float = 0.5) -> DataFrame:
     """(query_id, weight): the weight of the first of the query's intents, in policy order, that has one."""
-    first = found.join(F.broadcast(weights), "intent").groupBy("query_id").agg(F.min_by("weight", "pos").alias("weight"))
+    first = found.join(small(weights), "intent").groupBy("query_id").agg(F.min_by("weight", "pos").alias("weight"))
     return queries.select("query_id").join(first, "query_id", "left").select("query_id", F.coalesce("weight", F.lit(default)).alias("weight"))
 
 
 def synonyms(queries: DataFrame, table: DataFrame) -> DataFrame:
     """(query_id, synonym, pos): expansions (pos, word, expansions) of words in the text, each once, in order."""
-    hit = queries.select("query_id", "text").join(F.broadcast(table), F.contains("text", "word"))
+    hit = queries.select("query_id", "text").join(small(table), F.contains("text", "word"))
     rows = hit.select("query_id", "pos", F.posexplode("expansions").alias("i", "synonym"))
     return rows.groupBy("query_id", "synonym").agg(F.min(F.struct("pos", "i")).alias("pos"))
 
@@ -72,7 +73,7 @@ def gated_pairs(chunks: DataFrame, queries: DataFrame, gates: list[dict]) -> Dat
     own = chunks.select("chunk_id", F.coalesce("chunk_type", F.lit("clause")).isin(kinds).alias("_kind"), flags("text", [b for _, b in words]).alias("_has"))
     asked = queries.select("query_id", flags("text", [a for a, _ in words]).alias("_asks"))
     blocked = F.exists(F.arrays_zip("_has", "_asks"), lambda x: x["_has"] & ~x["_asks"])
-    return own.crossJoin(F.broadcast(asked)).filter(~(F.col("_kind") & blocked)).select("query_id", "chunk_id")
+    return own.crossJoin(small(asked)).filter(~(F.col("_kind") & blocked)).select("query_id", "chunk_id")
 
 
 def scoped(rows: DataFrame, source: str | None = None, article: str | None = None) -> DataFrame:
@@ -93,10 +94,14 @@ def trivial(text: Column, stop_words: list[str], domain: list[str]) -> Column:
 
 
 def service_reply(queries: DataFrame, rules: DataFrame, exclude: list[str], longest: int = 15) -> DataFrame:
-    """(query_id, reply): the first rule (pos, keywords, reply) that a short query without excluded words meets."""
+    """(query_id, reply): the first rule (pos, keywords, reply) that a short query without excluded words meets.
+    Questions, keywords and excluded words are all normalized; empty words and rules without a reply don't count."""
+    some = lambda words: F.filter(F.transform(words, normalized), lambda w: w != "")
+    none = F.array(*map(F.lit, exclude)) if exclude else F.array().cast("array<string>")
     plain = queries.select("query_id", normalized(F.col("text")).alias("_t"))
-    plain = plain.filter((F.char_length("_t") <= longest) & (F.char_length("_t") > 0) & ~any_in(F.col("_t"), F.array(*map(F.lit, exclude or ["\0"]))))
-    return plain.join(F.broadcast(rules), any_in(F.col("_t"), F.col("keywords"))).groupBy("query_id").agg(F.min_by("reply", "pos").alias("reply"))
+    plain = plain.filter((F.char_length("_t") <= longest) & (F.char_length("_t") > 0) & ~any_in(F.col("_t"), some(none)))
+    table = rules.filter("coalesce(reply, '') <> ''").select("pos", "reply", some(F.col("keywords")).alias("_words"))
+    return plain.join(small(table), any_in(F.col("_t"), F.col("_words"))).groupBy("query_id").agg(F.min_by("reply", "pos").alias("reply"))
 
 
 def about_conversation(text: Column, times: list[str], verbs: list[str]) -> Column:
@@ -106,7 +111,7 @@ def about_conversation(text: Column, times: list[str], verbs: list[str]) -> Colu
 
 def domains(contexts: DataFrame, table: DataFrame) -> DataFrame:
     """(query_id, pos, domain): domains (pos, domain, keywords) of which a source of the contexts holds a keyword."""
-    hit = contexts.select("query_id", "source").distinct().join(F.broadcast(table), any_in(F.col("source"), F.col("keywords")))
+    hit = contexts.select("query_id", "source").distinct().join(small(table), any_in(F.col("source"), F.col("keywords")))
     return hit.select("query_id", "pos", "domain").distinct()
 
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarryline.functions.text import clause_label, numeral
 from quarryline.functions.vectors import dot
 from quarryline.operators import context, fusion, lexical, rerank
 from quarryline.plans import fixtures as fx
 from quarryline.registry import literal, query
+from quarryline.staging import small, stage
 from quarryline.sources import providers
 
 WIDTH, LEAST, TOP = 24, 0.05, 7
@@ -25,7 +27,7 @@ CANDIDATES = f"""{fx.CHUNKS}, {fx.QUESTIONS}, cands AS (
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest chunks of each query; their cosine is the offline reranker's score."""
     c, q = fx.vector_chunks(spark, sf_dir), fx.queries(spark, sf_dir)
-    near = c.select("chunk_id", "embedding").join(F.broadcast(q.select("query_id", F.col("embedding").alias("q"))))
+    near = c.select("chunk_id", "embedding").join(small(q.select("query_id", F.col("embedding").alias("q"))))
     near = near.select("query_id", "chunk_id", dot(F.col("embedding"), F.col("q")).alias("cosine"))
     near = near.withColumn("pos", fusion.rank("cosine", "query_id")).filter(F.col("pos") < WIDTH)
     return near.join(c.drop("embedding"), "chunk_id")
@@ -140,15 +142,15 @@ def penalty_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT query_id, chunk_id, bm25, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, chunk_id) AS r FROM bm QUALIFY r <= 3 AND bm25 >= 10
 ), more AS (
   SELECT query_id, chunk_id, 2 + row_number() OVER (PARTITION BY query_id ORDER BY r, chunk_id) AS pos FROM heads
-  WHERE (query_id, chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM ctx) AND (query_id, chunk_id) IN (SELECT (query_id, chunk_id) FROM near WHERE pos < 200)
+  WHERE (query_id, chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM ctx)
 ) SELECT * FROM ctx UNION ALL SELECT * FROM more WHERE pos <= 7""")
 def expansion_guarantee(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J9, Q10."""
     c, q = fx.vector_chunks(spark, sf_dir), fx.queries(spark, sf_dir)
-    pairs = fusion.scored_pairs(c, q, lexical.build(c)).persist()
-    near = pairs.withColumn("pos", fusion.rank("cosine", "query_id"))
+    pairs = stage(fusion.scored_pairs(c, q, lexical.build(c)), "pairs")
+    first = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("cosine", fusion.DIGITS).desc(), "chunk_id"))).filter("_n <= 3")
     bm25 = pairs.filter("bm25 > 0").select("query_id", F.lit("as asked").alias("expansion"), "chunk_id", "bm25")
-    return context.ensured(near.filter("pos < 3"), near.filter("pos < 200"), bm25).withColumn("pos", F.col("pos").cast("long"))
+    return context.ensured(first.withColumn("pos", F.col("_n") - 1), pairs, bm25).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query("a10_merged_citations", f"""WITH {_CONTEXTS}, grouped AS (
@@ -183,13 +185,14 @@ def prompt_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.prompt_blocks(ctx).select("query_id", F.md5("prompt").alias("prompt_md5"), "n_sources")
 
 
-LAWS = "(VALUES (1, '中华人民共和国道路法', '第一条', '依照本法第三条处理'), (2, '中华人民共和国道路法', '第三条', '没有引用'), (3, '登记规定', '第七条', '按照《道路法》第三条执行'), (4, '登记规定', '第八条', '依据《道路》第一条'), (5, '登记规定', '第九条', '根据《不存在的法》第一条')) AS t(chunk_id, source, article_no, text)"
+LAWS = "(VALUES (1, '中华人民共和国道路法', '第一条', '依照本法第三条处理'), (2, '中华人民共和国道路法', '第三条', '没有引用'), (3, '登记规定', '第七条', '按照《道路法》第三条执行'), (4, '登记规定', '第八条', '依据《道路》第一条'), (5, '登记规定', '第九条', '根据《不存在的法》第一条'), (6, '登记规定', '第十条', '按照《没有》第二条，并依据《道路法》第三条'), (7, '道路', '第一条', '短名')) AS t(chunk_id, source, article_no, text)"
 
 
-@query("j5_cited_articles", "SELECT * FROM (VALUES (1, 2, 1), (2, 2, 3), (2, 1, 4)) AS t(question_id, chunk_id, cited_by)")
+@query("j5_cited_articles", "SELECT * FROM (VALUES (1, 2, 1), (2, 2, 3), (2, 7, 4), (3, 2, 6)) AS t(question_id, chunk_id, cited_by)")
 def cited_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Own law; by name without the state's, and by containment; an unknown law cites nothing."""
-    hits = literal(spark, "(VALUES (1, 1, 0), (2, 3, 0), (2, 4, 1), (2, 5, 2)) AS t(question_id, chunk_id, pos)")
+    """Own law; by whole name, before others that contain it; by name without the state's; an unknown
+    law cites nothing, but the next one that is known does."""
+    hits = literal(spark, "(VALUES (1, 1, 0), (2, 3, 0), (2, 4, 1), (2, 5, 2), (3, 6, 0)) AS t(question_id, chunk_id, pos)")
     return context.cited_chunks(hits, literal(spark, LAWS))
 
 

@@ -42,6 +42,11 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.join(vectors, "query_id").withColumns({"question_id": F.floor(F.col("query_id") / 4), "query_pos": F.pmod("query_id", F.lit(4))})
 
 
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, text: every question, with or without a vector."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
 CHUNKS = """base AS (
   SELECT d.doc_id, d.text, d.source, d.lang, l.quality, l.toxic, min(d.doc_id) OVER (PARTITION BY d.source, d.doc_id // 100) AS parent
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
@@ -60,9 +65,7 @@ QUESTIONS = """qs AS (
 
 TERMS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 
-INDEX = f"""{CHUNKS}, {QUESTIONS}, vc AS (
-  SELECT c.*, e.embedding FROM chunks c JOIN embeddings e ON e.vec_id = c.chunk_id
-), tf AS (
+_BM25 = f"""tf AS (
   SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest({TERMS}) AS term FROM vc) GROUP BY chunk_id, term
 ), lengths AS (
   SELECT chunk_id, len({TERMS}) AS dl FROM vc
@@ -81,6 +84,12 @@ INDEX = f"""{CHUNKS}, {QUESTIONS}, vc AS (
   FROM asked JOIN idf USING (term) JOIN tf USING (term) JOIN lengths USING (chunk_id), corpus GROUP BY query_id, chunk_id
 )"""
 
+INDEX = f"""{CHUNKS}, {QUESTIONS}, vc AS (
+  SELECT c.*, e.embedding FROM chunks c JOIN embeddings e ON e.vec_id = c.chunk_id
+), {_BM25}"""
+#: The same over all chunks and all questions: BM25 needs no vectors.
+LEXICAL = f"""vc AS (SELECT doc_id AS chunk_id, text FROM documents), qs AS (SELECT item_id AS query_id, text FROM benchmark), {_BM25}"""
+
 PAIRS = f"""{INDEX}, pairs AS (
   SELECT qs.query_id, vc.chunk_id, vc.source, coalesce(bm25, 0.0) AS bm25,
     list_sum(list_transform(list_zip(vc.embedding, qs.q), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) AS cosine

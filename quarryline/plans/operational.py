@@ -11,6 +11,7 @@ from quarryline.operators import index_maintenance as index
 from quarryline.operators import operations as ops
 from quarryline.plans import fixtures as fx
 from quarryline.registry import literal, query
+from quarryline.staging import new_path
 from quarryline.streaming import events as stream
 
 
@@ -20,11 +21,37 @@ def trace_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.trace_rollup(fx.traces(spark, sf_dir))
 
 
-@query("a2_token_accounting", f"""WITH {fx.TRACES} SELECT trace_id, CAST(coalesce(sum(tokens) FILTER (WHERE name = 'view'), 0) AS BIGINT) AS prompt, CAST(coalesce(sum(tokens) FILTER (WHERE name = 'click'), 0) AS BIGINT) AS completion,
-  CAST(coalesce(sum(tokens) FILTER (WHERE name IN ('view', 'click')), 0) AS BIGINT) AS total FROM traces GROUP BY trace_id""")
+_TOKENS = """spans AS (
+  SELECT user_id || '-' || strftime(ts, '%Y%m%d') AS trace_id, CAST(floor(value) AS BIGINT) AS total, CAST(floor(value / 4) AS BIGINT) AS prompt,
+    CASE event_type WHEN 'view' THEN 'llm.tokens' WHEN 'click' THEN 'embedding.tokens' WHEN 'purchase' THEN 'rerank.tokens' ELSE 'other' END AS name FROM events
+), sums AS (
+  SELECT trace_id, name, sum(total) AS total, sum(prompt) AS prompt FROM spans GROUP BY trace_id, name
+) SELECT trace_id, """ + ", ".join(f"coalesce(sum(total) FILTER (WHERE name = '{e}'), 0)::BIGINT AS {c}" for c, e in ops.TOKEN_EVENTS.items()) + """,
+  coalesce(sum(prompt) FILTER (WHERE name <> 'other'), 0)::BIGINT AS prompt_tokens, coalesce(sum(total - prompt) FILTER (WHERE name <> 'other'), 0)::BIGINT AS completion_tokens,
+  coalesce(sum(total) FILTER (WHERE name <> 'other'), 0)::BIGINT AS total_tokens FROM sums GROUP BY trace_id"""
+
+
+def token_spans(events: DataFrame) -> DataFrame:
+    """Events as token counts of model calls: a trace per user and day, a quarter of an event's value as prompt."""
+    kind = F.create_map(*map(F.lit, ("view", "llm.tokens", "click", "embedding.tokens", "purchase", "rerank.tokens")))[F.col("event_type")]
+    total, prompt = F.floor("value").cast("long"), F.floor(F.col("value") / 4).cast("long")
+    trace = F.concat_ws("-", "user_id", F.date_format("ts", "yyyyMMdd")).alias("trace_id")
+    return events.select(trace, F.coalesce(kind, F.lit("other")).alias("name"), prompt.alias("prompt"), (total - prompt).alias("completion"), total.alias("total"))
+
+
+@query("a2_token_accounting", f"WITH {_TOKENS}")
 def token_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A2, X6 (batch form)."""
-    return ops.token_accounting(fx.traces(spark, sf_dir), {"prompt": "view", "completion": "click"})
+    """A2."""
+    return ops.token_accounting(token_spans(fx.table(spark, sf_dir, "events")))
+
+
+@query("x6_stream_tokens", f"WITH {_TOKENS}")
+def stream_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sums as a stream in update mode, over files of which a few come at a time; the last update counts."""
+    at = new_path(spark, "token-stream")
+    fx.table(spark, sf_dir, "events").select("ts", "user_id", "event_type", "value").repartition(6).write.parquet(f"{at}/in")
+    plan = lambda source: ops.token_accounting(token_spans(source))
+    return stream.replayed_updates(spark, f"{at}/in", "ts timestamp_ntz, user_id long, event_type string, value double", plan, ["trace_id"], at)
 
 
 @query("a3_daily_usage", "SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events GROUP BY ALL")
@@ -77,11 +104,7 @@ def stream_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf_dir: str, plan) -> DataFrame:
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/quarryline-streams"
-    at = f"{root}/stream-{uuid.uuid4().hex}"
+    at = new_path(spark, "stream")
     fx.table(spark, sf_dir, "events").select("ts", "user_id").write.parquet(f"{at}/in")
     return stream.replay(spark, f"{at}/in", "ts timestamp_ntz, user_id long", plan, f"{at}/checkpoint", f"{at}/out")
 
@@ -172,14 +195,14 @@ def token_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "events").select("event_id", ops.token_hash(F.col("user_id").cast("string")).alias("hash"), ops.expiry(F.col("ts"), days).alias("expires"))
 
 
-@query("j18_span_depth", """WITH RECURSIVE s AS (SELECT event_id AS span_id, event_id // 64 AS trace_id, CASE WHEN event_id % 64 > 0 THEN event_id // 64 * 64 + (event_id % 64) // 2 END AS parent_id FROM events),
+@query("j18_span_depth", """WITH RECURSIVE s AS (SELECT event_id AS span_id, event_id // 64 AS trace_id, CASE WHEN event_id % 64 > 0 THEN event_id // 64 * 64 + CASE WHEN event_id // 64 % 2 = 0 THEN (event_id % 64) // 2 ELSE event_id % 64 - 1 END END AS parent_id FROM events),
 tree AS (SELECT trace_id, span_id, 0 AS depth FROM s WHERE parent_id IS NULL UNION ALL SELECT s.trace_id, s.span_id, t.depth + 1 FROM s JOIN tree t ON s.trace_id = t.trace_id AND s.parent_id = t.span_id)
 SELECT * FROM tree""")
 def span_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans in trees of 64."""
+    """Spans in trees of 64, every other one a chain."""
     e = fx.table(spark, sf_dir, "events").select(F.col("event_id").alias("span_id"))
     trace, place = F.floor(F.col("span_id") / 64), F.col("span_id") % 64
-    return ops.span_depths(e.select("span_id", trace.alias("trace_id"), F.when(place > 0, trace * 64 + F.floor(place / 2)).alias("parent_id")))
+    return ops.span_depths(e.select("span_id", trace.alias("trace_id"), F.when(place > 0, trace * 64 + F.when(trace % 2 == 0, F.floor(place / 2)).otherwise(place - 1)).alias("parent_id")))
 
 
 _SIDES = """olds AS (SELECT doc_id AS chunk_id, source, sha256(text) AS h FROM documents WHERE doc_id % 10 < 8), news AS (
@@ -193,8 +216,8 @@ def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _manifests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A file per chunk."""
-    as_files = lambda d: d.select(F.col("source").alias("category"), F.col("chunk_id").cast("string").alias("source"), F.encode("text", "utf-8").alias("content"), F.lit(1).alias("article_count"))
+    """A file per chunk, of one to three articles."""
+    as_files = lambda d: d.select(F.col("source").alias("category"), F.col("chunk_id").cast("string").alias("source"), F.encode("text", "utf-8").alias("content"), (1 + F.col("chunk_id") % 3).alias("article_count"))
     return tuple(index.manifest(as_files(d)) for d in _sides(spark, sf_dir))
 
 
@@ -210,10 +233,20 @@ def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.diff(*_manifests(spark, sf_dir))
 
 
-@query("a13_ingest_counters", f"WITH {_DIFF} SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE change = '{c}') AS {c}" for c in ("added", "updated", "removed", "skipped")) + " FROM changes")
+def _articles(condition: str, name: str) -> str:
+    return f"coalesce(sum(1 + CAST(source AS BIGINT) % 3) FILTER (WHERE change {condition}), 0)::BIGINT AS {name}"
+
+
+_COUNTED = ", ".join(_articles(f"= '{c}'", c) for c in ("added", "updated", "removed", "skipped"))
+
+
+@query("a13_ingest_counters", f"WITH {_DIFF} SELECT {_articles("<> 'removed'", 'total')}, {_COUNTED} FROM changes")
 def ingest_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A13."""
-    return index.counters(index.diff(*_manifests(spark, sf_dir)))
+    """Articles, not files; of removed files the chunks that are stored."""
+    old, new = _manifests(spark, sf_dir)
+    stored = lambda m: m.select("category", "source", F.explode(F.sequence(F.lit(1), "article_count")).alias("chunk_id"))
+    out = index.counters(index.diff(old, new), old, new, stored(old), stored(new))
+    return out.select(*[F.col(c).cast("long").alias(c) for c in out.columns])
 
 
 @query("s9_upsert", f"WITH {_SIDES} SELECT chunk_id, h FROM olds WHERE chunk_id NOT IN (SELECT chunk_id FROM news) UNION ALL SELECT chunk_id, h FROM news")

@@ -16,7 +16,8 @@ MORE = "(VALUES (0, 'heit', '', 'three'), (1, 'aux', '', 'four')) AS t(pos, trig
 INTENTS = "(VALUES (0, 'definition', 'heit,aux', 'z{9}'), (1, 'penalty', 'ting', '[aeiou]{4}'), (2, 'procedure', 'the ', 'x$')) AS t(pos, intent, keywords, patterns)"
 WEIGHTS = "(VALUES ('penalty', 0.7), ('procedure', 0.4)) AS t(intent, weight)"
 SYNONYMS = "(VALUES (0, 'tion', 'act,deed'), (1, 'ing', 'deed,doing')) AS t(pos, word, expansions)"
-SERVICE = "(VALUES (0, 'hello', 'greeting'), (1, 'help,ello', 'what I do')) AS t(pos, keywords, reply)"
+SERVICE = "(VALUES (0, 'Hello,Never', ''), (1, 'Hel Lo!', 'greeting'), (2, 'HELP,?,ello', 'what I do')) AS t(pos, keywords, reply)"
+EXCLUDED = ["No Hello", "!"]
 SHORT = "(VALUES (1, 'Hello!'), (2, '3.14'), (3, '  '), (4, 'ok'), (5, 'What is the law on parking?'), (6, 'law?'), (7, '...'), (8, 'help me please, hello again'), (9, 'HELP'), (10, 'no hello'), (11, 'what did you say earlier'), (12, 'earlier you said so'), (13, 'x')) AS t(query_id, text)"
 _HAS = "len(list_filter(string_split({words}, ','), lambda w: contains({text}, w))) > 0"
 
@@ -97,7 +98,7 @@ def query_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.query_lists(questions, expansions, providers.no_rewrites(questions)).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query("f3_context_gate", f"""WITH {fx.CHUNKS} SELECT b.item_id AS query_id, c.chunk_id FROM benchmark b JOIN chunks c ON c.chunk_id % 40 = b.item_id % 40
+@query("f3_context_gate", f"""WITH {fx.CHUNKS} SELECT b.item_id AS query_id, c.chunk_id FROM benchmark b CROSS JOIN chunks c
 WHERE NOT (c.chunk_type = 'clause' AND NOT (contains(b.text, 'then') OR contains(b.text, 'ally')) AND (contains(c.text, 'license') OR contains(c.text, 'heit')))""")
 def context_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """every chunk for every question of the stated set."""
@@ -116,10 +117,19 @@ def trivial_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return literal(spark, SHORT).select("query_id", rules.trivial(F.col("text"), ["ok", "help"], ["law"]).alias("is_trivial"))
 
 
-@query("f8_public_service", "SELECT * FROM (VALUES (1, 'greeting'), (9, 'what I do')) AS t(query_id, reply)")
+_PLAIN = "regexp_replace(lower({}), '[\\s　，。！？、,.!?;；:：()（）]+', '', 'g')"
+
+
+@query("f8_public_service", f"""WITH asked AS (SELECT query_id, {_PLAIN.format('text')} AS t FROM {SHORT}), words AS (
+  SELECT pos, reply, {_PLAIN.format('unnest(string_split(keywords, chr(44)))')} AS word FROM {SERVICE} WHERE reply <> ''
+), hit AS (
+  SELECT query_id, pos, reply FROM asked JOIN words ON word <> '' AND contains(t, word) WHERE length(t) BETWEEN 1 AND 15
+  AND NOT EXISTS (SELECT 1 FROM (VALUES {', '.join(f"('{w}')" for w in EXCLUDED)}) AS x(w) WHERE {_PLAIN.format('w')} <> '' AND contains(t, {_PLAIN.format('w')}))
+) SELECT query_id, arg_min(reply, pos) AS reply FROM hit GROUP BY query_id""")
 def public_service(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rule order decides; a long text and one with an excluded word get none."""
-    return rules.service_reply(literal(spark, SHORT), lists(literal(spark, SERVICE), "keywords"), ["nohello"])
+    """Rule order decides; a long text and one with an excluded word get none; words are normalized like
+    questions, and empty ones and rules without a reply don't count."""
+    return rules.service_reply(literal(spark, SHORT), lists(literal(spark, SERVICE), "keywords"), EXCLUDED)
 
 
 @query("f9_about_conversation", "SELECT * FROM (VALUES (12)) AS t(query_id)")
@@ -135,7 +145,7 @@ def negation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", stripped_negation(F.col("text"), ["没", "未", "没有", "不"]).alias("plain"))
 
 
-@query("c23_normalized", "SELECT item_id AS query_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '', 'g') AS plain FROM benchmark")
+@query("c23_normalized", f"SELECT item_id AS query_id, {_PLAIN.format('text')} AS plain FROM benchmark")
 def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C23."""
     return asked(spark, sf_dir).select("query_id", normalized(F.col("text")).alias("plain"))

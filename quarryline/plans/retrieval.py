@@ -10,6 +10,7 @@ from quarryline.functions.text import any_in
 from quarryline.operators import context, fusion, lexical, rerank
 from quarryline.plans import fixtures as fx
 from quarryline.registry import query
+from quarryline.staging import small, stage
 
 TOP_K = 10
 #: Weight of the protected path, boost of concept rows, cap, quotas and budget.
@@ -19,13 +20,13 @@ DEFINITIONS, PENALTIES, REWRITES, REWRITE_TOP, REWRITE_LEAST, BUDGET = 8, 3, 3,
 
 def pairs_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Vector chunks, queries, and every pair of them with both scores. Several routes read the pairs, so they are
-    kept; what an executor loses is computed again."""
-    c, q = fx.vector_chunks(spark, sf_dir), fx.queries(spark, sf_dir)
-    return c, q, fusion.scored_pairs(c, q, lexical.build(c)).persist()
+    staged once."""
+    c, q = fx.vector_chunks(spark, sf_dir), stage(fx.queries(spark, sf_dir), "queries")
+    return c, q, stage(fusion.scored_pairs(c, q, lexical.build(c)), "pairs")
 
 
 def question_hits(pairs: DataFrame, queries: DataFrame) -> DataFrame:
-    return fusion.routes(pairs).join(queries.select("query_id", "question_id", "query_pos"), "query_id")
+    return stage(fusion.routes(pairs).join(queries.select("query_id", "question_id", "query_pos"), "query_id"), "hits")
 
 
 def protected(pairs: DataFrame, chunks: DataFrame, queries: DataFrame, concepts: list[str], wide: str, markers: list[str]) -> DataFrame:
@@ -77,13 +78,14 @@ def budget(candidates: DataFrame, limit: int = BUDGET) -> DataFrame:
 
 def multi_query(chunks: DataFrame, queries: DataFrame, pairs: DataFrame, bm25: DataFrame, concepts: list[str], wide: str, markers: list[str]) -> DataFrame:
     """(question_id, chunk_id, score, pos): all stages in turn, with the rewrites', citations' and hierarchy's rows."""
-    hits = question_hits(pairs, queries).persist()
-    found = fused_candidates(hits, protected(pairs, chunks, queries, concepts, wide, markers)).persist()
+    hits = question_hits(pairs, queries)
+    found = stage(fused_candidates(hits, stage(protected(pairs, chunks, queries, concepts, wide, markers), "protected")), "candidates")
     zero = F.lit(0.0).alias("score")
     none = F.lit(None).cast("int").alias("floor_pos")
     found = found.unionByName(rewrite_rows(found, bm25, queries).select("question_id", "chunk_id", zero, none))
     placed = found.withColumn("pos", fusion.rank("score", "question_id"))
-    found = found.unionByName(context.cited_chunks(placed.select("question_id", "chunk_id", "pos"), chunks).select("question_id", "chunk_id", zero, none)).persist()
+    found = found.unionByName(context.cited_chunks(placed.select("question_id", "chunk_id", "pos"), chunks).select("question_id", "chunk_id", zero, none))
+    found = stage(found, "candidates")
     related = context.hierarchy(found.select("question_id", "chunk_id", "score"), chunks)
     return budget(found.unionByName(related.select("question_id", "chunk_id", "score", none)))
 
@@ -94,30 +96,30 @@ SELECT query_id, chunk_id, round(score, 6) AS score, pos FROM (
 def hybrid_rrf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship query."""
     _, _, pairs = pairs_of(spark, sf_dir)
-    out = fusion.top(fusion.fused(pairs, "query_id"), TOP_K, "query_id")
+    out = fusion.fused_top(pairs, TOP_K, "query_id")
     return out.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("pos").cast("long").alias("pos"))
 
 
-@query("a9_term_stats", f"WITH {fx.INDEX} SELECT term, df, round(idf, 6) AS idf FROM idf")
+@query("a9_term_stats", f"WITH {fx.LEXICAL} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A9, C18, K5."""
-    index = lexical.build(fx.vector_chunks(spark, sf_dir))
+    index = lexical.build(fx.chunks(spark, sf_dir))
     return index.terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-@query("j1_bm25_scores", f"WITH {fx.INDEX} SELECT query_id, chunk_id, round(bm25, 6) AS bm25 FROM bm")
+@query("j1_bm25_scores", f"WITH {fx.LEXICAL} SELECT query_id, chunk_id, round(bm25, 6) AS bm25 FROM bm")
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J1."""
-    c = fx.vector_chunks(spark, sf_dir)
-    return lexical.scores(lexical.build(c), fx.queries(spark, sf_dir)).select("query_id", "chunk_id", F.round("bm25", 6).alias("bm25"))
+    c = fx.chunks(spark, sf_dir)
+    return lexical.scores(lexical.build(c), fx.asked(spark, sf_dir)).select("query_id", "chunk_id", F.round("bm25", 6).alias("bm25"))
 
 
-@query("o12_bm25_only", f"""WITH {fx.INDEX} SELECT query_id, chunk_id, pos FROM (
+@query("o12_bm25_only", f"""WITH {fx.LEXICAL} SELECT query_id, chunk_id, pos FROM (
   SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, chunk_id) - 1 AS pos FROM bm) WHERE pos < 10""")
 def bm25_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O12, quirk Q3: the fallback as intended, where vectors don't fit."""
-    c = fx.vector_chunks(spark, sf_dir)
-    rows = lexical.scores(lexical.build(c), fx.queries(spark, sf_dir)).withColumn("pos", fusion.rank("bm25", "query_id"))
+    c = fx.chunks(spark, sf_dir)
+    rows = lexical.scores(lexical.build(c), fx.asked(spark, sf_dir)).withColumn("pos", fusion.rank("bm25", "query_id"))
     return rows.filter(F.col("pos") < TOP_K).select("query_id", "chunk_id", F.col("pos").cast("long").alias("pos"))
 
 
@@ -132,7 +134,7 @@ def exact_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     c = fx.vector_chunks(spark, sf_dir).select("chunk_id", "embedding")
     q = fx.queries(spark, sf_dir).select("query_id", F.col("embedding").alias("q"))
-    rows = c.join(F.broadcast(q)).select("query_id", "chunk_id", dot(F.col("embedding"), F.col("q")).alias("cosine"))
+    rows = c.join(small(q)).select("query_id", "chunk_id", dot(F.col("embedding"), F.col("q")).alias("cosine"))
     rows = rows.withColumn("_r", fusion.rank("cosine", "query_id")).filter("_r < 8")
     return rows.select("query_id", "chunk_id", F.round("cosine", 6).alias("cosine"))
 

@@ -120,11 +120,27 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.articles(literal(spark, STATUTE)).select("article_no", "section_header", "text")
 
 
-@query("c6_clauses", """SELECT * FROM (VALUES ('第一条', '第一条', 'article', ''), ('第二条', '第二条', 'article', ''), ('第二条第一款', '第二条', 'clause', '有下列行为的，处罚款：'), ('第二条第二款', '第二条', 'clause', '有下列行为的，处罚款：'),
-  ('第三条', '第三条', 'article', ''), ('第三条之一', '第三条之一', 'article', ''), ('第四条', '第四条', 'article', '')) AS t(article_no, parent_article_no, chunk_type, penalty_context)""")
+#: The three marks, one mark alone, brackets of two kinds (no mark), a mark inside a line, numerals up to ten thousand.
+MARKED = """(VALUES ('第一条', '为了安全。'), ('第二条', concat('有下列行为的，处罚款：', chr(10), '（一）超速；', chr(10), '（二）逆行。')), ('第三条', concat('一、先行；', chr(10), '续行', chr(10), '二、后行。')),
+  ('第四条', concat('(一)甲', chr(10), '(十二) 乙')), ('第五条', concat('（一)不是', chr(10), '(二）也不是')), ('第六条之一', concat('前置', chr(10), '（十）十；', chr(10), '见（一）行中', chr(10), '（一万）万。')), ('第七条', '（一）只有一项')) AS t(article_no, text)"""
+
+
+@query("c6_clauses", f"""WITH a AS (SELECT * FROM {MARKED}), lines AS (
+  SELECT article_no, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM a
+), marks AS (
+  SELECT *, regexp_extract(line, '^(?:（([一二三四五六七八九十百千万]+)）|\\(([一二三四五六七八九十百千万]+)\\)|([一二三四五六七八九十百千万]+)、)', ['p', 'q', 'r']) AS m FROM lines
+), runs AS (
+  SELECT *, concat(m.p, m.q, m.r) AS label, sum(CASE WHEN concat(m.p, m.q, m.r) = '' THEN 0 ELSE 1 END) OVER (PARTITION BY article_no ORDER BY i) AS k FROM marks
+), parts AS (
+  SELECT article_no, k, max(label) FILTER (WHERE label <> '') AS label, string_agg(line, chr(10) ORDER BY i) AS part FROM runs GROUP BY article_no, k
+)
+SELECT article_no, article_no AS parent_article_no, 'article' AS chunk_type, '' AS penalty_context, text FROM a
+UNION ALL
+SELECT p.article_no || '第' || label || '款', p.article_no, 'clause', coalesce((SELECT trim(h.part) FROM parts h WHERE h.article_no = p.article_no AND h.k = 0), ''), trim(part)
+FROM parts p WHERE k > 0 AND (SELECT max(k) FROM parts h WHERE h.article_no = p.article_no) >= 2""")
 def clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C6, Q20."""
-    return chunking.clauses(chunking.articles(literal(spark, STATUTE))).select("article_no", "parent_article_no", "chunk_type", "penalty_context")
+    return chunking.clauses(literal(spark, MARKED)).select("article_no", "parent_article_no", "chunk_type", "penalty_context", "text")
 
 
 @query("c28_upload_chunks")
@@ -183,27 +199,41 @@ def upload_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.mapInArrow(run, f"item_id {kinds['item_id']}, doc_id {kinds['doc_id']}, pos int, place int")
 
 
-PDF = """(VALUES ('d', 1, 0, 10.0, 10.0, 90.0, 20.0, '目次'), ('d', 1, 1, 10.0, 30.0, 90.0, 40.0, '………'), ('d', 1, 2, 10.0, 50.0, 90.0, 60.0, '......'), ('d', 1, 3, 10.0, 70.0, 90.0, 80.0, '····'),
+PDF = """(VALUES ('d', 1, 0, 10.0, 10.0, 90.0, 20.0, '目次'), ('d', 1, 1, 10.0, 30.0, 90.0, 40.0, '1 范围………1'), ('d', 1, 2, 10.0, 50.0, 90.0, 60.0, '2 引用文件......2'), ('d', 1, 3, 10.0, 70.0, 90.0, 80.0, '3 术语····3'),
   ('d', 2, 0, 10.0, 10.0, 90.0, 20.0, 'GB 1'), ('d', 2, 1, 50.0, 31.0, 90.0, 40.0, 'right'), ('d', 2, 2, 10.0, 30.0, 40.0, 40.0, 'left'), ('d', 2, 3, 10.0, 34.0, 90.0, 44.0, 'same row'), ('d', 2, 4, 10.0, 780.0, 20.0, 790.0, '2'), ('d', 2, 5, 10.0, 400.0, 20.0, 410.0, '7'),
-  ('d', 3, 0, 10.0, 10.0, 90.0, 20.0, 'Header'), ('d', 4, 0, 10.0, 10.0, 90.0, 20.0, 'Header'), ('d', 5, 0, 10.0, 10.0, 90.0, 20.0, 'Header'), ('d', 5, 1, 10.0, 30.0, 90.0, 40.0, 'in table'), ('d', 5, 2, 10.0, 300.0, 90.0, 310.0, 'body')) AS t(doc, page, line, x0, y0, x1, y1, text)"""
-HEIGHTS = "(VALUES ('d', 1, 800.0), ('d', 2, 800.0), ('d', 3, 800.0), ('d', 4, 800.0), ('d', 5, 800.0)) AS t(doc, page, height)"
+  ('d', 3, 0, 10.0, 10.0, 90.0, 20.0, 'Header'), ('d', 4, 0, 10.0, 10.0, 90.0, 20.0, 'Header'), ('d', 5, 0, 10.0, 10.0, 90.0, 20.0, 'Header'), ('d', 5, 1, 10.0, 30.0, 90.0, 40.0, 'in table'), ('d', 5, 2, 10.0, 300.0, 90.0, 310.0, 'body'),
+  ('d', 6, 0, 10.0, 10.0, 90.0, 20.0, 'so…… on'), ('d', 6, 1, 10.0, 30.0, 90.0, 40.0, '………'), ('d', 6, 2, 10.0, 50.0, 90.0, 60.0, 'and………so'), ('d', 6, 3, 10.0, 70.0, 90.0, 80.0, 'plain'), ('d', 6, 4, 10.0, 90.0, 90.0, 100.0, 'more'),
+  ('d', 6, 5, 10.0, 110.0, 90.0, 120.0, 'text'), ('d', 6, 6, 10.0, 130.0, 90.0, 140.0, 'end……… '), ('d', 6, 7, 10.0, 725.0, 20.0, 740.0, '12'), ('d', 6, 8, 10.0, 730.5, 20.0, 735.0, 'Ⅻ'), ('d', 6, 9, 10.0, 150.0, 20.0, 160.0, 'GB 12')) AS t(doc, page, line, x0, y0, x1, y1, text)"""
+HEIGHTS = "(VALUES ('d', 1, 800.0), ('d', 2, 800.0), ('d', 3, 800.0), ('d', 4, 800.0), ('d', 5, 800.0), ('d', 6, 800.0)) AS t(doc, page, height)"
 
 
 def pdf(spark: SparkSession) -> DataFrame:
     return literal(spark, PDF).withColumns({c: F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")})
 
 
-@query("f10_contents_pages", "SELECT * FROM (VALUES ('d', 1)) AS t(doc, page)")
+_CONTENTS = f"""p AS (SELECT * FROM {PDF}), contents AS (
+  SELECT doc, page FROM p GROUP BY doc, page HAVING count(*) FILTER (WHERE regexp_matches(text, '[….．·]{{3,}}')) >= greatest(3, count(*) / 2.0)
+)"""
+
+
+@query("f10_contents_pages", f"WITH {_CONTENTS} SELECT * FROM contents")
 def contents_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F10, A14."""
+    """Lines of dots with a title and a page before and behind them; a page with three such lines of ten is
+    none."""
     return layout.contents_pages(pdf(spark))
 
 
-@query("f11_page_furniture", "SELECT page, count(*) AS n FROM (VALUES (2), (2), (2), (2), (5), (5)) AS t(page) GROUP BY page")
+@query("f11_page_furniture", f"""WITH {_CONTENTS}, body AS (
+  SELECT * FROM p WHERE (doc, page) NOT IN (SELECT (doc, page) FROM contents) AND NOT (regexp_matches(text, '[….．·]{{3,}}') AND trim(regexp_replace(text, '[….．·]{{3,}}', '', 'g')) = '')
+), repeats AS (
+  SELECT doc, text FROM body WHERE length(text) <= 30 AND NOT regexp_matches(text, '^[0-9.\\s]+$') GROUP BY doc, text HAVING count(DISTINCT page) >= 3
+) SELECT page, line, text FROM body JOIN {HEIGHTS} USING (doc, page) WHERE (doc, text) NOT IN (SELECT (doc, text) FROM repeats)
+AND NOT contains(text, 'GB 1') AND NOT (y0 > height - 70 AND regexp_matches(text, '^[0-9ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩⅪⅫ]{{1,3}}$'))""")
 def page_furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Foot numbers, the standard's number, contents and lines of three pages go."""
+    """Foot numbers (by their tops), the standard's number, contents, lines of dots alone and lines of
+    three pages go."""
     rows = layout.without_repeats(layout.without_contents(pdf(spark)))
-    return layout.without_feet(rows, literal(spark, HEIGHTS), [], "GB 1").groupBy("page").agg(F.count("*").alias("n"))
+    return layout.without_feet(rows, literal(spark, HEIGHTS), [], "GB 1").select("page", "line", "text")
 
 
 @query("f12_table_exclusion", "SELECT * FROM (VALUES (0, 'Header'), (2, 'body')) AS t(line, text)")
@@ -219,16 +249,17 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.reading_order(pdf(spark).filter("page = 2")).select("place", "row", "text")
 
 
-OUTLINE = "(VALUES ('s', 0, '封面'), ('s', 1, '1 范 围'), ('s', 2, '本标准。'), ('s', 3, '5 要求'), ('s', 4, '5.2 尺寸'), ('s', 5, '5.'), ('s', 6, '2.'), ('s', 7, '1 长度限值'), ('s', 8, '不大于十。'), ('s', 9, '5.3 质量'), ('s', 10, '轻。'), ('s', 11, '参考文献'), ('s', 12, '9 无关')) AS t(doc, pos, text)"
+OUTLINE = "(VALUES ('s', 0, '封面'), ('s', 1, '1 范 围'), ('s', 2, '本标准。'), ('s', 3, '5 要求'), ('s', 4, '5.2 尺寸'), ('s', 5, '5.'), ('s', 6, '2.'), ('s', 7, '1 长度限值'), ('s', 8, '不大于十。'), ('s', 9, '5.3 质量'), ('s', 10, '轻。'), ('s', 11, '6.'), ('s', 12, '1长度'), ('s', 13, '长。'), ('s', 14, '6.'), ('s', 15, '2.'), ('s', 16, '1'), ('s', 17, '7.'), ('s', 18, '孤立'), ('s', 19, '1234.5 大号'), ('s', 20, '参考文献'), ('s', 21, '9 无关')) AS t(doc, pos, text)"
 
 
-@query("w13_outline_events", "SELECT pos, no, rest, coalesce(level, 0) AS level FROM (VALUES (1, '1', '范围', 1), (2, NULL, '本标准。', NULL), (3, '5', '要求', 1), (4, '5.2', '尺寸', 2), (7, '5.2.1', '长度限值', 3), (8, NULL, '不大于十。', NULL), (9, '5.3', '质量', 2), (10, NULL, '轻。', NULL)) AS t(pos, no, rest, level)")
+@query("w13_outline_events", "SELECT pos, no, rest, coalesce(level, 0) AS level FROM (VALUES (1, '1', '范围', 1), (2, NULL, '本标准。', NULL), (3, '5', '要求', 1), (4, '5.2', '尺寸', 2), (7, '5.2.1', '长度限值', 3), (8, NULL, '不大于十。', NULL), (9, '5.3', '质量', 2), (10, NULL, '轻。', NULL), (12, '6.1', '长度', 2), (13, NULL, '长。', NULL), (16, '6.2.1', '', 3), (18, NULL, '孤立', NULL), (19, '1234.5', '大号', 2)) AS t(pos, no, rest, level)")
 def outline_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fragments join their leaf; the body runs from the first chapter to the references."""
+    """Fragments join their leaf, with or without a blank or a title; fragments without a leaf go; the body runs
+    from the first chapter to the references."""
     return layout.events(literal(spark, OUTLINE)).select("pos", "no", "rest", F.coalesce("level", F.lit(0)).alias("level"))
 
 
-@query("w11_outline_articles", "SELECT * FROM (VALUES ('1', '', '本标准。'), ('5.2.1', '5 要求', '长度限值' || chr(10) || '不大于十。'), ('5.3', '5 要求', '质量' || chr(10) || '轻。')) AS t(article_no, section_header, text)")
+@query("w11_outline_articles", "SELECT * FROM (VALUES ('1', '', '本标准。'), ('5.2.1', '5 要求', '长度限值' || chr(10) || '不大于十。'), ('5.3', '5 要求', '质量' || chr(10) || '轻。'), ('6.2.1', '5 要求', '孤立'), ('1234.5', '5 要求', '大号')) AS t(article_no, section_header, text)")
 def outline_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings with deeper ones behind them only head."""
     return layout.outline_articles(layout.events(literal(spark, OUTLINE))).select("article_no", "section_header", "text")
@@ -262,7 +293,7 @@ def merged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("pos", F.col("pos").cast("int"))
 
 
-@query("x1_concatenation", """WITH c AS (SELECT conv_id, turn, role, substr(text, 1, 200) AS t FROM conversations)
+@query("x1_concatenation", """WITH c AS (SELECT conv_id, turn, role, text AS t FROM conversations)
 SELECT conv_id, md5(coalesce(string_agg(t, '' ORDER BY turn, role, t) FILTER (WHERE role = 'user'), '')) AS deltas, md5(coalesce(string_agg(t, '' ORDER BY turn, role, t) FILTER (WHERE role = 'assistant'), '')) AS reasonings FROM c GROUP BY conv_id""")
 def merged_concatenation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X1's invariant: merging keeps each kind's text."""

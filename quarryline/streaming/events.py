@@ -8,7 +8,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 #: Characters, and milliseconds since the last flush, at which a buffer is flushed.
 MERGE_CHARS, MERGE_MS = 6, 16
@@ -46,19 +46,38 @@ def merged_events(events: Column, chars: int = MERGE_CHARS, wait_ms: int = MERGE
     return F.aggregate(events, start, step, lambda s: emit(s["out"], s["kind"], s["text"]))
 
 
+#: Kind and text of the open buffer (None and "" if there is none), and the time of the last flush.
+Buffer = tuple[str | None, str, int | None]
+
+
+def taken_in(buffer: Buffer, at: int, kind: str, content: str, chars: int = MERGE_CHARS, wait_ms: int = MERGE_MS) -> tuple[Buffer, list[tuple[str, str]]]:
+    """The buffer after an event, and what went out. A text of the buffer's kind is added to it; anything else closes
+    it first. What is no text goes out at once; a buffer goes out when it is long or old enough."""
+    held, text, flushed = buffer
+    flushed = at if flushed is None else flushed
+    fits = kind in TEXT_KINDS and held in (None, kind)
+    out = [] if fits or held is None else [(held, text)]
+    if kind not in TEXT_KINDS:
+        return (None, "", at), [*out, (kind, content)]
+    text, flushed = (text + content, flushed) if fits else (content, at)
+    due = len(text) >= chars or (text != "" and at - flushed >= wait_ms)
+    return ((None, "", at), [*out, (kind, text)]) if due else ((kind, text, flushed), out)
+
+
 def merged_sessions(events: DataFrame, session: str, order: list[str], chars: int = MERGE_CHARS, wait_ms: int = MERGE_MS) -> DataFrame:
     """The same over rows (session, order columns, at_ms, kind, content), to (session, pos, kind, content). Rows pass
     in order with one buffer as the state, so a session of any length takes linear time and no array holds it."""
     kind_of = events.schema[session].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, kind, text, flushed, pos = (), None, "", None, 0
+        now, buffer, pos = (), (None, "", None), 0
         out: list[tuple] = []
 
-        def emit(new: str, content: str) -> None:
+        def emit(rows: list[tuple[str, str]]) -> None:
             nonlocal pos
-            out.append((now[0], pos, new, content))
-            pos += 1
+            for kind, content in rows:
+                out.append((now[0], pos, kind, content))
+                pos += 1
 
         def batch(types: pa.Schema) -> pa.RecordBatch:
             columns = list(zip(*out, strict=True)) or [[]] * 4
@@ -69,70 +88,67 @@ def merged_sessions(events: DataFrame, session: str, order: list[str], chars: in
         types = None
         for rows in batches:
             types = rows.schema
-            for own, at, new, content in zip(*(rows.column(c).to_pylist() for c in (session, "at_ms", "kind", "content")), strict=True):
+            for own, at, kind, content in zip(*(rows.column(c).to_pylist() for c in (session, "at_ms", "kind", "content")), strict=True):
                 if now != (own,):
-                    if kind is not None:
-                        emit(kind, text)
-                    now, kind, text, flushed, pos = (own,), None, "", None, 0
-                flushed, content = at if flushed is None else flushed, content or ""
-                if new not in TEXT_KINDS:
-                    if kind is not None:
-                        emit(kind, text)
-                    emit(new, content)
-                    kind, text, flushed = None, "", at
-                    continue
-                if kind not in (None, new):
-                    emit(kind, text)
-                    text, flushed = "", at
-                kind, text = new, text + content
-                if len(text) >= chars or (text and at - flushed >= wait_ms):
-                    emit(kind, text)
-                    kind, text, flushed = None, "", at
+                    emit([buffer[:2]] if buffer[0] is not None else [])
+                    now, buffer, pos = (own,), (None, "", None), 0
+                buffer, gone = taken_in(buffer, at, kind, content or "", chars, wait_ms)
+                emit(gone)
             yield batch(types)
-        if kind is not None:
-            emit(kind, text)
+        if buffer[0] is not None:
+            emit([buffer[:2]])
             yield batch(types)
 
     rows = events.repartition(session).sortWithinPartitions(session, *order, "at_ms", "kind", "content")
     return rows.select(session, "at_ms", "kind", "content").mapInArrow(run, f"`{session}` {kind_of}, pos long, kind string, content string")
 
 
-def merged_stream(events: DataFrame, delay: str = "1 minute", idle_ms: int = 60_000) -> DataFrame:
-    """The same over a stream (session_id, ts, seq, kind, content): a buffer per session is the state, and goes out
-    with the next flush or, after the session falls idle, by a timeout."""
+class Merger(StatefulProcessor):
+    """Holds a session's buffer between batches. A timer ``idle_ms`` behind the session's last event flushes it by
+    event time, so a stream that ends with a later event leaves no buffer behind."""
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kind, text, flushed = state.get if state.exists else (None, "", 0)
-        out: list[tuple] = []
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("buffer", "kind string, text string, flushed long, timer long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        kind, text, flushed, timer = self.state.get() if self.state.exists() else (None, "", None, None)
+        buffer: Buffer = (kind, text, flushed)
+        frame = pd.concat(list(rows)).sort_values(["ts", "seq"])
+        out, at = [], 0
+        for ts, new, content in zip(frame["ts"], frame["kind"], frame["content"].fillna(""), strict=True):
+            at = int(ts.timestamp() * 1000)
+            buffer, gone = taken_in(buffer, at, new, content)
+            out += gone
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        timer = at + self.idle_ms if buffer[0] is not None else None
+        if timer is not None:
+            self.handle.registerTimer(timer)
+        self.state.update((*buffer, timer))
+        yield self._rows(key, out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        kind, text, *_ = self.state.get()
+        self.state.clear()
+        yield self._rows(key, [(kind, text)] if kind is not None else [])
 
-        def flush(at: int) -> None:
-            nonlocal kind, text, flushed
-            if kind is not None:
-                out.append((key[0], kind, text))
-            kind, text, flushed = None, "", at
-
-        if state.hasTimedOut:
-            flush(flushed)
-            state.remove()
-        else:
-            rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
-            for ts, new, content in zip(rows["ts"], rows["kind"], rows["content"].fillna(""), strict=True):
-                at = int(ts.timestamp() * 1000)
-                flushed = flushed or at
-                if new not in TEXT_KINDS:
-                    flush(at)
-                    out.append((key[0], new, content))
-                    continue
-                if kind not in (None, new):
-                    flush(at)
-                kind, text = new, text + content
-                if len(text) >= MERGE_CHARS or (text and at - flushed >= MERGE_MS):
-                    flush(at)
-            state.update((kind, text, flushed))
-            state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=["session_id", "kind", "content"])
-
-    return events.groupBy("session_id").applyInPandasWithState(run, "session_id string, kind string, content string", "kind string, text string, flushed long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    def close(self) -> None:
+        pass
+
+    @staticmethod
+    def _rows(key: tuple, out: list[tuple[str, str]]) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *o) for o in out], columns=["session_id", "kind", "content"])
+
+
+def merged_stream(events: DataFrame, delay: str = "1 minute", idle_ms: int = 60_000) -> DataFrame:
+    """The same over a stream (session_id, ts, seq, kind, content) with ``delay`` as its watermark. Needs the RocksDB
+    state store (spark.sql.streaming.stateStore.providerClass)."""
+    rows = events.withWatermark("ts", delay).groupBy("session_id")
+    return rows.transformWithStateInPandas(Merger(idle_ms), "session_id string, kind string, content string", "append", "EventTime")
 
 
 def windowed_counts(events: DataFrame, window: str = "60 seconds", delay: str = "10 minutes") -> DataFrame:
@@ -144,14 +160,30 @@ def daily_counts(events: DataFrame, delay: str = "1 day") -> DataFrame:
     return windowed_counts(events, "1 day", delay)
 
 
-def replay(spark: SparkSession, path: str, schema: str, plan, checkpoint: str, out: str, mode: str = "append") -> DataFrame:
+def replay(spark: SparkSession, path: str, schema: str, plan, checkpoint: str, out: str, mode: str = "append", files_a_batch: int = 1000) -> DataFrame:
     """Runs a streaming plan over all files of a folder, once, into Parquet, and reads the result."""
-    source = spark.readStream.schema(schema).parquet(path)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
     running = plan(source).writeStream.outputMode(mode).format("parquet").option("checkpointLocation", checkpoint).option("path", out).trigger(availableNow=True).start()
     running.awaitTermination()
     return spark.read.parquet(out)
 
 
+def replayed_updates(spark: SparkSession, path: str, schema: str, plan, key: list[str], at: str, files_a_batch: int = 2) -> DataFrame:
+    """Runs a streaming aggregate in update mode over all files of a folder, a few a batch, and keeps the last update
+    of each key. A batch overwrites its own folder, so one that is run again leaves no trace."""
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{at}/updates/batch={batch}")
+
+    running = plan(source).writeStream.outputMode("update").option("checkpointLocation", f"{at}/checkpoint").foreachBatch(write).trigger(availableNow=True).start()
+    running.awaitTermination()
+    updates = spark.read.parquet(f"{at}/updates")
+    others = [c for c in updates.columns if c not in (*key, "batch")]
+    last = updates.groupBy(*key).agg(F.max_by(F.struct(*others), "batch").alias("_last"))
+    return last.select(*key, "_last.*")
+
+
 def ndjson(events: DataFrame) -> DataFrame:
     """(session_id, seq, line): each event as a JSON line, in order of the cursor."""
     return events.select("session_id", "seq", F.to_json(F.struct("kind", "content")).alias("line"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime
+import random
 import re
+import time
 
 import duckdb
 import pytest
@@ -81,17 +83,34 @@ def test_merged_sessions_are_whole(spark):
 
 
 def test_merged_stream(spark, tmp_path):
-    """Texts long enough to go out at once come out of the stream as they went in, in order."""
-    at = datetime.datetime(2024, 1, 1)
-    rows = [("a", at + datetime.timedelta(milliseconds=i), i, "delta" if i % 3 else "done", f"text number {i}") for i in range(12)]
-    spark.createDataFrame(rows, "session_id string, ts timestamp, seq long, kind string, content string").coalesce(1).write.parquet(f"{tmp_path}/in")
-    source = spark.readStream.schema("session_id string, ts timestamp, seq long, kind string, content string").parquet(f"{tmp_path}/in")
-    # One batch: a plan with timeouts by the clock always has another batch to run.
-    running = stream.merged_stream(source).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(once=True).start()
-    if not running.awaitTermination(60):
-        running.stop()
-    got = spark.read.parquet(f"{tmp_path}/out").collect()
-    assert sorted((r.kind, r.content) for r in got) == sorted((r[3], r[4]) for r in rows)
+    """Short texts of two sessions over several batches: buffers outlive a batch, close by size, age, kind and other
+    events, and by the timer where a session goes silent."""
+    rng, rows = random.Random(6), []
+    start = datetime.datetime(2024, 1, 1)
+    for session in ("a", "b"):
+        at = 0
+        for i in range(60):
+            at += rng.choice([1, 2, 5, 30])
+            kind = rng.choice(["delta", "delta", "reasoning", "reasoning", "done"])
+            rows.append((session, start + datetime.timedelta(milliseconds=at), i, kind, rng.choice(["", "x", "yz", "long text"])))
+    want = {s: brute_merge([(int(t.replace(tzinfo=datetime.UTC).timestamp() * 1000), k, c) for n, t, _, k, c in rows if n == s]) for s in ("a", "b")}
+    rows.append(("end", start + datetime.timedelta(hours=2), 0, "done", "over"))
+    schema = "session_id string, ts timestamp, seq long, kind string, content string"
+    for i in range(0, len(rows), 20):  # both sessions in turn, in files that come one at a time
+        some = [r for r in rows if (r[2] // 20 == i // 20 if r[0] != "end" else i // 20 == 3)]
+        if some:
+            spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            time.sleep(0.05)
+    spark.createDataFrame([("later", start + datetime.timedelta(hours=4), 0, "done", "over")], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = stream.replay(spark, f"{tmp_path}/in", schema, stream.merged_stream, f"{tmp_path}/checkpoint", f"{tmp_path}/out", files_a_batch=1)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = out.collect()
+    for s in ("a", "b"):
+        assert sorted((r.kind, r.content) for r in got if r.session_id == s) == sorted(want[s])
+    assert any(k != "done" and len(c) < stream.MERGE_CHARS for s in want for k, c in want[s])
 
 
 @pytest.mark.parametrize(("name", "seconds", "delay"), [("x3_stream_windows", 60, 600), ("x4_stream_days", 86_400, 86_400)])
@@ -104,18 +123,26 @@ def test_stream_windows(spark, name, seconds, delay):
     assert sorted(tuple(r) for r in got) == want and want
 
 
-def brute_chunks(text, target=400, longest=600):
-    def cut(piece):
-        return [s for s in re.split(r"(?<=[。！？；])", piece) if s] if len(piece) > longest else [piece]
+def brute_sentences(piece, target):
+    out, held = [], ""
+    for part in (p for p in re.split("([。！？；])", piece) if p):
+        held += part
+        if len(held) >= target or held[-1] in "。！？；":
+            out.append(held)
+            held = ""
+    return out + [held] * bool(held)
+
 
-    done, held = [], None
-    for piece in (c for p in text.split("\n") if p.strip(" ") for c in cut(p.strip(" "))):
-        if len(held or "") + len(piece) < target:
-            held = piece if held is None else held + "\n" + piece
+def brute_chunks(text, target=400, longest=600):
+    cut = lambda piece: brute_sentences(piece, target) if len(piece) > longest else [piece]
+    done, held = [], ""
+    for piece in (c for p in text.split("\n") if p.strip() for c in cut(p.strip())):
+        if len(held) + len(piece) < target:
+            held = held + "\n" + piece if held else piece
         else:
-            done += [held] if held is not None else []
+            done += [held] if held else []
             held = piece
-    return [c for p in done + ([held] if held is not None else []) for c in cut(p)]
+    return [c for p in done + [held] * bool(held) for c in cut(p)]
 
 
 def test_upload_chunks(spark):
@@ -124,19 +151,22 @@ def test_upload_chunks(spark):
     for r in sorted(catalog.QUERIES["c28_upload_chunks"](spark, SF).collect(), key=lambda r: (r.doc_id, r.pos)):
         got.setdefault(r.doc_id, []).append(r.chunk)
     assert got == {d: brute_chunks(t) for d, t in docs.items() if len(t) >= 1500}
-    text = "一二三。" * 200 + "\n\nshort\n" + "x" * 700
-    rows = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(chunking.upload_chunks(F.col("t")).alias("c")).collect()
-    assert rows[0].c == brute_chunks(text) and rows[1].c == [] and rows[2].c is None
+    odd = ["一二三。" * 200 + "\n\nshort\n" + "x" * 700, "a\r\n\t\n\u3000\n\x1cb\u2003", "长" * 450 + "。短。" + "尾" * 300, "长" * 399 + "！" + "句" * 500 + "；；", ""]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*odd, None])], "i int, t string").select("i", chunking.upload_chunks(F.col("t")).alias("c")).collect()
+    assert [r.c for r in sorted(rows)] == [*map(brute_chunks, odd), None]
 
 
 def test_upload_retrieval(spark):
+    """Every question has up to three places in every document, all of them chunks."""
     chunks = {(r.doc_id, r.pos) for r in catalog.QUERIES["c28_upload_chunks"](spark, SF).collect()}
+    items = [r.item_id for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     got = catalog.QUERIES["p7_upload_retrieval"](spark, SF).collect()
-    per_doc: dict = {}
+    places: dict = {}
     for r in got:
-        per_doc.setdefault(r.doc_id, []).append(r.place)
+        places.setdefault((r.item_id, r.doc_id), []).append(r.place)
     sizes = {d: min(3, sum(1 for x, _ in chunks if x == d)) for d in {d for d, _ in chunks}}
-    assert {d: sorted(p) for d, p in per_doc.items()} == {d: list(range(1, n + 1)) for d, n in sizes.items()} and {(r.doc_id, r.pos) for r in got} <= chunks
+    want = {(i, d): list(range(1, n + 1)) for i in items for d, n in sizes.items()}
+    assert {k: sorted(p) for k, p in places.items()} == want and {(r.doc_id, r.pos) for r in got} <= chunks
 
 
 def test_upload_retrieval_asks_all(spark, monkeypatch):
@@ -225,3 +255,27 @@ def test_retrieval_with_nulls_and_ties(spark):
     got = fusion.top(fusion.fused(fusion.scored_pairs(chunks, queries, lexical.build(chunks)), "query_id"), 10, "query_id").collect()
     assert [r.chunk_id for r in sorted(got, key=lambda r: (r.query_id, r.pos)) if r.query_id == 1][:2] == [1, 4]
     assert len(got) == 12
+
+
+def test_fused_top_equals_sorting(spark):
+    """Candidates and counted places against ranks over whole partitions; many equal scores, and more rows than
+    candidates."""
+    rng = random.Random(2)
+    rows = [(q, c, f"s{c % 3}", rng.choice([0.0, 0.0, rng.random(), 0.5]), rng.choice([rng.random(), 0.25])) for q in range(4) for c in range(400)]
+    pairs = spark.createDataFrame(rows, "query_id long, chunk_id long, source string, bm25 double, cosine double")
+    for k, keys in ((10, ["query_id"]), (3, ["query_id", "source"])):
+        got = fusion.fused_top(pairs, k, *keys).select("query_id", "chunk_id", "pos", F.round("score", 9)).collect()
+        want = fusion.top(fusion.fused(pairs, *keys), k, *keys).select("query_id", "chunk_id", "pos", F.round("score", 9)).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 4 * k * (3 if len(keys) > 1 else 1)
+
+
+def test_span_depths(spark):
+    from quarryline.operators import operations
+
+    chain = [("t", i, i - 1 if i else None) for i in range(40)] + [("u", 1, None), ("u", 2, 1), ("u", 5, 4), ("u", 6, 5)]
+    spans = spark.createDataFrame(chain, "trace_id string, span_id long, parent_id long")
+    got = {(r.trace_id, r.span_id): r.depth for r in operations.span_depths(spans).collect()}
+    assert got == {("t", i): i for i in range(40)} | {("u", 1): 0, ("u", 2): 1}
+    with pytest.raises(ValueError, match="own ancestors"):
+        operations.span_depths(spark.createDataFrame([("c", 1, 2), ("c", 2, 1)], spans.schema))
+    assert operations.span_depths(spans.limit(0)).count() == 0
