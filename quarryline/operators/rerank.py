@@ -148,6 +148,18 @@ def role_order(contexts: DataFrame, intents: list[str]) -> DataFrame:
     return contexts.withColumn("pos", place)
 
 
+def role_order_by(contexts: DataFrame, intents: DataFrame) -> DataFrame:
+    """The same where each query has intents (query_id, intent) of its own."""
+    found = intents.groupBy("query_id").agg(F.collect_set("intent").alias("_intents"))
+    roles = F.create_map(*[F.lit(x) for pair in PROMOTED.items() for x in pair])
+    order = F.create_map(*[F.lit(x) for pair in PRIORITY.items() for x in pair])
+    rows = contexts.join(found, "query_id", "left")
+    promoted = F.array_contains(F.transform("_intents", lambda i: roles[i]), F.col("role"))
+    value = F.when(promoted, -1).otherwise(order[F.col("role")])
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(value, F.col("rerank_score").desc(), "pos")) - 1
+    return rows.withColumn("pos", F.when(F.col("_intents").isNull(), F.col("pos")).otherwise(place)).drop("_intents")
+
+
 def penalty_signal(row_role: Column, text: Column, context: Column, concepts: Column, wide: str, markers: list[str]) -> Column:
     """Whether a row may be recalled as protected: a penalty row must hold one of the query's concept words, if it
     has any, in its text or its context; the wide word stands for any marker."""

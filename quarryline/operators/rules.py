@@ -20,8 +20,12 @@ def matching_rules(queries: DataFrame, rules: DataFrame) -> DataFrame:
 
 def intents(queries: DataFrame, rules: DataFrame) -> DataFrame:
     """(query_id, pos, intent): intents (pos, intent, keywords, patterns) by a keyword or a pattern."""
-    fits = any_in(F.col("text"), F.col("keywords")) | F.exists("patterns", lambda p: F.regexp_like(F.col("text"), p))
-    return queries.select("query_id", "text").join(small(rules), fits).select("query_id", "pos", "intent")
+    asked = queries.select("query_id", "text")
+    words = rules.select("pos", "intent", F.explode("keywords").alias("_word")).filter("_word <> ''")
+    patterns = rules.select("pos", "intent", F.explode("patterns").alias("_pattern")).filter("_pattern <> ''")
+    hit = asked.join(small(words), F.contains("text", "_word")).select("query_id", "pos", "intent")
+    met = asked.join(small(patterns), F.regexp_like("text", "_pattern")).select("query_id", "pos", "intent")
+    return hit.unionByName(met).distinct()
 
 
 def bm25_weight(queries: DataFrame, found: DataFrame, weights: DataFrame, default: float = 0.5) -> DataFrame:

@@ -64,14 +64,14 @@ def rerank_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rerank.kept(reranked(spark, sf_dir), LEAST).select("query_id", "chunk_id", F.col("pos").cast("long").alias("pos"))
 
 
-_DIVERSE = f"""{_KEPT}, heads AS (
+_DIVERSE = f"""{_KEPT}, fronts AS (
   SELECT *, count(*) OVER (PARTITION BY query_id, source) AS n FROM keep WHERE pos < {TOP}
 ), lows AS (
-  SELECT query_id, pos, n, row_number() OVER (PARTITION BY query_id, source ORDER BY pos DESC) AS e FROM heads WHERE NOT prot
+  SELECT query_id, pos, n, row_number() OVER (PARTITION BY query_id, source ORDER BY pos DESC) AS e FROM fronts WHERE NOT prot
 ), slots AS (
   SELECT query_id, pos AS slot, row_number() OVER (PARTITION BY query_id ORDER BY pos DESC) AS k FROM lows WHERE e <= n - 1
 ), newcomers AS (
-  SELECT query_id, min(pos) AS newcomer FROM keep WHERE pos >= {TOP} AND (query_id, source) NOT IN (SELECT (query_id, source) FROM heads) GROUP BY query_id, source
+  SELECT query_id, min(pos) AS newcomer FROM keep WHERE pos >= {TOP} AND (query_id, source) NOT IN (SELECT (query_id, source) FROM fronts) GROUP BY query_id, source
 ), swaps AS (
   SELECT * FROM slots JOIN (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY newcomer) AS k FROM newcomers) USING (query_id, k)
 ), moved AS (
@@ -92,7 +92,8 @@ def quota_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P10 on top of P9, K2."""
     scored = reranked(spark, sf_dir)
     rows = rerank.diverse(rerank.kept(scored, LEAST), TOP)
-    return rerank.with_quotas(rows, scored, fx.queries(spark, sf_dir), fx.CONCEPTS, "ing", TOP)
+    out = rerank.with_quotas(rows, scored, fx.queries(spark, sf_dir), fx.CONCEPTS, "ing", TOP)
+    return out.withColumn("pos", F.col("pos").cast("long"))
 
 
 @query("o5_role_order", f"""WITH {CANDIDATES} SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY
