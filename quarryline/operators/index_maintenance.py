@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,19 +60,27 @@ def replaced(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
 
 
-def publish(chunks: DataFrame, root: str) -> str:
-    """Writes a new version beside the old ones and then points to it; readers see one or the other. The pointer is
-    the last thing written, so a failed run leaves the old version."""
+def publish(chunks: DataFrame, root: str, manifest: DataFrame | None = None) -> str:
+    """Writes a new version beside the old ones, chunks and manifest, and then points to it; readers see one or the
+    other. The pointer is the last thing written, so a failed run leaves the old version."""
     version = f"{root}/versions/{uuid.uuid4().hex}"
-    chunks.write.partitionBy("source").parquet(version)
+    chunks.write.parquet(f"{version}/chunks")
+    if manifest is not None:
+        manifest.write.parquet(f"{version}/manifest")
     spark = chunks.sparkSession
     pointer = spark.createDataFrame([(json.dumps({"path": version}),)], "value string").coalesce(1)
-    pointer.write.mode("overwrite").text(f"{root}/current")
+    pointer.write.mode("append").text(f"{root}/pointers")
     return version
 
 
-def current(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(json.loads(spark.read.text(f"{root}/current").first()[0])["path"])
+def current(spark: SparkSession, root: str, part: str = "chunks") -> DataFrame | None:
+    """The published chunks (or manifest); None if nothing has been published. Of the pointers the last written counts."""
+    try:
+        pointers = spark.read.text(f"{root}/pointers").select("value", "_metadata.file_modification_time")
+    except AnalysisException:
+        return None
+    last = pointers.orderBy(F.col("file_modification_time").desc()).first()
+    return None if last is None else spark.read.parquet(f"{json.loads(last.value)['path']}/{part}")
 
 
 def same_dimension(chunks: DataFrame, expected: int) -> bool:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarryline.functions.text import clean_title, dot_leader, has_leader, level, stripped
+from quarryline.functions.text import clean_title, dot_leader, glyphs, has_leader, level, stripped, table_text
 
 #: Thresholds of the layout rules.
 LEADER_LINES, REPEATED_PAGES, SHORT_LINE, FOOT, ROW_GAP = 3, 3, 30, 70.0, 5.0
@@ -104,3 +104,38 @@ def outline_articles(rows: DataFrame) -> DataFrame:
     own = F.concat_ws("\n", F.when((F.col("level") > 1) & (F.col("rest") != ""), F.col("rest")), "_body")
     out = heads.join(text, ["doc", "pos"], "left").filter("NOT _parent").select("doc", "pos", F.col("no").alias("article_no"), "section_header", own.alias("text"))
     return out.filter(F.trim("text") != "")
+
+
+def body_lines(rows: DataFrame, titles: list[str], standard: str) -> DataFrame:
+    """(doc, pos, text) of PDF rows (as ``files.pdf_rows`` gives them): page furniture, tables, contents and repeated
+    lines go, the rest comes in reading order."""
+    lines = rows.filter("kind = 'line'").withColumn("text", glyphs(stripped(F.col("text")))).filter("text <> ''")
+    heights = rows.filter("kind <> 'error'").groupBy("doc", "page").agg(F.max("height").alias("height"))
+    boxes = rows.filter("kind = 'table'").select("doc", "page", *[F.col(c).alias(f"t{c}") for c in ("x0", "y0", "x1", "y1")])
+    kept = without_tables(without_feet(lines.drop("height", "kind", "cells", "error"), heights, titles, standard), boxes)
+    placed = without_repeats(without_contents(reading_order(kept)))
+    order = Window.partitionBy("doc").orderBy("page", "place")
+    return placed.select("doc", (F.row_number().over(order) - 1).alias("pos"), "text")
+
+
+#: The word that refers to a table, and where a table stands that no chapter holds.
+TABLE, APPENDIX = "表", "附表"
+
+
+def with_tables(articles: DataFrame, rows: DataFrame) -> DataFrame:
+    """(doc, pos, article_no, section_header, text): the articles, of which the k-th that refers to a table gets the
+    document's k-th table, and each table given so as a chunk of its own behind them."""
+    order = Window.partitionBy("doc").orderBy("page", "line")
+    tables = rows.filter("kind = 'table' AND size(cells) > 0").select("doc", F.row_number().over(order).alias("_k"), table_text(F.col("cells")).alias("_table"))
+    w = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    named = articles.withColumn("_refers", F.contains("text", F.lit(TABLE))).withColumn("_k", F.when(F.col("_refers"), F.sum(F.col("_refers").cast("int")).over(w)))
+    both = named.join(tables, ["doc", "_k"], "left")
+    own = both.select("doc", "pos", "article_no", "section_header", F.concat_ws("\n", "text", "_table").alias("text"))
+    number = F.concat(F.lit(TABLE), F.col("_k").cast("string"))
+    header = F.when(F.col("section_header") != "", F.col("section_header")).otherwise(APPENDIX)
+    alone = both.filter("_table IS NOT NULL").select("doc", (F.lit(1 << 30) + F.col("_k")).alias("pos"), number.alias("article_no"), header.alias("section_header"), F.concat_ws("\n", number, "_table").alias("text"))
+    return own.unionByName(alone)
+
+
+def pdf_articles(rows: DataFrame, titles: list[str], standard: str) -> DataFrame:
+    return with_tables(outline_articles(events(body_lines(rows, titles, standard))), rows)

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from quarryline.functions import ids, vectors
 from quarryline.operators import index_maintenance as index
+from quarryline.operators import ingest
 from quarryline.operators import operations as ops
 from quarryline.plans import fixtures as fx
 from quarryline.registry import literal, query
@@ -322,3 +323,44 @@ def running_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A job of a user conflicts with one that began before it on its day."""
     w = Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id")
     return fx.table(spark, sf_dir, "events").select("user_id", "event_id", (F.row_number().over(w) > 1).alias("conflict"))
+
+
+def _statutes(rows: DataFrame) -> DataFrame:
+    """Five chunks a file, each an article of one line; the reader is told that such text is a document's."""
+    digits = F.translate(F.col("chunk_id").cast("string"), "0123456789", "零一二三四五六七八九")
+    line = F.concat(F.lit("第"), digits, F.lit("条 "), F.trim(F.regexp_replace("text", r"\s+", " ")))
+    name = F.concat(F.lit("f"), F.floor(F.col("chunk_id") / 5))
+    found = rows.select(name.alias("source"), "chunk_id", line.alias("line")).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "line"))).alias("lines"))
+    content = F.encode(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), "utf-8")
+    return found.select(F.concat(F.lit("law/"), "source", F.lit(".docx")).alias("path"), F.lit("law").alias("category"), "source", F.sha2(content, 256).alias("file_hash"), content.alias("content"))
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """The counters of a second run, and where the index is."""
+    root = new_path(spark, "index")
+    lines = lambda content: content.decode().split("\n")
+    for side in _sides(spark, sf_dir):
+        counts = ingest.ingest(spark, _statutes(side), root, F.lit("法律"), {}, docx=lines)
+    return counts, root
+
+
+_FILES = """texts AS (
+  SELECT doc_id, 'f' || (doc_id // 5) AS source, '第' || translate(CAST(doc_id AS VARCHAR), '0123456789', '零一二三四五六七八九') || '条' AS article_no, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS old_text,
+    trim(regexp_replace(text || CASE WHEN doc_id % 7 = 0 THEN '!' ELSE '' END, '\\s+', ' ', 'g')) AS new_text FROM documents
+), old_files AS (SELECT source, string_agg(article_no || old_text, chr(10) ORDER BY doc_id) AS body, count(*) FILTER (WHERE old_text <> '') AS n FROM texts WHERE doc_id % 10 < 8 GROUP BY source
+), new_files AS (SELECT source, string_agg(article_no || new_text, chr(10) ORDER BY doc_id) AS body, count(*) FILTER (WHERE new_text <> '') AS n FROM texts WHERE doc_id % 10 > 1 GROUP BY source)"""
+
+
+@query("p8_incremental_ingest", f"WITH {_FILES} SELECT sha256(source || '||' || article_no) AS chunk_id, source, article_no, md5(new_text) AS text_md5 FROM texts WHERE doc_id % 10 > 1 AND new_text <> ''")
+def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is published after two runs with files added, changed and removed in between."""
+    _, root = _ingested(spark, sf_dir)
+    return index.current(spark, root).select("chunk_id", "source", "article_no", F.md5("text").alias("text_md5"))
+
+
+@query("p8_ingest_counters", f"""WITH {_FILES} SELECT (SELECT sum(n) FROM new_files)::BIGINT AS total, coalesce(sum(n.n) FILTER (WHERE o.source IS NULL), 0)::BIGINT AS added, coalesce(sum(n.n) FILTER (WHERE o.body <> n.body), 0)::BIGINT AS updated,
+  coalesce(sum(o.n) FILTER (WHERE n.source IS NULL), 0)::BIGINT AS removed, coalesce(sum(o.n) FILTER (WHERE o.body = n.body), 0)::BIGINT AS skipped FROM old_files o FULL JOIN new_files n ON o.source = n.source""")
+def ingest_run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters of the second run."""
+    out, _ = _ingested(spark, sf_dir)
+    return out.select(*[F.col(c).cast("long").alias(c) for c in out.columns])

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.functions.text import source_name
+from quarryline.functions.text import category, source_name
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 #: What uploads may be.
@@ -24,10 +24,12 @@ MOST_PAGES, LEAST_CHARS = 50, 20
 
 
 def scan(spark: SparkSession, root: str, suffix: str) -> DataFrame:
-    """(path, source, file_hash, content) of all files of a kind below a folder."""
+    """(path, category, source, file_hash, content) of all files of a kind below a folder. The category is the folder
+    right above a file, none at the root."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{suffix}").load(root)
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
-    return rows.select("path", source_name(stem).alias("source"), F.sha2("content", 256).alias("file_hash"), "content")
+    below = F.substring_index("path", root.split(":", 1)[-1].strip("/") + "/", -1)
+    return rows.select("path", category(below).alias("category"), source_name(stem).alias("source"), F.sha2("content", 256).alias("file_hash"), "content")
 
 
 def docx_paragraphs(content: bytes) -> list[str]:
@@ -52,6 +54,44 @@ def paragraphs(files: DataFrame, reader: Callable[[bytes], list[str]] = docx_par
     return files.select("path", "content").mapInPandas(run, "doc string, pos int, text string, error string")
 
 
+#: A page: its height, its lines (x0, y0, x1, y1, text) and its tables (x0, y0, x1, y1, rows of cells).
+Page = tuple[float, list[tuple[float, float, float, float, str]], list[tuple[float, float, float, float, list[list[str | None]]]]]
+
+
+def pymupdf_pages(content: bytes) -> list[Page]:
+    """Pages by the pymupdf library, which has to be installed where the tasks run."""
+    import pymupdf
+
+    out = []
+    with pymupdf.open(stream=content, filetype="pdf") as doc:
+        for page in doc:
+            lines = [(*line["bbox"], "".join(s["text"] for s in line["spans"])) for block in page.get_text("dict")["blocks"] if block.get("type") == 0 for line in block["lines"]]
+            out.append((page.rect.height, lines, [(*t.bbox, t.extract()) for t in page.find_tables()]))
+    return out
+
+
+PDF_ROWS = "doc string, page int, line int, kind string, height double, x0 double, y0 double, x1 double, y1 double, text string, cells array<array<string>>, error string"
+
+
+def pdf_rows(files: DataFrame, reader: Callable[[bytes], list[Page]] = pymupdf_pages) -> DataFrame:
+    """Lines and tables of each page (kind line or table); a file that can't be read gives one row with its error."""
+    names = [c.split()[0] for c in PDF_ROWS.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for doc, content in zip(frame["path"], frame["content"], strict=True):
+                try:
+                    for number, (height, lines, tables) in enumerate(reader(bytes(content)), 1):
+                        out += [(doc, number, i, "line", height, *box, text, None, None) for i, (*box, text) in enumerate(lines)]
+                        out += [(doc, number, i, "table", height, *box, None, rows, None) for i, (*box, rows) in enumerate(tables)]
+                except Exception as e:  # noqa: BLE001  the error is the file's row
+                    out.append((doc, 0, 0, "error", *[None] * 7, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=names)
+
+    return files.select("path", "content").mapInPandas(run, PDF_ROWS)
+
+
 def routed(uploads: DataFrame) -> DataFrame:
     """Adds route to uploads (name, pages, text): how each is to be read, or why it isn't. Scanned documents, which
     have next to no text, go to the OCR provider."""
