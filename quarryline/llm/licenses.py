@@ -2,7 +2,8 @@
 
 Every rolling hash of K words of every text is joined with the templates' hashes by Spark. Hits vote for their
 diagonal (place in the text less place in the template), neighbouring diagonals merge into one candidate span, and
-a span stands if its words, compared as words, cover enough of the template.
+a span stands if its words, compared as words, cover enough of the template. Of spans that start at one place, give
+or take DRIFT words, the one that covers most of its template stands.
 
 Base phrases are templates too, but count only where all their words stand consecutively (one full diagonal).
 A null text counts as empty. Repeated rows each get a row, with equal results; rows that share an id but not the
@@ -132,9 +133,12 @@ def spans(docs: DataFrame, base: dict[str, str] = BASE_PHRASES, notices: list[tu
 def scan(docs: DataFrame, base: dict[str, str] = BASE_PHRASES, notices: list[tuple[str, str]] = NOTICES, coverage: float = COVERAGE) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     found = spans(docs, base, notices)
+    # Notices of kin licences differ by a word or two: of those that start at one place the best covered one counts.
+    beside = Window.partitionBy("doc_id", "text_hash", "base", F.col("t") < 0).orderBy("start").rangeBetween(-DRIFT, DRIFT)
+    found = found.withColumn("beaten", ~F.col("base") & (F.col("coverage") < F.max("coverage").over(beside)))
     place = F.when(F.col("base") & F.col("exact"), F.col("start"))
     label = F.when(F.col("base") & F.col("exact"), F.col("label"))
-    any_label = F.when(F.when(F.col("base"), F.col("exact")).otherwise(F.col("coverage") >= coverage) & (F.col("t") >= 0), F.col("label"))
+    any_label = F.when(F.when(F.col("base"), F.col("exact")).otherwise((F.col("coverage") >= coverage) & ~F.col("beaten")) & (F.col("t") >= 0), F.col("label"))
     out = found.groupBy("doc_id", "text_hash").agg(
         F.max(F.when(F.col("t") < 0, F.col("start"))).alias("n_words"), F.max(F.when(F.col("t") < 0, F.col("copies"))).alias("copies"),
         F.count(place).alias("n_base"), F.min(place).alias("first_word"), F.max(place).alias("last_word"),
