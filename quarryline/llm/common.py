@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from quarryline import staging
+
 #: Bytes of text that one numpy pass handles; a longer single text makes its own pass.
 PASS_BYTES = 1_000_000
 
@@ -28,30 +28,10 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: Folders and tables that ``stage`` and ``stage_buckets`` wrote, by application; ``release`` drops them.
-_staged: dict[str, list[tuple[str, str]]] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names. Where it names none, a local one is made, but only if the executors run in
-    this process, as in tests: others couldn't see it."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="quarryline-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes ``df`` as Parquet to the shared folder and reads it back."""
-    spark = df.sparkSession
-    small_batches(spark)
-    path = f"{shared_dir(spark)}/quarryline/{name}-{uuid.uuid4().hex}"
-    _staged.setdefault(spark.sparkContext.applicationId, []).append(("path", path))
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """``staging.stage`` whose rows then come to Python workers in small batches."""
+    small_batches(df.sparkSession)
+    return staging.stage(df, name)
 
 
 def stage_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
@@ -59,25 +39,11 @@ def stage_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
     shuffle partition: a later join by the key alone leaves these rows where they are."""
     spark = df.sparkSession
     small_batches(spark)
-    table = f"quarryline_{name}_{uuid.uuid4().hex}"
-    _staged.setdefault(spark.sparkContext.applicationId, []).append(("table", table))
+    table = staging.new_table(spark, name)
     df.write.format("parquet").option("compression", "zstd").bucketBy(shuffle_width(spark), key).saveAsTable(table)
     return spark.table(table)
 
 
-def release(spark: SparkSession) -> int:
-    """Drops all that this application has staged, and says how much that was; for when its results have been
-    written or read, since they are computed from it."""
-    staged = _staged.pop(spark.sparkContext.applicationId, [])
-    for kind, name in staged:
-        if kind == "table":
-            spark.sql(f"DROP TABLE IF EXISTS {name}")
-        else:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return len(staged)
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

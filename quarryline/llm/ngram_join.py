@@ -711,5 +711,7 @@ def one_of_each(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFram
     doc_id names a class, too."""
     found = jaccard_classes(docs, k, percent).filter(F.col("component_id").eqNullSafe(F.col("doc_id")))
     keep = found.select(F.col("doc_id").alias("kept")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return rows.join(keep, F.col("id").eqNullSafe(F.col("kept")), "left_semi").select("row.*")
+    # The columns travel under numbers, so that their names clash with none of those used here.
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)])
+    rows = rows.join(keep, F.col("id").eqNullSafe(F.col("kept")), "left_semi")
+    return rows.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from quarryline import staging
 from quarryline.llm import fingerprints, language_id, licenses, ngram_join, pieces, quality_rules, source_mix, suffix_dedup, token_files, url_filters
-from quarryline.llm.common import load, shared_dir
+from quarryline.llm.common import load
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +17,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/quarryline/tokens-{uuid.uuid4().hex}"
+    path = staging.new_path(spark, "tokens")
     return token_files.tokens_of(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
 
 

@@ -191,15 +191,15 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     # Rows equal in id, source and text are told apart by a number; either side is dealt out by the key alone.
     found = pieces.select(key(F.col("text_hash")).alias("key"), "copy", F.struct("first_word", "words").alias("taken")).repartition("key")
     found = found.groupBy("key", "copy").agg(F.collect_list("taken").alias("taken"))
-    # Among rows with one key the other columns order; maps have no order. The columns travel as one, so that their
-    # names clash with none of those used here.
-    others = [F.col(f"`{c}`") for c, kind in docs.dtypes if c != "text" and "map<" not in kind]
+    # Among rows with one key the other columns order; maps have no order. The columns travel under numbers, so that
+    # their names clash with none of those used here.
+    others = [f"_{i}" for i, (c, kind) in enumerate(docs.dtypes) if c != "text" and "map<" not in kind and "variant" not in kind]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(key(F.xxhash64(text)).alias("key"), F.xxhash64(*others).alias("tie"), text.alias("whole"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("key").orderBy("tie")).cast("long"))
+    rows = docs.select(key(F.xxhash64(text)).alias("key"), text.alias("whole"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)])
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("key").orderBy(*others)).cast("long"))
     rows = rows.join(found, ["key", "copy"])
     # The words are an argument, so that a text is split once and not once a stretch.
     cut = lambda w: F.transform("taken", lambda p: F.array_join(F.slice(w, (p["first_word"] + 1).cast("int"), p["words"].cast("int")), ""))
     rows = rows.withColumn("stretch", F.explode(F.flatten(F.transform(F.array(F.regexp_extract_all("whole", F.lit(STRETCH), F.lit(0))), cut))))
     columns = {"text": F.col("stretch"), "n_chars": F.char_length("stretch").cast("long")}
-    return rows.select(*[columns.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+    return rows.select(*[columns.get(c, F.col(f"_{i}")).alias(c) for i, c in enumerate(docs.columns)])

@@ -7,6 +7,7 @@ import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -115,17 +116,15 @@ def test_token_cuts_equal_whole_encoding():
         assert code.encode(pa.array([text]))[0][:-1].tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
-def test_mix(spark, docs):
-    got = source_mix.mix_sources(docs).collect()
-    again = source_mix.mix_sources(docs.repartition(7)).collect()
-    assert sorted(got, key=str) == sorted(again, key=str)
+def brute_targets(rows):
+    """Words and targets of each source: share the rest by weight, fix those above their cap, and again."""
     sizes = {}
-    for r in docs.collect():
-        sizes[r.source] = sizes.get(r.source, 0) + len(split(r.text))
+    for source, text in rows:
+        sizes[source] = sizes.get(source, 0) + len(split(text))
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
     target, fixed = {}, set()
-    while True:  # share the rest by weight, fix those above their cap, and again
+    while len(fixed) < len(order):
         left = 1.5 * sum(sizes.values()) - sum(target[s] for s in fixed)
         level = left / sum(weight[s] for s in order if s not in fixed)
         target |= {s: level * weight[s] for s in order if s not in fixed}
@@ -134,6 +133,15 @@ def test_mix(spark, docs):
         fixed |= over
         if not over:
             break
+    return sizes, target
+
+
+def test_mix(spark, docs):
+    got = source_mix.mix_sources(docs).collect()
+    again = source_mix.mix_sources(docs.repartition(7)).collect()
+    assert sorted(got, key=str) == sorted(again, key=str)
+    sizes, target = brute_targets([(r.source, r.text) for r in docs.collect()])
+    order = list(target)
     assert len(got) == docs.count()
     for r in got:
         assert r.source_size == sizes[r.source] and abs(r.target - target[r.source]) < 1e-6 and r.taken <= 2 * r.size
@@ -443,7 +451,8 @@ def brute_statistics(text):
     text = text or ""
     w, lines = split(text), [line for line in text.split("\n") if split(line)]
     windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
-    twice = {x for x in windows if windows.count(x) > 1} if len(windows) < 2000 else {x for x in windows}
+    counts = Counter(windows)
+    twice = {x for x in windows if counts[x] > 1}
     inside = {i + j for i, x in enumerate(windows) if x in twice for j in range(3)}
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(inside)
 
@@ -522,3 +531,138 @@ def test_suffix_dedup_with_one_hash_for_all(spark, docs, monkeypatch):
     for i, low, high in zip(hit, least, most, strict=True):
         cover[int(own.doc[i])] |= set(range(int(own.pos[i] - high), int(own.pos[i] - low) + 100))
     assert {d: len(c) for d, c in cover.items()} == {d: want[d][1] for d in cover}
+
+
+def test_mixture_is_plain_em():
+    """Proportions and likelihood of a batch against expectation-maximisation a text at a time, with the languages
+    that may mix given."""
+    rng = np.random.default_rng(4)
+    likelihood, offs = rng.random((60, 4)) ** 6, np.array([0, 1, 9, 40, 60])
+    allowed = np.array([[1, 1, 1, 1], [1, 0, 1, 0], [1, 1, 1, 1], [0, 1, 0, 0]], float)
+    share, fit = language_id.mixture(likelihood, offs, allowed, rounds=25)
+    for i, (low, high) in enumerate(itertools.pairwise(offs)):
+        own = allowed[i] / allowed[i].sum()
+        for _ in range(25):
+            belief = [[own[k] * likelihood[w, k] for k in range(4)] for w in range(low, high)]
+            own = np.mean([np.array(b) / sum(b) for b in belief], axis=0)
+        assert np.allclose(own, share[i], atol=1e-9)
+        assert abs(sum(np.log(likelihood[w] @ own) for w in range(low, high)) - fit[i]) < 1e-6
+
+
+def test_license_labels_against_brute_force(spark):
+    """Labels of the method: a notice counts where fewer than a fifth of its 3-grams are lost, unless another one fits
+    the place better."""
+    rng, rows = random.Random(9), []
+    for i in range(60):
+        label, notice = rng.choice(licenses.NOTICES)
+        words = notice.split()
+        for _ in range(rng.choice([0, 0, 1, 6])):
+            words[rng.randrange(len(words))] = "other"
+        rows.append((i, "x y z " * rng.randint(0, 3) + " ".join(words) + " and so on", None, None))
+
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, DOCS)).collect()}
+    kept = 0
+    for i, text, *_ in rows:
+        words = lower(text).split()
+        base = {k for k, p in licenses.BASE_PHRASES.items() if f" {p} " in f" {' '.join(words)} "}
+        found = []
+        for label, notice in licenses.NOTICES:  # only substitutions here, so neighbouring diagonals are another notice's
+            n = notice.split()
+            hits = {(at, j) for at in range(-len(n), len(words)) for j in range(len(n) - 2) if at + j >= 0 and words[at + j : at + j + 3] == n[j : j + 3]}
+            for at in {at for at, _ in hits}:  # a span: diagonals up to three apart, one after the other
+                chain, edge = {at}, at
+                while later := [x for x, _ in hits if edge < x <= edge + licenses.DRIFT]:
+                    edge = min(later)
+                    chain.add(edge)
+                places = [(x, j) for x, j in hits if x in chain]
+                found.append((len({j for _, j in places}) / (len(n) - 2), min(x + j for x, j in places), label))
+        best = [(c, at, k) for c, at, k in found if not any(d > c and abs(at - x) <= licenses.DRIFT for d, x, _ in found)]
+        want = base | {k for c, _, k in best if c >= licenses.COVERAGE}
+        assert set(filter(None, got[i].labels.split(","))) == want, (i, text)
+        kept += bool(want)
+    assert 20 < kept < 60
+
+
+def test_url_of_any_length(spark):
+    pages = spark.createDataFrame([(1, "http://" + "a." * 3000 + "net/" + "/" * 3000), (2, "http://" + "b" * 9000), (3, "http://.net./en/")], "page_id long, url string")
+    rules = spark.createDataFrame([("net", "/", "block"), ("x.net", "/a/b/c/d", "allow"), ("net.", "/en/", "block"), (None, "/", "block")], "host string, path string, action string")
+    keys = url_filters.rule_keys(rules)
+    rows = url_filters.expressions(url_filters.split_urls(pages).withColumn("address", pages.page_id), keys)
+    assert rows.count() <= 3 * keys.count()
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filters.filter_urls(pages, rules).collect()}
+    assert got == {1: ("net/", "block"), 2: (None, "allow"), 3: ("net./en/", "block")}
+
+
+CLASH = ("row", "key", "copy", "tie", "whole", "taken", "stretch", "id", "kept", "_keep", "_epochs", "score", "lang_pred", "n_languages", "places", "tag", "sid", "leader")
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    """A table of documents with near copies and odd rows, and columns that clash with names used inside."""
+    from pyspark.sql import functions as F
+
+    at = tmp_path_factory.mktemp("corpus")
+    plain = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source")
+    odd = spark.createDataFrame([(9000 + i, t, None, None) for i, t in enumerate(ODD)] + [(None, "nothing to see " * 30, "en", None)], DOCS)
+    rows = plain.unionByName(odd).withColumns({c: F.lit(i) for i, c in enumerate(CLASH)}).withColumn("n_chars", F.char_length("text").cast("long"))
+    rows.coalesce(3).write.parquet(f"{at}/documents.parquet")
+    rows.limit(0).write.parquet(f"{at}/empty/documents.parquet")
+    return str(at)
+
+
+def test_pipeline_stages(spark, corpus):
+    """Each stage on its own input against brute force; columns and other values stay."""
+    import corpus_pipeline
+    import sentencepiece
+
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    columns = docs.columns
+    name, function = corpus_pipeline.STAGES[0]
+    known = stage(function(spark, docs, corpus), "test-language")
+    judged = {r.doc_id: r for r in language_id.identify(docs.select("doc_id", "text"), language_id.train(docs)).collect()}
+    assert known.columns == columns and {r.doc_id for r in known.collect()} == {d for d, r in judged.items() if r.lang_pred != "und" and r.score >= 0.5}
+    assert known.filter("doc_id < 9000").count() >= 0.95 * docs.filter("doc_id < 9000").count()
+    one = stage(corpus_pipeline.STAGES[1][1](spark, known, corpus), "test-one")
+    classes = brute_classes(texts(known), 5, 80)
+    assert one.columns == columns and sorted((r.doc_id for r in one.collect()), key=str) == sorted((d for d, (_, c) in classes.items() if c == d), key=str)
+    assert one.count() < known.count()
+    cut = stage(corpus_pipeline.STAGES[2][1](spark, one, corpus), "test-cut")
+    want = {}
+    seen: dict = {}
+    for doc_id, text in sorted(texts(one), key=lambda r: (r[0] is not None, r[0] or 0)):
+        raw = (text or "").encode()
+        cover = bytearray(len(raw))
+        for i in range(len(raw) - 99):
+            if seen.setdefault(raw[i : i + 100], (doc_id, i)) != (doc_id, i):
+                cover[i : i + 100] = b"\1" * 100
+        runs = [bytes(x for x, _ in g) for k, g in itertools.groupby(zip(raw, cover, strict=True), key=lambda p: p[1]) if not k]
+        want[doc_id] = b"".join(runs).decode("utf-8", "ignore")
+    assert cut.columns == columns and {r.doc_id: r.text for r in cut.collect()} == {d: t for d, t in want.items() if t}
+    assert all(r.n_chars == len(r.text) and (r.row, r.leader) == (0, len(CLASH) - 1) for r in cut.collect())
+    mixed = stage(corpus_pipeline.STAGES[3][1](spark, cut, corpus), "test-mixed")
+    _, target = brute_targets([(r.source, r.text) for r in cut.collect()])
+    words: dict = {}
+    own = {r.doc_id: r.text for r in cut.collect()}
+    for r in mixed.collect():
+        words[r.source] = words.get(r.source, 0) + len(split(r.text))
+        assert r.text in own[r.doc_id] and r.n_chars == len(r.text)
+    assert mixed.columns == columns and set(words) == {s for s, t in target.items() if t}
+    assert all(abs(words[s] - t) <= max(128, 0.01 * t) for s, t in target.items() if t)
+    whole = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    out = corpus_pipeline.STAGES[4][1](spark, mixed, corpus).collect()
+    ids = lambda t: np.array(whole.encode(t), "<u4").tobytes()
+    assert sorted((str(r.doc_id), bytes(r.ids)) for r in out) == sorted((str(r.doc_id), ids(r.text)) for r in mixed.collect())
+
+
+def test_pipeline_runs(spark, corpus):
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, corpus)
+    assert out.count() > 100 and set(out.columns) == {"doc_id", "n_tokens", "ids", "ids_crc32", "round_trip"}
+    assert corpus_pipeline.run(spark, f"{corpus}/empty").count() == 0
+
+
+def test_empty_tables(spark, tmp_path):
+    assert token_files.tokens_of(empty(spark), public_tokenizers.path("byte_bpe_50k.json"), f"file://{tmp_path}/none").count() == 0
+    assert quality_rules.quality(empty(spark), spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
+    assert source_mix.mixed_documents(empty(spark)).count() == 0 and ngram_join.one_of_each(empty(spark)).count() == 0
