@@ -432,9 +432,10 @@ class Block:
 
     def maps(self, bits: int) -> np.ndarray:
         """A bitmap of each set's tokens."""
-        out = np.zeros((len(self.size), bits), bool)
-        out[np.repeat(np.arange(len(self.size)), self.size), (mix(self.tokens) % np.uint64(bits)).astype(np.int64)] = True
-        return np.packbits(out, axis=1).view(np.uint64)
+        out = np.zeros((len(self.size), bits // 64), np.uint64)
+        at = mix(self.tokens) % np.uint64(bits)
+        np.bitwise_or.at(out, (np.repeat(np.arange(len(self.size)), self.size), (at >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (at & np.uint64(63)))
+        return out
 
     def summary(self, bits: int = BLOCK_BITS) -> tuple[int, int, int, bytes]:
         """Size range, tokens that a member may have beyond the bits it sets, and the OR of the members' bitmaps."""
