@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quarryline import staging
-from quarryline.llm import fingerprints, language_id, licenses, ngram_join, pieces, quality_rules, source_mix, suffix_dedup, token_files, url_filters
+from quarryline.llm import bpe_tree, fingerprints, language_id, licenses, ngram_join, pieces, quality_rules, source_mix, suffix_dedup, token_files, url_filters
 from quarryline.llm.common import load
 
 
@@ -53,8 +53,13 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(load(spark, sf_dir, "pages"), spark.sql(url_filters.DEFAULT_RULES))
 
 
+def op11_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe_tree.encoded(load(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN).drop("ids")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_token_files, op3_source_mix, op4_fingerprints, op5_suffix_dedup, op6_language_id, op7_ngram_join, op8_sentencepiece, op9_quality_rules, op10_url_filters)
+    f.__name__: f for f in (op1_license_scan, op2_token_files, op3_source_mix, op4_fingerprints, op5_suffix_dedup, op6_language_id, op7_ngram_join, op8_sentencepiece, op9_quality_rules, op10_url_filters, op11_bpe_tree)
 }
 
 _URL_PARTS = """
