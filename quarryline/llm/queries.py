@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quarryline import staging
-from quarryline.llm import bpe_tree, fingerprints, language_id, licenses, ngram_join, pieces, quality_rules, source_mix, suffix_dedup, token_files, url_filters
+from quarryline.llm import bpe_tree, conversations, fingerprints, language_id, licenses, ngram_join, periodic_runs, pieces, quality_rules, source_mix, suffix_dedup, token_files, url_filters
 from quarryline.llm.common import load
 
 
@@ -58,8 +58,16 @@ def op11_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.encoded(load(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN).drop("ids")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(load(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digests(conversations.damaged(load(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_token_files, op3_source_mix, op4_fingerprints, op5_suffix_dedup, op6_language_id, op7_ngram_join, op8_sentencepiece, op9_quality_rules, op10_url_filters, op11_bpe_tree)
+    f.__name__: f for f in (op1_license_scan, op2_token_files, op3_source_mix, op4_fingerprints, op5_suffix_dedup, op6_language_id, op7_ngram_join, op8_sentencepiece, op9_quality_rules, op10_url_filters, op11_bpe_tree, op12_periodic_runs, op13_conversation_repair)
 }
 
 _URL_PARTS = """
