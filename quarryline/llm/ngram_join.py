@@ -101,21 +101,21 @@ def rest(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, k: int) -> DataFrame:
-    """Rows (doc_id, n, sid) of documents, and rows (counter, n) of the sketch, told apart by a null."""
+    """Rows (doc_id, text_hash, n, sid) of documents, and rows (counter, n) of the sketch, told apart by a null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(COUNTERS, np.int64)
-        names = ["doc_id", "n", "sid", "counter"]
+        names = ["doc_id", "text_hash", "n", "sid", "counter"]
         for batch in batches:
             for part in passes(batch, "text"):
                 value, offs = shingle_sets(*utf8(part.column("text")), k)
                 sketch += np.bincount((value & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
                 n = np.diff(offs)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(set_ids(value, offs), mask=n == 0), pa.nulls(len(n), pa.int32())], names=names)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(n), pa.array(set_ids(value, offs), mask=n == 0), pa.nulls(len(n), pa.int32())], names=names)
         at = np.flatnonzero(sketch)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array(sketch[at]), pa.nulls(len(at), pa.int64()), pa.array(at.astype(np.int32))], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.array(sketch[at]), pa.nulls(len(at), pa.int64()), pa.array(at.astype(np.int32))], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, sid long, counter int")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n long, sid long, counter int")
 
 
 def token_ranks(sets: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -674,14 +674,14 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
             return state.select("node", "label")
 
 
-def jaccard_classes(docs: DataFrame, k: int = K, percent: int = PERCENT, few: int = FEW, block_tokens: int = BLOCK_TOKENS, fan: int = FAN) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links) and n_links
-    (the other documents that it is linked with). The last three options change the way, not the result."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def classes(docs: DataFrame, k: int, percent: int, few: int = FEW, block_tokens: int = BLOCK_TOKENS, fan: int = FAN) -> DataFrame:
+    """One row per document: doc_id, text_hash, n_shingles, sid (of its set; null if that is empty), class (the
+    smallest sid reachable by links), component_id and n_links. docs: (doc_id, text, text_hash)."""
     none = F.lit(-(1 << 63))
     sets = stage(document_sets(docs, k), "jaccard-sets")
+    docs = docs.drop("text_hash")
     rank, hot = token_ranks(sets, shuffle_width(docs.sparkSession))
-    named = sets.filter("counter IS NULL").select("doc_id", "n", "sid")
+    named = sets.filter("counter IS NULL").select("doc_id", "text_hash", "n", "sid")
     smallest = named.filter("sid IS NOT NULL").groupBy("sid").agg(F.min_by("doc_id", F.coalesce("doc_id", none)).alias("doc_id"), F.count("*").alias("weight"))
     alive = stage(alive_nodes(tokens_of_documents(docs, rank, hot, k, percent), hot, percent), "jaccard-alive")
     nodes = stage(node_sets(docs, smallest.join(alive, "sid", "left_semi"), rank, k), "jaccard-nodes")
@@ -697,22 +697,41 @@ def jaccard_classes(docs: DataFrame, k: int = K, percent: int = PERCENT, few: in
     edges = found.filter("a IS NOT NULL").select("a", "b").distinct()
     links = found.filter("sid IS NOT NULL").groupBy("sid").agg(F.sum("links").alias("links"))
     ends = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
-    labels = ends.join(smallest, F.col("node") == F.col("sid")).select("node", F.coalesce("doc_id", none).alias("label"))
-    classes = components(edges, labels)
-    own = smallest.join(classes.select(F.col("node").alias("sid"), "label"), "sid", "left").join(links, "sid", "left")
-    least = F.when(F.col("label").isNull(), F.col("doc_id")).when(F.col("label") > none, F.col("label"))
-    own = own.select("sid", least.alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    whole = named.filter("sid IS NOT NULL").join(own, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
-    alone = named.filter("sid IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    # Sets are told apart by their hashes, since one doc_id may have texts in two classes.
+    linked_sets = components(edges, ends.select("node", F.col("node").alias("label"))).select(F.col("node").alias("sid"), F.col("label").alias("class"))
+    least = linked_sets.join(smallest, "sid").groupBy("class").agg(F.min(F.coalesce("doc_id", none)).alias("least"))
+    own = smallest.join(linked_sets.join(least, "class"), "sid", "left").join(links, "sid", "left")
+    component = F.when(F.col("class").isNull(), F.col("doc_id")).when(F.col("least") > none, F.col("least"))
+    own = own.select("sid", F.coalesce("class", "sid").alias("class"), component.alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    whole = named.filter("sid IS NOT NULL").join(own, "sid").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "sid", "class", "component_id", "n_links")
+    none = F.lit(None).cast("long")
+    alone = named.filter("sid IS NULL").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "sid", none.alias("class"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return whole.unionByName(alone)
 
 
+def jaccard_classes(docs: DataFrame, k: int = K, percent: int = PERCENT, few: int = FEW, block_tokens: int = BLOCK_TOKENS, fan: int = FAN) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links) and n_links
+    (the other documents that it is linked with). The last three options change the way, not the result."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("text_hash"))
+    return classes(docs, k, percent, few, block_tokens, fan).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def one_of_each(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their class; all columns of ``docs``, whatever their names. A null
-    doc_id names a class, too."""
-    found = jaccard_classes(docs, k, percent).filter(F.col("component_id").eqNullSafe(F.col("doc_id")))
-    keep = found.select(F.col("doc_id").alias("kept")).distinct()
+    """One row of each class, with all columns of ``docs``, whatever their names: the one with the smallest doc_id
+    (null first), of rows with one id the one whose text has the smallest hash, of rows equal in both any one. A row
+    without words is linked with nothing, so each stays."""
+    text_hash = F.xxhash64(F.col("text").cast("string"))
+    found = classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash.alias("text_hash")), k, percent)
+    order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "text_hash")
+    texts = found.filter("class IS NOT NULL").groupBy("class", "doc_id", "text_hash").count()
+    first = texts.groupBy("class").agg(F.min_by(F.struct("doc_id", "text_hash", "count"), order).alias("f")).select("f.*")
+    empty = found.filter("class IS NULL").select("doc_id", "text_hash", F.lit(1).cast("long").alias("count")).distinct()
+    keep = stage(first.unionByName(empty), "jaccard-kept").select(F.col("doc_id").alias("kept"), F.col("text_hash").alias("kept_hash"), F.col("count") > 1)
+    keep = keep.toDF("kept", "kept_hash", "repeated")
     # The columns travel under numbers, so that their names clash with none of those used here.
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)])
-    rows = rows.join(keep, F.col("id").eqNullSafe(F.col("kept")), "left_semi")
-    return rows.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_hash.alias("hash"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)])
+    met = F.col("id").eqNullSafe(F.col("kept")) & (F.col("hash") == F.col("kept_hash"))
+    # Only rows that are there twice need dealing by their key.
+    single = rows.join(keep.filter(~F.col("repeated")), met, "left_semi")
+    double = rows.join(keep.filter("repeated"), met, "left_semi").dropDuplicates(["id", "hash"])
+    return single.unionByName(double).select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -348,6 +348,42 @@ def test_jaccard_classes(spark, docs, k, percent, options):
     assert sorted(((r.doc_id, r.n_links) for r in got), key=str) == sorted(brute_links(texts(docs), k, percent), key=str)
 
 
+def test_one_row_of_each_class(spark):
+    """By brute force over rows: repeated rows, near copies, and ids with several texts. Rows stay by id, then hash."""
+    rng = random.Random(8)
+    base = [[rng.choice("abcdefghijklmnopqrstuvwxyz") * 3 for _ in range(60)] for _ in range(8)]
+    near = lambda words, i: " ".join([*words[:i], "new", *words[i + 1 :]])
+    a, b, c, d, *others = [" ".join(words) for words in base]
+    rows = [(1, a), (1, a), (5, near(base[0], 59)), (5, b), (9, b), (7, c), (7, d), (7, near(base[2], 0)), (3, near(base[3], 1)), (None, others[0]), (None, others[0]), (2, others[0]), (4, ""), (4, ""), (6, None), (8, "  ")]
+    rows += [(rng.randint(10, 14), rng.choice([near(w, rng.randint(0, 59)) for w in base[5:]])) for _ in range(30)]
+    docs = spark.createDataFrame([(i, t, i) for i, t in rows], "doc_id long, text string, kept long").repartition(3)
+    sets = []
+    for _, text in rows:
+        w = split(lower(text))
+        sets.append(frozenset(zip(*(w[i:] for i in range(5)))) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        common = len(sets[i] & sets[j])
+        if common and 100 * common >= 80 * len(sets[i] | sets[j]):
+            parent[root(j)] = root(i)
+    from pyspark.sql import functions as F
+
+    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    groups: dict = {}
+    for i, row in enumerate(rows):
+        groups.setdefault(root(i), []).append(row)
+    want = [min(g, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]])) for g in groups.values()]
+    got = ngram_join.one_of_each(docs, 5, 80)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_hot_tokens_find_their_leaders(spark, docs, monkeypatch):
     """With every counter hot, all first tokens go through the aggregate."""
     monkeypatch.setattr(ngram_join, "HOT_BUCKET", 0.0)
