@@ -1,6 +1,6 @@
 """All queries of the library: importing the modules registers them."""
 
-from quarryline.plans import answers, contexts, operational, policies, retrieval, texts  # noqa: F401
+from quarryline.plans import answers, contexts, limits, operational, policies, retrieval, texts  # noqa: F401
 from quarryline.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
