@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-import json
 import uuid
+from functools import reduce
 
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarryline.sources.commits import Commits
 
 SCHEMA_VERSION = 8
+#: Segments of a version beyond which its chunks are written anew as one.
+MOST_SEGMENTS = 8
 
 
 def manifest(files: DataFrame, version: int = SCHEMA_VERSION) -> DataFrame:
@@ -60,27 +64,73 @@ def replaced(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
 
 
-def publish(chunks: DataFrame, root: str, manifest: DataFrame | None = None) -> str:
-    """Writes a new version beside the old ones, chunks and manifest, and then points to it; readers see one or the
-    other. The pointer is the last thing written, so a failed run leaves the old version."""
-    version = f"{root}/versions/{uuid.uuid4().hex}"
-    chunks.write.parquet(f"{version}/chunks")
+def publish(new: DataFrame, root: str, manifest: DataFrame | None = None, gone: DataFrame | None = None, base: int | None = None) -> int:
+    """Publishes the next version and gives its number: the chunks of version ``base`` less those whose chunk_id is in
+    ``gone``, and the new ones. Only these and the manifest are written, as a segment; the version's commit names the
+    segments that make it up, and is the last thing written, so a failed run leaves what was there. Without ``gone``
+    the new chunks are all there are. Raises ``Conflict`` if another writer has published after ``base``, which is the
+    last version by default."""
+    log, spark = Commits(root), new.sparkSession
+    base = log.latest() if base is None else base
+    before = log.read(base)["segments"] if base and gone is not None else []
+    own = uuid.uuid4().hex
+    new.write.parquet(f"{root}/segments/{own}/chunks")
     if manifest is not None:
-        manifest.write.parquet(f"{version}/manifest")
-    spark = chunks.sparkSession
-    pointer = spark.createDataFrame([(json.dumps({"path": version}),)], "value string").coalesce(1)
-    pointer.write.mode("append").text(f"{root}/pointers")
-    return version
-
-
-def current(spark: SparkSession, root: str, part: str = "chunks") -> DataFrame | None:
-    """The published chunks (or manifest); None if nothing has been published. Of the pointers the last written counts."""
-    try:
-        pointers = spark.read.text(f"{root}/pointers").select("value", "_metadata.file_modification_time")
-    except AnalysisException:
+        manifest.write.parquet(f"{root}/segments/{own}/manifest")
+    if before:
+        gone.select("chunk_id").distinct().write.parquet(f"{root}/segments/{own}/gone")
+    segments = [*before, own]
+    if len(segments) > MOST_SEGMENTS:
+        folded = uuid.uuid4().hex
+        alive(spark, root, segments).write.parquet(f"{root}/segments/{folded}/chunks")
+        if manifest is not None:
+            spark.read.parquet(f"{root}/segments/{own}/manifest").write.parquet(f"{root}/segments/{folded}/manifest")
+        segments = [folded]
+    log.create(base + 1, {"segments": segments})
+    return base + 1
+
+
+def alive(spark: SparkSession, root: str, segments: list[str]) -> DataFrame:
+    """The chunks of some segments, in their order, that no later segment has as gone."""
+    parts = [spark.read.parquet(f"{root}/segments/{s}/chunks").withColumn("_s", F.lit(i)) for i, s in enumerate(segments)]
+    rows = reduce(DataFrame.unionByName, parts)
+    if len(segments) == 1:
+        return rows.drop("_s")
+    gone = [spark.read.parquet(f"{root}/segments/{s}/gone").withColumn("_g", F.lit(i)) for i, s in enumerate(segments) if i]
+    last = reduce(DataFrame.unionByName, gone).groupBy("chunk_id").agg(F.max("_g").alias("_g"))
+    return rows.join(last, "chunk_id", "left").filter("_g IS NULL OR _g <= _s").drop("_s", "_g").select(*parts[0].drop("_s").columns)
+
+
+def version(root: str) -> int:
+    """The last published version, 0 if there is none."""
+    return Commits(root).latest()
+
+
+def current(spark: SparkSession, root: str, part: str = "chunks", at: int | None = None) -> DataFrame | None:
+    """The chunks (or manifest) of a version, the last by default; None if nothing has been published. A version stays
+    what it is whatever is published later, until ``vacuum``."""
+    log = Commits(root)
+    number = log.latest() if at is None else at
+    if not number:
         return None
-    last = pointers.orderBy(F.col("file_modification_time").desc()).first()
-    return None if last is None else spark.read.parquet(f"{json.loads(last.value)['path']}/{part}")
+    segments = log.read(number)["segments"]
+    try:
+        return alive(spark, root, segments) if part == "chunks" else spark.read.parquet(f"{root}/segments/{segments[-1]}/{part}")
+    except AnalysisException as e:
+        raise ValueError(f"version {number} of {root} has been vacuumed") from e
+
+
+def vacuum(root: str, keep: int = 2) -> int:
+    """Deletes the segments that only versions before the last ``keep`` have, and says how many. Segments of no
+    version stay, as a writer may be at work on them."""
+    log = Commits(root)
+    numbers = log.numbers()
+    used = {s for n in numbers[-keep:] for s in log.read(n)["segments"]}
+    old = {s for n in numbers[:-keep] for s in log.read(n)["segments"]} - used
+    there = [s for s in old if log.store.get_file_info(f"{log.root}/segments/{s}").type != fs.FileType.NotFound]
+    for s in there:
+        log.store.delete_dir(f"{log.root}/segments/{s}")
+    return len(there)
 
 
 def same_dimension(chunks: DataFrame, expected: int) -> bool:

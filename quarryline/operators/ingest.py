@@ -18,6 +18,7 @@ from quarryline.operators import chunking, layout, rerank
 from quarryline.operators import index_maintenance as index
 from quarryline.sources import files as sources
 from quarryline.sources import providers
+from quarryline.sources.commits import Conflict
 from quarryline.staging import stage
 
 KEY = ["category", "source"]
@@ -60,16 +61,31 @@ def chunk_rows(articles: DataFrame, files: DataFrame, hierarchy: Column, roles:
     return providers.embedded(rows, "text", embedder).select(*names)
 
 
-def ingest(spark: SparkSession, files: DataFrame, root: str, hierarchy: Column, roles: dict[str, list[str]], embedder: providers.Embedder = providers.hashed_embedder, version: int = index.SCHEMA_VERSION, **readers) -> DataFrame:
+def ingest(spark: SparkSession, files: DataFrame, root: str, hierarchy: Column, roles: dict[str, list[str]], embedder: providers.Embedder = providers.hashed_embedder, version: int = index.SCHEMA_VERSION, within: Column | None = None, attempts: int = 5, **readers) -> DataFrame:
     """Brings the index below ``root`` up to date with the files, publishes it and gives the counters (total, added,
-    updated, removed, skipped), one row. An index whose vectors have another length is built anew."""
-    before, manifest = index.current(spark, root), index.current(spark, root, "manifest")
-    if before is not None and not index.same_dimension(before, len(embedder(["x"])[0])):
-        before, manifest = before.limit(0), manifest.limit(0)
-    if before is None:
+    updated, removed, skipped), one row. An index whose vectors have another length is built anew. ``within``, a
+    condition on category and source, says which part of the index the files are all of; others stay as they are.
+    A run that finds another's version published meanwhile goes by that one and tries again."""
+    for attempt in range(attempts):
+        try:
+            return _ingest(spark, files, root, hierarchy, roles, embedder, version, within, readers)
+        except Conflict:
+            if attempt == attempts - 1:
+                raise
+    raise ValueError("attempts must be 1 at least")
+
+
+def _ingest(spark: SparkSession, files: DataFrame, root: str, hierarchy: Column, roles: dict[str, list[str]], embedder: providers.Embedder, version: int, within: Column | None, readers: dict) -> DataFrame:
+    base = index.version(root)
+    before, manifest = index.current(spark, root, at=base), index.current(spark, root, "manifest", at=base)
+    rebuilt = before is not None and not index.same_dimension(before, len(embedder(["x"])[0]))
+    if rebuilt and within is not None:
+        raise ValueError("vectors of another length: the whole index must be built anew")
+    if before is None or rebuilt:
         before, manifest = spark.createDataFrame([], CHUNKS), spark.createDataFrame([], MANIFEST)
+    within = F.lit(True) if within is None else F.coalesce(within, F.lit(False))
     there = files.select(*KEY, "file_hash", F.lit(version).alias("schema_version"))
-    changes = stage(index.diff(manifest, there), "ingest-changes")
+    changes = stage(index.diff(manifest.filter(within), there), "ingest-changes")
     changed = files.join(changes.filter("change IN ('added', 'updated')"), KEY, "left_semi")
     articles, errors = read_articles(changed, **readers)
     failed = errors.orderBy("doc").first()
@@ -80,10 +96,12 @@ def ingest(spark: SparkSession, files: DataFrame, root: str, hierarchy: Column,
     empty = changed.join(counts, KEY, "left_anti").select("path").first()
     if empty is not None:
         raise ValueError(f"can't ingest {empty.path}: it holds nothing")
-    # New rows first, then what of their files and of files that are gone is stale.
-    gone = before.join(changes.filter("change IN ('updated', 'removed')"), KEY, "left_semi").join(new.select("chunk_id"), "chunk_id", "left_anti")
-    after = stage(index.purged(index.upserted(before, new), gone), "ingest-index")
+    # What of changed and removed files was there goes, as do rows whose ids come anew.
+    touched = before.join(changes.filter("change IN ('updated', 'removed')"), KEY, "left_semi").select("chunk_id")
+    gone = touched.unionByName(before.select("chunk_id").join(new.select("chunk_id"), "chunk_id", "left_semi"))
     kept = manifest.join(changes.filter("change = 'skipped'"), KEY, "left_semi").select(*KEY, "article_count")
-    listed = stage(there.join(counts.unionByName(kept), KEY).select(*[c.split()[0] for c in MANIFEST.split(", ")]), "ingest-manifest")
-    index.publish(after, root, listed)
-    return index.counters(changes, manifest, listed, before.select(*KEY, "chunk_id"), after)
+    names = [c.split()[0] for c in MANIFEST.split(", ")]
+    listed = there.join(counts.unionByName(kept), KEY).select(*names).unionByName(manifest.filter(~within).select(*names))
+    listed = stage(listed, "ingest-manifest")
+    number = index.publish(new, root, listed, None if rebuilt or not base else gone, base)
+    return index.counters(changes, manifest, listed, before.select(*KEY, "chunk_id"), index.current(spark, root, at=number))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +14,7 @@ from quarryline.operators import ingest
 from quarryline.operators import operations as ops
 from quarryline.plans import fixtures as fx
 from quarryline.registry import literal, query
+from quarryline.sources import providers
 from quarryline.staging import new_path
 from quarryline.streaming import events as stream
 
@@ -364,3 +367,38 @@ def ingest_run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counters of the second run."""
     out, _ = _ingested(spark, sf_dir)
     return out.select(*[F.col(c).cast("long").alias(c) for c in out.columns])
+
+
+@query("p8_index_versions", f"""WITH {_FILES} SELECT 1 AS version, sha256(source || '||' || article_no) AS chunk_id, md5(old_text) AS text_md5 FROM texts WHERE doc_id % 10 < 8 AND old_text <> ''
+UNION ALL SELECT 2, sha256(source || '||' || article_no), md5(new_text) FROM texts WHERE doc_id % 10 > 1 AND new_text <> ''""")
+def index_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both versions stay readable; the second is a segment beside the first."""
+    _, root = _ingested(spark, sf_dir)
+    read = lambda n: index.current(spark, root, at=n).select(F.lit(n).alias("version"), "chunk_id", F.md5("text").alias("text_md5"))
+    return read(1).unionByName(read(2))
+
+
+@query("p8_two_writers", f"WITH {_FILES} SELECT sha256(source || '||' || article_no) AS chunk_id, CASE WHEN doc_id // 5 % 2 = 0 THEN 'even' ELSE 'odd' END AS category, md5(new_text) AS text_md5 FROM texts WHERE doc_id % 10 > 1 AND new_text <> ''")
+def two_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs at once, each for half of the files; whoever comes second goes by the other's version."""
+    root = new_path(spark, "index")
+    lines = lambda content: content.decode().split("\n")
+    half = F.when(F.substring("source", 2, 20).cast("long") % 2 == 0, "even").otherwise("odd")
+    files = _statutes(_sides(spark, sf_dir)[1]).withColumn("category", half)
+
+    def run(name: str) -> None:
+        ingest.ingest(spark, files.filter(F.col("category") == name), root, F.lit("法律"), {}, docx=lines, within=F.col("category") == name)
+
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(run, ["even", "odd"]))
+    return index.current(spark, root).select("chunk_id", "category", F.md5("text").alias("text_md5"))
+
+
+@query("s11_rebuilt_index", f"WITH {_FILES} SELECT sha256(source || '||' || article_no) AS chunk_id, 16::BIGINT AS size, md5(old_text) AS text_md5 FROM texts WHERE doc_id % 10 < 8 AND old_text <> ''")
+def rebuilt_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files again, with vectors of another length."""
+    root = new_path(spark, "index")
+    lines = lambda content: content.decode().split("\n")
+    for size in (8, 16):
+        ingest.ingest(spark, _statutes(_sides(spark, sf_dir)[0]), root, F.lit("法律"), {}, docx=lines, embedder=lambda texts, size=size: providers.hashed_embedder(texts, size))
+    return index.current(spark, root).select("chunk_id", F.size("embedding").cast("long").alias("size"), F.md5("text").alias("text_md5"))

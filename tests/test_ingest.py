@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quarryline.operators import index_maintenance as index
 from quarryline.operators import ingest
 from quarryline.sources import files, providers
+from quarryline.sources.commits import Commits, Conflict
 from quarryline.staging import new_path, release, stage
 
 LAW = ["道路法", "第一章 总 则", "第一条 为了安全。", "第二条 有下列行为的，处罚款：", "（一）超速；", "（二）逆行。", "第二章 附则", "第三条 施行。"]
@@ -79,6 +80,62 @@ def test_ingest_twice(spark, tmp_path):
     assert {len(r.embedding) for r in rows(spark, at).values()} == {8}
 
 
+def law(spark, category, numbers):
+    """Files of one article each; the stand-in for a reader takes the content's lines."""
+    rows = [(f"{category}/{n}.docx", category, f"{category}{n}", str(n), f"第一条 {category} {n}".encode()) for n in numbers]
+    return spark.createDataFrame(rows, "path string, category string, source string, file_hash string, content binary")
+
+
+def ingest_law(spark, at, category, numbers, **more):
+    own = F.col("category") == category
+    return ingest.ingest(spark, law(spark, category, numbers), at, F.lit("x"), {}, docx=lambda c: c.decode().split("\n"), within=own, **more)
+
+
+def published(spark, at, version=None):
+    return sorted((r.category, r.source) for r in index.current(spark, at, at=version).collect())
+
+
+def test_a_writer_that_comes_second_rebases(spark, monkeypatch):
+    """Another run publishes between a run's reading and its publishing: both stand in the end."""
+    at = new_path(spark, "test-conflict")
+    ingest_law(spark, at, "a", [1])
+    real, calls = index.publish, []
+
+    def late(*args, **kwargs):
+        calls.append(args)
+        if len(calls) == 1:
+            monkeypatch.setattr(index, "publish", real)
+            ingest_law(spark, at, "b", [1, 2])
+            monkeypatch.setattr(index, "publish", late)
+        return real(*args, **kwargs)
+
+    monkeypatch.setattr(index, "publish", late)
+    got = ingest_law(spark, at, "a", [1, 3]).first()
+    assert len(calls) == 2 and index.version(at) == 3
+    assert (got.added, got.skipped, got.total) == (1, 1, 4)
+    assert published(spark, at) == [("a", "a1"), ("a", "a3"), ("b", "b1"), ("b", "b2")]
+    monkeypatch.setattr(index, "publish", lambda *a, **k: real(*a[:-1], a[-1] - 1))
+    with pytest.raises(Conflict):
+        ingest_law(spark, at, "a", [4], attempts=2)
+    assert published(spark, at) == [("a", "a1"), ("a", "a3"), ("b", "b1"), ("b", "b2")]
+
+
+def test_versions_segments_and_vacuum(spark, monkeypatch):
+    at = new_path(spark, "test-versions")
+    monkeypatch.setattr(index, "MOST_SEGMENTS", 3)
+    want = {}
+    for n, numbers in enumerate([[1, 2], [1, 2, 3], [2, 3], [2, 3, 4], [4]], 1):
+        ingest_law(spark, at, "a", numbers)
+        want[n] = [("a", f"a{i}") for i in numbers]
+    assert all(published(spark, at, n) == rows for n, rows in want.items())
+    sizes = [len(Commits(at).read(n)["segments"]) for n in range(1, 6)]
+    assert sizes == [1, 2, 3, 1, 2]
+    assert index.vacuum(at, keep=2) == 3 and index.vacuum(at, keep=2) == 0
+    assert published(spark, at, 4) == want[4] and published(spark, at) == want[5]
+    with pytest.raises(ValueError, match="vacuumed"):
+        index.current(spark, at, at=2)
+
+
 def test_scanned_pdf_goes_to_ocr(spark, tmp_path):
     (tmp_path / "scan.pdf").write_bytes(json.dumps([(800.0, [], [])]).encode())
     found, errors = ingest.read_articles(scanned(spark, tmp_path), pdf=pages, ocr=lambda content: ["1 范围", "正文。"])
