@@ -122,9 +122,15 @@ def body_lines(rows: DataFrame, titles: list[str], standard: str) -> DataFrame:
 TABLE, APPENDIX = "表", "附表"
 
 
-def with_tables(articles: DataFrame, rows: DataFrame) -> DataFrame:
+def last_chapters(outline: DataFrame) -> DataFrame:
+    """(doc, _chapter): the last first-level heading of each document's events."""
+    return outline.filter("kind = 'heading' AND level = 1").groupBy("doc").agg(F.max_by(F.concat_ws(" ", "no", "rest"), "pos").alias("_chapter"))
+
+
+def with_tables(articles: DataFrame, rows: DataFrame, chapters: DataFrame) -> DataFrame:
     """(doc, pos, article_no, section_header, text): the articles, of which the k-th that refers to a table gets the
-    document's k-th table, and each table given so as a chunk of its own behind them."""
+    document's k-th table, and each table given so as a chunk of its own behind them, under its article's section, else
+    the document's last chapter, else the word for an appendix. chapters: as ``last_chapters`` gives them."""
     order = Window.partitionBy("doc").orderBy("page", "line")
     tables = rows.filter("kind = 'table' AND size(cells) > 0").select("doc", F.row_number().over(order).alias("_k"), table_text(F.col("cells")).alias("_table"))
     w = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -132,10 +138,11 @@ def with_tables(articles: DataFrame, rows: DataFrame) -> DataFrame:
     both = named.join(tables, ["doc", "_k"], "left")
     own = both.select("doc", "pos", "article_no", "section_header", F.concat_ws("\n", "text", "_table").alias("text"))
     number = F.concat(F.lit(TABLE), F.col("_k").cast("string"))
-    header = F.when(F.col("section_header") != "", F.col("section_header")).otherwise(APPENDIX)
-    alone = both.filter("_table IS NOT NULL").select("doc", (F.lit(1 << 30) + F.col("_k")).alias("pos"), number.alias("article_no"), header.alias("section_header"), F.concat_ws("\n", number, "_table").alias("text"))
+    header = F.coalesce(F.nullif("section_header", F.lit("")), F.nullif("_chapter", F.lit("")), F.lit(APPENDIX))
+    alone = both.filter("_table IS NOT NULL").join(chapters, "doc", "left").select("doc", (F.lit(1 << 30) + F.col("_k")).alias("pos"), number.alias("article_no"), header.alias("section_header"), F.concat_ws("\n", number, "_table").alias("text"))
     return own.unionByName(alone)
 
 
 def pdf_articles(rows: DataFrame, titles: list[str], standard: str) -> DataFrame:
-    return with_tables(outline_articles(events(body_lines(rows, titles, standard))), rows)
+    outline = events(body_lines(rows, titles, standard))
+    return with_tables(outline_articles(outline), rows, last_chapters(outline))

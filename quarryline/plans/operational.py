@@ -95,13 +95,19 @@ def sliding_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.in_window(fx.table(spark, sf_dir, "events"), 86_400).select("event_id", "n")
 
 
-@query("x3_stream_windows")
+def _closed(size: str, delay: str) -> str:
+    """Counts of the windows that end by the watermark, the last event's time less the delay."""
+    return f"""WITH w AS (SELECT user_id, date_trunc('{size}', ts) AS start, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT * FROM w WHERE start + INTERVAL 1 {size} <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL {delay} FROM events)"""
+
+
+@query("x3_stream_windows", _closed("minute", "10 minutes"))
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X3, X7 as a stream: events replayed from files through a watermarked window; closed windows come out."""
     return _stream(spark, sf_dir, stream.windowed_counts)
 
 
-@query("x4_stream_days")
+@query("x4_stream_days", _closed("day", "1 day"))
 def stream_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X4 as a stream."""
     return _stream(spark, sf_dir, stream.daily_counts)
@@ -110,7 +116,8 @@ def stream_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stream(spark: SparkSession, sf_dir: str, plan) -> DataFrame:
     at = new_path(spark, "stream")
     fx.table(spark, sf_dir, "events").select("ts", "user_id").write.parquet(f"{at}/in")
-    return stream.replay(spark, f"{at}/in", "ts timestamp_ntz, user_id long", plan, f"{at}/checkpoint", f"{at}/out")
+    closed = stream.replay(spark, f"{at}/in", "ts timestamp_ntz, user_id long", plan, f"{at}/checkpoint", f"{at}/out")
+    return closed.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 _SESSION = "conv AS (SELECT conv_id AS session_id, turn AS message_idx, role, text AS content FROM conversations)"

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 SMALL_ROWS = 100_000
 #: Folders and tables that were staged, by application; ``release`` drops them.
 _staged: dict[str, list[tuple[str, str]]] = {}
+#: Folders that were made where the session names none, by application.
+_made: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,8 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not where:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="quarryline-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        application = spark.sparkContext.applicationId
+        where = _made.get(application) or "file://" + tempfile.mkdtemp(prefix="quarryline-")
+        _made[application] = where
     return where
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarryline.operators import index_maintenance as index
-from quarryline.operators import ingest
+from quarryline.operators import ingest, layout
 from quarryline.sources import files, providers
 from quarryline.sources.commits import Commits, Conflict
 from quarryline.staging import new_path, release, stage
@@ -142,6 +142,20 @@ def test_scanned_pdf_goes_to_ocr(spark, tmp_path):
     assert [(r.article_no, r.text) for r in found.collect()] == [("1", "正文。")] and errors.count() == 0
 
 
+def test_headers_of_tables(spark):
+    """A table behind a first-level leaf stands under the document's last chapter, one of a document without chapters
+    in the appendix."""
+    box = (0, 290, 100, 320, [["值", "b"]])
+    lines = [(10, 30, 90, 40, "1 范围"), (10, 50, 90, 60, "见表1"), (10, 130, 90, 140, "2 结语"), (10, 150, 90, 160, "完。")]
+    frame = spark.createDataFrame([("a.pdf", json.dumps([(800.0, lines, [box])]).encode())], "path string, content binary")
+    found = {r.article_no: r for r in layout.pdf_articles(stage(files.pdf_rows(frame, pages), "test-pdf"), [], "GB").collect()}
+    assert found["1"].section_header == "" and found["1"].text == "见表1\n值 | b" and found["表1"].section_header == "2 结语"
+    rows = stage(files.pdf_rows(frame, pages), "test-pdf")
+    articles = spark.createDataFrame([("a.pdf", 0, "1", "", "见表1")], "doc string, pos int, article_no string, section_header string, text string")
+    none = spark.createDataFrame([], "doc string, _chapter string")
+    assert {r.article_no: r.section_header for r in layout.with_tables(articles, rows, none).collect()} == {"1": "", "表1": "附表"}
+
+
 def test_sessions_and_lines(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"id": "s1", "title": "t", "messages": [{"role": "user", "content": "hi", "attachments": [{"name": "n", "type": "image", "url": "/u/n.png"}]}]}))
     (tmp_path / "b.json").write_text("{broken")
