@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from quarryline.functions.vectors import dot
 from quarryline.operators import lexical
-from quarryline.staging import small, stage
+from quarryline.staging import small
 
 #: Fixed value: the constant of reciprocal-rank fusion; ranks start at 0.
 LAMBDA = 60
@@ -25,7 +25,7 @@ def rank(score: str, *partition: str, tie: str = "chunk_id") -> Column:
 
 
 def scored_pairs(chunks: DataFrame, queries: DataFrame, index: lexical.Index) -> DataFrame:
-    """Every chunk for every query of the stated set, with both scores. The queries, not the chunks, are sent to
+    """Every chunk for every query of the stated set, with both scores; the cosine is null without a vector. The queries, not the chunks, are sent to
     all tasks, if they are few enough."""
     own = chunks.select("chunk_id", "source", "embedding")
     pairs = own.join(small(queries.select("query_id", F.col("embedding").alias("q"))))
@@ -35,11 +35,12 @@ def scored_pairs(chunks: DataFrame, queries: DataFrame, index: lexical.Index) ->
 
 
 def fused(pairs: DataFrame, *partition: str, weight: Column | float = 0.5) -> DataFrame:
-    """Adds score: BM25 and vector ranks within the partition, fused by weight. Each partition is sorted whole, twice;
-    ``fused_top`` finds the best of large ones without that."""
+    """Adds score: BM25 and vector ranks within the partition, fused by weight; a row without a cosine stands in the
+    BM25 list alone. Each partition is sorted whole, twice; ``scan.best`` finds the best of large ones without that."""
     w = F.lit(weight) if isinstance(weight, float) else weight
     rows = pairs.withColumn("_b", rank("bm25", *partition)).withColumn("_v", rank("cosine", *partition))
-    return rows.withColumn("score", w * rrf(F.col("_b")) + (1 - w) * rrf(F.col("_v"))).drop("_b", "_v")
+    near = F.when(F.col("cosine").isNull(), 0.0).otherwise((1 - w) * rrf(F.col("_v")))
+    return rows.withColumn("score", w * rrf(F.col("_b")) + near).drop("_b", "_v")
 
 
 def places(k: int, weight: float = 0.5) -> int:
@@ -48,46 +49,11 @@ def places(k: int, weight: float = 0.5) -> int:
     return int((LAMBDA - 1 + k) / max(weight, 1 - weight)) - LAMBDA + 1
 
 
-def fused_top(pairs: DataFrame, k: int, *partition: str, weight: float = 0.5) -> DataFrame:
-    """The k best rows of each partition by fused ranks, with score and place ``pos``; what ``top(fused(...))`` gives,
-    but no partition is sorted whole. The first rows of both lists (``places``) are the candidates; each task sends
-    no more of them than that. A candidate's place in a list is the number of rows before it, which are counted by
-    the candidates that they lie between."""
-    head = lambda column: Window.partitionBy(*partition).orderBy(F.round(column, DIGITS).desc(), "chunk_id")
-    heads = [pairs.withColumn("_n", F.row_number().over(head(c))).filter(F.col("_n") <= places(k, weight)).drop("_n") for c in ("bm25", "cosine")]
-    found = stage(heads[0].unionByName(heads[1]).distinct(), "fusion-candidates")
-    key = lambda column: F.struct((-F.round(column, DIGITS)).alias("s"), F.col("chunk_id").alias("c"))
-    lists = found.groupBy(*partition).agg(F.array_sort(F.collect_list(key("bm25"))).alias("_b"), F.array_sort(F.collect_list(key("cosine"))).alias("_v"))
-    # How many candidates don't come behind a row; behind the last one lie most.
-    passed = lambda have, own: F.when(own >= F.element_at(have, -1), F.size(have)).otherwise(F.size(F.filter(have, lambda x: x <= own)))
-    rows = pairs.join(small(lists), list(partition))
-    rows = rows.select(*partition, passed(F.col("_b"), key("bm25")).alias("_b"), passed(F.col("_v"), key("cosine")).alias("_v"))
-    rows = stage(rows.groupBy(*partition, "_b", "_v").agg(F.count("*").alias("n")), "fusion-counts")
-    out = found
-    for name, column in (("_b", "bm25"), ("_v", "cosine")):
-        before = Window.partitionBy(*partition).orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
-        counts = rows.groupBy(*partition, name).agg(F.sum("n").alias("n")).withColumn(f"{name}_rank", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-        # The i-th candidate has passed itself and those before it.
-        out = out.withColumn(name, F.row_number().over(head(column))).join(counts, [*partition, name])
-    score = F.lit(weight) * rrf(F.col("_b_rank")) + F.lit(1 - weight) * rrf(F.col("_v_rank"))
-    return top(out.withColumn("score", score).drop("_b", "_v", "_b_rank", "_v_rank"), k, *partition)
-
-
 def top(rows: DataFrame, k: int, *partition: str) -> DataFrame:
     """The k best by score, with their place ``pos`` from 0."""
     return rows.withColumn("pos", rank("score", *partition)).filter(F.col("pos") < k)
 
 
-def routes(pairs: DataFrame, k_all: int = 10, k_source: int = 3, weight: float = 0.5) -> DataFrame:
-    """One query's hits: the best of all, then the best of each source; a chunk found both ways keeps its first
-    score. (query_id, chunk_id, source, score, route)."""
-    whole = fused_top(pairs, k_all, "query_id", weight=weight).withColumn("route", F.lit(0))
-    each = top(fused(pairs, "query_id", "source", weight=weight), k_source, "query_id", "source").withColumn("route", F.lit(1))
-    first = Window.partitionBy("query_id", "chunk_id").orderBy("route")
-    both = whole.unionByName(each).withColumn("_n", F.row_number().over(first))
-    return both.filter("_n = 1").select("query_id", "chunk_id", "source", "score", "route")
-
-
 def across(hits: DataFrame) -> DataFrame:
     """Fusion over a question's queries: hits (question_id, query_id, chunk_id, score) to (question_id, chunk_id,
     score)."""

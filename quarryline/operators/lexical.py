@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.functions.text import tokens
-from quarryline.staging import small, stage
+from quarryline.staging import stage
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -52,10 +52,10 @@ def build(chunks: DataFrame, dictionary: list[str] | None = None) -> Index:
 
 def scores(index: Index, queries: DataFrame, dictionary: list[str] | None = None) -> DataFrame:
     """(query_id, chunk_id, bm25) of pairs that share a term; a term that a query repeats counts again. The asked
-    terms, with their weights, go to the postings where they are few enough; else a frequent term's postings are
+    terms, with their weights, go to the postings where Spark finds them small enough; else a frequent term's postings are
     left to Spark's handling of skewed joins."""
     asked = term_counts(queries, key="query_id", dictionary=dictionary).select("query_id", "term", F.col("tf").alias("asked"))
-    asked = small(asked.join(index.terms.select("term", "idf"), "term"))
+    asked = asked.join(index.terms.select("term", "idf"), "term")
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / index.mean_length))
     rows = index.postings.join(asked, "term")
     return rows.groupBy("query_id", "chunk_id").agg(F.sum(F.col("asked") * weight).alias("bm25"))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from quarryline.functions.text import clause_label, numeral
 from quarryline.functions.vectors import dot
-from quarryline.operators import context, fusion, lexical, rerank
+from quarryline.operators import context, fusion, lexical, rerank, scan
 from quarryline.plans import fixtures as fx
 from quarryline.registry import literal, query
 from quarryline.staging import small, stage
@@ -137,7 +137,7 @@ def penalty_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("j9_expansion_guarantee", f"""WITH {fx.INDEX}, near AS (
-  SELECT qs.query_id, vc.chunk_id, row_number() OVER (PARTITION BY qs.query_id ORDER BY round(list_sum(list_transform(list_zip(vc.embedding, qs.q), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)), 9) DESC, vc.chunk_id) - 1 AS pos
+  SELECT qs.query_id, vc.chunk_id, row_number() OVER (PARTITION BY qs.query_id ORDER BY CASE WHEN vc.embedding IS NOT NULL THEN round(list_sum(list_transform(list_zip(vc.embedding, qs.q), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)), 9) END DESC NULLS LAST, vc.chunk_id) - 1 AS pos
   FROM qs CROSS JOIN vc
 ), ctx AS (SELECT * FROM near WHERE pos < 3), heads AS (
   SELECT query_id, chunk_id, bm25, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, chunk_id) AS r FROM bm QUALIFY r <= 3 AND bm25 >= 10
@@ -147,10 +147,11 @@ def penalty_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
 ) SELECT * FROM ctx UNION ALL SELECT * FROM more WHERE pos <= 7""")
 def expansion_guarantee(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J9, Q10."""
-    c, q = fx.vector_chunks(spark, sf_dir), fx.queries(spark, sf_dir)
-    pairs = stage(fusion.scored_pairs(c, q, lexical.build(c)), "pairs")
+    c, q = fx.all_chunks(spark, sf_dir), fx.queries(spark, sf_dir)
+    scans = scan.scanned(c, q, lexical.build(c))
+    pairs = scan.pairs(scans)
     first = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("cosine", fusion.DIGITS).desc(), "chunk_id"))).filter("_n <= 3")
-    bm25 = pairs.filter("bm25 > 0").select("query_id", F.lit("as asked").alias("expansion"), "chunk_id", "bm25")
+    bm25 = scan.bm25(scans).select("query_id", F.lit("as asked").alias("expansion"), "chunk_id", "bm25")
     return context.ensured(first.withColumn("pos", F.col("_n") - 1), pairs, bm25).withColumn("pos", F.col("pos").cast("long"))
 
 

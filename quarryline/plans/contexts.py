@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarryline.functions.vectors import dot
-from quarryline.operators import context, fusion, lexical, rerank, rules
+from quarryline.operators import context, fusion, lexical, rerank, rules, scan
 from quarryline.plans import answers, policies, retrieval
 from quarryline.plans import fixtures as fx
 from quarryline.registry import ORACLES, literal, query
@@ -49,13 +49,13 @@ def retrieved_contexts(chunks: DataFrame, queries: DataFrame, found_intents: Dat
     found_intents (query_id, pos, intent) of the questions."""
     index = lexical.build(chunks)
     queries = stage(queries, "queries")
-    pairs = stage(fusion.scored_pairs(chunks, queries, index), "pairs")
-    bm25 = pairs.filter("bm25 > 0").select("query_id", "chunk_id", "bm25")
-    found = retrieval.multi_query(chunks, queries, pairs, bm25, policy.concepts, policy.wide, policy.markers)
+    scans = scan.scanned(chunks, queries, index)
+    bm25 = scan.bm25(scans)
+    found = retrieval.multi_query(chunks, queries, scans, policy.concepts, policy.wide, policy.markers)
     asked = queries.filter("query_pos = 0").select("question_id", F.col("text").alias("query_text"), F.col("embedding").alias("_q"))
     rows = found.select("question_id", "chunk_id", "pos").join(chunks, "chunk_id").join(small(asked), "question_id")
     rows = rules.scoped(rules.gated(rows, policy.gates), source=policy.source)
-    score = F.round(dot(F.col("embedding"), F.col("_q")), fusion.DIGITS)
+    score = F.coalesce(F.round(dot(F.col("embedding"), F.col("_q")), fusion.DIGITS), F.lit(0.0))
     rows = rows.withColumn("rerank_score", score).withColumnRenamed("question_id", "query_id")
     candidates = stage(rows.drop("embedding", "_q", "query_text"), "candidates")
     kept = stage(rerank.diverse(rerank.kept(candidates.drop("pos"), policy.min_score), policy.top_n), "reranked")
@@ -135,7 +135,7 @@ def _after_pool(sql: str) -> str:
 _SQL = f"""WITH {retrieval._BUDGET.replace(fx.QUESTIONS, _LISTS).replace('pool AS (', 'budget_pool AS (').replace('FROM pool QUALIFY', 'FROM budget_pool QUALIFY')}, questions AS (
   SELECT question_id AS query_id, text, q FROM qs WHERE query_pos = 0
 ), pool AS (
-  SELECT b.question_id AS query_id, vc.*, b.pos, round(list_sum(list_transform(list_zip(vc.embedding, q.q), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)), 9) AS rerank_score
+  SELECT b.question_id AS query_id, vc.*, b.pos, CASE WHEN vc.embedding IS NULL THEN 0.0 ELSE round(list_sum(list_transform(list_zip(vc.embedding, q.q), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)), 9) END AS rerank_score
   FROM budget b JOIN vc USING (chunk_id) JOIN questions q ON q.query_id = b.question_id
   WHERE NOT (vc.chunk_type = 'clause' AND NOT (contains(q.text, 'then') OR contains(q.text, 'ally')) AND (contains(vc.text, 'license') OR contains(vc.text, 'heit')))
 ), {_after_pool(answers._DIVERSE)}, {quotas_sql('SELECT query_id, text FROM questions')}, found_intents AS (
@@ -181,7 +181,7 @@ def p6_retrieval_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.pmod(F.col("question_id") * 7 + F.col("query_pos") * 13, F.lit(vectors.count()))
     lists = lists.withColumn("vec_id", number).join(vectors.select("vec_id", "embedding"), "vec_id").drop("vec_id")
     lists = lists.withColumn("query_id", F.col("question_id") * 100 + F.col("query_pos"))
-    chunks = fx.vector_chunks(spark, sf_dir)
+    chunks = fx.all_chunks(spark, sf_dir)
     found = rules.intents(questions, policies.intent_frame(spark))
     out = retrieved_contexts(chunks, lists, found, POLICY)
     return out.select("query_id", "chunk_id", F.col("pos").cast("long").alias("pos"), F.md5("text").alias("text_md5"))

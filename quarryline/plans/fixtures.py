@@ -30,9 +30,18 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+
+
 def vector_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    return chunks(spark, sf_dir).join(vectors, "chunk_id")
+    """Chunks that have a vector, for searches by vector alone."""
+    return chunks(spark, sf_dir).join(vectors(spark, sf_dir), "chunk_id")
+
+
+def all_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All chunks, with a vector or a null."""
+    return chunks(spark, sf_dir).join(vectors(spark, sf_dir), "chunk_id", "left")
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,14 +94,14 @@ _BM25 = f"""tf AS (
 )"""
 
 INDEX = f"""{CHUNKS}, {QUESTIONS}, vc AS (
-  SELECT c.*, e.embedding FROM chunks c JOIN embeddings e ON e.vec_id = c.chunk_id
+  SELECT c.*, e.embedding FROM chunks c LEFT JOIN embeddings e ON e.vec_id = c.chunk_id
 ), {_BM25}"""
 #: The same over all chunks and all questions: BM25 needs no vectors.
 LEXICAL = f"""vc AS (SELECT doc_id AS chunk_id, text FROM documents), qs AS (SELECT item_id AS query_id, text FROM benchmark), {_BM25}"""
 
 PAIRS = f"""{INDEX}, pairs AS (
   SELECT qs.query_id, vc.chunk_id, vc.source, coalesce(bm25, 0.0) AS bm25,
-    list_sum(list_transform(list_zip(vc.embedding, qs.q), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) AS cosine
+    CASE WHEN vc.embedding IS NOT NULL THEN list_sum(list_transform(list_zip(vc.embedding, qs.q), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) END AS cosine
   FROM qs CROSS JOIN vc LEFT JOIN bm ON bm.query_id = qs.query_id AND bm.chunk_id = vc.chunk_id
 )"""
 
@@ -101,8 +110,8 @@ def fused_sql(name: str, rows: str, *partition: str, weight: str = "0.5", extra:
     """A CTE that ranks ``rows`` in the partition and fuses."""
     over = f"OVER (PARTITION BY {', '.join(partition)} ORDER BY"
     return f"""{name} AS (
-  SELECT *, {weight} / (60.0 + b) + (1 - {weight}) / (60.0 + v) AS score FROM (
-    SELECT *, row_number() {over} round(bm25, 9) DESC, chunk_id) - 1 AS b, row_number() {over} round(cosine, 9) DESC, chunk_id) - 1 AS v FROM {rows}{extra}
+  SELECT *, {weight} / (60.0 + b) + CASE WHEN cosine IS NULL THEN 0.0 ELSE (1 - {weight}) / (60.0 + v) END AS score FROM (
+    SELECT *, row_number() {over} round(bm25, 9) DESC, chunk_id) - 1 AS b, row_number() {over} round(cosine, 9) DESC NULLS LAST, chunk_id) - 1 AS v FROM {rows}{extra}
   )
 )"""
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarryline.functions.text import any_in
-from quarryline.operators import context, fusion, lexical, rerank
+from quarryline.operators import context, fusion, lexical, rerank, scan
 from quarryline.plans import fixtures as fx
 from quarryline.registry import query
 from quarryline.staging import small, stage
@@ -18,18 +18,17 @@ PATH_WEIGHT, BOOST, CAP = 4.0, 3.0, 5
 DEFINITIONS, PENALTIES, REWRITES, REWRITE_TOP, REWRITE_LEAST, BUDGET = 8, 3, 3, 2, 20.0, 24
 
 
-def pairs_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Vector chunks, queries, and every pair of them with both scores. Several routes read the pairs, so they are
-    staged once."""
-    c, q = fx.vector_chunks(spark, sf_dir), stage(fx.queries(spark, sf_dir), "queries")
-    return c, q, stage(fusion.scored_pairs(c, q, lexical.build(c)), "pairs")
+def scans_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[scan.Scan]]:
+    """All chunks, queries, and the scans of the ones for the others."""
+    c, q = fx.all_chunks(spark, sf_dir), fx.queries(spark, sf_dir)
+    return c, q, scan.scanned(c, q, lexical.build(c))
 
 
-def question_hits(pairs: DataFrame, queries: DataFrame) -> DataFrame:
-    return stage(fusion.routes(pairs).join(queries.select("query_id", "question_id", "query_pos"), "query_id"), "hits")
+def question_hits(scans: list[scan.Scan], queries: DataFrame) -> DataFrame:
+    return stage(scan.routes(scans).join(queries.select("query_id", "question_id", "query_pos"), "query_id"), "hits")
 
 
-def protected(pairs: DataFrame, chunks: DataFrame, queries: DataFrame, concepts: list[str], wide: str, markers: list[str]) -> DataFrame:
+def protected(scans: list[scan.Scan], chunks: DataFrame, queries: DataFrame, concepts: list[str], wide: str, markers: list[str]) -> DataFrame:
     """(question_id, chunk_id, score, role): rows of protected roles for questions that, as asked, name a concept;
     ranked within their source among protected rows alone, none cut; rows whose text names one of the query's
     concepts count more; over a question's queries the best score stays."""
@@ -37,7 +36,7 @@ def protected(pairs: DataFrame, chunks: DataFrame, queries: DataFrame, concepts:
     asked = queries.filter((F.col("query_pos") == 0)).select("question_id", F.col("text").alias("_q")).filter(F.size(words) > 0).select("question_id")
     own = queries.join(asked, "question_id", "left_semi").select("query_id", "question_id", F.col("text").alias("_q")).withColumn("_words", words).drop("_q")
     rows = chunks.filter(F.col("role").isin(*rerank.PROTECTED)).select("chunk_id", "role", "text", "penalty_context")
-    rows = pairs.join(own, "query_id").join(rows, "chunk_id")
+    rows = scan.pairs(scans, rows).join(own, "query_id").join(rows, "chunk_id")
     rows = rows.filter(rerank.penalty_signal(F.col("role"), F.col("text"), F.col("penalty_context"), F.col("_words"), wide, markers))
     rows = fusion.fused(rows, "query_id", "source")
     boost = F.when(any_in(F.col("text"), F.col("_words")), BOOST).otherwise(1.0)
@@ -76,13 +75,13 @@ def budget(candidates: DataFrame, limit: int = BUDGET) -> DataFrame:
     return candidates.withColumn("pos", F.row_number().over(w) - 1).filter(F.col("pos") < limit).drop("floor_pos")
 
 
-def multi_query(chunks: DataFrame, queries: DataFrame, pairs: DataFrame, bm25: DataFrame, concepts: list[str], wide: str, markers: list[str]) -> DataFrame:
+def multi_query(chunks: DataFrame, queries: DataFrame, scans: list[scan.Scan], concepts: list[str], wide: str, markers: list[str]) -> DataFrame:
     """(question_id, chunk_id, score, pos): all stages in turn, with the rewrites', citations' and hierarchy's rows."""
-    hits = question_hits(pairs, queries)
-    found = stage(fused_candidates(hits, stage(protected(pairs, chunks, queries, concepts, wide, markers), "protected")), "candidates")
+    hits = question_hits(scans, queries)
+    found = stage(fused_candidates(hits, stage(protected(scans, chunks, queries, concepts, wide, markers), "protected")), "candidates")
     zero = F.lit(0.0).alias("score")
     none = F.lit(None).cast("int").alias("floor_pos")
-    found = found.unionByName(rewrite_rows(found, bm25, queries).select("question_id", "chunk_id", zero, none))
+    found = found.unionByName(rewrite_rows(found, scan.bm25(scans), queries).select("question_id", "chunk_id", zero, none))
     placed = found.withColumn("pos", fusion.rank("score", "question_id"))
     found = found.unionByName(context.cited_chunks(placed.select("question_id", "chunk_id", "pos"), chunks).select("question_id", "chunk_id", zero, none))
     found = stage(found, "candidates")
@@ -95,8 +94,8 @@ SELECT query_id, chunk_id, round(score, 6) AS score, pos FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) - 1 AS pos FROM whole) WHERE pos < 10""")
 def hybrid_rrf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship query."""
-    _, _, pairs = pairs_of(spark, sf_dir)
-    out = fusion.fused_top(pairs, TOP_K, "query_id")
+    _, _, scans = scans_of(spark, sf_dir)
+    out = scan.best(scans, TOP_K)
     return out.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("pos").cast("long").alias("pos"))
 
 
@@ -142,15 +141,15 @@ def exact_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p2_multi_route_search", f"WITH {fx.ROUTES} SELECT query_id, chunk_id, source, round(score, 6) AS score, route FROM hits")
 def multi_route_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P2, W2, W3, W5, U1, Q6, Q7."""
-    _, _, pairs = pairs_of(spark, sf_dir)
-    return fusion.routes(pairs).withColumn("score", F.round("score", 6))
+    _, _, scans = scans_of(spark, sf_dir)
+    return scan.routes(scans).withColumn("score", F.round("score", 6))
 
 
 @query("a7_cross_query_rrf", f"WITH {fx.ROUTES} SELECT question_id, chunk_id, round(sum(1 / (60.0 + r)), 6) AS score FROM ranked_hits GROUP BY question_id, chunk_id")
 def cross_query_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A7."""
-    _, q, pairs = pairs_of(spark, sf_dir)
-    return fusion.across(question_hits(pairs, q)).withColumn("score", F.round("score", 6))
+    _, q, scans = scans_of(spark, sf_dir)
+    return fusion.across(question_hits(scans, q)).withColumn("score", F.round("score", 6))
 
 
 _FLOOR = """floors AS (
@@ -162,8 +161,8 @@ _FLOOR = """floors AS (
 @query("w4_route_floor", f"WITH {fx.ROUTES}, {_FLOOR} SELECT question_id, chunk_id, floor_pos FROM floors")
 def route_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W4."""
-    _, q, pairs = pairs_of(spark, sf_dir)
-    return fusion.floor(question_hits(pairs, q), TOP_K).withColumn("floor_pos", F.col("floor_pos").cast("long"))
+    _, q, scans = scans_of(spark, sf_dir)
+    return fusion.floor(question_hits(scans, q), TOP_K).withColumn("floor_pos", F.col("floor_pos").cast("long"))
 
 
 _WORDS = ", ".join(f"'{w}'" for w in fx.CONCEPTS)
@@ -185,8 +184,8 @@ _PROTECTED = f"""concept_qs AS (
 @query("p3_protected_recall", f"WITH {fx.PAIRS}, {_PROTECTED} SELECT question_id, chunk_id, role, round(score, 6) AS score FROM guarded")
 def protected_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P3, F5, F6, C37, A8."""
-    c, q, pairs = pairs_of(spark, sf_dir)
-    return protected(pairs, c, q, fx.CONCEPTS, fx.WIDE, fx.MARKERS).withColumn("score", F.round("score", 6)).select("question_id", "chunk_id", "role", "score")
+    c, q, scans = scans_of(spark, sf_dir)
+    return protected(scans, c, q, fx.CONCEPTS, fx.WIDE, fx.MARKERS).withColumn("score", F.round("score", 6)).select("question_id", "chunk_id", "role", "score")
 
 
 _FUSED = f"""{fx.ROUTES}, {_FLOOR}, {_PROTECTED}, path AS (
@@ -211,8 +210,8 @@ _FUSED = f"""{fx.ROUTES}, {_FLOOR}, {_PROTECTED}, path AS (
 @query("p4_fused_candidates", f"WITH {_FUSED} SELECT question_id, chunk_id, round(score, 6) AS score, floor_pos FROM candidates")
 def p4_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P4 up to the quotas: A7, W4, W14 (roles), O2, O3."""
-    c, q, pairs = pairs_of(spark, sf_dir)
-    rows = fused_candidates(question_hits(pairs, q), protected(pairs, c, q, fx.CONCEPTS, fx.WIDE, fx.MARKERS))
+    c, q, scans = scans_of(spark, sf_dir)
+    rows = fused_candidates(question_hits(scans, q), protected(scans, c, q, fx.CONCEPTS, fx.WIDE, fx.MARKERS))
     return rows.select("question_id", "chunk_id", F.round("score", 6).alias("score"), F.col("floor_pos").cast("long").alias("floor_pos"))
 
 
@@ -229,9 +228,9 @@ _REWRITES = """heads AS (
 @query("w14_rewrite_quota", f"WITH {_FUSED}, {_REWRITES} SELECT question_id, chunk_id FROM rewrites")
 def rewrite_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W14 (rewrites)."""
-    c, q, pairs = pairs_of(spark, sf_dir)
-    found = fused_candidates(question_hits(pairs, q), protected(pairs, c, q, fx.CONCEPTS, fx.WIDE, fx.MARKERS))
-    return rewrite_rows(found, pairs.filter("bm25 > 0").select("query_id", "chunk_id", "bm25"), q)
+    c, q, scans = scans_of(spark, sf_dir)
+    found = fused_candidates(question_hits(scans, q), protected(scans, c, q, fx.CONCEPTS, fx.WIDE, fx.MARKERS))
+    return rewrite_rows(found, scan.bm25(scans), q)
 
 
 _TREE = """relations AS (
@@ -250,8 +249,8 @@ _TREE = """relations AS (
 @query("j3_hierarchy_expansion", f"WITH {_FUSED}, tree_hits AS (SELECT question_id, chunk_id, score FROM candidates), {_TREE} SELECT question_id, chunk_id, round(score, 6) AS score FROM related")
 def hierarchy_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J3, J4, C36."""
-    c, q, pairs = pairs_of(spark, sf_dir)
-    found = fused_candidates(question_hits(pairs, q), protected(pairs, c, q, fx.CONCEPTS, fx.WIDE, fx.MARKERS))
+    c, q, scans = scans_of(spark, sf_dir)
+    found = fused_candidates(question_hits(scans, q), protected(scans, c, q, fx.CONCEPTS, fx.WIDE, fx.MARKERS))
     return context.hierarchy(found.select("question_id", "chunk_id", "score"), c).withColumn("score", F.round("score", 6))
 
 
@@ -266,8 +265,8 @@ _BUDGET = f"""{_FUSED}, {_REWRITES}, tree_hits AS (
 
 
 def _multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, q, pairs = pairs_of(spark, sf_dir)
-    return multi_query(c, q, pairs, pairs.filter("bm25 > 0").select("query_id", "chunk_id", "bm25"), fx.CONCEPTS, fx.WIDE, fx.MARKERS)
+    c, q, scans = scans_of(spark, sf_dir)
+    return multi_query(c, q, scans, fx.CONCEPTS, fx.WIDE, fx.MARKERS)
 
 
 @query("p4_multi_query_search", f"WITH {_BUDGET} SELECT question_id, chunk_id, round(score, 6) AS score, pos FROM budget")
@@ -279,7 +278,7 @@ def p4_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("a5_source_distribution", f"WITH {_BUDGET} SELECT b.question_id, coalesce(vc.source, 'unknown') AS source, count(*) AS n FROM budget b JOIN vc USING (chunk_id) GROUP BY ALL")
 def source_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A5."""
-    rows = _multi(spark, sf_dir).join(fx.vector_chunks(spark, sf_dir).select("chunk_id", "source"), "chunk_id")
+    rows = _multi(spark, sf_dir).join(fx.chunks(spark, sf_dir).select("chunk_id", "source"), "chunk_id")
     return rows.groupBy("question_id", F.coalesce("source", F.lit("unknown")).alias("source")).agg(F.count("*").alias("n"))
 
 

@@ -11,7 +11,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quarryline.operators import chunking, fusion, lexical, rerank
+from quarryline.operators import chunking, fusion, lexical, rerank, scan
 from quarryline.plans import catalog
 from quarryline.streaming import events as stream
 
@@ -245,7 +245,9 @@ def test_quota_query(spark):
 def test_retrieval_of_nothing(spark):
     chunks = spark.createDataFrame([], "chunk_id long, source string, text string, embedding array<float>")
     queries = spark.createDataFrame([(1, "any words", [1.0, 0.0])], "query_id long, text string, embedding array<float>")
-    assert fusion.routes(fusion.scored_pairs(chunks, queries, lexical.build(chunks))).count() == 0
+    assert scan.routes(scan.scanned(chunks, queries, lexical.build(chunks))).count() == 0
+    chunks = spark.createDataFrame([(1, "s", "words", [1.0, 0.0])], chunks.schema)
+    assert scan.routes(scan.scanned(chunks, queries.limit(0), lexical.build(chunks))).count() == 0
 
 
 def test_retrieval_with_nulls_and_ties(spark):
@@ -257,16 +259,29 @@ def test_retrieval_with_nulls_and_ties(spark):
     assert len(got) == 12
 
 
-def test_fused_top_equals_sorting(spark):
-    """Candidates and counted places against ranks over whole partitions; many equal scores, and more rows than
-    candidates."""
+@pytest.mark.parametrize(("block", "most"), [(2_000, 4_000_000), (2, 4_000_000), (2_000, 5)])
+def test_scans_equal_sorting(spark, monkeypatch, block, most):
+    """Heads and counted places against ranks over whole partitions: many equal scores, chunks without vectors or
+    source, more rows than candidates, queries in blocks, and the way beyond the limit."""
+    monkeypatch.setattr(scan, "BLOCK", block)
+    monkeypatch.setattr(scan, "MOST", most)
     rng = random.Random(2)
-    rows = [(q, c, f"s{c % 3}", rng.choice([0.0, 0.0, rng.random(), 0.5]), rng.choice([rng.random(), 0.25])) for q in range(4) for c in range(400)]
-    pairs = spark.createDataFrame(rows, "query_id long, chunk_id long, source string, bm25 double, cosine double")
-    for k, keys in ((10, ["query_id"]), (3, ["query_id", "source"])):
-        got = fusion.fused_top(pairs, k, *keys).select("query_id", "chunk_id", "pos", F.round("score", 9)).collect()
-        want = fusion.top(fusion.fused(pairs, *keys), k, *keys).select("query_id", "chunk_id", "pos", F.round("score", 9)).collect()
-        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 4 * k * (3 if len(keys) > 1 else 1)
+    words = ["road", "way", "law", "fine", "car"]
+    rows = []
+    for c in range(500):
+        vector = rng.choice([None, [1.0, 0.0], [0.0, 1.0], [rng.random(), rng.random()]])
+        rows.append((c * 7 % 501, rng.choice(["a", "b", "b", None]), " ".join(rng.choice(words) for _ in range(rng.randint(0, 3))), vector))
+    chunks = spark.createDataFrame(rows, "chunk_id long, source string, text string, embedding array<float>").repartition(5)
+    queries = spark.createDataFrame([(3, "road way", [1.0, 0.0]), (1, "nothing known", [0.0, 1.0]), (9, "law", [0.5, 0.5])], "query_id long, text string, embedding array<float>")
+    index = lexical.build(chunks)
+    pairs = fusion.scored_pairs(chunks, queries, index)
+    scans = scan.scanned(chunks, queries, index)
+    got = scan.best(scans, 10, 3).select("scope", "query_id", "source", "chunk_id", "pos", F.round("score", 9)).collect()
+    want = [(0, *r) for r in fusion.top(fusion.fused(pairs, "query_id"), 10, "query_id").select("query_id", "source", "chunk_id", "pos", F.round("score", 9)).collect()]
+    want += [(1, *r) for r in fusion.top(fusion.fused(pairs, "query_id", "source"), 3, "query_id", "source").select("query_id", "source", "chunk_id", "pos", F.round("score", 9)).collect()]
+    assert len(want) == 3 * (10 + 9) and sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    columns = ["query_id", "chunk_id", "source", F.round("cosine", 6), F.round("bm25", 6)]
+    assert sorted(map(tuple, scan.pairs(scans).select(*columns).collect()), key=repr) == sorted(map(tuple, pairs.select(*columns).collect()), key=repr)
 
 
 def test_span_depths(spark):
