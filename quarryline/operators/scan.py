@@ -1,12 +1,13 @@
 """The heads of fused rankings straight from a scan of the chunks: no pair of chunk and query leaves its task.
 
-Two passes over one row a chunk (its vector, and its BM25 scores of the queries that it shares a term with). The first
+Two passes over one row a chunk (its vector, and how often it has each term that is asked for). The first
 gives, per task, the first rows of both lists of every query, over all chunks and within each source; only they can be
 among the best (``fusion.places``). The second counts how many rows come before each candidate in the list in which it
-isn't ahead, by the candidates that they lie between; it sends counts alone. The scores of a batch of chunks are one
-matrix product.
+isn't ahead, by the candidates that they lie between; it sends counts alone. The scores of a batch of chunks are two matrix
+products, by vectors and by terms.
 
-Candidates go to all tasks for the second pass, if they are few enough (``MOST``); queries go in blocks of ``BLOCK``.
+Candidates go to all tasks for the second pass, if they are few enough (``MOST``); queries go in blocks of ``BLOCK``,
+or fewer if their terms are many (``CELLS``).
 Beyond, the pairs themselves are ranked by windows, which takes any number. A chunk without a vector stands in no
 vector list: it has its BM25 part of the score alone.
 """
@@ -26,68 +27,83 @@ from pyspark.sql.window import Window
 from quarryline.operators import fusion, lexical
 from quarryline.staging import stage
 
-#: Candidates that are sent to all tasks at most, 24 bytes each, and queries that one scan takes.
-MOST, BLOCK = 4_000_000, 2_000
+#: Candidates that are sent to all tasks at most, 24 bytes each; queries that one scan takes; terms times queries.
+MOST, BLOCK, CELLS = 4_000_000, 2_000, 8_000_000
 #: Scores are compared as whole numbers of their last digit; a chunk without a vector has the least.
 UNIT, NO_VECTOR = 10.0**fusion.DIGITS, np.iinfo(np.int64).min // 4
 #: Within one score, rows go by chunk_id, as its place among the candidates' ids.
 TIES = 1 << 23
+#: Cells of a batch's matrices.
+SLICE = 4_000_000
+COLUMNS = ["chunk_id", "source", "embedding", "dl", "terms"]
 WHOLE, SOURCE = 0, 1
 HEADS = "scope int, source string, query_id long, chunk_id long, bm25 double, cosine double, key_b long, key_v long, list int"
 COUNTS = "scope int, source string, query_id long, list int, at int, n long"
 
 
+@dataclass
+class Queries:
+    """query ids in order, their vectors, and what each asked term weighs for each query."""
+
+    ids: np.ndarray
+    vectors: np.ndarray
+    weights: np.ndarray
+    mean_length: float
+
+    def parts(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, SLICE // (len(self.ids) + len(self.weights) + 1))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                yield batch.slice(at, step)
+
+    def scores(self, part: pa.RecordBatch) -> tuple[np.ndarray, list[str | None], tuple[np.ndarray, np.ndarray], np.ndarray]:
+        """chunk ids, sources, BM25 and cosine (NaN without a vector) of each chunk for each query, and which pairs
+        share a term."""
+        n = part.num_rows
+        terms = part.column("terms")
+        flat = terms.flatten()
+        row = np.repeat(np.arange(n), np.diff(terms.offsets.to_numpy(zero_copy_only=False)))
+        tf = flat.field("tf").to_numpy(zero_copy_only=False).astype(float)
+        length = part.column("dl").to_numpy(zero_copy_only=False).astype(float)[row]
+        found = np.zeros((n, len(self.weights)))
+        found[row, flat.field("t").to_numpy(zero_copy_only=False)] = tf * (lexical.K1 + 1) / (tf + lexical.K1 * (1 - lexical.B + lexical.B * length / (self.mean_length or 1.0)))
+        near = np.full((n, len(self.ids)), np.nan)
+        vector = part.column("embedding")
+        there = np.flatnonzero(np.array(vector.is_valid()))
+        if len(there) and len(self.ids):
+            own = vector.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(there), -1)
+            near[there] = own @ self.vectors.T
+        shared = (found > 0).astype(np.float32) @ (self.weights != 0).astype(np.float32) > 0
+        return part.column("chunk_id").to_numpy(), part.column("source").to_pylist(), (found @ self.weights, near), shared
+
+
 @dataclass
 class Scan:
-    """rows: (chunk_id, source, embedding, asked: the scores (query_id, bm25) above 0), staged; query_ids and their
-    vectors, a row each."""
+    """rows: (chunk_id, source, embedding, dl, terms: the asked ones, (t, tf)), staged."""
 
     rows: DataFrame
-    query_ids: np.ndarray
-    vectors: np.ndarray
+    queries: Queries
 
     def pairs(self, only: DataFrame | None = None) -> DataFrame:
         """Every chunk, or those whose chunk_id ``only`` has, for every query with both scores."""
-        ids, vectors = self.query_ids, self.vectors
         rows = self.rows if only is None else self.rows.join(only.select("chunk_id"), "chunk_id", "left_semi")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in slices(batches, len(ids)):
-                chunk, source, score = part_scores(part, ids, vectors)
-                n, q = score[0].shape
-                columns = [pa.array(np.tile(ids, n)), pa.array(np.repeat(chunk, q)), pa.array(source).take(pa.array(np.repeat(np.arange(n), q)))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(score[1].ravel(), from_pandas=True), pa.array(score[0].ravel())], names=["query_id", "chunk_id", "source", "cosine", "bm25"])
-
-        return rows.select("chunk_id", "source", "embedding", "asked").mapInArrow(run, "query_id long, chunk_id long, source string, cosine double, bm25 double")
+        return self._emitted(rows, False)
 
     def bm25(self) -> DataFrame:
         """(query_id, chunk_id, bm25) of pairs that share a term."""
-        return self.rows.select("chunk_id", F.explode("asked").alias("a")).select("a.query_id", "chunk_id", "a.bm25")
-
-
-def slices(batches: Iterator[pa.RecordBatch], queries: int, cells: int = 400_000) -> Iterator[pa.RecordBatch]:
-    step = max(1, cells // max(1, queries))
-    for batch in batches:
-        for at in range(0, batch.num_rows, step):
-            yield batch.slice(at, step)
-
-
-def part_scores(part: pa.RecordBatch, ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, list[str | None], tuple[np.ndarray, np.ndarray]]:
-    """chunk ids, sources, and BM25 and cosine of each chunk for each query; NaN without a vector."""
-    n = part.num_rows
-    bm = np.zeros((n, len(ids)))
-    asked = part.column("asked")
-    flat = asked.flatten()
-    if len(flat):
-        row = np.repeat(np.arange(n), np.diff(asked.offsets.to_numpy(zero_copy_only=False)))
-        bm[row, np.searchsorted(ids, flat.field("query_id").to_numpy())] = flat.field("bm25").to_numpy(zero_copy_only=False)
-    near = np.full((n, len(ids)), np.nan)
-    vector = part.column("embedding")
-    there = np.flatnonzero(np.array(vector.is_valid()))
-    if len(there) and len(ids):
-        own = vector.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(there), -1)
-        near[there] = own @ vectors.T
-    return part.column("chunk_id").to_numpy(), part.column("source").to_pylist(), (bm, near)
+        return self._emitted(self.rows, True).select("query_id", "chunk_id", "bm25")
+
+    def _emitted(self, rows: DataFrame, shared_only: bool) -> DataFrame:
+        queries = self.queries
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in queries.parts(batches):
+                chunk, source, (bm, near), shared = queries.scores(part)
+                row, query = np.nonzero(shared if shared_only else np.ones_like(shared))
+                columns = [pa.array(queries.ids[query]), pa.array(chunk[row]), pa.array(source, pa.string()).take(pa.array(row)), pa.array(near[row, query], from_pandas=True), pa.array(bm[row, query])]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "chunk_id", "source", "cosine", "bm25"])
+
+        return rows.select(*COLUMNS).mapInArrow(run, "query_id long, chunk_id long, source string, cosine double, bm25 double")
 
 
 def numbers(score: np.ndarray) -> np.ndarray:
@@ -95,29 +111,48 @@ def numbers(score: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(score), NO_VECTOR, np.rint(np.nan_to_num(score) * UNIT)).astype(np.int64)
 
 
+def blocks(queries: DataFrame, index: lexical.Index) -> Iterator[tuple[list[str], Queries]]:
+    """The asked terms of a block of queries, and the block. Queries come by id, block by block."""
+    asked = lexical.term_counts(queries, key="query_id").join(index.terms.select("term", "idf"), "term")
+    asked = asked.groupBy("query_id").agg(F.collect_list(F.struct("term", (F.col("tf") * F.col("idf")).alias("weight"))).alias("asked"))
+    rows = queries.select("query_id", "embedding").join(asked, "query_id", "left").orderBy("query_id")
+    held: list = []
+    terms: dict[str, int] = {}
+
+    def closed() -> tuple[list[str], Queries]:
+        weights = np.zeros((len(terms), len(held)))
+        for q, r in enumerate(held):
+            for a in r.asked or []:
+                weights[terms[a.term], q] = a.weight
+        return list(terms), Queries(np.array([r.query_id for r in held], np.int64), np.array([r.embedding for r in held], np.float64), weights, index.mean_length)
+
+    for r in rows.toLocalIterator():
+        new = sum(a.term not in terms for a in r.asked or [])
+        if held and (len(held) == BLOCK or (len(terms) + new) * (len(held) + 1) > CELLS):
+            yield closed()
+            held, terms = [], {}
+        held.append(r)
+        for a in r.asked or []:
+            terms.setdefault(a.term, len(terms))
+    yield closed()
+
+
 def scanned(chunks: DataFrame, queries: DataFrame, index: lexical.Index) -> list[Scan]:
     """One scan a block of queries. chunks: (chunk_id, source, embedding or null); queries: (query_id, text, embedding)."""
-    found = queries.select("query_id", "embedding").orderBy("query_id").toLocalIterator()
-    blocks: list[list] = [[]]
-    for r in found:
-        if len(blocks[-1]) == BLOCK:
-            blocks.append([])
-        blocks[-1].append(r)
-    asked = lexical.scores(index, queries)
-    out = []
-    for block in blocks:
-        own = asked.filter(F.col("query_id").between(block[0].query_id, block[-1].query_id)) if block else asked.limit(0)
-        lists = own.groupBy("chunk_id").agg(F.collect_list(F.struct(F.col("query_id").cast("long").alias("query_id"), "bm25")).alias("asked"))
-        rows = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "source", "embedding").join(lists, "chunk_id", "left")
-        none = F.array().cast("array<struct<query_id: bigint, bm25: double>>")
-        rows = stage(rows.withColumn("asked", F.coalesce("asked", none)), "scan")
-        out.append(Scan(rows, np.array([r.query_id for r in block], np.int64), np.array([r.embedding for r in block], np.float64)))
+    spark, out = chunks.sparkSession, []
+    for terms, block in blocks(queries, index):
+        known = spark.createDataFrame(pa.table({"term": pa.array(terms, pa.string()), "t": pa.array(np.arange(len(terms), dtype=np.int32))}))
+        found = index.postings.join(known, "term").groupBy("chunk_id").agg(F.first("dl").alias("dl"), F.collect_list(F.struct("t", "tf")).alias("terms"))
+        rows = chunks.select("chunk_id", "source", "embedding").join(found, "chunk_id", "left")
+        none = F.array().cast("array<struct<t: int, tf: bigint>>")
+        rows = rows.select(F.col("chunk_id").cast("long").alias("chunk_id"), "source", "embedding", F.coalesce("dl", F.lit(0)).cast("long").alias("dl"), F.coalesce("terms", none).alias("terms"))
+        out.append(Scan(stage(rows, "scan"), block))
     return out
 
 
 def first_rows(scan: Scan, most: dict[int, int]) -> DataFrame:
     """Per task and list the first rows of each scope in ``most``, which says how many."""
-    ids, vectors = scan.query_ids, scan.vectors
+    queries, ids = scan.queries, scan.queries.ids
 
     def cut(held: list[np.ndarray], least: int) -> list[np.ndarray]:
         """held: source code, query, key, chunk, bm25, cosine, both keys; the first ``least`` of each source and query."""
@@ -133,8 +168,8 @@ def first_rows(scan: Scan, most: dict[int, int]) -> DataFrame:
         codes: dict[str | None, int] = {}
         held: dict[tuple[int, int], list[np.ndarray]] = {}
         floor = {(WHOLE, number): np.full(len(ids), np.iinfo(np.int64).min) for number in range(2)}
-        for part in slices(batches, len(ids)):
-            chunk, source, score = part_scores(part, ids, vectors)
+        for part in queries.parts(batches):
+            chunk, source, score, _ = queries.scores(part)
             code = np.array([codes.setdefault(s, len(codes)) for s in source], np.int64)
             n, q = score[0].shape
             keys = [numbers(s) for s in score]
@@ -160,7 +195,7 @@ def first_rows(scan: Scan, most: dict[int, int]) -> DataFrame:
             same = [pa.array(np.full(len(group), v, np.int32)) for v in (scope, number)]
             yield pa.RecordBatch.from_arrays([same[0], source, pa.array(ids[query]), pa.array(chunk), pa.array(bm), pa.array(near, from_pandas=True), pa.array(key_b), pa.array(key_v), same[1]], names=[f.split()[0] for f in HEADS.split(", ")])
 
-    return scan.rows.select("chunk_id", "source", "embedding", "asked").mapInArrow(run, HEADS)
+    return scan.rows.select(*COLUMNS).mapInArrow(run, HEADS)
 
 
 def candidates(scan: Scan, most: dict[int, int]) -> DataFrame:
@@ -175,7 +210,7 @@ def candidates(scan: Scan, most: dict[int, int]) -> DataFrame:
 
 def before(scan: Scan, found: DataFrame) -> DataFrame:
     """(scope, source, query_id, chunk_id, b, v): how many rows come before each candidate in either list."""
-    ids, vectors = scan.query_ids, scan.vectors
+    queries, ids = scan.queries, scan.queries.ids
     group = ["scope", "source", "query_id"]
     place = lambda key: F.row_number().over(Window.partitionBy(*group).orderBy(F.col(key).desc(), "chunk_id"))
     placed = found.withColumns({"at_b": place("key_b"), "at_v": place("key_v")})
@@ -202,8 +237,8 @@ def before(scan: Scan, found: DataFrame) -> DataFrame:
             span = np.concatenate([[0], np.flatnonzero((code[1:] != code[:-1]) | (query[1:] != query[:-1])) + 1, [len(code)]]) if len(code) else np.zeros(1, np.int64)
             bounds.append({(int(code[low]), int(query[low])): (int(low), int(high)) for low, high in zip(span[:-1], span[1:], strict=True)})
             counts.append(np.zeros(len(key), np.int64))
-        for part in slices(batches, len(ids)):
-            chunk, source, score = part_scores(part, ids, vectors)
+        for part in queries.parts(batches):
+            chunk, source, score, _ = queries.scores(part)
             tie = np.searchsorted(known, chunk, "right")
             code = np.array([names.get(s, -2) for s in source])
             groups = [(-1, np.arange(len(chunk)))] + [(int(c), np.flatnonzero(code == c)) for c in np.unique(code) if c >= 0]
@@ -232,7 +267,7 @@ def before(scan: Scan, found: DataFrame) -> DataFrame:
                 names=["scope", "source", "query_id", "list", "at", "n"],
             )
 
-    made = scan.rows.select("chunk_id", "source", "embedding", "asked").mapInArrow(run, COUNTS)
+    made = scan.rows.select(*COLUMNS).mapInArrow(run, COUNTS)
     made = stage(made.groupBy(*group, "list", "at").agg(F.sum("n").alias("n")), "scan-counts")
     out = placed
     for number, (place, name) in enumerate((("at_b", "b"), ("at_v", "v"))):

@@ -16,8 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A table of fewer splits than there are cores, dealt out; larger ones, which need no shuffle, as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     parent = F.min("doc_id").over(Window.partitionBy("source", F.floor(F.col("doc_id") / 100)))
     rows = docs.withColumn("parent", parent).join(table(spark, sf_dir, "labels"), "doc_id", "left")
     role = F.when(F.col("quality") == 0, "behavior_penalty").when(F.col("toxic") == 1, "procedural").when(F.col("quality") == 1, "definition").otherwise("substantive")
