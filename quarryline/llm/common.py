@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarryline import staging
 
@@ -35,15 +36,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def stage_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
-    """Cuts the lineage like ``stage``, but as a table of the shared warehouse in buckets by ``key``, one for each
-    shuffle partition: a later join by the key alone leaves these rows where they are."""
+    """Cuts the lineage like ``stage``, but as a table in buckets by ``key``, one for each shuffle partition: a later
+    join by the key alone leaves these rows where they are. Its files lie in the shared folder as well."""
     spark = df.sparkSession
     small_batches(spark)
     table = staging.new_table(spark, name)
-    df.write.format("parquet").option("compression", "zstd").bucketBy(shuffle_width(spark), key).saveAsTable(table)
+    df.write.format("parquet").option("compression", "zstd").option("path", staging.new_path(spark, name)).bucketBy(shuffle_width(spark), key).saveAsTable(table)
     return spark.table(table)
 
 
+def below(key: Column, share: float) -> Column:
+    """Whether a 64-bit hash of the key lies in the lowest ``share`` of all; a share of any size is told apart."""
+    return F.xxhash64(key) <= F.lit(-(1 << 63) + min(int(share * 2.0**64), (1 << 64) - 1))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

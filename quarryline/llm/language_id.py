@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import LOWER, passes, utf8, with_columns, word_table, words
+from quarryline.llm.common import LOWER, below, passes, utf8, with_columns, word_table, words
 
 #: Trigram buckets, and documents per language that training reads (expected number under hash sampling).
 BUCKETS = 1 << 16
@@ -66,8 +66,10 @@ def train(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Model:
     totals = {r.lang: r["count"] for r in usable.groupBy("lang").count().collect()}
     if not totals:
         return Model([], np.zeros((BUCKETS, 0)))
-    share = F.create_map(*[x for lang, n in totals.items() for x in (F.lit(lang), F.lit(int(min(1.0, sample / n) * 1_000_003)))])
-    picked = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share[F.col("lang")]).select("lang", "text")
+    picks = F.lit(False)
+    for lang, n in totals.items():
+        picks = picks | ((F.col("lang") == lang) & below(F.col("doc_id"), sample / n))
+    picked = usable.filter(picks).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
@@ -85,6 +87,8 @@ def train(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Model:
     counts = np.zeros((BUCKETS, len(languages)))
     for r in picked.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r.bucket, languages.index(r.lang)] = r.n
+    if not counts.any() and picked.filter("text IS NOT NULL").isEmpty() and not usable.filter("text IS NOT NULL").isEmpty():
+        raise ValueError("the sample has no document")
     smooth = counts + 0.5
     return Model(languages, np.log(smooth / smooth.sum(0)).astype(np.float32))
 

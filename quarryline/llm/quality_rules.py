@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import ASCII_SPACE, stage
+from quarryline.llm.common import ASCII_SPACE, below, stage
 
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
@@ -172,8 +172,7 @@ def train(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, f
     back to set the cut: the highest, up to 0.5, that drops at most ``false_drop`` of the good rows held back."""
     labels = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("quality")).dropna()
     n = labels.count()
-    share = min(1.0, sample_rows / max(n, 1))
-    pick = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(share * 1_000_003)
+    pick = below(F.col("doc_id"), sample_rows / max(n, 1))
     rows = stats.filter(pick).join(labels.filter(pick), "doc_id").select("doc_id", "features", "quality").collect()
     rows.sort(key=lambda r: (r.doc_id, r.quality, r.features))
     x, y = np.array([r.features for r in rows], np.float32), np.array([r.quality for r in rows], float)

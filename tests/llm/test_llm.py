@@ -292,6 +292,19 @@ def test_language_held_out(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+@pytest.mark.parametrize("share", [1e-9, 1e-7, 0.25, 1.0, 7.0])
+def test_samples_of_any_share(spark, share):
+    """A sample's threshold has 64 bits, so a share of a billionth still picks about its part."""
+    from pyspark.sql import functions as F
+
+    from quarryline.llm.common import below
+
+    n = 100_000_000 if share < 1e-6 else 100_000
+    got = spark.range(n).filter(below(F.col("id"), share)).count()
+    want = min(share, 1.0) * n
+    assert abs(got - want) <= 5 * max(want * (1 - min(share, 1.0)), 0.2) ** 0.5 + 1
+
+
 def test_language_mixture_and_odd(spark, docs):
     real = spark.read.parquet(f"{SF}/documents.parquet")
     model = language_id.train(real)
