@@ -9,7 +9,7 @@ from quarryline.operators import operations as ops
 from quarryline.plans import fixtures as fx
 from quarryline.plans.operational import token_spans
 from quarryline.registry import query
-from quarryline.sources import ledger
+from quarryline.sources import files, ledger
 from quarryline.staging import new_path
 
 TRACES = "trace_id string, kind string, user_id long, status string, started_at timestamp_ntz, ended_at timestamp_ntz, llm_tokens long, embedding_tokens long, rerank_tokens long, total_tokens long"
@@ -100,3 +100,45 @@ def log_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
         run = stream.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").option("path", f"{root}/out").trigger(availableNow=True).start()
         run.awaitTermination()
     return spark.read.schema("conv_id long, turn long, pos int, word string, row_number long").parquet(f"{root}/out")
+
+
+def write_records(events: DataFrame, path: str) -> None:
+    """Events as trace records, in two appends. Their attributes nest, and ``value`` is a number, or of errors a text."""
+    value = F.when(F.col("event_type") == "error", F.concat(F.lit('"failed at '), F.col("value").cast("string"), F.lit('"'))).otherwise(F.col("value").cast("string"))
+    parts = ['{"props": ', F.col("props"), ', "user": {"id": ', F.col("user_id"), ', "tags": ["', F.col("event_type"), '", ', F.col("event_id"), ']}, "value": ', value, F.when(F.col("event_id") % 2 == 0, ', "even": true').otherwise(""), "}"]
+    rows = events.select(
+        F.lit("event").alias("kind"),
+        F.col("user_id").cast("string").alias("trace_id"),
+        F.col("event_id").cast("string").alias("span_id"),
+        F.lit(None).cast("string").alias("parent_id"),
+        F.col("event_type").alias("name"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("start"),
+        F.lit(None).cast("double").alias("duration_ms"),
+        F.lit("ok").alias("status"),
+        F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]).alias("attributes"),
+    )
+    for half in ("span_id % 3 = 0", "span_id % 3 > 0"):
+        files.append_records(rows.filter(half), path)
+
+
+@query("s13_trace_attributes", """SELECT CAST(event_id AS VARCHAR) AS span_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, user_id, event_type AS tag, event_id AS second_tag,
+  CASE WHEN event_type <> 'error' THEN round(value, 6) END AS value, CASE WHEN event_id % 2 = 0 THEN TRUE END AS even FROM events""")
+def trace_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines appended and read back, attributes by path."""
+    path = new_path(spark, "records")
+    write_records(fx.table(spark, sf_dir, "events"), path)
+    found = files.records(spark, path)
+    wanted = {"k": ("$.props.k", "bigint"), "user_id": ("$.user.id", "bigint"), "tag": ("$.user.tags[0]", "string"), "second_tag": ("$.user.tags[1]", "bigint"), "even": ("$.even", "boolean")}
+    number = F.when(~F.schema_of_variant(F.try_variant_get("attributes", "$.value", "variant")).isin("STRING"), F.round(files.attribute("$.value", "double"), 6))
+    return found.select("span_id", *[files.attribute(*at).alias(c) for c, at in wanted.items()], number.alias("value"))
+
+
+@query("c32_attribute_kinds", """SELECT attribute, count(*) AS n FROM (
+  SELECT unnest(['props', 'user', CASE WHEN event_type = 'error' THEN 'value as text' ELSE 'value as number' END] || CASE WHEN event_id % 2 = 0 THEN ['even'] ELSE [] END) AS attribute FROM events) GROUP BY attribute""")
+def attribute_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which attributes there are, and of which kind."""
+    path = new_path(spark, "records")
+    write_records(fx.table(spark, sf_dir, "events"), path)
+    found = files.attribute_kinds(files.records(spark, path))
+    named = F.when(F.col("attribute") != "value", F.col("attribute")).when(F.col("kind") == "STRING", "value as text").otherwise("value as number")
+    return found.groupBy(named.alias("attribute")).agg(F.sum("n").alias("n"))

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.functions.text import category, source_name
@@ -146,3 +146,30 @@ def dictionary(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path).select(F.trim(F.regexp_replace("value", "#.*$", "")).alias("line")).filter("line <> ''")
     parts = F.split("line", r"\s+")
     return rows.select(parts[0].alias("word"), F.try_to_number(F.get(parts, F.lit(1)), F.lit("999999999")).cast("long").alias("freq"))
+
+
+#: One line of a trace log: its attributes are whatever a step has recorded, of any shape.
+LINES = "kind string, trace_id string, span_id string, parent_id string, name string, start string, duration_ms double, status string, attributes variant"
+
+
+def append_records(rows: DataFrame, path: str) -> None:
+    """Appends trace records as JSON lines; ``attributes`` is a variant or JSON text, which must be well formed."""
+    kind = rows.schema["attributes"].dataType.typeName()
+    attributes = F.col("attributes") if kind == "variant" else F.parse_json("attributes")
+    rows.withColumn("attributes", attributes).write.mode("append").json(path)
+
+
+def records(spark: SparkSession, path: str) -> DataFrame:
+    """Trace records with their attributes as variants: numbers, texts, lists and nested objects stay what they are."""
+    return spark.read.schema(LINES).json(path)
+
+
+def attribute(path: str, kind: str, attributes: str = "attributes") -> Column:
+    """The attribute at a path like ``$.user.tags[1]``; null where it is missing or isn't of that kind."""
+    return F.try_variant_get(F.col(attributes), path, kind)
+
+
+def attribute_kinds(rows: DataFrame, attributes: str = "attributes") -> DataFrame:
+    """(attribute, kind, n): how often each top-level attribute occurs with each kind of value."""
+    each = rows.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col(attributes).outer()))
+    return each.filter("key IS NOT NULL").groupBy(F.col("key").alias("attribute"), F.schema_of_variant("value").alias("kind")).agg(F.count("*").alias("n"))

@@ -168,6 +168,24 @@ def test_sessions_and_lines(spark, tmp_path):
     assert [tuple(r) for r in files.traces(spark, f"{tmp_path}/traces").collect()] == [tuple(r) for r in lines.collect()] * 2
 
 
+def test_records_keep_what_attributes_are(spark, tmp_path):
+    """Numbers, texts, lists, nulls and nested objects come back as they went; what isn't there or is of another kind
+    is null."""
+    texts = ['{"a": 1, "b": {"c": [1, "x", null]}}', '{"a": "one"}', "{}", '{"a": 1.5, "b": [true]}', None]
+    rows = spark.createDataFrame([("span", str(i), t) for i, t in enumerate(texts)], "kind string, span_id string, attributes string")
+    files.append_records(rows.filter("span_id < 3"), f"{tmp_path}/log")
+    files.append_records(rows.filter("span_id >= 3").withColumn("attributes", F.parse_json("attributes")), f"{tmp_path}/log")
+    found = files.records(spark, f"{tmp_path}/log").cache()
+    own = {r.span_id: None if r.a is None else json.loads(r.a) for r in found.select("span_id", F.to_json("attributes").alias("a")).collect()}
+    assert own == {str(i): t and json.loads(t) for i, t in enumerate(texts)}
+    got = {r.span_id: (r.a, r.x, r.t) for r in found.select("span_id", files.attribute("$.a", "int").alias("a"), files.attribute("$.b.c[1]", "string").alias("x"), files.attribute("$.b[0]", "boolean").alias("t")).collect()}
+    assert got == {"0": (1, "x", None), "1": (None, None, None), "2": (None, None, None), "3": (1, None, True), "4": (None, None, None)}
+    kinds = {(r.attribute, r.kind): r.n for r in files.attribute_kinds(found).collect()}
+    assert kinds[("a", "STRING")] == 1 and sum(n for (a, _), n in kinds.items() if a == "a") == 3 and kinds[("b", "ARRAY<BOOLEAN>")] == 1
+    with pytest.raises(Exception, match="MALFORMED|malformed"):
+        files.append_records(spark.createDataFrame([("event", "{broken")], "kind string, attributes string"), f"{tmp_path}/other")
+
+
 def test_policy_and_dictionary(spark, tmp_path):
     (tmp_path / "p.json").write_text(json.dumps({"rules": [{"triggers": ["a"], "enhancement": "x"}, {"triggers": ["b"], "requires": ["c"], "enhancement": "y"}], "intents": {"penalty": {"keywords": ["fine"]}}}))
     found = files.policy(spark, f"{tmp_path}/p.json")
