@@ -8,7 +8,8 @@ list of top_n rows, run per query in Python on the rows that can matter.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -84,58 +85,49 @@ def diverse(rows: DataFrame, top_n: int = TOP_N) -> DataFrame:
     return rows.join(both, ["query_id", "pos"], "left").withColumn("pos", F.coalesce("_to", "pos")).drop("_to")
 
 
-def quota_inserts(head: list[dict], overflow: list[dict], everything: list[dict], concepts: list[str], kind_word: str, top_n: int) -> list[dict]:
-    """The three quotas in turn: a protected row; with concept words, a definition of kinds and a penalty row that
-    name one. What is missing comes from the overflow, else from all scored rows, best first; it takes the place of
-    the last unprotected row, else an open place, else the last."""
-    head = list(head)
-
-    def protected(c: dict) -> bool:
-        return c["role"] in PROTECTED
-
-    def names_kind(c: dict) -> bool:
-        return protected(c) and kind_word in c["text"] and any(w in c["text"] for w in concepts)
-
-    def names_penalty(c: dict) -> bool:
-        return c["role"] == "behavior_penalty" and any(w in c["text"] or w in (c.get("penalty_context") or "") for w in concepts)
-
-    for rule in (protected, names_kind, names_penalty) if concepts else (protected,):
-        if any(map(rule, head)):
-            continue
-        ids = {c["chunk_id"] for c in head}
-        pool = [c for c in overflow if rule(c)] or [c for c in everything if c["chunk_id"] not in ids and rule(c)]
-        if not pool:
-            continue
-        best = min(pool, key=lambda c: (-c["rerank_score"], c["chunk_id"]))
-        plain = [i for i, c in enumerate(head) if not protected(c)]
-        if plain:
-            head[plain[-1]] = best
-        elif len(head) < top_n:
-            head.append(best)
-        else:
-            head[-1] = best
-    return head[:top_n]
+def _has(flag: str) -> Callable[[Column], Column]:
+    return lambda c: c[flag]
 
 
 def with_quotas(rows: DataFrame, everything: DataFrame, queries: DataFrame, concepts: list[str], kind_word: str, top_n: int = TOP_N) -> DataFrame:
-    """(query_id, pos, chunk_id): the final list of each query. Only protected rows can come in, so of what is
-    beyond the head only those are sent along."""
-    columns = ["query_id", "chunk_id", "role", "text", "penalty_context", "rerank_score"]
-    head = rows.filter(F.col("pos") < top_n).select(*columns, "pos", F.lit(0).alias("_part"))
+    """(query_id, pos, chunk_id): the head of each query's list after three quotas in turn: a protected row; where the
+    query has concept words, a protected row of the kind word that names one, and a penalty row that does. What is
+    missing comes from the list beyond the head, else from all scored rows, best first, and takes the place of the last
+    unprotected row, else an open place, else the last.
+
+    A query's head and its protected candidates, a few rows by their caps, are two arrays; each quota is an expression
+    on them, so the rows meet in one shuffle."""
     protected = F.col("role").isin(*PROTECTED)
-    rest = rows.filter((F.col("pos") >= top_n) & protected).select(*columns, "pos", F.lit(1).alias("_part"))
-    full = everything.filter(protected).select(*columns, F.lit(0).alias("pos"), F.lit(2).alias("_part"))
-    asked = queries.select("query_id", F.filter(F.array(*map(F.lit, concepts)), lambda w: F.contains("text", w)).alias("_words") if concepts else F.array().cast("array<string>").alias("_words"))
-    both = head.unionByName(rest).unionByName(full).join(asked, "query_id")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["_part", "pos", "chunk_id"])
-        group["text"] = group["text"].fillna("")
-        parts = [group[group["_part"] == i].to_dict("records") for i in range(3)]
-        out = quota_inserts(*parts, list(group["_words"].iloc[0]), kind_word, top_n)
-        return pd.DataFrame({"query_id": [group["query_id"].iloc[0]] * len(out), "pos": range(len(out)), "chunk_id": [c["chunk_id"] for c in out]})
-
-    return both.groupBy("query_id").applyInPandas(run, "query_id long, pos int, chunk_id long")
+    words = F.filter(F.array(*map(F.lit, concepts)), lambda w: F.contains("_asked", w)) if concepts else F.array().cast("array<string>")
+    asked = queries.select("query_id", F.col("text").alias("_asked")).withColumn("_words", words).select("query_id", "_words")
+    text, penalty = F.coalesce("text", F.lit("")), F.coalesce("penalty_context", F.lit(""))
+    named = any_in(text, F.col("_words"))
+    flags = [
+        protected.alias("q1"),
+        (protected & F.contains(text, F.lit(kind_word)) & named).alias("q2"),
+        ((F.col("role") == "behavior_penalty") & (named | any_in(penalty, F.col("_words")))).alias("q3"),
+    ]
+    head = F.when(F.col("_part") == 0, F.struct(F.col("pos").cast("int").alias("pos"), "chunk_id", *flags))
+    spare = F.when((F.col("_part") > 0) & protected, F.struct("_part", (-F.col("rerank_score")).alias("_s"), "chunk_id", *flags))
+    columns = ["query_id", "chunk_id", "role", "text", "penalty_context", "rerank_score"]
+    listed = rows.select(*columns, "pos", F.when(F.col("pos") < top_n, 0).otherwise(1).alias("_part"))
+    both = listed.unionByName(everything.filter(protected).select(*columns, F.lit(0).alias("pos"), F.lit(2).alias("_part")))
+    lists = both.join(asked, "query_id").groupBy("query_id").agg(F.array_sort(F.collect_list(head)).alias("_head"), F.array_sort(F.collect_list(spare)).alias("_spare"), F.max(F.size("_words")).alias("_n"))
+    for flag, asks in (("q1", F.lit(True)), ("q2", F.col("_n") > 0), ("q3", F.col("_n") > 0)):
+        there = F.transform("_head", lambda c: c["chunk_id"])
+        named_by = F.filter("_spare", _has(flag))
+        fits = F.filter(named_by, lambda c: (c["_part"] == 1) | ~F.array_contains(F.col("_there"), c["chunk_id"]))
+        lists = lists.withColumn("_there", there).withColumn("_fits", fits)
+        plain = F.array_max(F.transform(F.filter("_head", lambda c: ~c["q1"]), lambda c: c["pos"]))
+        size = F.size("_head")
+        lists = lists.withColumn("_place", F.coalesce(plain, F.when(size < top_n, size).otherwise(size - 1)))
+        best = F.get("_fits", F.lit(0))
+        new = F.struct(F.col("_place").alias("pos"), best["chunk_id"].alias("chunk_id"), *[best[q].alias(q) for q in ("q1", "q2", "q3")])
+        kept = F.filter("_head", lambda c: c["pos"] != F.col("_place"))
+        open_ = asks & ~F.exists("_head", _has(flag)) & (F.size("_fits") > 0)
+        lists = lists.withColumn("_head", F.when(open_, F.array_sort(F.concat(kept, F.array(new)))).otherwise(F.col("_head")))
+    out = lists.select("query_id", F.explode("_head").alias("c"))
+    return out.select("query_id", F.col("c.pos").alias("pos"), F.col("c.chunk_id").alias("chunk_id"))
 
 
 def role_order(contexts: DataFrame, intents: list[str]) -> DataFrame:

@@ -216,15 +216,46 @@ def row(chunk_id, role, score, text="", context=""):
     return {"chunk_id": chunk_id, "role": role, "rerank_score": score, "text": text, "penalty_context": context}
 
 
-def test_quota_inserts():
+def quotas_by_hand(head, beyond, everything, words, kind, top_n):
+    """One quota after the other on lists."""
+    head = list(head)
+    protected = lambda c: c["role"] in rerank.PROTECTED
+    rules_ = [protected]
+    if words:
+        rules_.append(lambda c: protected(c) and kind in c["text"] and any(w in c["text"] for w in words))
+        rules_.append(lambda c: c["role"] == "behavior_penalty" and any(w in c["text"] + "|" + c["penalty_context"] for w in words))
+    for rule in rules_:
+        there = {c["chunk_id"] for c in head}
+        found = [c for c in beyond if rule(c)] or [c for c in everything if rule(c) and c["chunk_id"] not in there]
+        if found and not any(map(rule, head)):
+            best = sorted(found, key=lambda c: (-c["rerank_score"], c["chunk_id"]))[0]
+            open_places = [i for i, c in enumerate(head) if not protected(c)] or [len(head) if len(head) < top_n else len(head) - 1]
+            head[open_places[-1] : open_places[-1] + 1] = [best]
+    return [c["chunk_id"] for c in head]
+
+
+def test_quota_inserts(spark):
     plain = [row(i, "substantive", 1 - i / 10) for i in range(3)]
     law, fine = row(8, "definition", 0.2, "kinds of road"), row(9, "behavior_penalty", 0.1, "fine", "road")
-    ids = lambda rows: [c["chunk_id"] for c in rows]
-    assert ids(rerank.quota_inserts(plain, [law], [law, fine], [], "kinds", 3)) == [0, 1, 8]
-    assert ids(rerank.quota_inserts(plain, [law], [law, fine], ["road"], "kinds", 3)) == [0, 9, 8]
-    assert ids(rerank.quota_inserts(plain, [], [], ["road"], "kinds", 3)) == [0, 1, 2]
-    assert ids(rerank.quota_inserts([law], [], [fine], ["road"], "kinds", 3)) == [8, 9]
-    assert ids(rerank.quota_inserts([law], [], [fine], ["road"], "kinds", 1)) == [9]
+    cases = [(plain, [law], [law, fine], "nothing"), (plain, [law], [law, fine], "a road"), (plain, [], [], "a road"), ([law], [], [fine], "a road"), ([], [], [fine], "a road")]
+    rng = random.Random(6)
+    for _ in range(150):
+        rows = [row(i, rng.choice(["substantive", "procedural", *rerank.PROTECTED]), rng.choice([0.1, 0.5, rng.random()]), rng.choice(["kinds", "road", "kinds of road", ""]), rng.choice(["", "road", "car"])) for i in range(rng.randint(0, 9))]
+        cut = rng.randint(0, len(rows))
+        cases.append((rows[: min(cut, 3)], rows[3:cut] if cut > 3 else [], rows, rng.choice(["road", "car or road", "none"])))
+    listed, everything, queries = [], [], []
+    for q, (head, beyond, scored, text) in enumerate(cases):
+        listed += [{"query_id": q, "pos": i, **c} for i, c in enumerate(head)] + [{"query_id": q, "pos": 3 + i, **c} for i, c in enumerate(beyond)]
+        everything += [{"query_id": q, **c} for c in scored]
+        queries.append((q, text))
+    schema = "query_id int, {}chunk_id int, role string, rerank_score double, text string, penalty_context string"
+    out = rerank.with_quotas(spark.createDataFrame(listed, schema.format("pos int, ")), spark.createDataFrame(everything, schema.format("")), spark.createDataFrame(queries, "query_id int, text string"), ["road", "car"], "kinds", 3)
+    got: dict = {}
+    for r in sorted(out.collect(), key=lambda r: (r.query_id, r.pos)):
+        got.setdefault(r.query_id, []).append(r.chunk_id)
+    want = {q: quotas_by_hand(h, b, e, [w for w in ("road", "car") if w in t], "kinds", 3) for q, (h, b, e, t) in enumerate(cases)}
+    assert got == {q: ids for q, ids in want.items() if ids}
+    assert [want[i] for i in range(4)] == [[0, 1, 8], [0, 9, 8], [0, 1, 2], [8, 9]]
 
 
 def test_quota_query(spark):
