@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,12 +32,16 @@ class Policy:
     expansion_least: float = 10.0
 
 
+def _place(pos: Column, i: Column) -> Column:
+    return F.struct(pos.cast("long").alias("pos"), i.cast("long").alias("i")).alias("at")
+
+
 def query_table(questions: DataFrame, expansion_rules: DataFrame, synonym_table: DataFrame) -> DataFrame:
     """(question_id, query_pos, kind, text): every question (kind 0), its expansions by rule (1) and by synonym (2), each
     text once, in this order. questions: (query_id, text)."""
-    own = questions.select(F.col("query_id").alias("question_id"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("at"), "text")
-    ruled = rules.matching_rules(questions, expansion_rules).select(F.col("query_id").alias("question_id"), F.lit(1).alias("kind"), F.col("pos").cast("long").alias("at"), F.col("enhancement").alias("text"))
-    said = rules.synonyms(questions, synonym_table).select(F.col("query_id").alias("question_id"), F.lit(2).alias("kind"), (F.col("pos.pos") * 10 + F.col("pos.i")).cast("long").alias("at"), F.col("synonym").alias("text"))
+    own = questions.select(F.col("query_id").alias("question_id"), F.lit(0).alias("kind"), _place(F.lit(0), F.lit(0)), "text")
+    ruled = rules.matching_rules(questions, expansion_rules).select(F.col("query_id").alias("question_id"), F.lit(1).alias("kind"), _place(F.col("pos"), F.lit(0)), F.col("enhancement").alias("text"))
+    said = rules.synonyms(questions, synonym_table).select(F.col("query_id").alias("question_id"), F.lit(2).alias("kind"), _place(F.col("pos.pos"), F.col("pos.i")), F.col("synonym").alias("text"))
     listed = own.unionByName(ruled).unionByName(said).groupBy("question_id", "text").agg(F.min(F.struct("kind", "at")).alias("_at"))
     place = Window.partitionBy("question_id").orderBy("_at", "text")
     return listed.select("question_id", (F.row_number().over(place) - 1).alias("query_pos"), F.col("_at.kind").alias("kind"), "text")
