@@ -99,11 +99,18 @@ _BM25 = f"""tf AS (
   FROM asked JOIN idf USING (term) JOIN tf USING (term) JOIN lengths USING (chunk_id), corpus GROUP BY query_id, chunk_id
 )"""
 
+
+
+def lexical_sql(corpus: str) -> str:
+    """BM25 of all questions over a corpus (chunk_id, text)."""
+    return f"""vc AS ({corpus}), qs AS (SELECT item_id AS query_id, text FROM benchmark), {_BM25}"""
+
+
 INDEX = f"""{CHUNKS}, {QUESTIONS}, vc AS (
   SELECT c.*, e.embedding FROM chunks c LEFT JOIN embeddings e ON e.vec_id = c.chunk_id
 ), {_BM25}"""
 #: The same over all chunks and all questions: BM25 needs no vectors.
-LEXICAL = f"""vc AS (SELECT doc_id AS chunk_id, text FROM documents), qs AS (SELECT item_id AS query_id, text FROM benchmark), {_BM25}"""
+LEXICAL = lexical_sql("SELECT doc_id AS chunk_id, text FROM documents")
 
 PAIRS = f"""{INDEX}, pairs AS (
   SELECT qs.query_id, vc.chunk_id, vc.source, coalesce(bm25, 0.0) AS bm25,

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarryline.functions.text import any_in
-from quarryline.operators import context, fusion, lexical, rerank, scan
+from quarryline.operators import context, fusion, lexical, postings, rerank, scan
 from quarryline.plans import fixtures as fx
 from quarryline.registry import query
-from quarryline.staging import small, stage
+from quarryline.staging import new_path, small, stage
 
 TOP_K = 10
 #: Weight of the protected path, boost of concept rows, cap, quotas and budget.
@@ -113,6 +113,33 @@ def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.scores(lexical.build(c), fx.asked(spark, sf_dir)).select("query_id", "chunk_id", F.round("bm25", 6).alias("bm25"))
 
 
+#: What stands after the three runs of ``segmented``.
+_STANDING = fx.lexical_sql("SELECT doc_id AS chunk_id, text || CASE WHEN doc_id % 7 = 0 THEN ' as amended' ELSE '' END AS text FROM documents WHERE doc_id % 10 <> 5")
+
+
+def segmented(spark: SparkSession, sf_dir: str) -> lexical.Index:
+    """The index after three runs: most documents come, the rest come and some texts change, a tenth goes."""
+    docs = fx.spread(fx.table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("chunk_id"), "text")
+    root, number, changed = new_path(spark, "postings"), F.col("chunk_id"), F.concat("text", F.lit(" as amended"))
+    postings.update(docs.filter(number % 10 < 8), root)
+    postings.update(docs.filter((number % 10 >= 8) | (number % 7 == 0)).withColumn("text", F.when(number % 7 == 0, changed).otherwise(F.col("text"))), root)
+    postings.update(docs.limit(0), root, docs.filter(number % 10 == 5))
+    return postings.index(spark, root)
+
+
+@query("a9_segmented_terms", f"WITH {_STANDING} SELECT term, df, round(idf, 6) AS idf FROM idf")
+def segmented_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequencies as sums over segments and what runs took away; no run reads texts of another."""
+    return segmented(spark, sf_dir).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query("j1_segmented_bm25", f"WITH {_STANDING} SELECT query_id, chunk_id, round(bm25, 6) AS bm25 FROM bm")
+def segmented_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All questions against the index after three runs."""
+    found = lexical.scores(segmented(spark, sf_dir), fx.asked(spark, sf_dir))
+    return found.select("query_id", "chunk_id", F.round("bm25", 6).alias("bm25"))
+
+
 @query("o12_bm25_only", f"""WITH {fx.LEXICAL} SELECT query_id, chunk_id, pos FROM (
   SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, chunk_id) - 1 AS pos FROM bm) WHERE pos < 10""")
 def bm25_only(spark: SparkSession, sf_dir: str) -> DataFrame:
