@@ -8,12 +8,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarryline.functions import text as t
-from quarryline.operators import chunking, layout
+from quarryline.operators import chunking, layout, segmentation
 from quarryline.plans import fixtures as fx
 from quarryline.registry import literal, query
 from quarryline.sources import files, providers
+from quarryline.staging import stage
 from quarryline.streaming import events as stream
 
 NAMES = "(VALUES (1, ' 道路法_20210429'), (2, 'a+b_law'), (3, '《已标》'), (4, '')) AS t(id, name)"
@@ -96,6 +98,24 @@ def cjk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.array_join(t.cjk_tokens(F.col("text"), ["酒后驾驶"]), "/").alias("words"))
 
 
+def ends(rows: DataFrame, words: str) -> DataFrame:
+    """(doc_id, end): where each word ends, in characters of the words joined."""
+    each = rows.select("doc_id", F.posexplode(words).alias("pos", "word"))
+    return each.select("doc_id", F.sum(F.char_length("word")).over(Window.partitionBy("doc_id").orderBy("pos")).alias("end"))
+
+
+@query("c18_segmented_words")
+def segmented_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' words, joined without blanks, are found again by frequencies learned from the table:
+    words there were, words found, and ends that agree."""
+    docs = fx.spread(fx.table(spark, sf_dir, "documents")).select("doc_id", t.tokens(F.col("text")).alias("words"))
+    joined = docs.select("doc_id", F.array_join("words", "").alias("text"))
+    found = stage(segmentation.segmented(joined, "doc_id", "text", segmentation.learned(F.col("words"), docs), r"[\p{L}\p{N}]"), "segmented")
+    own = ends(docs, "words").withColumns({"a": F.lit(1), "b": F.lit(0)}).unionByName(ends(found, "words").withColumns({"a": F.lit(0), "b": F.lit(1)}))
+    agreed = own.groupBy("doc_id", "end").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).groupBy("doc_id").agg(F.sum("a").alias("n_words"), F.sum("b").alias("n_found"), F.sum(F.col("a") * F.col("b")).alias("n_right"))
+    return found.select("doc_id", F.md5(F.array_join("words", " ")).alias("words_md5")).join(agreed, "doc_id", "left").fillna(0, ["n_words", "n_found", "n_right"])
+
+
 @query("c21_rewrite_lines", "SELECT 1 AS id, 'first/second/third' AS lines")
 def rewrite_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C21."""
