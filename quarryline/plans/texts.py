@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarryline.functions import text as t
-from quarryline.operators import chunking, layout, segmentation
+from quarryline.operators import chunking, layout, segmentation, upload_search
 from quarryline.plans import fixtures as fx
 from quarryline.registry import literal, query
-from quarryline.sources import files, providers
+from quarryline.sources import files
 from quarryline.staging import stage
 from quarryline.streaming import events as stream
 
@@ -170,53 +166,15 @@ def upload_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.posexplode(chunking.upload_chunks(F.col("text"))).alias("pos", "chunk"))
 
 
-#: Questions that a document meets at once.
-QUESTION_BLOCK = 256
-
-
 @query("p7_upload_retrieval")
 def upload_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every question and document eight chunks by vector, of these three by the reranker
-    (offline: shared words). The questions go to all tasks; a document meets them in blocks, with its chunks in one
-    place, so no pair is shuffled."""
-    docs = fx.table(spark, sf_dir, "documents").filter(F.char_length("text") >= 1500)
+    (offline: shared words)."""
+    docs = fx.spread(fx.table(spark, sf_dir, "documents")).filter(F.char_length("text") >= 1500)
     docs = docs.select("doc_id", chunking.upload_chunks(F.col("text")).alias("chunks"))
     docs = docs.withColumn("words", F.transform("chunks", lambda c: t.tokens(c)))
     asked = fx.table(spark, sf_dir, "benchmark").select("item_id", "text", t.tokens(F.col("text")).alias("words"))
-    questions = asked.orderBy("item_id").collect()
-    names = {w: i for i, w in enumerate(sorted({w for q in questions for w in q.words or []}))}
-    kinds = {f.name: f.dataType.simpleString() for f in [*docs.schema, *asked.schema]}
-
-    def known(words: list) -> np.ndarray:
-        """One row per list of words: which of the questions' words it has."""
-        out = np.zeros((len(words), len(names)), np.float32)
-        for row, own in zip(out, words, strict=True):
-            row[[names[w] for w in set(own or []) if w in names]] = 1
-        return out
-
-    def vectors(texts: list) -> np.ndarray:
-        return np.concatenate([providers.hashed_embedder(texts[i : i + 32]) for i in range(0, len(texts), 32)]).astype(np.float64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = []
-        for at in range(0, len(questions), QUESTION_BLOCK):
-            block = questions[at : at + QUESTION_BLOCK]
-            blocks.append((np.array([q.item_id for q in block]), vectors([q.text for q in block]).T, known([q.words for q in block]).T))
-        for batch in batches:
-            for doc_id, chunks, words in zip(batch.column("doc_id"), batch.column("chunks"), batch.column("words"), strict=True):
-                chunks = chunks.as_py()
-                if not chunks:
-                    continue
-                own, has = vectors(chunks), known(words.as_py())
-                for ids, embedding, asks in blocks:
-                    near = np.argsort(-np.round(own @ embedding, 9), axis=0, kind="stable")[:8]
-                    shared = np.take_along_axis(has @ asks, near, 0)
-                    best = np.take_along_axis(near, np.argsort(-shared, axis=0, kind="stable")[:3], 0)
-                    n = len(best)
-                    columns = [pa.array(np.repeat(ids, n)), pa.repeat(doc_id, best.size), pa.array(best.T.ravel().astype(np.int32)), pa.array(np.tile(np.arange(1, n + 1, dtype=np.int32), len(ids)))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["item_id", "doc_id", "pos", "place"])
-
-    return docs.mapInArrow(run, f"item_id {kinds['item_id']}, doc_id {kinds['doc_id']}, pos int, place int")
+    return upload_search.best_chunks(docs, asked)
 
 
 PDF = """(VALUES ('d', 1, 0, 10.0, 10.0, 90.0, 20.0, '目次'), ('d', 1, 1, 10.0, 30.0, 90.0, 40.0, '1 范围………1'), ('d', 1, 2, 10.0, 50.0, 90.0, 60.0, '2 引用文件......2'), ('d', 1, 3, 10.0, 70.0, 90.0, 80.0, '3 术语····3'),

@@ -171,10 +171,11 @@ def test_upload_retrieval(spark):
 
 def test_upload_retrieval_asks_all(spark, monkeypatch):
     from quarryline.functions import text
-    from quarryline.plans import texts
+    from quarryline.operators import upload_search
     from quarryline.sources import providers
 
-    monkeypatch.setattr(texts, "QUESTION_BLOCK", 7)
+    monkeypatch.setattr(upload_search, "BLOCK", 7)
+    monkeypatch.setattr(upload_search, "DOCUMENTS", 3)
     got: dict = {}
     for r in catalog.QUERIES["p7_upload_retrieval"](spark, SF).collect():
         got.setdefault((r.item_id, r.doc_id), []).append((r.place, r.pos))
