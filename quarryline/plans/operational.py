@@ -189,13 +189,17 @@ def ndjson_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("session_id", "seq", F.md5(F.to_json(F.struct(F.col("role").alias("kind"), F.char_length("content").alias("n")))).alias("line_md5"))
 
 
-TOKENS = "(VALUES (1, '2030-01-01T00:00:00', 0), (2, '2020-01-01T00:00:00', 0), (3, NULL, 0), (4, NULL, 1), (5, 'never', 0)) AS t(id, expires_at, revoked)"
+#: When tokens are looked at.
+NOW = "2024-01-15 00:00:00"
 
 
-@query("f13_valid_tokens", "SELECT * FROM (VALUES (1), (3)) AS t(id)")
+@query("f13_valid_tokens", f"SELECT event_id AS id FROM events WHERE event_type <> 'error' AND CASE event_id % 5 WHEN 0 THEN TRUE WHEN 1 THEN FALSE ELSE date_trunc('second', ts) >= TIMESTAMP '{NOW}' END")
 def valid_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F13."""
-    return ops.valid_tokens(literal(spark, TOKENS), "2026-01-01 00:00:00").select("id")
+    """events as tokens: errors are revoked, some never expire, some have a date that can't be read."""
+    k = F.col("event_id") % 5
+    expires = F.when(k == 1, "never").when(k > 1, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
+    tokens = fx.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), expires.alias("expires_at"), (F.col("event_type") == "error").cast("int").alias("revoked"))
+    return ops.valid_tokens(tokens, NOW).select("id")
 
 
 @query("c31_token_expiry", "SELECT event_id, sha256(CAST(user_id AS VARCHAR)) AS hash, CASE WHEN event_id % 3 > 0 THEN ts + to_days(CAST(event_id % 3 AS INTEGER)) END AS expires FROM events")

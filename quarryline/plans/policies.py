@@ -111,10 +111,14 @@ def scope_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.scoped(fx.chunks(spark, sf_dir), source="src3").filter("chunk_type = 'article'").select("chunk_id", "article_no")
 
 
-@query("f7_trivial_query", "SELECT * FROM (VALUES (1, false), (2, true), (3, true), (4, true), (5, false), (6, false), (7, true), (8, false), (9, true), (10, false), (11, false), (12, false), (13, true)) AS t(query_id, is_trivial)")
+@query("f7_trivial_query", r"""WITH q AS (SELECT doc_id, lower(trim(CASE doc_id % 3 WHEN 0 THEN substr(text, 1, (doc_id % 8)::INTEGER) WHEN 1 THEN doc_id || '.' || (doc_id % 7) ELSE '?!' || substr(text, 1, (doc_id % 5)::INTEGER) END)) AS t FROM documents)
+SELECT doc_id, length(t) <= 1 OR regexp_matches(t, '^[\d.]+$') OR regexp_matches(t, '^[^\p{L}\p{N}]+$') OR t IN ('enthe', 'ander') OR (length(t) <= 4 AND NOT contains(t, 'the')) AS is_trivial FROM q""")
 def trivial_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F7."""
-    return literal(spark, SHORT).select("query_id", rules.trivial(F.col("text"), ["ok", "help"], ["law"]).alias("is_trivial"))
+    """heads of documents, numbers and signs as questions."""
+    k = F.col("doc_id") % 3
+    head = lambda n: F.substring(F.col("text"), F.lit(1), (F.col("doc_id") % n).cast("int"))
+    text = F.when(k == 0, head(8)).when(k == 1, F.concat("doc_id", F.lit("."), F.col("doc_id") % 7)).otherwise(F.concat(F.lit("?!"), head(5)))
+    return fx.table(spark, sf_dir, "documents").select("doc_id", rules.trivial(text, ["enthe", "ander"], ["the"]).alias("is_trivial"))
 
 
 _PLAIN = "regexp_replace(lower({}), '[\\s　，。！？、,.!?;；:：()（）]+', '', 'g')"
@@ -132,17 +136,17 @@ def public_service(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.service_reply(literal(spark, SHORT), lists(literal(spark, SERVICE), "keywords"), EXCLUDED)
 
 
-@query("f9_about_conversation", "SELECT * FROM (VALUES (12)) AS t(query_id)")
+@query("f9_about_conversation", "SELECT doc_id FROM documents WHERE regexp_matches(text, '(?:the|der).*(?:ing|ung)')")
 def about_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F9."""
-    return literal(spark, SHORT).filter(rules.about_conversation(F.col("text"), ["earlier", "before"], ["said", "asked"])).select("query_id")
+    """documents as questions, with words that they have."""
+    return fx.table(spark, sf_dir, "documents").filter(rules.about_conversation(F.col("text"), ["the", "der"], ["ing", "ung"])).select("doc_id")
 
 
-@query("c20_negation", "SELECT * FROM (VALUES (1, '戴头盔'), (2, '系安全带'), (3, '停车')) AS t(id, plain)")
+@query("c20_negation", r"SELECT doc_id, 'x' || regexp_replace(substr(text, 1, 60), ' \s*', '', 'g') AS plain FROM documents")
 def negation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C20."""
-    rows = literal(spark, "(VALUES (1, '没有 戴头盔'), (2, '未系安全带'), (3, '停车')) AS t(id, text)")
-    return rows.select("id", stripped_negation(F.col("text"), ["没", "未", "没有", "不"]).alias("plain"))
+    """C20: the heads of documents with a mark of negation before each blank."""
+    text = F.concat(F.lit("没有 x"), F.replace(F.substring("text", 1, 60), F.lit(" "), F.lit("未 ")))
+    return fx.table(spark, sf_dir, "documents").select("doc_id", stripped_negation(text, ["没", "未", "没有", "不"]).alias("plain"))
 
 
 @query("c23_normalized", f"SELECT item_id AS query_id, {_PLAIN.format('text')} AS plain FROM benchmark")

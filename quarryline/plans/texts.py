@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,57 +14,77 @@ from quarryline.sources import files
 from quarryline.staging import stage
 from quarryline.streaming import events as stream
 
-NAMES = "(VALUES (1, ' 道路法_20210429'), (2, 'a+b_law'), (3, '《已标》'), (4, '')) AS t(id, name)"
 
-
-@query("c1_clean_title", "SELECT * FROM (VALUES (1, '总则通用'), (2, '第一'), (3, 'ab')) AS t(id, title)")
+@query("c1_clean_title", r"SELECT doc_id, '第' || regexp_replace(substr(text, 1, 40), '[\s\x0b\x{2002}\x{3000}\x{a0}]+', '', 'g') AS title FROM documents")
 def clean_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C1."""
-    rows = literal(spark, "(VALUES (1, '总 则　通用'), (2, concat('第', ' ', '一')), (3, ' a b ')) AS t(id, title)")
-    return rows.select("id", t.clean_title(F.col("title")).alias("title"))
+    """The heads of documents as titles, with wide blanks between."""
+    title = F.concat(F.lit("第　"), F.replace(F.substring("text", 1, 40), F.lit(" "), F.lit("   ")))
+    return fx.table(spark, sf_dir, "documents").select("doc_id", t.clean_title(title).alias("title"))
 
 
-@query("c2_source_names", "SELECT * FROM (VALUES (1, '道路法', '《道路法》'), (2, 'a b_law', '《a b_law》'), (3, '《已标》', '《已标》'), (4, '', '')) AS t(id, plain, marked)")
+@query("c2_source_names", """WITH n AS (SELECT doc_id, doc_id % 4 AS k, CASE doc_id % 4 WHEN 0 THEN source || ' law' WHEN 1 THEN source || '_2021' WHEN 2 THEN '《' || source || '》' ELSE '' END AS plain FROM documents)
+SELECT doc_id, plain, CASE WHEN k < 2 THEN '《' || plain || '》' ELSE plain END AS marked FROM n""")
 def source_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C2, C26."""
-    return literal(spark, NAMES).select("id", t.source_name(F.col("name")).alias("plain"), t.marked_source(F.col("name")).alias("marked"))
+    """Sources as names of files, with a date or another suffix, in marks, empty."""
+    k = F.col("doc_id") % 4
+    name = F.when(k == 0, F.concat(F.lit(" "), "source", F.lit("+law_20210429"))).when(k == 1, F.concat("source", F.lit("_2021"))).when(k == 2, F.concat(F.lit("《"), "source", F.lit("》"))).otherwise("")
+    return fx.table(spark, sf_dir, "documents").select("doc_id", t.source_name(name).alias("plain"), t.marked_source(name).alias("marked"))
 
 
-@query("c3_category", "SELECT * FROM (VALUES (1, 'traffic'), (2, ''), (3, 'deep')) AS t(id, category)")
+@query("c3_category", "SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN '' ELSE source END AS category FROM documents")
 def category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C3, S1."""
-    rows = literal(spark, "(VALUES (1, 'traffic/law.docx'), (2, 'law.docx'), (3, 'a/deep/law.pdf')) AS t(id, path)")
-    return rows.select("id", t.category(F.col("path")).alias("category"))
+    """Files in their source's folder, at the root, and deeper."""
+    k, file = F.col("doc_id") % 3, F.concat("doc_id", F.lit(".docx"))
+    path = F.when(k == 0, F.concat_ws("/", "source", file)).when(k == 1, file).otherwise(F.concat_ws("/", F.lit("a"), "source", file))
+    return fx.table(spark, sf_dir, "documents").select("doc_id", t.category(path).alias("category"))
 
 
-@query("f18_hierarchy", "SELECT * FROM (VALUES (1, '法律'), (2, ''), (3, '补充')) AS t(id, hierarchy)")
+@query("f18_hierarchy", "SELECT doc_id, CASE WHEN lang = 'de' THEN '补充' WHEN source = 'src1' THEN '法律' WHEN source = 'src2' THEN '规章' ELSE '' END AS hierarchy FROM documents")
 def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supplements first, then the category's level, else nothing."""
-    rows = literal(spark, "(VALUES (1, 'x', 'law'), (2, 'y', 'other'), (3, 'z', 'law')) AS t(id, source, category)")
-    levels = literal(spark, "(VALUES ('law', '法律'), ('rule', '规章')) AS t(category, level)")
-    found = rows.join(F.broadcast(levels), "category", "left")
-    return found.select("id", F.when(F.col("source").isin("z"), "补充").otherwise(F.coalesce("level", F.lit(""))).alias("hierarchy"))
+    """Supplements first (here a language's documents), then the category's level, else nothing."""
+    levels = literal(spark, "(VALUES ('src1', '法律'), ('src2', '规章')) AS t(source, level)")
+    found = fx.table(spark, sf_dir, "documents").join(F.broadcast(levels), "source", "left")
+    return found.select("doc_id", F.when(F.col("lang").isin("de"), "补充").otherwise(F.coalesce("level", F.lit(""))).alias("hierarchy"))
+
+
+def digits(number: Column) -> Column:
+    """A number's digits as Chinese numerals."""
+    return F.translate(number.cast("string"), "0123456789", t.NUMERALS)
 
 
-@query("c4_parent_numbers", "SELECT * FROM (VALUES (1, '第九十一条', '第二款'), (2, '第一百二十条之一', '第十款'), (3, '附则', ''), (4, '第五条', '')) AS t(id, parent, label)")
+@query("c4_parent_numbers", f"""WITH n AS (SELECT doc_id, doc_id % 11 = 0 AS other, translate(CAST(doc_id AS VARCHAR), '0123456789', '{t.NUMERALS}') AS a, translate(CAST(doc_id % 9 AS VARCHAR), '0123456789', '{t.NUMERALS}') AS b FROM documents)
+SELECT doc_id, CASE WHEN other THEN '附则' ELSE '第' || a || '条' || CASE WHEN doc_id % 3 = 0 THEN '之' || b ELSE '' END END AS parent, CASE WHEN doc_id % 2 = 0 AND NOT other THEN '第' || b || '款' ELSE '' END AS label FROM n""")
 def parent_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C4, C5, C25."""
-    rows = literal(spark, "(VALUES (1, '第九十一条第二款'), (2, '第一百二十条之一第十款'), (3, '附则'), (4, '第五条')) AS t(id, no)")
-    return rows.select("id", t.parent_number(F.col("no")).alias("parent"), t.clause_label(F.col("no")).alias("label"))
+    """Numbers of articles and clauses made of the documents' own."""
+    d = F.col("doc_id")
+    clause = digits(d % 9)
+    number = F.concat(F.lit("第"), digits(d), F.lit("条"), F.when(d % 3 == 0, F.concat(F.lit("之"), clause)).otherwise(""), F.when(d % 2 == 0, F.concat(F.lit("第"), clause, F.lit("款"))).otherwise(""))
+    number = F.when(d % 11 == 0, "附则").otherwise(number)
+    return fx.table(spark, sf_dir, "documents").select("doc_id", t.parent_number(number).alias("parent"), t.clause_label(number).alias("label"))
+
+
+def spelled(number: Column) -> Column:
+    """A number below 10,000 in Chinese numerals with units; 0 is empty."""
+    place = lambda unit: F.floor(number / unit) % 10
+    zero = lambda here: F.when(here, t.NUMERALS[0]).otherwise("")
+    marked = lambda unit, mark, otherwise: F.when(place(unit) > 0, F.concat(digits(place(unit)), F.lit(mark))).otherwise(otherwise)
+    text = F.concat(marked(1000, "千", F.lit("")), marked(100, "百", zero((number >= 1000) & (number % 100 > 0))), marked(10, "十", zero((place(100) > 0) & (place(1) > 0))), marked(1, "", F.lit("")))
+    return F.when(number.between(10, 19), F.substring(text, 2, 9)).otherwise(text)
 
 
-@query("c24_numerals", "SELECT * FROM (VALUES ('十', 10), ('十一', 11), ('二十', 20), ('九十九', 99), ('一百二十', 120), ('三千零五', 3005), ('五', 5), ('甲', 0), ('', 0)) AS t(text, value)")
+@query("c24_numerals", "SELECT doc_id, doc_id % 10000 AS value FROM documents")
 def numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C24, Q21."""
-    rows = literal(spark, "(VALUES ('十'), ('十一'), ('二十'), ('九十九'), ('一百二十'), ('三千零五'), ('五'), ('甲'), ('')) AS t(text)")
-    return rows.select("text", t.numeral(F.col("text")).alias("value"))
+    """The documents' numbers, spelled and read."""
+    return fx.table(spark, sf_dir, "documents").select("doc_id", t.numeral(spelled(F.col("doc_id") % 10000)).cast("long").alias("value"))
 
 
-@query("c7_glyphs", "SELECT * FROM (VALUES (1, '6000mm'), (2, '终。'), (3, '《x》—'), (4, '3.1 范围'), (5, 'ꀀꀁꎮ'), (6, '12')) AS t(id, line)")
+@query("c7_glyphs", "SELECT doc_id, 'heading ' || doc_id || '.' || (doc_id % 10) || replace(substr(text, 1, 60), '.', '') || '。《x》' AS line FROM documents")
 def glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full width, a shifted stop, single glyphs, a split number, real Yi text, shifted digits."""
-    rows = literal(spark, "(VALUES (1, '６０００ｍｍ'), (2, '终ꎮ'), (3, '«x»￣'), (4, '3. 1 范围'), (5, 'ꀀꀁꎮ'), (6, 'ꎱꎲ')) AS t(id, line)")
-    return rows.select("id", t.glyphs(F.col("line")).alias("line"))
+    """The heads of documents in full width, behind a split number and before a shifted stop and single glyphs."""
+    narrow = "".join(chr(c) for low, high in ((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A)) for c in range(low, high + 1))
+    wide = F.translate(F.replace(F.substring("text", 1, 60), F.lit("."), F.lit("")), narrow, "".join(chr(ord(c) + 0xFEE0) for c in narrow))
+    line = F.concat(F.lit("heading "), "doc_id", F.lit(".  "), F.col("doc_id") % 10, wide, F.lit("ꎮ«x»"))
+    return fx.table(spark, sf_dir, "documents").select("doc_id", t.glyphs(line).alias("line"))
 
 
 @query("c8_clause_level", "SELECT doc_id, len(string_split(CAST(doc_id // 7 AS VARCHAR) || '.' || (doc_id % 7) || CASE WHEN doc_id % 2 = 0 THEN '.1' ELSE '' END, '.')) AS level FROM documents")
@@ -75,10 +95,11 @@ def clause_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "documents").select("doc_id", t.level(number).cast("long").alias("level"))
 
 
-@query("c9_table_text", "SELECT 1 AS id, 'a b | c' || chr(10) || 'd' AS body")
+@query("c9_table_text", "SELECT doc_id, coalesce(source || ' | ', '') || 'a ' || coalesce(lang, '') || chr(10) || doc_id AS body FROM documents")
 def table_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells are cleaned, missing ones left out."""
-    return spark.sql("SELECT 1 AS id, array(array(concat('a', chr(10), ' b'), 'c'), array(CAST(NULL AS STRING), 'd')) AS cells").select("id", t.table_text(F.col("cells")).alias("body"))
+    cells = F.array(F.array("source", F.lit(None).cast("string"), F.concat(F.lit("a \n"), F.coalesce("lang", F.lit("")), F.lit(" "))), F.array(F.lit(None).cast("string"), F.col("doc_id").cast("string")))
+    return fx.table(spark, sf_dir, "documents").select("doc_id", t.table_text(cells).alias("body"))
 
 
 @query("c18_dictionary_tokens", "SELECT doc_id, len(regexp_extract_all(lower(text), '(cc by-nc|the the|[\\p{L}\\p{N}]+)')) AS n FROM documents")
@@ -87,11 +108,12 @@ def dictionary_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "documents").select("doc_id", F.size(t.tokens(F.col("text"), ["the the", "CC BY-NC"])).cast("long").alias("n"))
 
 
-@query("c18_cjk_tokens", "SELECT * FROM (VALUES (1, '酒后驾驶/的/车/abc/12'), (2, '驾/驶/证')) AS t(id, words)")
+@query("c18_cjk_tokens", r"SELECT doc_id, '酒后驾驶/的/' || doc_id || 'ab/驾/驶/' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), '/') AS words FROM documents WHERE regexp_matches(text, '[\p{L}\p{N}]') AND NOT regexp_matches(text, '\p{Han}')")
 def cjk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C18 for Chinese: dictionary words, else characters."""
-    rows = literal(spark, "(VALUES (1, '酒后驾驶的车 abc，12'), (2, '驾驶证')) AS t(id, text)")
-    return rows.select("id", F.array_join(t.cjk_tokens(F.col("text"), ["酒后驾驶"]), "/").alias("words"))
+    """C18 for Chinese before each document's own words: dictionary words, else characters, else runs."""
+    rows = fx.table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"[\p{L}\p{N}]") & ~F.col("text").rlike(r"\p{IsHan}"))
+    text = F.concat(F.lit("酒后驾驶的"), "doc_id", F.lit("Ab，驾驶 "), "text")
+    return rows.select("doc_id", F.array_join(t.cjk_tokens(text, ["酒后驾驶"]), "/").alias("words"))
 
 
 def ends(rows: DataFrame, words: str) -> DataFrame:
@@ -112,18 +134,20 @@ def segmented_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.md5(F.array_join("words", " ")).alias("words_md5")).join(agreed, "doc_id", "left").fillna(0, ["n_words", "n_found", "n_right"])
 
 
-@query("c21_rewrite_lines", "SELECT 1 AS id, 'first/second/third' AS lines")
+@query("c21_rewrite_lines", "SELECT doc_id, CASE WHEN source = lang THEN source || '/' || doc_id || '/fourth' ELSE source || '/' || doc_id || '/' || lang END AS lines FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL")
 def rewrite_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C21."""
-    rows = literal(spark, "(VALUES (1, concat('1. first', chr(10), '- \"second\"', chr(10), chr(10), '2、first', chr(10), 'third', chr(10), 'fourth'))) AS t(id, answer)")
-    return rows.select("id", F.array_join(t.rewrite_lines(F.col("answer"), 3), "/").alias("lines"))
+    """Numbers, bullets and quotes go, as do blank lines and repeats; three stay."""
+    answer = F.concat(F.lit("1. "), "source", F.lit('\n- "'), "doc_id", F.lit('"\n\n2、'), "source", F.lit("\n * "), "lang", F.lit("\nfourth"))
+    rows = fx.table(spark, sf_dir, "documents").filter("source IS NOT NULL AND lang IS NOT NULL")
+    return rows.select("doc_id", F.array_join(t.rewrite_lines(answer, 3), "/").alias("lines"))
 
 
-@query("c22_sanitized_rewrite", "SELECT * FROM (VALUES (1, 'who pays'), (2, NULL), (3, NULL)) AS t(id, rewrite)")
+@query("c22_sanitized_rewrite", """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'who pays ' || doc_id WHEN 2 THEN CASE WHEN length(repeat(source, doc_id % 60)) BETWEEN 1 AND 200 THEN repeat(source, doc_id % 60) END END AS rewrite FROM documents""")
 def sanitized_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thoughts, label and quotes go; empty and long answers fail."""
-    rows = literal(spark, "(VALUES (1, concat('<think>a', chr(10), 'b</think>', chr(10), 'rewrite: \"who pays\"', chr(10), 'more')), (2, '<think>x</think>'), (3, repeat('long', 60))) AS t(id, answer)")
-    return rows.select("id", t.sanitized_rewrite(F.col("answer")).alias("rewrite"))
+    k = F.col("doc_id") % 3
+    answer = F.when(k == 0, F.concat(F.lit('<think>a\nb</think>\nrewrite: "who pays '), "doc_id", F.lit('"\nmore'))).when(k == 1, F.concat(F.lit("<think>"), "text", F.lit("</think>"))).otherwise(F.expr("repeat(source, CAST(doc_id % 60 AS INT))"))
+    return fx.table(spark, sf_dir, "documents").select("doc_id", t.sanitized_rewrite(answer).alias("rewrite"))
 
 
 STATUTE = "(VALUES ('d', 0, '道路法'), ('d', 1, '目 录'), ('d', 2, '第一章 总则'), ('d', 3, '第一章 总 则'), ('d', 4, '第一条 为了安全。'), ('d', 5, '第二条'), ('d', 6, '有下列行为的，处罚款：'), ('d', 7, '（一）超速；'), ('d', 8, '（二）逆行。'), ('d', 9, '第二章 通行'), ('d', 10, '第一节 一般'), ('d', 11, '第三条 靠右。'), ('d', 12, '第三条之一 补充。'), ('d', 13, '第三章 附则'), ('d', 14, '第四条 施行。')) AS t(doc, pos, text)"
