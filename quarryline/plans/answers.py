@@ -10,6 +10,7 @@ from quarryline.functions.text import clause_label, numeral
 from quarryline.functions.vectors import dot
 from quarryline.operators import context, fusion, lexical, rerank, scan
 from quarryline.plans import fixtures as fx
+from quarryline.plans.texts import spelled
 from quarryline.registry import literal, query
 from quarryline.staging import small, stage
 from quarryline.sources import providers
@@ -103,12 +104,13 @@ def role_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rerank.role_order(reranked(spark, sf_dir), ["procedure"]).select("query_id", "chunk_id", F.col("pos").cast("long").alias("pos"))
 
 
-@query("f17_roles", "SELECT * FROM (VALUES (1, 'behavior_penalty'), (2, 'definition'), (3, 'procedural'), (4, 'substantive'), (5, 'behavior_penalty'), (6, 'substantive')) AS t(id, role)")
+@query("f17_roles", """WITH h AS (SELECT doc_id, substr(text, 1, 20) || ' / ' || lang AS h FROM documents)
+SELECT doc_id, CASE WHEN contains(h, 'tion') OR contains(h, 'heit') THEN 'behavior_penalty' WHEN contains(h, 'the') OR contains(h, 'fr') THEN 'definition' WHEN contains(h, 'ie') THEN 'procedural' ELSE 'substantive' END AS role FROM h""")
 def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F17."""
-    rows = literal(spark, "(VALUES (1, 'Three / conduct and penalty'), (2, 'General terms'), (3, 'Review / appeal'), (4, 'Roads'), (5, 'terms / penalty'), (6, '')) AS t(id, header)")
-    words = {"behavior_penalty": ["penalty"], "definition": ["terms", "General"], "procedural": ["appeal"]}
-    return rows.select("id", rerank.role(F.col("header"), words).alias("role"))
+    """heads and languages of documents as headers of two parts."""
+    words = {"behavior_penalty": ["tion", "heit"], "definition": ["the", "fr"], "procedural": ["ie"]}
+    header = F.concat(F.substring("text", 1, 20), F.lit(" / "), "lang")
+    return fx.table(spark, sf_dir, "documents").select("doc_id", rerank.role(header, words).alias("role"))
 
 
 _CONTEXTS = f"{CANDIDATES}, ctx AS (SELECT * FROM pool WHERE pos < 7), named AS (SELECT DISTINCT query_id, source, parent_article_no AS article_no FROM ctx WHERE chunk_type = 'clause'), missing AS (SELECT * FROM named WHERE (query_id, source, article_no) NOT IN (SELECT (query_id, source, article_no) FROM ctx WHERE chunk_type = 'article'))"
@@ -167,15 +169,20 @@ def merged_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", F.col("place").cast("long").alias("place"), "source", "article_no", "section_header", F.char_length("text").cast("long").alias("n_chars"), F.array_join(F.transform("merged_from", lambda i: i.cast("string")), ",").alias("merged_from"))
 
 
-CLAUSES = "(VALUES (1, 0, '甲法', '第五条', '第五条第十一款', 'later', 'h', 10), (1, 1, '甲法', '第五条', '第五条第二款', 'early', 'h', 11), (1, 2, '乙法', '第一条', '第一条', 'alone', 'g', 12)) AS t(query_id, pos, source, parent_article_no, article_no, text, section_header, chunk_id)"
-
-
-@query("o9_clause_order", "SELECT * FROM (VALUES (1, 0, '甲法', '第五条', '（第二款）' || chr(10) || 'early' || chr(10) || chr(10) || '（第十一款）' || chr(10) || 'later'), (1, 1, '乙法', '第一条', 'alone')) AS t(query_id, place, source, article_no, text)")
+@query("o9_clause_order", """WITH c AS (SELECT doc_id // 10 AS query_id, 9 - doc_id % 10 AS pos, 'law' || (doc_id % 2) AS source, doc_id * 7 % 10 AS n, 'text ' || doc_id AS text FROM documents),
+g AS (SELECT query_id, source, min(pos) AS f, CASE WHEN count(*) = 1 THEN any_value(text)
+  ELSE string_agg('（第' || ['五', '六', '七', '八', '九', '十', '十一', '十二', '十三', '十四'][n + 1] || '款）' || chr(10) || text, chr(10) || chr(10) ORDER BY n) END AS text FROM c GROUP BY query_id, source)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY f) - 1 AS place, source, '第五条' AS article_no, text FROM g""")
 def clause_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O9, A10, C24, C25."""
+    """Ten documents are the clauses of two articles, in another order than their numbers'."""
+    d = F.col("doc_id")
+    rows = fx.table(spark, sf_dir, "documents").select(
+        F.floor(d / 10).alias("query_id"), (9 - d % 10).alias("pos"), F.concat(F.lit("law"), d % 2).alias("source"), F.lit("第五条").alias("parent_article_no"),
+        F.concat(F.lit("第五条第"), spelled(d * 7 % 10 + 5), F.lit("款")).alias("article_no"), F.concat(F.lit("text "), d).alias("text"), F.lit("").alias("section_header"), d.alias("chunk_id"),
+    )
     label = clause_label(F.col("article_no"))
     number = numeral(F.regexp_extract(label, "第(.*)款", 1))
-    return context.merged_references(literal(spark, CLAUSES), number, label).select("query_id", "place", "source", "article_no", "text")
+    return context.merged_references(rows, number, label).select("query_id", F.col("place").cast("long").alias("place"), "source", "article_no", "text")
 
 
 @query("a11_prompt_groups", f"""WITH {_CONTEXTS}, grp AS (

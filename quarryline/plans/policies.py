@@ -18,7 +18,8 @@ WEIGHTS = "(VALUES ('penalty', 0.7), ('procedure', 0.4)) AS t(intent, weight)"
 SYNONYMS = "(VALUES (0, 'tion', 'act,deed'), (1, 'ing', 'deed,doing')) AS t(pos, word, expansions)"
 SERVICE = "(VALUES (0, 'Hello,Never', ''), (1, 'Hel Lo!', 'greeting'), (2, 'HELP,?,ello', 'what I do')) AS t(pos, keywords, reply)"
 EXCLUDED = ["No Hello", "!"]
-SHORT = "(VALUES (1, 'Hello!'), (2, '3.14'), (3, '  '), (4, 'ok'), (5, 'What is the law on parking?'), (6, 'law?'), (7, '...'), (8, 'help me please, hello again'), (9, 'HELP'), (10, 'no hello'), (11, 'what did you say earlier'), (12, 'earlier you said so'), (13, 'x')) AS t(query_id, text)"
+#: Short questions made of documents, for both engines.
+SHORT = "CASE doc_id % 6 WHEN 0 THEN 'Hello, ' || source || '?' WHEN 1 THEN 'HELP ' || lang || '!' WHEN 2 THEN 'no hello ' || source WHEN 3 THEN substr(text, 1, 15) WHEN 4 THEN 'hello ' || substr(text, 1, 40) ELSE '  ' END"
 _HAS = "len(list_filter(string_split({words}, ','), lambda w: contains({text}, w))) > 0"
 
 
@@ -124,7 +125,7 @@ def trivial_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PLAIN = "regexp_replace(lower({}), '[\\s　，。！？、,.!?;；:：()（）]+', '', 'g')"
 
 
-@query("f8_public_service", f"""WITH asked AS (SELECT query_id, {_PLAIN.format('text')} AS t FROM {SHORT}), words AS (
+@query("f8_public_service", f"""WITH asked AS (SELECT query_id, {_PLAIN.format('text')} AS t FROM (SELECT doc_id AS query_id, {SHORT} AS text FROM documents)), words AS (
   SELECT pos, reply, {_PLAIN.format('unnest(string_split(keywords, chr(44)))')} AS word FROM {SERVICE} WHERE reply <> ''
 ), hit AS (
   SELECT query_id, pos, reply FROM asked JOIN words ON word <> '' AND contains(t, word) WHERE length(t) BETWEEN 1 AND 15
@@ -133,7 +134,8 @@ _PLAIN = "regexp_replace(lower({}), '[\\s　，。！？、,.!?;；:：()（）]
 def public_service(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule order decides; a long text and one with an excluded word get none; words are normalized like
     questions, and empty ones and rules without a reply don't count."""
-    return rules.service_reply(literal(spark, SHORT), lists(literal(spark, SERVICE), "keywords"), EXCLUDED)
+    asked = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.expr(SHORT).alias("text"))
+    return rules.service_reply(asked, lists(literal(spark, SERVICE), "keywords"), EXCLUDED)
 
 
 @query("f9_about_conversation", "SELECT doc_id FROM documents WHERE regexp_matches(text, '(?:the|der).*(?:ing|ung)')")

@@ -150,14 +150,16 @@ def sanitized_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "documents").select("doc_id", t.sanitized_rewrite(answer).alias("rewrite"))
 
 
-STATUTE = "(VALUES ('d', 0, '道路法'), ('d', 1, '目 录'), ('d', 2, '第一章 总则'), ('d', 3, '第一章 总 则'), ('d', 4, '第一条 为了安全。'), ('d', 5, '第二条'), ('d', 6, '有下列行为的，处罚款：'), ('d', 7, '（一）超速；'), ('d', 8, '（二）逆行。'), ('d', 9, '第二章 通行'), ('d', 10, '第一节 一般'), ('d', 11, '第三条 靠右。'), ('d', 12, '第三条之一 补充。'), ('d', 13, '第三章 附则'), ('d', 14, '第四条 施行。')) AS t(doc, pos, text)"
-
-
-@query("w9_articles", """SELECT * FROM (VALUES ('第一条', '第一章 总则', '为了安全。'), ('第二条', '第一章 总则', '有下列行为的，处罚款：' || chr(10) || '（一）超速；' || chr(10) || '（二）逆行。'),
-  ('第三条', '第二章 通行 / 第一节 一般', '靠右。'), ('第三条之一', '第二章 通行 / 第一节 一般', '补充。'), ('第四条', '第三章 附则', '施行。')) AS t(article_no, section_header, text)""")
+@query("w9_articles", f"""WITH p AS (SELECT doc_id, source, translate(CAST(doc_id AS VARCHAR), '0123456789', '{t.NUMERALS}') AS a, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS body, lang FROM documents WHERE source IS NOT NULL),
+h AS (SELECT *, last_value(CASE WHEN doc_id % 3 = 0 THEN '第' || a || '章 ' || lang END IGNORE NULLS) OVER w AS chapter FROM p WINDOW w AS (PARTITION BY source ORDER BY doc_id))
+SELECT '第' || a || '条' AS article_no, coalesce(chapter, '') AS section_header, body AS text FROM h""")
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chapters fill forward, a chapter ends a section, the contents are skipped."""
-    return chunking.articles(literal(spark, STATUTE)).select("article_no", "section_header", "text")
+    """Each source is a statute whose articles are its documents; each third has a chapter before it."""
+    docs = fx.table(spark, sf_dir, "documents").filter("source IS NOT NULL")
+    number, body = digits(F.col("doc_id")), F.trim(F.regexp_replace("text", r"\s+", " "))
+    chapter = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("第"), number, F.lit("章 "), "lang"))
+    lines = docs.select(F.col("source").alias("doc"), "doc_id", F.posexplode(F.array(chapter, F.concat(F.lit("第"), number, F.lit("条 "), body))).alias("part", "text")).filter("text IS NOT NULL")
+    return chunking.articles(lines.withColumn("pos", F.col("doc_id") * 2 + F.col("part"))).select("article_no", "section_header", "text")
 
 
 #: The three marks, one mark alone, brackets of two kinds (no mark), a mark inside a line, numerals up to ten thousand.

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as t
-from quarryline.operators import operations, rules
+from quarryline.operators import chunking, context, operations, rerank, rules
 
 CASES = {
     "clean_title": (t.clean_title, [("总 则　通用", "总则通用"), ("第 一", "第一"), (" a b ", "ab")]),
@@ -20,6 +20,10 @@ CASES = {
     "cjk_tokens": (lambda c: F.array_join(t.cjk_tokens(c, ["酒后驾驶"]), "/"), [("酒后驾驶的车 abc，12", "酒后驾驶/的/车/abc/12"), ("驾驶证", "驾/驶/证")]),
     "rewrite_lines": (lambda c: F.array_join(t.rewrite_lines(c, 3), "/"), [('1. first\n- "second"\n\n2、first\nthird\nfourth', "first/second/third")]),
     "sanitized_rewrite": (t.sanitized_rewrite, [('<think>a\nb</think>\nrewrite: "who pays"\nmore', "who pays"), ("<think>x</think>", None), ("long" * 60, None)]),
+    "role": (
+        lambda c: rerank.role(c, {"behavior_penalty": ["penalty"], "definition": ["terms", "General"], "procedural": ["appeal"]}),
+        [("Three / conduct and penalty", "behavior_penalty"), ("General terms", "definition"), ("Review / appeal", "procedural"), ("Roads", "substantive"), ("terms / penalty", "behavior_penalty"), ("", "substantive"), (None, "substantive")],
+    ),
     "stripped_negation": (lambda c: t.stripped_negation(c, ["没", "未", "没有", "不"]), [("没有 戴头盔", "戴头盔"), ("未系安全带", "系安全带"), ("停车", "停车")]),
     "trivial": (lambda c: rules.trivial(c, ["ok then", "help"], ["law"]), [(None, True), ("", True), ("x", True), ("12.5", True), ("?! 。", True), ("Help", True), ("ok then", True), ("abcd", True), ("law?", False), ("who pays the fine", False)]),
     "about_conversation": (lambda c: rules.about_conversation(c, ["earlier", "before"], ["said", "asked"]), [("what you said earlier", False), ("earlier you said", True), ("before", False)]),
@@ -42,3 +46,33 @@ def test_valid_tokens(spark):
     rows = [(1, "2030-01-01T00:00:00", 0), (2, "2020-01-01T00:00:00", 0), (3, None, 0), (4, None, 1), (5, "never", 0)]
     got = operations.valid_tokens(spark.createDataFrame(rows, "id int, expires_at string, revoked int"), "2026-01-01 00:00:00")
     assert sorted(r.id for r in got.collect()) == [1, 3]
+
+
+def test_articles(spark):
+    """Chapters fill forward, a chapter ends a section, the contents are skipped."""
+    lines = ["道路法", "目 录", "第一章 总则", "第一章 总 则", "第一条 为了安全。", "第二条", "有下列行为的，处罚款：", "（一）超速；", "（二）逆行。", "第二章 通行", "第一节 一般", "第三条 靠右。", "第三条之一 补充。", "第三章 附则", "第四条 施行。"]
+    rows = spark.createDataFrame([("d", i, line) for i, line in enumerate(lines)], "doc string, pos int, text string")
+    got = [(r.article_no, r.section_header, r.text) for r in chunking.articles(rows).orderBy("ordinal").collect()]
+    assert got == [
+        ("第一条", "第一章 总则", "为了安全。"),
+        ("第二条", "第一章 总则", "有下列行为的，处罚款：\n（一）超速；\n（二）逆行。"),
+        ("第三条", "第二章 通行 / 第一节 一般", "靠右。"),
+        ("第三条之一", "第二章 通行 / 第一节 一般", "补充。"),
+        ("第四条", "第三章 附则", "施行。"),
+    ]
+
+
+def test_clause_order(spark):
+    rows = [(1, 0, "甲法", "第五条", "第五条第十一款", "later", "h", 10), (1, 1, "甲法", "第五条", "第五条第二款", "early", "h", 11), (1, 2, "乙法", "第一条", "第一条", "alone", "g", 12)]
+    label = t.clause_label(F.col("article_no"))
+    table = spark.createDataFrame(rows, "query_id int, pos int, source string, parent_article_no string, article_no string, text string, section_header string, chunk_id int")
+    got = context.merged_references(table, t.numeral(F.regexp_extract(label, "第(.*)款", 1)), label).orderBy("place").collect()
+    assert [(r.source, r.text) for r in got] == [("甲法", "（第二款）\nearly\n\n（第十一款）\nlater"), ("乙法", "alone")]
+
+
+def test_service_reply(spark):
+    """Rule order decides; a long text and one with an excluded word get no reply, nor does a rule without one."""
+    asked = [(1, "Hello!"), (2, "help me please, hello again"), (3, "HELP"), (4, "no hello"), (5, "..."), (6, None)]
+    listed = spark.createDataFrame([(0, ["Hello", "Never"], ""), (1, ["Hel Lo!"], "greeting"), (2, ["HELP", "?", "ello"], "what I do")], "pos int, keywords array<string>, reply string")
+    got = rules.service_reply(spark.createDataFrame(asked, "query_id int, text string"), listed, ["No Hello", "!"])
+    assert sorted((r.query_id, r.reply) for r in got.collect()) == [(1, "greeting"), (3, "what I do")]
