@@ -79,10 +79,10 @@ CURSOR = 100
 
 
 def log_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words of all turns as events of a log, in order."""
+    """The words of all turns as events of a log."""
     turns = fx.table(spark, sf_dir, "conversations")
     words = F.filter(F.split("text", r"[ \t\n\r\f\x0B]+"), lambda w: w != "")
-    return turns.select("conv_id", "turn", F.posexplode(words).alias("pos", "word")).orderBy("conv_id", "turn", "pos")
+    return turns.select("conv_id", "turn", F.posexplode(words).alias("pos", "word"))
 
 
 @query("x2_log_replay", f"""WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS words FROM conversations),
@@ -92,10 +92,13 @@ def log_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log grows while a stream reads it from a cursor on, and the stream stops and starts again."""
     root = new_path(spark, "log")
     words = log_words(spark, sf_dir)
-    middle = fx.table(spark, sf_dir, "conversations").select(F.percentile_approx("conv_id", 0.5).alias("_middle"))
-    words = words.crossJoin(F.broadcast(middle))
-    for half in ("conv_id <= _middle", "conv_id > _middle"):
-        ledger.write(words.filter(half).drop("_middle").orderBy("conv_id", "turn", "pos"), f"{root}/events", "append")
+    # One number for both halves: an approximate one may come out otherwise each time that it is computed.
+    low, high = fx.table(spark, sf_dir, "conversations").agg(F.min("conv_id"), F.max("conv_id")).first()
+    first = F.coalesce(F.col("conv_id") <= ((low or 0) + (high or 0)) // 2, F.lit(False))
+    for half in (first, ~first):
+        # As SQL sorts: what has no number comes last.
+        ordered = words.filter(half).orderBy(*[F.col(c).asc_nulls_last() for c in ("conv_id", "turn", "pos")])
+        ledger.write(ordered, f"{root}/events", "append")
         stream = ledger.replay(spark, f"{root}/events", CURSOR)
         run = stream.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").option("path", f"{root}/out").trigger(availableNow=True).start()
         run.awaitTermination()

@@ -127,3 +127,19 @@ def test_empty_append(spark, tmp_path):
     ledger.write(rows, root, "append")
     log = Commits(root)
     assert [(log.read(n)["start"], log.read(n)["end"]) for n in log.numbers()] == [(0, 5), (5, 5), (5, 10)]
+
+
+def test_replay_takes_every_turn(spark, tmp_path):
+    """Turns without a conversation's number or their own come last, and none is lost between the two halves."""
+    import duckdb
+
+    from quarryline.plans import catalog
+
+    rows = [(c, t, "user", f"w{c} x{t} y\t z") for c in (*range(40), None) for t in (0, 1, None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = [tuple(r) for r in catalog.QUERIES["x2_log_replay"](spark, str(tmp_path)).collect()]
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = duck.execute(catalog.ORACLES["x2_log_replay"]).fetchall()
+    assert len(got) == 41 * 3 * 4 - 100
+    assert sorted(got, key=repr) == sorted(want, key=repr)
