@@ -120,7 +120,7 @@ def update(new: DataFrame, root: str, gone: DataFrame | None = None, dictionary:
     version published meanwhile takes out its ids from that one. A failed run leaves the last version as it was."""
     spark, log = new.sparkSession, Commits(root)
     rows = new.filter("chunk_id IS NOT NULL").groupBy("chunk_id").agg(F.min("text").alias("text"))
-    counts = lexical.term_counts(rows, dictionary=dictionary)
+    counts = lexical.postings(lexical.counted(rows, dictionary=dictionary))
     own = uuid.uuid4().hex
     counts.write.parquet(f"{root}/new/{own}/postings")
     rows.select("chunk_id").write.parquet(f"{root}/new/{own}/ids")

@@ -54,7 +54,6 @@ def retrieved_contexts(chunks: DataFrame, queries: DataFrame, found_intents: Dat
     index = lexical.build(chunks)
     queries = stage(queries, "queries")
     scans = scan.scanned(chunks, queries, index)
-    bm25 = scan.bm25(scans)
     found = retrieval.multi_query(chunks, queries, scans, policy.concepts, policy.wide, policy.markers)
     asked = queries.filter("query_pos = 0").select("question_id", F.col("text").alias("query_text"), F.col("embedding").alias("_q"))
     rows = found.select("question_id", "chunk_id", "pos").join(chunks, "chunk_id").join(small(asked), "question_id")
@@ -68,7 +67,7 @@ def retrieved_contexts(chunks: DataFrame, queries: DataFrame, found_intents: Dat
     final = final.join(candidates.drop("pos"), ["query_id", "chunk_id"])
     final = stage(rerank.role_order_by(final, stage(found_intents, "intents")), "contexts")
     expansions = queries.filter("kind = 1").select("query_id", "question_id", F.col("query_pos").alias("expansion"))
-    said = bm25.join(expansions, "query_id").select(F.col("question_id").alias("query_id"), "expansion", "chunk_id", "bm25")
+    said = scan.bm25(scans).join(small(expansions), "query_id").select(F.col("question_id").alias("query_id"), "expansion", "chunk_id", "bm25")
     sure = context.ensured(final, candidates, said, least=policy.expansion_least)
     whole = stage(sure.join(candidates.drop("pos"), ["query_id", "chunk_id"]), "ensured")
     return context.with_penalties(context.with_parents(whole, candidates.select(*whole.columns)))
@@ -185,7 +184,7 @@ def p6_retrieval_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.pmod(F.col("question_id") * 7 + F.col("query_pos") * 13, F.lit(vectors.count()))
     lists = lists.withColumn("vec_id", number).join(vectors.select("vec_id", "embedding"), "vec_id").drop("vec_id")
     lists = lists.withColumn("query_id", F.col("question_id") * 100 + F.col("query_pos"))
-    chunks = fx.all_chunks(spark, sf_dir)
+    chunks = stage(fx.all_chunks(spark, sf_dir), "chunks")
     found = rules.intents(questions, policies.intent_frame(spark))
     out = retrieved_contexts(chunks, lists, found, POLICY)
     return out.select("query_id", "chunk_id", F.col("pos").cast("long").alias("pos"), F.md5("text").alias("text_md5"))

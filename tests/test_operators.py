@@ -326,3 +326,55 @@ def test_span_depths(spark):
     with pytest.raises(ValueError, match="own ancestors"):
         operations.span_depths(spark.createDataFrame([("c", 1, 2), ("c", 2, 1)], spans.schema))
     assert operations.span_depths(spans.limit(0)).count() == 0
+
+
+def _lexical_case(spark):
+    rng = random.Random(5)
+    words = ["road", "way", "law", "fine", "car"]
+    rows = [(c, rng.choice(["a", "b", None]), rng.choice([None, " ".join(rng.choice(words) for _ in range(rng.randint(0, 4)))]), rng.choice(["definition", "behavior_penalty", "procedural"]), rng.choice([None, [1.0, 0.0], [0.0, 1.0]])) for c in range(300)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, source string, text string, role string, embedding array<float>").withColumn("penalty_context", F.substring("text", 1, 3))
+    queries = spark.createDataFrame([(4 * n + p, t, [1.0, 0.5], n, p) for n in range(2) for p, t in enumerate(["road way", "law law fine", "nothing", "car"])], "query_id long, text string, embedding array<float>, question_id long, query_pos int")
+    return chunks.repartition(4), queries
+
+
+def test_words_are_counted_without_a_shuffle(spark):
+    """Counted terms equal grouped ones, BM25 made up chunk by chunk equals joined postings, and heads equal ranks."""
+    chunks, queries = _lexical_case(spark)
+    counts = lexical.counted(chunks)
+    assert "Exchange" not in lexical.counted(spark.createDataFrame([(1, "a b a")], "chunk_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    got = lexical.postings(counts).select("chunk_id", "term", "dl", "tf").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, lexical.term_counts(chunks).select("chunk_id", "term", "dl", "tf").collect()))
+    index = lexical.build(chunks)
+    want = lexical.scores(index, queries)
+    plain = lambda rows: sorted((r.query_id, r.chunk_id, round(r.bm25, 9)) for r in rows.collect())
+    assert plain(scan.scores(index, queries)) == plain(want)
+    index.counts = None
+    assert plain(scan.scores(index, queries)) == plain(want)
+    heads = scan.bm25_heads(scan.scanned(chunks, queries, index), 3)
+    ranked = want.withColumn("pos", fusion.rank("bm25", "query_id")).filter("pos < 3")
+    assert sorted(map(tuple, heads.select("query_id", "chunk_id", "pos").collect())) == sorted(map(tuple, ranked.select("query_id", "chunk_id", "pos").collect()))
+
+
+def test_protected_pairs_carry_no_text(spark):
+    """The rows that are ranked hold flags instead of texts; the fusion keeps of the protected path what the whole gives."""
+    from quarryline.plans import retrieval
+
+    chunks, queries = _lexical_case(spark)
+    scans = scan.scanned(chunks, queries, lexical.build(chunks))
+    guarded = retrieval.protected(scans, chunks, queries, ["road", "law"], "law", ["fine"])
+    plan = guarded._jdf.queryExecution().optimizedPlan().toString()
+    ranked = plan[plan.index("Window") : plan.index("MapInArrow")]
+    assert "RepartitionByExpression" in ranked and not re.search(r"\b(text|penalty_context)#", ranked)
+    assert guarded.count() == len({(r.question_id, r.chunk_id) for r in guarded.collect()}) > 150
+    hits = retrieval.question_hits(scans, queries)
+    whole = guarded.withColumn("_r", fusion.rank("score", "question_id")).select("question_id", "chunk_id", "role", "_r")
+    some = retrieval.protected_path(guarded, hits, 2)
+    assert some.exceptAll(whole).count() == 0 and some.count() < whole.count()
+    plain = lambda rows: sorted((r.question_id, r.chunk_id, round(r.score, 9), r.floor_pos) for r in rows.collect())
+    got = plain(retrieval.fused_candidates(hits, guarded, 2))
+    kept = retrieval.protected_path
+    retrieval.protected_path = lambda *a: whole
+    try:
+        assert got == sorted(plain(retrieval.fused_candidates(hits, guarded, 2)))
+    finally:
+        retrieval.protected_path = kept
