@@ -148,13 +148,12 @@ def penalty_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
   WHERE (query_id, chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM ctx)
 ) SELECT * FROM ctx UNION ALL SELECT * FROM more WHERE pos <= 7""")
 def expansion_guarantee(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J9, Q10."""
+    """Every chunk is a candidate; the nearest and the best by words come as heads of scans."""
     c, q = fx.all_chunks(spark, sf_dir), fx.queries(spark, sf_dir)
-    scans = scan.scanned(c, q, lexical.build(c))
-    pairs = scan.pairs(scans)
-    first = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("cosine", fusion.DIGITS).desc(), "chunk_id"))).filter("_n <= 3")
-    bm25 = scan.bm25(scans).select("query_id", F.lit("as asked").alias("expansion"), "chunk_id", "bm25")
-    return context.ensured(first.withColumn("pos", F.col("_n") - 1), pairs, bm25).withColumn("pos", F.col("pos").cast("long"))
+    scans = scan.scanned(c, q, lexical.build(fx.texts(spark, sf_dir)))
+    first = stage(scan.nearest(scans, 3), "nearest")
+    bm25 = stage(scan.bm25_heads(scans, 3).select("query_id", F.lit("as asked").alias("expansion"), "chunk_id", "bm25"), "heads")
+    return context.ensured(first, bm25, bm25).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query("a10_merged_citations", f"""WITH {_CONTEXTS}, grouped AS (

@@ -378,3 +378,12 @@ def test_protected_pairs_carry_no_text(spark):
         assert got == sorted(plain(retrieval.fused_candidates(hits, guarded, 2)))
     finally:
         retrieval.protected_path = kept
+
+
+def test_nearest_takes_chunks_without_vectors_last(spark):
+    """Fewer vectors than asked for: ids fill up the list, as SQL sorts nulls last; ties go by id."""
+    rows = [(5, "s", "road", None), (2, "s", "way", [1.0, 0.0]), (1, "s", "law", [1.0, 0.0]), (9, None, None, None), (7, "s", "", None)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, source string, text string, embedding array<float>")
+    queries = spark.createDataFrame([(3, "road", [1.0, 0.0])], "query_id long, text string, embedding array<float>")
+    got = scan.nearest(scan.scanned(chunks, queries, lexical.build(chunks)), 4).orderBy("pos").collect()
+    assert [(r.query_id, r.chunk_id, r.pos) for r in got] == [(3, 1, 0), (3, 2, 1), (3, 5, 2), (3, 7, 3)]
