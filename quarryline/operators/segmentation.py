@@ -3,8 +3,9 @@ probable one.
 
 A stretch is a lattice: an edge for each dictionary word at each place, and one for each single character, which counts
 once if the dictionary lacks it. A word's probability is its share of all frequencies, and the best path comes by dynamic
-programming from the end. A dictionary of checked size goes to all tasks; one beyond it is joined to the substrings of
-the distinct stretches, and the lattice travels with its stretch. Both give the same words.
+programming from the end. A dictionary of checked size is sent to all tasks; one beyond it lies in the shared folder,
+from where each worker reads it once into arrays of some 64 bytes a word. There a stretch's substrings of one length are
+looked up at once by rolling hashes, and compared by their characters. Both give the same words, and shuffle nothing.
 """
 
 from __future__ import annotations
@@ -12,10 +13,17 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Mapping
 
+import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.sources.commits import resolved
+from quarryline.staging import new_path, stage
+
 #: Characters that the lattice cuts, by default; runs of other letters and digits are words as they stand.
 HAN = r"\p{IsHan}"
 #: Words up to which the dictionary is sent to all tasks, as many as some tens of megabytes.
@@ -61,12 +69,12 @@ def stretches(text: Column, within: str = HAN) -> Column:
 def segmented(rows: DataFrame, key: str, text: str, words: DataFrame, within: str = HAN, most: int = MOST_WORDS) -> DataFrame:
     """(key, words) of rows with distinct keys: the words of each text, in order; none for a null text. ``words`` has
     word and freq, for which see ``usable``; with an empty one each character is a word."""
-    spark, listed = rows.sparkSession, usable(words)
+    spark, listed = rows.sparkSession, stage(usable(words), "dictionary")
     n, total, longest = listed.agg(F.count("*"), F.coalesce(F.sum("freq"), F.lit(1)), F.coalesce(F.max(F.char_length("word")), F.lit(1))).first()
     unknown = -math.log(total)
     own = rows.select(key, stretches(F.coalesce(F.col(text), F.lit("")), within).alias("_runs"))
     if n > most:
-        return _joined(own, key, listed, total, longest)
+        return _held(own, key, listed, total)
     logs = spark.sparkContext.broadcast({r.word: math.log(r.freq) + unknown for r in listed.toLocalIterator()})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -78,25 +86,120 @@ def segmented(rows: DataFrame, key: str, text: str, words: DataFrame, within: st
     return own.mapInPandas(run, f"`{key}` {dict(own.dtypes)[key]}, words array<string>")
 
 
-def _joined(runs: DataFrame, key: str, words: DataFrame, total: int, longest: int) -> DataFrame:
-    """The same by joins: distinct stretches meet the dictionary by their substrings, and come back to their places."""
-    placed = runs.select(key, F.posexplode_outer("_runs").alias("_pos", "_run")).select(key, "_pos", F.col("_run.s").alias("s"), F.col("_run.cut").alias("cut"))
-    each = placed.filter("cut").select("s").distinct()
-    starts = each.select("s", F.explode(F.sequence(F.lit(1), F.char_length("s"))).alias("i"))
-    sizes = F.sequence(F.lit(1), F.least(F.lit(longest), F.char_length("s") - F.col("i") + 1))
-    parts = starts.select("s", F.explode(F.transform(sizes, lambda m: F.substring(F.col("s"), F.col("i"), m))).alias("word")).distinct()
-    edges = parts.join(words, "word").groupBy("s").agg(F.collect_list(F.struct("word", "freq")).alias("edges"))
+#: The base of rolling hashes, and its inverse; what spreads a hash's bits.
+BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+
+
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, base)]))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * MIX
+    return (x ^ (x >> np.uint64(29))) * BASE
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+class Dictionary:
+    """Words as arrays, by length: hashes in order, logarithms of shares, and characters."""
+
+    def __init__(self, files: list[str], store: fs.FileSystem, total: int):
+        unknown, parts = -math.log(total), {}
+        for file in files:
+            with store.open_input_file(file) as source:
+                for batch in pq.ParquetFile(source).iter_batches(columns=["word", "freq"]):
+                    sizes = pc.utf8_length(batch.column("word")).to_numpy(zero_copy_only=False)
+                    for m in np.unique(sizes):
+                        own = batch.filter(pc.equal(pc.utf8_length(batch.column("word")), int(m)))
+                        letters = code_points("".join(own.column("word").to_pylist())).reshape(-1, m)
+                        found, back = np.unique(own.column("freq").to_numpy(), return_inverse=True)
+                        parts.setdefault(int(m), []).append((letters, np.array([math.log(f) for f in found.tolist()])[back] + unknown))
+        self.words, n = {}, sum(len(x) for p in parts.values() for x, _ in p)
+        self.shift = np.uint64(64 - max(3 + n.bit_length(), 8))
+        self.maybe = np.zeros(1 << (64 - int(self.shift)), bool)
+        for m in sorted(parts):
+            letters, logs = (np.concatenate(c) for c in zip(*parts.pop(m), strict=True))
+            key = (mixed(letters.astype(np.uint64) + np.uint64(1)) * powers(BASE, m - 1)).sum(axis=1, dtype=np.uint64)
+            order = np.argsort(key, kind="stable")
+            self.words[m] = key[order], logs[order], letters[order]
+            self.maybe[mixed(key) >> self.shift] = True
+
+    def edges(self, stretch: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """start, length and logarithm of the words at all places, by start and length."""
+        text = code_points(stretch)
+        n, starts, sizes, logs = len(text), [], [], []
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(text.astype(np.uint64) + np.uint64(1)) * powers(BASE, n - 1), dtype=np.uint64)])
+        back = powers(INVERSE, n - 1)
+        for m, (keys, log, letters) in self.words.items():
+            if m > n:
+                break
+            key = (sums[m:] - sums[:-m]) * back[: n - m + 1]
+            at = np.flatnonzero(self.maybe[mixed(key) >> self.shift])
+            low = np.searchsorted(keys, key[at])
+            # Words of one hash lie side by side; characters decide.
+            while len(at):
+                same = low < len(keys)
+                same[same] = keys[low[same]] == key[at[same]]
+                at, low = at[same], low[same]
+                equal = (letters[low] == text[at[:, None] + np.arange(m)]).all(axis=1)
+                starts.append(at[equal])
+                sizes.append(np.full(int(equal.sum()), m))
+                logs.append(log[low[equal]])
+                at, low = at[~equal], low[~equal] + 1
+        if not starts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        start, size, value = (np.concatenate(c) for c in (starts, sizes, logs))
+        order = np.argsort(start, kind="stable")
+        return start[order], size[order], value[order]
+
+
+def path_by_edges(stretch: str, words: Dictionary, unknown: float) -> list[str]:
+    """What ``best_path`` gives, by the edges of a dictionary of arrays."""
+    start, size, value = words.edges(stretch)
+    n = len(stretch)
+    first = np.searchsorted(start, np.arange(n + 1)).tolist()
+    size, value = size.tolist(), value.tolist()
+    score, step = [0.0] * (n + 1), [1] * n
+    for i in range(n - 1, -1, -1):
+        low, high = first[i], first[i + 1]
+        if low < high and size[low] == 1:
+            best, longest, low = value[low] + score[i + 1], 1, low + 1
+        else:
+            best, longest = unknown + score[i + 1], 1
+        for e in range(low, high):
+            own = value[e] + score[i + size[e]]
+            if own >= best:
+                best, longest = own, size[e]
+        score[i], step[i] = best, longest
+    out, i = [], 0
+    while i < n:
+        out.append(stretch[i : i + step[i]])
+        i += step[i]
+    return out
+
+
+#: The dictionary that this worker has read last, by its folder.
+_read: dict[str, Dictionary] = {}
+
+
+def _held(runs: DataFrame, key: str, words: DataFrame, total: int) -> DataFrame:
+    """The same by a dictionary that workers read from the shared folder; it doesn't pass through the driver."""
+    path = new_path(runs.sparkSession, "dictionary")
+    words.write.parquet(path)
     unknown = -math.log(total)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if path not in _read:
+            store, root = resolved(path)
+            _read.clear()
+            _read[path] = Dictionary([f.path for f in store.get_file_info(fs.FileSelector(root)) if f.base_name.endswith(".parquet")], store, total)
+        known = _read[path]
         for frame in frames:
-            out = []
-            for s, own in zip(frame["s"], frame["edges"], strict=True):
-                logs = {e["word"]: math.log(e["freq"]) + unknown for e in (own if own is not None else [])}
-                out.append(best_path(s, logs, unknown, longest))
-            yield pd.DataFrame({"s": frame["s"], "own": out})
-
-    cut = each.join(edges, "s", "left").mapInPandas(run, "s string, own array<string>")
-    found = placed.join(cut, "s", "left").withColumn("own", F.when(F.col("cut"), F.col("own")).otherwise(F.when(F.col("s").isNull(), F.array().cast("array<string>")).otherwise(F.array("s"))))
-    ordered = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", "own"))).alias("runs"))
-    return ordered.select(key, F.flatten(F.transform("runs", lambda r: r["own"])).alias("words"))
+            out = [[w for r in own for w in (path_by_edges(r["s"], known, unknown) if r["cut"] else [r["s"]])] for own in frame["_runs"]]
+            yield pd.DataFrame({key: frame[key], "words": out})
+
+    return runs.mapInPandas(run, f"`{key}` {dict(runs.dtypes)[key]}, words array<string>")

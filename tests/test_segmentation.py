@@ -81,3 +81,12 @@ def test_query_against_its_parts(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     assert len(rows) == n and all(0 <= r.n_right <= min(r.n_words, r.n_found) for r in rows)
     assert sum(r.n_right for r in rows) / sum(r.n_words for r in rows) > 0.8
+
+
+def test_large_dictionaries_expand_no_text(spark):
+    """Beyond the size that is sent, no substring becomes a row and nothing is shuffled."""
+    rows = spark.createDataFrame([(1, "abab" * 50), (2, None), (3, "")], "id long, text string")
+    found = seg.segmented(rows, "id", "text", spark.createDataFrame([("ab", 3), ("aba", 1), ("b", 2)], "word string, freq long"), "[a-z]", most=0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Exchange" not in plan and "Join" not in plan
+    assert {r.id: r.words for r in found.collect()} == {1: ["ab"] * 100, 2: [], 3: []}
