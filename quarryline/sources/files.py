@@ -38,18 +38,28 @@ def docx_paragraphs(content: bytes) -> list[str]:
     return ["".join(t.text or "" for t in p.iter(f"{W}t")) for p in body.iter(f"{W}p")]
 
 
+#: Characters of paragraphs that a task holds before it hands them on.
+HELD = 4_000_000
+
+
 def paragraphs(files: DataFrame, reader: Callable[[bytes], list[str]] = docx_paragraphs) -> DataFrame:
     """(doc, pos, text, error): a file that can't be read gives one row with its error."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["doc", "pos", "text", "error"]
         for frame in frames:
-            out = []
+            out, held = [], 0
             for doc, content in zip(frame["path"], frame["content"], strict=True):
                 try:
-                    out += [(doc, i, t, None) for i, t in enumerate(reader(bytes(content)))]
+                    new = [(doc, i, t, None) for i, t in enumerate(reader(bytes(content)))]
                 except Exception as e:  # noqa: BLE001  the error is the file's row
-                    out.append((doc, 0, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["doc", "pos", "text", "error"])
+                    new = [(doc, 0, None, f"{type(e).__name__}: {e}")]
+                out += new
+                held += sum(len(t or "") for _, _, t, _ in new)
+                if held >= HELD:
+                    yield pd.DataFrame(out, columns=names)
+                    out, held = [], 0
+            yield pd.DataFrame(out, columns=names)
 
     return files.select("path", "content").mapInPandas(run, "doc string, pos int, text string, error string")
 

@@ -205,3 +205,26 @@ def test_release_drops_what_was_staged(spark, tmp_path):
     import os
 
     assert not os.path.exists(path)
+
+
+def test_paragraphs_are_handed_on_in_parts(spark, monkeypatch):
+    """A task holds a bounded part of its files' text; rows and errors are the same however it is cut."""
+    from quarryline.sources import files
+
+    rows = [(f"f{i}", None if i == 3 else f"a{i}\nbb\n".encode()) for i in range(20)]
+    table = spark.createDataFrame(rows, "path string, content binary").coalesce(1)
+    reader = lambda content: content.decode().split("\n")
+    whole = sorted(map(tuple, files.paragraphs(table, reader).collect()), key=repr)
+    monkeypatch.setattr(files, "HELD", 8)
+    assert sorted(map(tuple, files.paragraphs(table, reader).collect()), key=repr) == whole and len(whole) == 19 * 3 + 1
+
+    class Whole:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, _):
+            return run
+
+    run = files.paragraphs(Whole(), reader)
+    frames = list(run([table.toPandas()]))
+    assert len(frames) > 5 and max(len(f) for f in frames) <= 9
