@@ -1,7 +1,8 @@
 """An inverted index in immutable segments: what a run adds is tokenized and counted once, nothing else is read again.
 
 A segment holds ``postings`` (term, chunk_id, tf, dl), ``docs`` (chunk_id, dl; also documents without a word) and
-``terms`` (term, df). A run that replaces or removes documents writes ``gone`` (segment, chunk_id) and what that takes
+``terms`` (term, df; a term's rows add up). Tables are dealt by how many rows they have, whatever the session's number
+of partitions. A run that replaces or removes documents writes ``gone`` (segment, chunk_id) and what that takes
 from the counts, ``lost`` (segment, term, df). A numbered commit names the segments and the gone parts of a version, with
 their documents and tokens, so that the corpus' numbers are sums over the commit, and document frequencies are sums over
 ``terms`` and ``lost``. Segments of one size tier are merged once there are ``FAN`` of them, so a version has a number
@@ -11,8 +12,10 @@ of segments that grows with the logarithm of the corpus, and a posting is writte
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -20,9 +23,12 @@ from pyspark.sql import functions as F
 
 from quarryline.operators import lexical
 from quarryline.sources.commits import Commits, Conflict
+from quarryline.staging import SMALL_ROWS, parts
 
 #: Segments of a tier that become one of the next, and gone parts that become one.
 FAN = 4
+#: Documents, postings and terms that a task takes; a posting in a sort takes some 140 bytes.
+DOCS, POSTINGS, TERMS = 20_000, 1_000_000, 500_000
 
 
 def tier(docs: int) -> int:
@@ -34,21 +40,31 @@ def tier(docs: int) -> int:
 
 
 def _read(spark: SparkSession, root: str, segments: list[dict], part: str) -> DataFrame | None:
-    parts = [spark.read.parquet(f"{root}/segments/{s['id']}/{part}").withColumn("segment", F.lit(s["id"])) for s in segments]
-    return reduce(DataFrame.unionByName, parts) if parts else None
+    found = [spark.read.parquet(f"{root}/segments/{s['id']}/{part}").withColumn("segment", F.lit(s["id"])) for s in segments]
+    return reduce(DataFrame.unionByName, found) if found else None
 
 
 def _gone(spark: SparkSession, root: str, record: dict, part: str, ids: list[str]) -> DataFrame | None:
     """Rows of the gone parts that name one of the segments ``ids``."""
-    parts = [spark.read.parquet(f"{root}/gone/{g['id']}/{part}") for g in record["gone"] if set(g["of"]) & set(ids)]
-    return reduce(DataFrame.unionByName, parts).filter(F.col("segment").isin(ids)) if parts else None
+    found = [spark.read.parquet(f"{root}/gone/{g['id']}/{part}") for g in record["gone"] if set(g["of"]) & set(ids)]
+    return reduce(DataFrame.unionByName, found).filter(F.col("segment").isin(ids)) if found else None
+
+
+def _met(rows: DataFrame, docs: DataFrame, how: str) -> DataFrame:
+    """The rows (segment, chunk_id, others) that are among ``docs`` or not: few documents go to all tasks, else both are
+    dealt out."""
+    key, docs = ["segment", "chunk_id"], docs.select("segment", "chunk_id")
+    if docs.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        return rows.join(F.broadcast(docs), key, how)
+    n = parts(rows.sparkSession, rows.count(), POSTINGS)
+    return rows.repartition(n, *key).join(docs.repartition(n, *key), key, how)
 
 
 def _alive(spark: SparkSession, root: str, record: dict, segments: list[dict], part: str) -> DataFrame | None:
     """``postings`` or ``docs`` of some segments of a version, without documents that are gone."""
     rows = _read(spark, root, segments, part)
     gone = _gone(spark, root, record, "docs", [s["id"] for s in segments])
-    return rows if gone is None else rows.join(gone.select("segment", "chunk_id"), ["segment", "chunk_id"], "left_anti")
+    return rows if gone is None else _met(rows, gone, "left_anti")
 
 
 def _write_segment(root: str, counts: DataFrame | None, docs: DataFrame) -> dict:
@@ -56,9 +72,16 @@ def _write_segment(root: str, counts: DataFrame | None, docs: DataFrame) -> dict
     frequent term in several by chunk_id."""
     spark, own = docs.sparkSession, uuid.uuid4().hex
     path = f"{root}/segments/{own}"
-    counts.select("term", "chunk_id", "tf", "dl").repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.parquet(f"{path}/postings")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column(0).value_counts()
+            yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["term", "df"])
+
+    counts = counts.select("term", "chunk_id", "tf", "dl")
+    counts.repartitionByRange(parts(spark, counts.count(), POSTINGS), "term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.parquet(f"{path}/postings")
     docs.select("chunk_id", "dl").write.parquet(f"{path}/docs")
-    spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{path}/terms")
+    # Postings are sorted, so what each batch counts is few rows more than there are terms.
+    spark.read.parquet(f"{path}/postings").select("term").mapInArrow(run, "term string, df long").write.parquet(f"{path}/terms")
     n, tokens = spark.read.parquet(f"{path}/docs").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
     return {"id": own, "docs": n, "tokens": tokens}
 
@@ -88,7 +111,7 @@ def _removed(spark: SparkSession, root: str, record: dict, keys: DataFrame) -> d
     if not held:
         return None
     rows = _read(spark, root, [s for s in record["segments"] if s["id"] in held], "postings").select("segment", "chunk_id", "term")
-    lost = rows.join(found.select("segment", "chunk_id"), ["segment", "chunk_id"], "left_semi").groupBy("segment", "term").agg(F.count("*").alias("df"))
+    lost = _met(rows, found, "left_semi").groupBy("segment", "term").agg(F.count("*").alias("df"))
     return _write_gone(spark, root, found, lost)
 
 
@@ -119,7 +142,8 @@ def update(new: DataFrame, root: str, gone: DataFrame | None = None, dictionary:
     with one id the least text stays. The new texts are read once, whatever other writers do: one who finds another's
     version published meanwhile takes out its ids from that one. A failed run leaves the last version as it was."""
     spark, log = new.sparkSession, Commits(root)
-    rows = new.filter("chunk_id IS NOT NULL").groupBy("chunk_id").agg(F.min("text").alias("text"))
+    rows = new.filter("chunk_id IS NOT NULL")
+    rows = rows.repartition(parts(spark, rows.count(), DOCS), "chunk_id").groupBy("chunk_id").agg(F.min("text").alias("text"))
     counts = lexical.postings(lexical.counted(rows, dictionary=dictionary))
     own = uuid.uuid4().hex
     counts.write.parquet(f"{root}/new/{own}/postings")
@@ -165,7 +189,7 @@ def index(spark: SparkSession, root: str, at: int | None = None) -> lexical.Inde
         raise ValueError(f"version {number} of {root} has been vacuumed") from e
     if lost is not None:
         terms = terms.unionByName(lost.select("term", (-F.col("df")).alias("df")))
-    found = terms.groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
+    found = terms.repartition(parts(spark, terms.count(), TERMS), "term").groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
     return lexical.Index(postings, lexical.idf(found, n), n, tokens / n if n else 0.0)
 
 

@@ -89,3 +89,17 @@ def test_two_writers(spark, tmp_path):
     assert sorted(numbers) == [1, 2]
     same(spark, root, sides[0] | sides[1])
     assert not list(Path(tmp_path, "new").iterdir())
+
+
+def test_tables_are_dealt_by_their_rows(spark, tmp_path, monkeypatch):
+    """A task's part doesn't grow with the table where the session's number of partitions stays."""
+    monkeypatch.setattr(postings, "POSTINGS", 20)
+    monkeypatch.setattr(postings, "SMALL_ROWS", 3)
+    root, corpus = str(tmp_path), {i: " ".join(WORDS[i % 5 :]) for i in range(100)}
+    postings.update(spark.createDataFrame(list(corpus.items()), ROWS), root)
+    own = Commits(root).read(1)["segments"][0]["id"]
+    files = [spark.read.parquet(str(f)).count() for f in (tmp_path / "segments" / own / "postings").glob("*.parquet")]
+    assert sum(files) == 800 and len(files) > 30 and max(files) <= 40
+    gone = [i for i in corpus if i % 10 == 5]
+    postings.update(spark.createDataFrame([], ROWS), root, spark.createDataFrame([(i,) for i in gone], "chunk_id long"))
+    same(spark, root, {i: t for i, t in corpus.items() if i not in gone})
