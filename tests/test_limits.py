@@ -80,6 +80,18 @@ def test_substrings(spark, q):
     assert len(rows) == len(set(rows)) and set(rows) == want
 
 
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_substrings_of_few_and_many_patterns(spark, monkeypatch, few):
+    """Both ways give the same, also for characters beyond the first plane; with few patterns no gram becomes a row."""
+    monkeypatch.setattr(substrings, "FEW", few)
+    texts = [(1, "a😀bcde"), (2, "bcd"), (3, "e酒后驾驶"), (4, None), (5, ""), (6, "abcabcabcd" * 9), (7, "xa")]
+    patterns = ["😀b", "bcde", "bcd", "cdea", "酒后驾驶", "驾", "", "abcabcd", "dabca", None, "de", "ex", "abcabcabcdabcabcabcdab"]
+    got = substrings.containing(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([(p,) for p in patterns], "pattern string"), ["id"])
+    want = sorted((i, p) for i, t in texts for p in patterns if t is not None and p is not None and p in t)
+    assert sorted((r.id, r.pattern) for r in got.collect()) == want
+    assert ("Generate" in got._jdf.queryExecution().executedPlan().toString()) == (few == 0)
+
+
 def test_no_nested_loop(spark):
     """The audit's plan has no join that compares all with all, whatever Spark may broadcast."""
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
