@@ -75,8 +75,10 @@ def rerank_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = sources.select("source", (F.row_number().over(Window.orderBy("source")) - 1).alias("_k"), F.count("*").over(Window.partitionBy()).alias("_sources"))
     asked = fx.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     asked = asked.join(numbered.select("_sources").limit(1)).withColumn("_k", F.col("query_id") % F.col("_sources")).join(numbered.select("source", "_k"), "_k")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")) - 1
-    candidates = asked.join(docs.select("doc_id", "source", "text"), "source").withColumn("pos", place.cast("long"))
+    # A question has one source's documents, so they are numbered once, before they meet questions.
+    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
+    placed = docs.filter("source IS NOT NULL").select("source", "text", place.cast("long").alias("pos"))
+    candidates = asked.join(placed, "source")
     score = lambda question, text: round(relevance(question, text), 12)
     rows = providers.reranked(candidates, Flaky(score), most=MOST, pause=0.0)
     return rows.select("query_id", "pos", F.round("relevance_score", 6).alias("score"), F.col("error").isNotNull().alias("failed"), F.col("place").cast("long").alias("place"))

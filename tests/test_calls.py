@@ -5,11 +5,15 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quarryline.plans import calls as plans
 from quarryline.sources import providers
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_answers_in_order():
     rng, sizes = random.Random(1), []
@@ -84,3 +88,27 @@ def test_reranked_over_calls(spark):
     assert places == [(6, 9.0), (7, 7.0), (1, 5.0), (4, 5.0), (2, 3.0), (5, 2.0), (0, 1.0), (8, 0.0), (3, None)]
     assert [(r.pos, r.place) for r in got.filter("query_id = 'b'").collect()] == [(0, 0)]
     assert got.filter("error IS NOT NULL").select("pos", "error").collect() == [(3, "ValueError: bad")]
+
+
+def test_hashed_embedder(monkeypatch):
+    """Each word's signed place, as they are defined one by one; a repeated word is hashed once."""
+    import hashlib
+
+    made, texts = [], ["a b a", None, "", "A\u00e9 b", "x " * 50]
+    blake = hashlib.blake2b
+    want = np.zeros((len(texts), 16), np.float32)
+    for row, t in zip(want, texts, strict=True):
+        for word in (t or "").lower().split():
+            h = int.from_bytes(blake(word.encode(), digest_size=8).digest(), "little")
+            row[h % 16] += 1 if h >> 63 else -1
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
+    providers.word_hash.cache_clear()
+    monkeypatch.setattr(providers.hashlib, "blake2b", lambda *a, **k: made.append(a) or blake(*a, **k))
+    assert np.allclose(providers.hashed_embedder(texts, 16), want) and len(made) == 4
+    assert providers.hashed_embedder([], 16).shape == (0, 16)
+
+
+def test_candidates_are_numbered_before_they_meet_questions(spark):
+    """No window goes by question but the one over scores: texts aren't sorted once a question."""
+    plan = plans.rerank_calls(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("windowspecdefinition(query_id") == 1
