@@ -84,9 +84,10 @@ def _ingest(spark: SparkSession, files: DataFrame, root: str, hierarchy: Column,
     if before is None or rebuilt:
         before, manifest = spark.createDataFrame([], CHUNKS), spark.createDataFrame([], MANIFEST)
     within = F.lit(True) if within is None else F.coalesce(within, F.lit(False))
-    there = files.select(*KEY, "file_hash", F.lit(version).alias("schema_version"))
+    # What the files are made from is worked out twice: for their hashes, and for those that are read.
+    there = stage(files.select(*KEY, "file_hash", F.lit(version).alias("schema_version")), "ingest-files")
     changes = stage(index.diff(manifest.filter(within), there), "ingest-changes")
-    changed = files.join(changes.filter("change IN ('added', 'updated')"), KEY, "left_semi")
+    changed = stage(files.join(changes.filter("change IN ('added', 'updated')"), KEY, "left_semi"), "ingest-changed")
     articles, errors = read_articles(changed, **readers)
     failed = errors.orderBy("doc").first()
     if failed is not None:
