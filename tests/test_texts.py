@@ -76,3 +76,20 @@ def test_service_reply(spark):
     listed = spark.createDataFrame([(0, ["Hello", "Never"], ""), (1, ["Hel Lo!"], "greeting"), (2, ["HELP", "?", "ello"], "what I do")], "pos int, keywords array<string>, reply string")
     got = rules.service_reply(spark.createDataFrame(asked, "query_id int, text string"), listed, ["No Hello", "!"])
     assert sorted((r.query_id, r.reply) for r in got.collect()) == [(1, "greeting"), (3, "what I do")]
+
+
+def test_article_windows_carry_no_text(spark, monkeypatch):
+    """Marks alone are ordered document by document; texts are dealt out by paragraph and article, also of one document;
+    paragraphs of one place stay apart."""
+    monkeypatch.setattr(chunking, "SHARE", 10)
+    lines = [("d", 3 * i + k, t) for i in range(60) for k, t in enumerate([f"第{'一二三'[i % 3]}章 c{i}" if i % 5 == 0 else " ", f"第{'一二三'[i % 3]}条 a{i}", f"b{i}"])]
+    rows = spark.createDataFrame([*lines, ("e", 1, "第一条 x"), ("e", 2, "y"), ("e", 2, "z")], "doc string, pos long, text string")
+    found = chunking.articles(rows)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    first = next(i for i, line in enumerate(plan) if "Window [" in line)
+    last = next(i for i, line in enumerate(plan) if i > first and "Relation" in line)
+    assert "text#" not in "".join(plan[first:last]) and "_piece#" not in "".join(plan[first:last])
+    got = {(r.doc, r.text): (r.article_no, r.section_header) for r in found.collect()}
+    want = {("d", f"a{i}\nb{i}"): (f"第{'一二三'[i % 3]}条", f"第{'一二三'[(i - i % 5) % 3]}章 c{i - i % 5}") for i in range(60)}
+    assert {k: v for k, v in got.items() if k[0] == "d"} == want
+    assert [sorted(k[1].split("\n")) for k in got if k[0] == "e"] == [["x", "y", "z"]]
