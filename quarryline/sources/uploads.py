@@ -33,6 +33,7 @@ from pyspark.sql.types import StructType
 from quarryline.functions.text import stripped
 from quarryline.sources.commits import resolved
 from quarryline.sources.files import MOST_PAGES, W, routed
+from quarryline.staging import stage
 
 NAME = "quarryline_documents"
 ROWS = "path string, pages int, pos int, text string, error string"
@@ -153,11 +154,15 @@ class Writer(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         store, root = resolved(self.path.rstrip("/"))
         store.create_dir(root, recursive=True)
+        made = {root}
         for batch in iterator:
             for row in batch.to_pylist():
                 content = docx(row["text"] or "") if row["content"] is None else row["content"]
                 path, own = f"{root}/{row['name']}", f"{root}/.{uuid.uuid4().hex}"
-                store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                folder = path.rsplit("/", 1)[0]
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
                 with store.open_output_stream(own) as f:
                     f.write(content)
                 store.move(own, path)
@@ -198,7 +203,8 @@ def parsed(spark: SparkSession, path: str, ocr: Callable[[bytes], list[str]] | N
     rows = rows.withColumn("text", stripped(F.col("text")))
     lines = F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("pos", "text"))))
     each = rows.groupBy("path").agg(F.max("pages").alias("pages"), F.array_join(F.transform(lines, lambda x: x["text"]), "\n").alias("text"), F.max("error").alias("error"))
-    told = routed(each.withColumn("name", F.substring_index("path", "/", -1)))
+    # Files are opened once, and once more for ``ocr``: both sides of the join below would read them all.
+    told = stage(routed(each.withColumn("name", F.substring_index("path", "/", -1))), "parsed")
     scans = told.filter("route = 'ocr' AND error IS NULL").select("path")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

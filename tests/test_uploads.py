@@ -80,3 +80,11 @@ def test_too_much_to_unpack(monkeypatch, spark, tmp_path):
     monkeypatch.setattr(uploads, "MOST_UNPACKED", 100)
     rows = list(uploads.Reader({"path": str(tmp_path)}).read(uploads.Group([str(tmp_path / "x.docx")])))
     assert rows[0].column("error")[0].as_py().startswith("ValueError: unpacks")
+
+
+def test_files_are_read_once(spark, tmp_path):
+    """What is found in files and what OCR adds meet without a second scan of the files."""
+    uploads.write(spark.createDataFrame([("a/1.docx", "one", None), ("2.png", None, b"xy"), ("a/b/3.docx", "two", None)], FILES), str(tmp_path))
+    found = uploads.parsed(spark, str(tmp_path), lambda content: [str(len(content))])
+    assert found._jdf.queryExecution().optimizedPlan().toString().count(uploads.NAME) <= 1
+    assert {r.name: r.text for r in found.collect()} == {"1.docx": "one", "2.png": "2", "3.docx": "two"}
