@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as t
 from quarryline.operators import chunking, context, operations, rerank, rules
+from quarryline.plans import catalog
 
 CASES = {
     "clean_title": (t.clean_title, [("总 则　通用", "总则通用"), ("第 一", "第一"), (" a b ", "ab")]),
@@ -93,3 +97,18 @@ def test_article_windows_carry_no_text(spark, monkeypatch):
     want = {("d", f"a{i}\nb{i}"): (f"第{'一二三'[i % 3]}条", f"第{'一二三'[(i - i % 5) % 3]}章 c{i - i % 5}") for i in range(60)}
     assert {k: v for k, v in got.items() if k[0] == "d"} == want
     assert [sorted(k[1].split("\n")) for k in got if k[0] == "e"] == [["x", "y", "z"]]
+
+
+def test_articles_of_odd_documents(spark, tmp_path):
+    """Null and blank texts, white space of all kinds, odd titles, missing and negative ids: w9_articles equals its SQL."""
+    spaces = ["\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", "\t", "\r\n", " "]
+    bodies = [None, "", "  ", "\n\n", "x", "“x”", "无", "第一章 x", "第三条 y", "之一 z", *spaces, *(w + "x" + w + " " + w + "y" + w for w in spaces)]
+    rows = [(i, text, "en", "a") for i, text in enumerate(bodies)]
+    rows += [(100 + i, "x", lang, "b") for i, lang in enumerate(lang for lang in ["zh CN", " en", "", None, "a\nb", "\u3000x", "50% +"] for _ in range(3))]
+    rows += [(-3, "x", "en", "c"), (-2, "y", "en", "c"), (None, "z", "en", "c"), (1, "x", "en", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalog.QUERIES["w9_articles"](spark, str(tmp_path)).select("article_no", "section_header", "text")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = duck.execute(f"SELECT article_no, section_header, text FROM ({catalog.ORACLES['w9_articles']})").fetchall()
+    assert Counter(map(tuple, found.collect())) == Counter(want) and len(want) == len(rows) - 1
