@@ -5,7 +5,11 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from quarryline.functions.text import cjk_tokens
@@ -90,3 +94,58 @@ def test_large_dictionaries_expand_no_text(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Exchange" not in plan and "Join" not in plan
     assert {r.id: r.words for r in found.collect()} == {1: ["ab"] * 100, 2: [], 3: []}
+
+
+def dictionary(path, freq):
+    pq.write_table(pa.table({"word": pa.array(list(freq), pa.string()), "freq": pa.array(list(freq.values()), pa.int64())}), f"{path}/words.parquet")
+    return seg.Dictionary([f"{path}/words.parquet"], fs.LocalFileSystem(), sum(freq.values()) or 1)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_stretches_together(seed, tmp_path, monkeypatch):
+    """Stretches of many rows in bundles and blocks of few characters: each has the words that it has alone, also in
+    letters of two to four bytes, with words of one hash, and in rows that are a slice."""
+    rng = random.Random(seed)
+    monkeypatch.setattr(seg, "TOGETHER", rng.choice([1, 40, 10**6]))
+    monkeypatch.setattr(seg, "BLOCK", rng.choice([3, 1 << 16]))
+    monkeypatch.setattr(seg, "TABLE_BITS", rng.choice([1, 26]))
+    if seed % 4 == 0:
+        monkeypatch.setattr(seg, "MIX", np.uint64(0))
+    letters = rng.choice(["ab", "aé研", "ab𠀀ꀀ"])
+    freq = {"".join(rng.choices(letters, k=rng.randrange(1, 9))): rng.choice([1, 2, 2, 50]) for _ in range(rng.randrange(40))}
+    words = dictionary(tmp_path, freq)
+    logs = {w: math.log(f) + words.unknown for w, f in freq.items()}
+    rows = [[{"s": "".join(rng.choices(letters + "x", k=rng.choice([1, 2, 9, 60]))), "cut": rng.random() < 0.8} for _ in range(rng.randrange(4))] for _ in range(30)]
+    runs = pa.array(rows, pa.list_(pa.struct([("s", pa.string()), ("cut", pa.bool_())])))
+    want = [[w for r in own for w in (seg.best_path(r["s"], logs, words.unknown, max(map(len, freq), default=1)) if r["cut"] else [r["s"]])] for own in rows]
+    assert seg._cut(runs, words).to_pylist() == want and seg._cut(runs.slice(7, 9), words).to_pylist() == want[7:16]
+    assert seg._cut(runs.slice(0, 0), words).to_pylist() == []
+
+
+def test_long_words_cost_only_where_they_begin(tmp_path):
+    """Substrings are looked up as far as a word begins like them, not up to the longest word everywhere."""
+    words, looked, n = dictionary(tmp_path, {"zq" * m: 1 for m in range(1, 41)}), [], 8_000
+
+    class Table(np.ndarray):
+        def __getitem__(self, slots):
+            looked.append(len(slots))
+            return self.view(np.ndarray)[slots]
+
+    words.table = words.table.view(Table)
+    found = list(words.edges(seg.code_points("abcdefgh" * (n // 8 - 10) + "zq" * 40), np.arange(n, 0, -1)))
+    assert sum(looked) < 5 * n and sum(len(at) for _, at, _ in found) == 40 * 41 // 2
+
+
+def test_query_joins_no_texts(spark):
+    """Words there were go along with the text; they aren't joined to those found."""
+    plan = catalog.QUERIES["c18_segmented_words"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_kept_columns(spark):
+    """What is kept goes along, by both ways, also where keys repeat."""
+    rows = spark.createDataFrame([(1, "生命起源", [1]), (1, "起源", None), (None, None, [])], "id long, text string, own array<int>")
+    listed = spark.createDataFrame([("生命", 3), ("起源", 2)], "word string, freq long")
+    for most in (100, 0):
+        got = seg.segmented(rows, "id", "text", listed, most=most, keep=("own",)).collect()
+        assert sorted(((r.id, r.words, r.own) for r in got), key=repr) == [(1, ["生命", "起源"], [1]), (1, ["起源"], None), (None, [], [])]
