@@ -78,9 +78,10 @@ def stretches(text: Column, within: str = HAN) -> Column:
     return F.transform(runs, lambda s: F.struct(s.alias("s"), s.rlike(f"^(?:{within})").alias("cut")))
 
 
-def segmented(rows: DataFrame, key: str, text: str, words: DataFrame, within: str = HAN, most: int = MOST_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
+def segmented(rows: DataFrame, key: str, text: str, words: DataFrame, within: str = HAN, most: int = MOST_WORDS, keep: tuple[str, ...] = (), then: tuple[Callable[[pa.RecordBatch], pa.RecordBatch], str] | None = None) -> DataFrame:
     """(key, words, those to keep) of rows with distinct keys: the words of each text, in order; none for a null text.
-    ``words`` has word and freq, for which see ``usable``; with an empty one each character is a word."""
+    ``words`` has word and freq, for which see ``usable``; with an empty one each character is a word. ``then`` makes
+    other columns of a batch of these, with their types, in the task that cut it, so that words needn't leave it."""
     spark, path = rows.sparkSession, new_path(rows.sparkSession, "dictionary")
     usable(words).write.parquet(path)
     listed = spark.read.schema("word string, freq long").parquet(path)
@@ -89,15 +90,16 @@ def segmented(rows: DataFrame, key: str, text: str, words: DataFrame, within: st
     own = rows.select(key, *keep, stretches(F.coalesce(F.col(text), F.lit("")), within).alias("_runs"))
     types = dict(own.dtypes)
     out = ", ".join([f"`{key}` {types[key]}", "words array<string>", *(f"`{c}` {types[c]}" for c in keep)])
+    done, out = then or ((lambda batch: batch), out)
     if n > most:
-        return own.mapInArrow(_held(path, total, key, keep), out)
+        return own.mapInArrow(_held(path, total, key, keep, done), out)
     logs = spark.sparkContext.broadcast({r.word: math.log(r.freq) + unknown for r in listed.toLocalIterator()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = logs.value
         for batch in batches:
             found = [[w for r in runs for w in (best_path(r["s"], known, unknown, longest) if r["cut"] else [r["s"]])] for runs in batch.column("_runs").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(found, pa.list_(pa.string())), *(batch.column(c) for c in keep)], names=[key, "words", *keep])
+            yield done(pa.RecordBatch.from_arrays([batch.column(key), pa.array(found, pa.list_(pa.string())), *(batch.column(c) for c in keep)], names=[key, "words", *keep]))
 
     return own.mapInArrow(run, out)
 
@@ -284,7 +286,7 @@ def _cut(runs: pa.ListArray, words: Dictionary) -> pa.ListArray:
 _read: dict[str, Dictionary] = {}
 
 
-def _held(path: str, total: int, key: str, keep: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _held(path: str, total: int, key: str, keep: tuple[str, ...], done: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The same by a dictionary that workers read from the shared folder; it doesn't pass through the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,6 +302,6 @@ def _held(path: str, total: int, key: str, keep: tuple[str, ...]) -> Callable[[I
             while low < batch.num_rows:
                 high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + TEXTS, "right")))
                 part, low = batch.slice(low, high - low), high
-                yield pa.RecordBatch.from_arrays([part.column(key), _cut(part.column("_runs"), _read[path]), *(part.column(c) for c in keep)], names=[key, "words", *keep])
+                yield done(pa.RecordBatch.from_arrays([part.column(key), _cut(part.column("_runs"), _read[path]), *(part.column(c) for c in keep)], names=[key, "words", *keep]))
 
     return run

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 
@@ -149,3 +150,14 @@ def test_kept_columns(spark):
     for most in (100, 0):
         got = seg.segmented(rows, "id", "text", listed, most=most, keep=("own",)).collect()
         assert sorted(((r.id, r.words, r.own) for r in got), key=repr) == [(1, ["生命", "起源"], [1]), (1, ["起源"], None), (None, [], [])]
+
+
+def test_agreement_of_a_slice():
+    """Numbers of words, and of ends that agree, of rows that are part of a batch; a text without words has none."""
+    from quarryline.plans.texts import agreement
+
+    own, words = ["a b", None, "ab c d", "éa b"], [["ab"], [], ["a", "bc", "d"], ["éa", "b"]]
+    rows = pa.RecordBatch.from_arrays([pa.array([0, 1, 2, 3]), pa.array(words, pa.list_(pa.string())), pa.array(own, pa.string())], names=["doc_id", "words", "own"])
+    got = [[r["doc_id"], r["n_words"], r["n_found"], r["n_right"]] for r in agreement(rows.slice(1)).to_pylist()]
+    assert got == [[1, 0, 0, 0], [2, 3, 3, 2], [3, 2, 2, 2]]
+    assert [r["words_md5"] for r in agreement(rows).to_pylist()] == [hashlib.md5(" ".join(w).encode()).hexdigest() for w in words]
